@@ -8,10 +8,12 @@ a document that crosses a boundary gives one piece for each window it touches.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,35 +24,83 @@ from quern.storage import checkpoint, table
 LENGTH = 4096
 END_ID = 2
 #: Text bytes that one Arrow batch of tokenized rows is built from, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _encoders: dict[int, "_Encoder"] = {}
 
 
-class _Encoder(dict):
-    """Ids (little-endian 32-bit) of chunks of text without ASCII blanks, which tokenize on their own in this vocabulary.
+class _Encoder:
+    """Ids (little-endian 32-bit) of texts, by way of their chunks between ASCII blanks.
 
-    The vocabulary drops white space and none of its patterns or special tokens reaches over it.  Up to ``limit`` chunks
-    are remembered; forgetting costs time only.
+    The vocabulary drops white space and none of its patterns or special tokens reaches over it, so chunks tokenize on
+    their own.  Chunks met before are looked up in a younger and an older
+    table; the younger grows old past ``limit`` chunks.
+    New chunks of letters, perhaps with points or commas behind, are tokenized many at a time: letters make one word, whose
+    last id is one that ends words and whose other ids aren't.
     """
 
-    def __init__(self, definition: str, limit: int = 400_000):
+    def __init__(self, definition: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_str(definition), limit
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = value
-        return value
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _alone(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return [self._alone(w.encode()) for w in words]
+        data, cuts = ids.tobytes(), (4 * np.r_[0, stops]).tolist()
+        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        young, old, tails, plain = self.young, self.old, [], {}
+        for chunk in chunks:
+            if (ids := old.get(chunk)) is not None:
+                young[chunk] = ids
+                continue
+            stem = chunk.rstrip(b".,")
+            word = stem.decode()
+            if PLAIN.fullmatch(word):
+                if len(stem) < len(chunk):
+                    tails.append((chunk, stem))
+                if stem not in young:
+                    if (ids := old.get(stem)) is not None:
+                        young[stem] = ids
+                    else:
+                        plain[stem] = word
+            else:
+                young[chunk] = self._alone(chunk)
+        stems = list(plain)
+        for at in range(0, len(stems), 2000):
+            part = stems[at : at + 2000]
+            young.update(zip(part, self._letters([plain[x] for x in part]), strict=True))
+        for chunk, stem in tails:
+            tail = chunk[len(stem) :]
+            if tail not in young:
+                young[tail] = old.get(tail) or self._alone(tail)
+            young[chunk] = young[stem] + young[tail]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts = [text.encode().split() if text else [] for text in texts]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        new = set().union(*parts).difference(self.young.keys()) if parts else set()
+        if new:
+            self._learn(new)
+        find = self.young.__getitem__
+        return [b"".join(map(find, x)) for x in parts]
+
+
+#: Letters that stay single letters when normalised and lower-cased: basic Latin and the Latin-1 letters.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 def word_tokenizer(path: str | None = None) -> str:
@@ -80,27 +130,20 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
         encoder, end = _encoders[key], np.array([end_id], "<u4").tobytes()
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, held, first = [], 0, 0
-
-            def flush(stop: int) -> pa.RecordBatch:
-                nonlocal place
+            sizes, first, held = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0, 0
+            for k in range(batch.num_rows):
+                held += int(sizes[k])
+                if held < BATCH_BYTES and k + 1 < batch.num_rows:
+                    continue
+                ids = [x + end for x in encoder.encode(batch.column(1).slice(first, k + 1 - first).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
-                places = place + np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+                places = place + np.cumsum(n) - n
                 place += int(n.sum())
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, stop - first), pa.array(np.full(len(ids), part, np.int32)), pa.array(places), pa.array(n), pa.array(ids, pa.binary())],
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(places), pa.array(n), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "place", "n_tokens", "ids"],
                 )
-
-            column = batch.column(1)
-            for k in range(batch.num_rows):
-                ids.append(encoder.encode(column[k].as_py()) + end)
-                held += len(ids[-1])
-                if held >= BATCH_BYTES:
-                    yield flush(k + 1)
-                    ids, held, first = [], 0, k + 1
-            if ids:
-                yield flush(batch.num_rows)
+                first, held = k + 1, 0
 
     schema = f"doc_id {id_type.simpleString()}, part int, place long, n_tokens long, ids binary"
     return table(docs.select("doc_id", "text").mapInArrow(run, schema), "tokens")
