@@ -39,7 +39,7 @@ class _Encoder:
     last id is one that ends words and whose other ids aren't.
     """
 
-    def __init__(self, definition: str, limit: int = 500_000):
+    def __init__(self, definition: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_str(definition), limit
