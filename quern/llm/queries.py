@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, mixing, packing, quality, toxicity, url_filter
+from quern.llm import ann, chat, jaccard_join, mixing, packing, quality, toxicity, url_filter
+from quern.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +33,10 @@ def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op4_approximate_neighbours": op4_approximate_neighbours,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,

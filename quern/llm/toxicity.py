@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import batched
+from quern.storage import checkpoint, table
 
 #: Labelled rows that the models are fitted on, at most: those whose text has the smallest hashes.
 MOST_LABELLED = 8_000
@@ -98,10 +99,10 @@ def _fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, d: int,
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """text and toxic (0 or 1) of up to ``most`` labelled documents with different texts."""
     labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = docs.select("doc_id", "text").where("text is not null").join(labels, "doc_id").withColumn("h", F.xxhash64("text"))
-    once = found.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    chosen = once.orderBy("h").limit(most).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    once = hashed.join(labels, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    chosen = checkpoint(once.orderBy("h").limit(most).select("doc_id", "toxic"))
+    return table(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
