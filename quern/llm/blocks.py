@@ -19,8 +19,9 @@ BLOCK_KEYS = 1_000_000
 #: Keys that a bucket holds on average, at most.
 BUCKET_KEYS = 400_000
 
-PACKED = "bucket int, keys binary, docs binary, marks binary, known_keys binary, known_docs binary"
-SHARED = "doc_id long, key long"
+PACKED = "bucket int, keys binary, docs binary, marks binary, known_keys binary, known_docs binary, sizes binary"
+#: A shared key of a document, or, where key is null, the document's number of keys.
+SHARED = "doc_id long, key long, size long"
 
 
 def buckets_for(keys: int, least: int) -> int:
@@ -33,10 +34,12 @@ class Packer:
 
     def __init__(self, buckets: int):
         self.shift = np.uint64(64 - (buckets.bit_length() - 1)) if buckets > 1 else None
-        self.buckets, self.keys, self.docs, self.held = buckets, [], [], 0
+        self.buckets, self.keys, self.docs, self.sizes, self.held = buckets, [], [], [], 0
 
-    def add(self, doc_id: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # A very long document is cut up: its keys are distinct, so parts of it never meet in one block or bucket entry.
+    def add(self, doc_id: int, keys: np.ndarray, size: int | None = None) -> Iterator[pa.RecordBatch]:
+        """``size`` is passed through for the document as it is."""
+        if size is not None:
+            self.sizes += (doc_id, size)
         self.keys.append(keys)
         self.docs.append((doc_id, len(keys)))
         self.held += len(keys)
@@ -44,15 +47,14 @@ class Packer:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+        if not self.held and not self.sizes:
             return
         keys = np.concatenate(self.keys)
         docs = np.repeat(np.array([d for d, _ in self.docs], np.int64), [n for _, n in self.docs])
         self.keys, self.docs, self.held = [], [], 0
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
-        first = np.r_[True, keys[1:] != keys[:-1]]
-        starts = np.flatnonzero(first)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
         counts = np.diff(np.r_[starts, len(keys)])
         several = counts > 1
         known = np.repeat(several, counts)
@@ -60,15 +62,17 @@ class Packer:
         cut = np.searchsorted(sent >> self.shift, np.arange(self.buckets + 1, dtype=np.uint64)) if self.shift is not None else np.array([0, len(sent)])
         # What is known here already passes through any bucket; it is spread evenly so that a hot key burdens none.
         k, d = keys[known], docs[known]
+        turn = int(sent[0] % np.uint64(self.buckets)) if len(sent) else 0
         share = np.linspace(0, len(k), self.buckets + 1).astype(np.int64)
+        sizes, self.sizes = np.array(self.sizes, np.int64).tobytes(), []
         rows = [
-            (b, sent[i:j].tobytes(), sent_docs[i:j].tobytes(), several[i:j].tobytes(), k[p:q].tobytes(), d[p:q].tobytes())
+            (b, sent[i:j].tobytes(), sent_docs[i:j].tobytes(), several[i:j].tobytes(), k[p:q].tobytes(), d[p:q].tobytes(), sizes if b == turn else b"")
             for b, (i, j, p, q) in enumerate(zip(cut[:-1], cut[1:], share[:-1], share[1:], strict=True))
-            if j > i or q > p
+            if j > i or q > p or (sizes and b == turn)
         ]
         for at in range(0, len(rows), 64):
             columns = list(zip(*rows[at : at + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["bucket", "keys", "docs", "marks", "known_keys", "known_docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["bucket", "keys", "docs", "marks", "known_keys", "known_docs", "sizes"])
 
 
 def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
@@ -85,11 +89,19 @@ def _meet(table: pa.Table) -> pa.Table:
     out = np.repeat(shared, counts) & ~marks
     keys = np.concatenate([keys[out], _joined(table["known_keys"], np.uint64)])
     docs = np.concatenate([docs[out], _joined(table["known_docs"], np.int64)])
-    return pa.table({"doc_id": pa.array(docs), "key": pa.array(keys.view(np.int64))})
+    sizes = _joined(table["sizes"], np.int64).reshape(-1, 2)
+    n, more = len(docs), len(sizes)
+    return pa.table(
+        {
+            "doc_id": pa.array(np.r_[docs, sizes[:, 0]]),
+            "key": pa.array(np.r_[keys.view(np.int64), np.zeros(more, np.int64)], mask=np.r_[np.zeros(n, bool), np.ones(more, bool)]),
+            "size": pa.array(np.r_[np.zeros(n, np.int64), sizes[:, 1]], mask=np.r_[np.ones(n, bool), np.zeros(more, bool)]),
+        }
+    )
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
-    """(doc_id, key) of every key that at least two documents have; ``packed`` has the rows of a :class:`Packer`."""
+    """The rows of SHARED for every key that at least two documents have; ``packed`` has the rows of a :class:`Packer`."""
     return packed.groupBy("bucket").applyInArrow(_meet, SHARED)
 
 
@@ -109,3 +121,15 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, weight:
         if held and (row is None or len(held) >= size or bytes_held >= weight):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, bytes_held = [], 0
+
+
+#: Ids up to which a set of documents is sent to all tasks (8 bytes each); a larger set is joined by shuffle.
+MOST_SENT_IDS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (distinct, materialised)."""
+    from pyspark.sql import functions as F
+
+    small = ids.limit(MOST_SENT_IDS + 1).count() <= MOST_SENT_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
