@@ -24,7 +24,7 @@ from quern.storage import checkpoint, table
 LENGTH = 4096
 END_ID = 2
 #: Text bytes that one Arrow batch of tokenized rows is built from, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 _encoders: dict[int, "_Encoder"] = {}
 
@@ -35,7 +35,7 @@ class _Encoder:
     The vocabulary drops white space and none of its patterns or special tokens reaches over it, so chunks tokenize on
     their own.  Chunks met before are looked up in a younger and an older
     table; the younger grows old past ``limit`` chunks.
-    New chunks of letters, perhaps with points or commas behind, are tokenized many at a time: letters make one word, whose
+    New chunks of letters, perhaps with punctuation behind, are tokenized many at a time: letters make one word, whose
     last id is one that ends words and whose other ids aren't.
     """
 
@@ -61,23 +61,24 @@ class _Encoder:
         return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        young, old, tails, plain = self.young, self.old, [], {}
+        young, old, tails, plain, find = self.young, self.old, [], {}, self.old.get
         for chunk in chunks:
-            if (ids := old.get(chunk)) is not None:
+            if (ids := find(chunk)) is not None:
                 young[chunk] = ids
                 continue
-            stem = chunk.rstrip(b".,")
-            word = stem.decode()
-            if PLAIN.fullmatch(word):
-                if len(stem) < len(chunk):
-                    tails.append((chunk, stem))
-                if stem not in young:
-                    if (ids := old.get(stem)) is not None:
-                        young[stem] = ids
-                    else:
-                        plain[stem] = word
-            else:
+            stem = chunk.rstrip(TAIL)
+            if stem.isalpha():
+                word = stem.decode()
+            elif not stem or not PLAIN.fullmatch(word := stem.decode()):
                 young[chunk] = self._alone(chunk)
+                continue
+            if len(stem) < len(chunk):
+                tails.append((chunk, stem))
+            if stem not in young and stem not in plain:
+                if (ids := find(stem)) is not None:
+                    young[stem] = ids
+                else:
+                    plain[stem] = word
         stems = list(plain)
         for at in range(0, len(stems), 2000):
             part = stems[at : at + 2000]
@@ -92,13 +93,15 @@ class _Encoder:
         parts = [text.encode().split() if text else [] for text in texts]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        new = set().union(*parts).difference(self.young.keys()) if parts else set()
+        new = set().union(*parts).difference(self.young) if parts else set()
         if new:
             self._learn(new)
         find = self.young.__getitem__
         return [b"".join(map(find, x)) for x in parts]
 
 
+#: Punctuation that may follow a word; it is a piece of its own, and belongs to no special token or contraction.
+TAIL = b".,!?;:%$&*#()-"
 #: Letters that stay single letters when normalised and lower-cased: basic Latin and the Latin-1 letters.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
