@@ -32,7 +32,9 @@ def buckets_for(keys: int, least: int) -> int:
 class Packer:
     """Gathers (keys, doc_id) of documents and yields packed rows; a document's own keys must be distinct."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, later_only: bool = False):
+        """``later_only``: of a key that several documents of a block have, all but the smallest are known already."""
+        self.later_only = later_only
         self.shift = np.uint64(64 - (buckets.bit_length() - 1)) if buckets > 1 else None
         self.buckets, self.keys, self.docs, self.sizes, self.held = buckets, [], [], [], 0
 
@@ -58,6 +60,8 @@ class Packer:
         counts = np.diff(np.r_[starts, len(keys)])
         several = counts > 1
         known = np.repeat(several, counts)
+        if self.later_only:
+            known[starts] = False
         sent, sent_docs = keys[starts], docs[starts]
         cut = np.searchsorted(sent >> self.shift, np.arange(self.buckets + 1, dtype=np.uint64)) if self.shift is not None else np.array([0, len(sent)])
         # What is known here already passes through any bucket; it is spread evenly so that a hot key burdens none.
@@ -75,21 +79,21 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["bucket", "keys", "docs", "marks", "known_keys", "known_docs", "sizes"])
 
 
-def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+def joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    keys, docs, marks = _joined(table["keys"], np.uint64), _joined(table["docs"], np.int64), _joined(table["marks"], bool)
+    keys, docs, marks = joined(table["keys"], np.uint64), joined(table["docs"], np.int64), joined(table["marks"], bool)
     order = np.argsort(keys, kind="stable")
     keys, docs, marks = keys[order], docs[order], marks[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     counts = np.diff(np.r_[first, len(keys)])
     shared = (counts > 1) | (np.logical_or.reduceat(marks, first) if len(keys) else np.empty(0, bool))
     out = np.repeat(shared, counts) & ~marks
-    keys = np.concatenate([keys[out], _joined(table["known_keys"], np.uint64)])
-    docs = np.concatenate([docs[out], _joined(table["known_docs"], np.int64)])
-    sizes = _joined(table["sizes"], np.int64).reshape(-1, 2)
+    keys = np.concatenate([keys[out], joined(table["known_keys"], np.uint64)])
+    docs = np.concatenate([docs[out], joined(table["known_docs"], np.int64)])
+    sizes = joined(table["sizes"], np.int64).reshape(-1, 2)
     n, more = len(docs), len(sizes)
     return pa.table(
         {
