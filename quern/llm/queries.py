@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, jaccard_join, mixing, packing, quality, substring, toxicity, url_filter
+from quern.llm import ann, chat, jaccard_join, mixing, packing, quality, secrets, substring, toxicity, url_filter
 from quern.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_read(spark, sf_dir, "documents"))
+
+
 def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -65,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_secret_scan": op3_secret_scan,
     "op4_approximate_neighbours": op4_approximate_neighbours,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filter": op6_url_filter,
