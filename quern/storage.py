@@ -28,7 +28,8 @@ def build_session(app: str = "quern", master: str | None = None, **conf: str) ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session; also makes ``DataFrame.checkpoint`` usable."""
+    """The shared folder of this session; also makes ``DataFrame.checkpoint`` usable and executors import this package."""
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
