@@ -32,7 +32,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Documents that share a shingle of the short prefix, up to which comparing them all is cheap.
 CHEAP = 32
 #: The short prefix is longer than the shortest possible by 1 for each so many shingles, and as many must be shared.
-STEP = 20
+STEP = 8
 
 _hashes = WordHashes()
 
@@ -54,6 +54,11 @@ def _overlap(n):
     return -(-n * NUMERATOR // DENOMINATOR) if isinstance(n, int) else F.ceil(n * NUMERATOR / DENOMINATOR)
 
 
+def _least_shared(n):
+    """What any similar set shares with one of ``n`` in short prefixes, at least: partners may be smaller."""
+    return _extra(_overlap(n))
+
+
 def _prefix(n):
     return min(n, n - _overlap(n) + _extra(n)) if isinstance(n, int) else F.least(n, n - _overlap(n) + _extra(n))
 
@@ -70,7 +75,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
@@ -88,7 +93,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in held])))
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<long>")
 
 
 def _repacked(sets: DataFrame, buckets: int) -> DataFrame:
@@ -103,39 +108,50 @@ def _repacked(sets: DataFrame, buckets: int) -> DataFrame:
                 yield from packer.add(doc_id, values[ends[k] : ends[k + 1]].view(np.uint64), None)
         yield from packer.flush()
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, PACKED)
+    return sets.select("doc_id", "x").mapInArrow(run, PACKED)
 
 
-def _similar(a: Column, b: Column, prefixes: bool) -> Column:
-    """Exact similarity, tested after the number of shared prefix shingles where only prefixes were searched."""
-    na, nb = F.size(a), F.size(b)
-    common = F.size(F.array_intersect(a, b))
-    whole = DENOMINATOR * common >= NUMERATOR * (na + nb - common)
-    if not prefixes:
-        return whole
-    short = lambda s, n: F.slice(s, 1, _prefix(n).cast("int"))
-    enough = F.size(F.array_intersect(short(a, na), short(b, nb))) >= F.least(_extra(na), _extra(nb))
-    return F.when(enough, whole).otherwise(F.lit(False))
+def _reaches(common: Column, na: Column, nb: Column) -> Column:
+    return DENOMINATOR * common >= NUMERATOR * (na + nb - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, prefixes: bool) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return table(both.where(_similar(F.col("sa"), F.col("sb"), prefixes)).select("a", "b"), "links")
+def _with_both(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with xa and xb, the arrays x of their documents; only those documents' arrays are moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = only(arrays, checkpoint(ids))
+    left = needed.select(F.col("doc_id").alias("a"), F.col("x").alias("xa"))
+    right = needed.select(F.col("doc_id").alias("b"), F.col("x").alias("xb"))
+    return pairs.join(left, "a").join(right, "b")
 
 
-def _links(lists: DataFrame, sets: DataFrame, prefixes: bool) -> DataFrame:
+def _verified(pairs: DataFrame, kept: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """The similar ones of ``pairs`` (a, b, na, nb).
+
+    ``kept`` has the shared shingles of each document's prefix.  Where prefixes are whole sets, the common ones among them
+    are the intersection; else enough must be common for the sets themselves to be looked at.
+    """
+    common = F.size(F.array_intersect("xa", "xb"))
+    met = _with_both(pairs, kept)
+    if sets is None:
+        return table(met.where(_reaches(common, F.col("na"), F.col("nb"))).select("a", "b"), "links")
+    likely = table(met.where(common >= F.least(_extra(F.col("na")), _extra(F.col("nb")))).select("a", "b", "na", "nb"), "likely")
+    return table(_with_both(likely, sets).where(_reaches(common, F.col("na"), F.col("nb"))).select("a", "b"), "links")
+
+
+def _links(lists: DataFrame, kept: DataFrame, sets: DataFrame | None) -> DataFrame:
     """Links (a, b) that connect what the similar pairs among documents with a common key connect.
 
     ``lists`` has key, doc_id, n (set size) and own (rank for the choice of the document compared first).
     """
     close = (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first_of = F.struct(F.col("a").alias("id"), F.col("na").alias("n"))
+    other_of = F.struct(F.col("b").alias("id"), F.col("nb").alias("n"))
+    lo, hi = F.least(first_of, other_of), F.greatest(first_of, other_of)
+    ordered = lambda pairs: pairs.select(lo.alias("lo"), hi.alias("hi")).distinct().select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"), F.col("lo.n").alias("na"), F.col("hi.n").alias("nb"))
     members = lists.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     centres = checkpoint(lists.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("c")).select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na")))
     stars = table(ordered(members.join(centres, "key").where(close)), "pairs")
-    first = _verified(stars, sets, prefixes)
+    first = _verified(stars, kept, sets)
     component = checkpoint(connected_components(first, "a", "b"))
     placed = lists.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = table(placed.select("key", "doc_id", "n", "component"), "placed")
@@ -145,24 +161,31 @@ def _links(lists: DataFrame, sets: DataFrame, prefixes: bool) -> DataFrame:
     open_ = table(placed.join(torn, "key"), "open")
     x = open_.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = ordered(x.join(y, "key").where("a < b and ca <> cb").where(close)).join(stars, ["a", "b"], "left_anti")
-    second = _verified(rest, sets, prefixes)
-    return first.union(second)
+    rest = ordered(x.join(y, "key").where("a < b and ca <> cb").where(close)).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    return first.union(_verified(table(rest, "rest"), kept, sets))
+
 
+def _rarest(found: DataFrame, needed) -> tuple[DataFrame, DataFrame]:
+    """Posting lists and shared shingles of the documents with as many as ``needed`` (a function of n).
 
-def _lengthened(sets: DataFrame, alive: DataFrame, least: int) -> DataFrame:
+    ``found`` has key, doc_id and n.  Documents that must share m shingles share one of all but the m - 1 last of each, in
+    any common order; here the rarest come first.  Shingles that only dropped documents had besides can't be shared.
+    """
+    df = checkpoint(found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    by_doc = W.partitionBy("doc_id")
+    ranked = found.join(df, "key").withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "key")), "left": F.count("*").over(by_doc)})
+    ranked = table(ranked.where(F.col("left") >= needed(F.col("n"))), "ranked")
+    lists = ranked.where(F.col("rank") <= F.col("left") - needed(F.col("n")) + 1).select("key", "df", "doc_id", "n", (F.col("n") - F.col("left")).alias("own"))
+    return lists, table(ranked.groupBy("doc_id").agg(F.collect_list("key").alias("x")), "kept")
+
+
+def _lengthened(sets: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     """Links among the documents with a frequent shingle, by whole sets in place of prefixes."""
-    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    total = sets.agg(F.sum(F.size("x"))).first()[0] or 0
     again = table(shared_keys(_repacked(sets, buckets_for(total, 2 * least))).select("key", "doc_id").distinct(), "again")
-    enough = again.groupBy("doc_id").agg(F.count("*").alias("k")).join(alive.select("doc_id", "n").distinct(), "doc_id").where(F.col("k") >= _overlap(F.col("n")))
-    held = again.join(enough, "doc_id")
-    df = checkpoint(held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    by_doc = W.partitionBy("doc_id")
-    # Shingles that only a dropped document had besides can't be shared; they come before all others in the order.
-    ranked = held.join(df, "key").withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "key")), "left": F.count("*").over(by_doc)})
-    chosen = ranked.where((F.col("left") >= _overlap(F.col("n"))) & (F.col("rank") <= F.col("left") - _overlap(F.col("n")) + 1))
-    lists = table(chosen.select("key", "doc_id", "n", (F.col("n") - F.col("left")).alias("own")), "long_lists")
-    return _links(lists, sets, prefixes=False)
+    enough = again.groupBy("doc_id").agg(F.count("*").alias("k")).join(sizes, "doc_id").where(F.col("k") >= _overlap(F.col("n")))
+    lists, kept = _rarest(table(again.join(enough, "doc_id").select("key", "doc_id", "n"), "held"), _overlap)
+    return _links(table(lists, "long_lists"), kept, None)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,19 +209,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = table(shared_keys(_packed(texts_of_reps, buckets_for(words // 3, 2 * least))), "shared")
     sizes = found.where("key is null").groupBy("doc_id").agg(F.max("size").alias("n"))
     keys = found.where("key is not null").select("key", "doc_id").distinct()
-    enough = keys.groupBy("doc_id").agg(F.count("*").alias("k")).join(sizes, "doc_id").where(F.col("k") >= _extra(_overlap(F.col("n"))))
-    alive = table(enough.select("doc_id", "n", (F.col("n") - F.col("k")).alias("own")), "alive")
-    lists = table(keys.join(alive, "doc_id"), "lists")
-    counts = checkpoint(lists.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    rare = counts.where(F.col("df") <= CHEAP).select("key")
-    frequent = checkpoint(counts.where(F.col("df") > CHEAP).select("key"))
-    dear = checkpoint(lists.join(frequent, "key", "left_semi").select("doc_id").distinct())
-    sets = table(_sets(only(texts_of_reps, alive.select("doc_id").distinct())), "sets")
-
-    links = _links(table(lists.join(rare, "key", "left_semi"), "rare"), sets, prefixes=True)
-
+    enough = keys.groupBy("doc_id").agg(F.count("*").alias("k")).join(sizes, "doc_id").where(F.col("k") >= _least_shared(F.col("n")))
+    lists, kept = _rarest(table(keys.join(enough, "doc_id").select("key", "doc_id", "n"), "alive"), _least_shared)
+    lists = table(lists, "lists")
+    dear = checkpoint(lists.where(F.col("df") > CHEAP).select("doc_id").distinct())
+    sets = table(_sets(only(texts_of_reps, checkpoint(kept.select("doc_id")))), "sets")
+    links = _links(lists.where(F.col("df") <= CHEAP), kept, sets)
     if not dear.isEmpty():
-        links = links.union(_lengthened(table(sets.join(dear, "doc_id", "left_semi"), "long"), alive, least))
+        links = links.union(_lengthened(sets.join(dear, "doc_id", "left_semi"), sizes, least))
     component = checkpoint(connected_components(links, "a", "b"))
     by_rep = member.join(sizes.withColumnRenamed("doc_id", "rep"), "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     with_words = by_rep.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
