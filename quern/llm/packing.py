@@ -89,15 +89,27 @@ class _Encoder:
                 young[tail] = old.get(tail) or self._alone(tail)
             young[chunk] = young[stem] + young[tail]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [text.encode().split() if text else [] for text in texts]
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, pa.Array]:
+        """Number of ids and the ids (binary) of each text; null is empty, and ``end_id`` follows every text."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        new = set().union(*parts).difference(self.young) if parts else set()
-        if new:
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        # Slices share their offsets' buffer, so positions are taken from the first offset on.
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).cast(pa.binary()).dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if new := {x for x in chunks if x not in self.young}:
             self._learn(new)
-        find = self.young.__getitem__
-        return [b"".join(map(find, x)) for x in parts]
+        found = [self.young[x] for x in chunks] + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(chunks))
+        each = lengths[order]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(starts[order] - (ends - each), each)]
+        counts = np.diff(np.r_[0, ends[bounds[1:] - bounds[0] + np.arange(len(texts))]])
+        cuts = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int64)
+        return counts, pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
 
 #: Punctuation that may follow a word; it is a piece of its own, and belongs to no special token or contraction.
@@ -129,8 +141,9 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
         text = shared.value
         key = hash(text)
         if key not in _encoders:
+            _encoders.clear()
             _encoders[key] = _Encoder(text)
-        encoder, end = _encoders[key], np.array([end_id], "<u4").tobytes()
+        encoder = _encoders[key]
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes, first, held = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0, 0
@@ -138,12 +151,11 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
                 held += int(sizes[k])
                 if held < BATCH_BYTES and k + 1 < batch.num_rows:
                     continue
-                ids = [x + end for x in encoder.encode(batch.column(1).slice(first, k + 1 - first).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                n, ids = encoder.encode(batch.column(1).slice(first, k + 1 - first), end_id)
                 places = place + np.cumsum(n) - n
                 place += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(places), pa.array(n), pa.array(ids, pa.binary())],
+                    [batch.column(0).slice(first, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(n), ids],
                     ["doc_id", "part", "place", "n_tokens", "ids"],
                 )
                 first, held = k + 1, 0
