@@ -62,6 +62,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 _shipped: set[str] = set()
 
+#: Rows that cross to Python together.  Spark's default is meant for narrow rows; texts of some kilobytes would fill tens of
+#: megabytes a batch on both sides, so it is lowered where it has not been set.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, for functions that run there."""
@@ -75,6 +79,8 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
 
 
 def sweep() -> None:
