@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Keys of a block; about 50 bytes are held for each.
-BLOCK_KEYS = 1_000_000
+BLOCK_KEYS = 400_000
 #: Keys that a bucket holds on average, at most.
-BUCKET_KEYS = 400_000
+BUCKET_KEYS = 250_000
 
 PACKED = "bucket int, keys binary, docs binary, marks binary, known_keys binary, known_docs binary, sizes binary"
 #: A shared key of a document, or, where key is null, the document's number of keys.

@@ -33,7 +33,7 @@ def count_words(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to ``limit`` entries; forgetting costs time only."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
