@@ -32,12 +32,17 @@ def turned(cells: Column, name: str, size: int) -> Column:
     return F.transform(F.array(*[F.lit(k) for k in permutation(name, size)]), lambda k: F.get(cells, k))
 
 
-def difference_hash(cells: Column, size: int) -> Column:
-    """A bit for each cell that is less than its right neighbour, the first in the highest place; up to 64 bits."""
-    pairs = [y * size + x for y in range(size) for x in range(size - 1)]
+def difference_hash(cells: Column, size: int, orientation: str = "identity") -> Column:
+    """A bit for each cell that is less than its right neighbour, the first in the highest place; up to 64 bits.
+
+    For a turned raster the cells are picked from their places in the raster as it is.
+    """
+    at = permutation(orientation, size)
+    pairs = [(at[y * size + x], at[y * size + x + 1]) for y in range(size) for x in range(size - 1)]
     if len(pairs) > 64:
         raise ValueError("more than 64 comparisons; hash parts of the raster")
-    return F.aggregate(F.array(*[F.lit(k) for k in pairs]), F.lit(0).cast("long"), lambda h, k: F.shiftleft(h, 1).bitwiseOR(F.when(F.get(cells, k) < F.get(cells, k + 1), 1).otherwise(0).cast("long")))
+    picked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    return F.aggregate(picked, F.lit(0).cast("long"), lambda h, k: F.shiftleft(h, 1).bitwiseOR(F.when(F.get(cells, k["i"]) < F.get(cells, k["j"]), 1).otherwise(0).cast("long")))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -103,7 +108,7 @@ def near_pairs(rasters: DataFrame, key: str, cells: str, size: int, distance: in
     block = block or []
     bits = size * (size - 1)
     base = rasters.select(F.col(key).alias("k"), F.col(cells).cast("array<double>").alias("c"), *block)
-    turned_hashes = F.array(*[F.struct(F.lit(k).alias("o"), difference_hash(turned(F.col("c"), name, size), size).alias("h")) for k, name in enumerate(ORIENTATIONS) if name in orientations])
+    turned_hashes = F.array(*[F.struct(F.lit(k).alias("o"), difference_hash(F.col("c"), size, name).alias("h")) for k, name in enumerate(ORIENTATIONS) if name in orientations])
     hashed = base.withColumn("hs", turned_hashes).withColumn("h0", difference_hash(F.col("c"), size))
     plain = hashed.select("k", *block, "h0", F.inline(_bands(F.col("h0"), bits, distance)))
     moved = hashed.select("k", *block, F.inline("hs")).select("k", *block, "o", "h", F.inline(_bands(F.col("h"), bits, distance)))

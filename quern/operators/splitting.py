@@ -16,8 +16,15 @@ from quern.schemas import SPLITS
 RATIOS = (0.70, 0.15, 0.15)
 
 
-def _ordered_groups(groups: DataFrame, strata: list[str], order: Column, fields: list[str]) -> DataFrame:
-    return groups.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("group_id"), *fields))).alias("g"))
+def _ordered_groups(groups: DataFrame, strata: list[str], order: Column, fields: list[str], **totals: str) -> DataFrame:
+    """The groups of each stratum in order, and sums of fields; the sums are aggregates, so no fold computes them again."""
+    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("group_id"), *fields))).alias("g")
+    return groups.groupBy(*strata).agg(listed, *[F.sum(field).alias(name) for name, field in totals.items()])
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: expressions inside folds aren't shared otherwise."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _folded(grouped: DataFrame, strata: list[str], state: Column, step) -> DataFrame:
@@ -35,14 +42,16 @@ def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int, ratios: t
     keyed = groups.withColumn("tie", hash_order(str(seed), name, F.col("group_id")))
     prefer = F.array(*[hash_order(str(seed), F.col("group_id"), s) for s in SPLITS])
     keyed = keyed.withColumn("prefer", prefer)
-    grouped = _ordered_groups(keyed, strata, F.struct((-F.col("size")).alias("s"), F.col("tie").alias("t")), ["size", "prefer"])
-    grouped = grouped.withColumn("total", F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
+    grouped = _ordered_groups(keyed, strata, F.struct((-F.col("size")).alias("s"), F.col("tie").alias("t")), ["size", "prefer"], total="size")
     state = F.struct(*[F.lit(0).cast("long").alias(s) for s in SPLITS], F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         deficits = [(F.lit(r) * F.col("total") - a[s]) / F.greatest(F.lit(r) * F.col("total"), F.lit(1.0)) for s, r in zip(SPLITS, ratios, strict=True)]
         # The largest deficit first; of equals the smallest hash.
-        choice = F.array_min(F.array(*[F.struct((-F.round(d, 12)).alias("d"), x["prefer"][k].alias("h"), F.lit(s).alias("s")) for k, (s, d) in enumerate(zip(SPLITS, deficits, strict=True))]))["s"]
+        best = F.array_min(F.array(*[F.struct((-F.round(d, 12)).alias("d"), x["prefer"][k].alias("h"), F.lit(s).alias("s")) for k, (s, d) in enumerate(zip(SPLITS, deficits, strict=True))]))["s"]
+        return _with(best, lambda choice: moved(a, x, choice))
+
+    def moved(a: Column, x: Column, choice: Column) -> Column:
         return F.struct(
             *[(a[s] + F.when(choice == s, x["size"]).otherwise(0)).alias(s) for s in SPLITS],
             F.concat(a["out"], F.array(F.struct(x["group_id"].cast("string").alias("group_id"), choice.alias("split")))).alias("out"),
@@ -59,9 +68,7 @@ def allocate_by_error(rows: DataFrame, positive: Column, seed: int, ratios: tupl
     """
     groups = rows.groupBy("group_id").agg(F.count("*").alias("size"), F.count_if(positive).alias("pos")).withColumn("h", hash_order(str(seed), F.col("group_id")))
     order = F.struct((-F.col("size")).alias("s"), (-F.col("pos")).alias("p"), F.col("h").alias("h"))
-    grouped = _ordered_groups(groups.withColumn("stratum", F.lit("all")), ["stratum"], order, ["size", "pos"])
-    total = lambda f: F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x[f])
-    grouped = grouped.withColumns({"n": total("size"), "np": total("pos")})
+    grouped = _ordered_groups(groups.withColumn("stratum", F.lit("all")), ["stratum"], order, ["size", "pos"], n="size", np="pos")
     fields = [f"{s}_{f}" for s in SPLITS for f in ("n", "p")]
     state = F.struct(*[F.lit(0).cast("long").alias(f) for f in fields], F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
 
@@ -78,9 +85,14 @@ def allocate_by_error(rows: DataFrame, positive: Column, seed: int, ratios: tupl
         return out
 
     def step(a: Column, x: Column) -> Column:
-        e = [error(a, x, s) for s in SPLITS]
-        second = F.when(e[1] < e[0] - 1e-12, F.struct(e[1].alias("e"), F.lit(SPLITS[1]).alias("s"))).otherwise(F.struct(e[0].alias("e"), F.lit(SPLITS[0]).alias("s")))
-        choice = F.when(e[2] < second["e"] - 1e-12, SPLITS[2]).otherwise(second["s"])
+        return _with(F.array(*[error(a, x, s) for s in SPLITS]), lambda e: _with(chosen(e), lambda choice: moved(a, x, choice)))
+
+    def chosen(e: Column) -> Column:
+        second = e[1] < e[0] - 1e-12
+        best = F.when(second, e[1]).otherwise(e[0])
+        return F.when(e[2] < best - 1e-12, SPLITS[2]).when(second, SPLITS[1]).otherwise(SPLITS[0])
+
+    def moved(a: Column, x: Column, choice: Column) -> Column:
         return F.struct(
             *[(a[f"{s}_{f}"] + F.when(choice == s, x[add]).otherwise(0)).alias(f"{s}_{f}") for s in SPLITS for f, add in (("n", "size"), ("p", "pos"))],
             F.concat(a["out"], F.array(F.struct(x["group_id"].cast("string").alias("group_id"), choice.alias("split")))).alias("out"),
@@ -95,8 +107,7 @@ def allocate_validation(rows: DataFrame, stratum: str, seed: int, share: float =
     By stratum, groups in hash order go to val while that doesn't move its size further from the rounded target.
     """
     groups = rows.groupBy(stratum, "group_id").agg(F.count("*").alias("size")).withColumn("h", hash_order(str(seed), F.col(stratum), F.col("group_id")))
-    grouped = _ordered_groups(groups, [stratum], F.col("h"), ["size"])
-    grouped = grouped.withColumn("target", F.round(F.lit(share) * F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["size"]), 0))
+    grouped = _ordered_groups(groups, [stratum], F.col("h"), ["size"], total="size").withColumn("target", F.round(F.lit(share) * F.col("total"), 0))
     state = F.struct(F.lit(0).cast("long").alias("have"), F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
