@@ -141,27 +141,35 @@ def _verified(pairs: DataFrame, kept: DataFrame, sets: DataFrame | None) -> Data
 def _links(lists: DataFrame, kept: DataFrame, sets: DataFrame | None) -> DataFrame:
     """Links (a, b) that connect what the similar pairs among documents with a common key connect.
 
-    ``lists`` has key, doc_id, n (set size) and own (rank for the choice of the document compared first).
+    ``lists`` has key, doc_id, n (set size), own (rank for the choice of the document compared first), after (how many of
+    the document's shared keys come behind this one) and dear.  Short prefixes leave pairs of dear documents to the long
+    ones.  The first common key of a pair that shares enough has enough keys behind it in both documents; so a pair that no
+    key shows with as many behind it needs no comparison.
     """
-    close = (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    needed = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / (NUMERATOR + DENOMINATOR)) if sets is None else F.least(_extra(F.col("na")), _extra(F.col("nb")))
+    worth = (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & (F.col("a") != F.col("b")) & (F.least("after_a", "after_b") + 1 >= needed)
+    if sets is not None:
+        worth = worth & ~(F.col("dear_a") & F.col("dear_b"))
     first_of = F.struct(F.col("a").alias("id"), F.col("na").alias("n"))
     other_of = F.struct(F.col("b").alias("id"), F.col("nb").alias("n"))
     lo, hi = F.least(first_of, other_of), F.greatest(first_of, other_of)
     ordered = lambda pairs: pairs.select(lo.alias("lo"), hi.alias("hi")).distinct().select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"), F.col("lo.n").alias("na"), F.col("hi.n").alias("nb"))
-    members = lists.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    centres = checkpoint(lists.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("c")).select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na")))
-    stars = table(ordered(members.join(centres, "key").where(close)), "pairs")
+
+    def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+        return rows.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("after").alias(f"after_{x}"), F.col("dear").alias(f"dear_{x}"), *[F.col(m).alias(f"{m}_{x}") for m in more])
+
+    centres = lists.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n", "after", "dear")).alias("c")).select("key", "c.*")
+    stars = table(ordered(side(lists, "b").join(side(checkpoint(centres), "a"), "key").where(worth)), "pairs")
     first = _verified(stars, kept, sets)
     component = checkpoint(connected_components(first, "a", "b"))
     placed = lists.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = table(placed.select("key", "doc_id", "n", "component"), "placed")
+    placed = table(placed.select("key", "doc_id", "n", "after", "dear", "component"), "placed")
     torn = checkpoint(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
     if torn.isEmpty():
         return first
     open_ = table(placed.join(torn, "key"), "open")
-    x = open_.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = ordered(x.join(y, "key").where("a < b and ca <> cb").where(close)).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    met = side(open_, "a", "component").join(side(open_, "b", "component"), "key").where("a < b and component_a <> component_b").where(worth)
+    rest = ordered(met).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     return first.union(_verified(table(rest, "rest"), kept, sets))
 
 
@@ -175,7 +183,7 @@ def _rarest(found: DataFrame, needed) -> tuple[DataFrame, DataFrame]:
     by_doc = W.partitionBy("doc_id")
     ranked = found.join(df, "key").withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "key")), "left": F.count("*").over(by_doc)})
     ranked = table(ranked.where(F.col("left") >= needed(F.col("n"))), "ranked")
-    lists = ranked.where(F.col("rank") <= F.col("left") - needed(F.col("n")) + 1).select("key", "df", "doc_id", "n", (F.col("n") - F.col("left")).alias("own"))
+    lists = ranked.where(F.col("rank") <= F.col("left") - needed(F.col("n")) + 1).select("key", "df", "doc_id", "n", (F.col("n") - F.col("left")).alias("own"), (F.col("left") - F.col("rank")).alias("after"))
     return lists, table(ranked.groupBy("doc_id").agg(F.collect_list("key").alias("x")), "kept")
 
 
@@ -185,21 +193,20 @@ def _lengthened(sets: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     again = table(shared_keys(_repacked(sets, buckets_for(total, 2 * least))).select("key", "doc_id").distinct(), "again")
     enough = again.groupBy("doc_id").agg(F.count("*").alias("k")).join(sizes, "doc_id").where(F.col("k") >= _overlap(F.col("n")))
     lists, kept = _rarest(table(again.join(enough, "doc_id").select("key", "doc_id", "n"), "held"), _overlap)
-    return _links(table(lists, "long_lists"), kept, None)
+    return _links(table(lists.withColumn("dear", F.lit(True)), "long_lists"), kept, None)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document of ``docs`` (doc_id, text).
 
     Null text and text without words have no shingles and are linked with nothing, not even with one another.  Equal texts
-    are one node from the start.  Rows that repeat a doc_id with other texts are joined with either text's documents.
+    are one node from the start.  Rows that repeat a doc_id stay rows of their own, each with its text's result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_text = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
     classes = table(by_text.groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
-    member = by_text.where("h is not null").join(classes, "h").select("doc_id", "rep")
     reps = classes.where("h is not null").select(F.col("rep").alias("doc_id")).distinct()
     reps = checkpoint(reps)
     texts_of_reps = only(docs.where("text is not null"), reps)
@@ -211,16 +218,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = found.where("key is not null").select("key", "doc_id").distinct()
     enough = keys.groupBy("doc_id").agg(F.count("*").alias("k")).join(sizes, "doc_id").where(F.col("k") >= _least_shared(F.col("n")))
     lists, kept = _rarest(table(keys.join(enough, "doc_id").select("key", "doc_id", "n"), "alive"), _least_shared)
-    lists = table(lists, "lists")
-    dear = checkpoint(lists.where(F.col("df") > CHEAP).select("doc_id").distinct())
+    lists = table(lists.withColumn("dear", F.max("df").over(W.partitionBy("doc_id")) > CHEAP), "lists")
+    dear = checkpoint(lists.where("dear").select("doc_id").distinct())
     sets = table(_sets(only(texts_of_reps, checkpoint(kept.select("doc_id")))), "sets")
     links = _links(lists.where(F.col("df") <= CHEAP), kept, sets)
     if not dear.isEmpty():
         links = links.union(_lengthened(sets.join(dear, "doc_id", "left_semi"), sizes, least))
     component = checkpoint(connected_components(links, "a", "b"))
-    by_rep = member.join(sizes.withColumnRenamed("doc_id", "rep"), "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left")
-    with_words = by_rep.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    placed = with_words.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    return docs.select("doc_id").join(placed.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").select(
-        "doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    # Results by text are materialised: then both sides of the join on the text's digest are plain shuffles, of which Spark
+    # may split the one that a large group of copies makes hot.
+    of_text = classes.where("h is not null").join(sizes.withColumnRenamed("doc_id", "rep"), "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    of_text = table(of_text.where("n > 0").select("h", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "of_text")
+    placed = by_text.join(of_text, "h", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return placed
