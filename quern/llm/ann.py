@@ -26,7 +26,7 @@ SCORE_SHARE = 0.2
 #: Rows of a block of candidates or queries.
 BLOCK = 4_096
 #: Candidates of a block that are scored exactly for each query.
-RERANK = 128
+RERANK = 256
 
 
 @dataclass
