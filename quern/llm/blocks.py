@@ -32,9 +32,10 @@ def buckets_for(keys: int, least: int) -> int:
 class Packer:
     """Gathers (keys, doc_id) of documents and yields packed rows; a document's own keys must be distinct."""
 
-    def __init__(self, buckets: int, later_only: bool = False):
-        """``later_only``: of a key that several documents of a block have, all but the smallest are known already."""
-        self.later_only = later_only
+    def __init__(self, buckets: int, later_only: bool = False, all_pairs: bool = False):
+        """``later_only``: of a key that several documents of a block have, all but the smallest are known already.
+        ``all_pairs``: every pair is sent to its key's bucket."""
+        self.later_only, self.all_pairs = later_only, all_pairs
         self.shift = np.uint64(64 - (buckets.bit_length() - 1)) if buckets > 1 else None
         self.buckets, self.keys, self.docs, self.sizes, self.held = buckets, [], [], [], 0
 
@@ -57,6 +58,8 @@ class Packer:
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        if self.all_pairs:
+            starts = np.arange(len(keys))
         counts = np.diff(np.r_[starts, len(keys)])
         several = counts > 1
         known = np.repeat(several, counts)

@@ -227,8 +227,10 @@ def findings(docs: DataFrame, votes: str | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, votes: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret's value in ``text`` replaced by ``mark``; all else stays as it is, null text too."""
-    scanned = scan(docs, votes)
+    # The row travels as one struct, so its columns may have any names.
+    scanned = scan(docs.select(F.struct("*").alias("_row"), "text"), votes)
     cleaned = f"zip_with(_runs, findings, (r, x) -> CASE WHEN x.is_secret THEN replace(r, x.value, {_quoted(mark)}) ELSE r END)"
     woven = scanned.withColumn("_clean", F.expr(cleaned))
-    text = F.expr("array_join(zip_with(_gaps, _clean, (g, r) -> concat(g, coalesce(r, ''))), '')")
-    return woven.withColumn("text", F.when(F.exists("findings", lambda x: x["is_secret"]), text).otherwise(F.col("text"))).select(*docs.columns)
+    joined = F.expr("array_join(zip_with(_gaps, _clean, (g, r) -> concat(g, coalesce(r, ''))), '')")
+    text = F.when(F.exists("findings", lambda x: x["is_secret"]), joined).otherwise(F.col("text"))
+    return woven.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

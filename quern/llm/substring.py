@@ -2,7 +2,7 @@
 
 Each 13-word window is represented by its minimizer, the smallest hash of the 7-word runs inside, so equal windows have
 equal fingerprints and a document leaves about a quarter as many as it has windows.  The index is a log of immutable
-sorted runs of (fingerprint, smallest document); a new batch is merge-joined with all runs and with itself.  Documents
+sorted runs of (fingerprint, document); a new batch is merge-joined with all runs and with itself.  Documents
 that share a fingerprint are verified: their windows with a shared fingerprint are hashed as a whole and matched exactly.
 After that the batch's fingerprints become a run, and runs are compacted when there are many.
 """
@@ -43,9 +43,9 @@ def _windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return whole, least
 
 
-def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+def _packed(docs: DataFrame, buckets: int, all_pairs: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer = Packer(buckets, all_pairs=all_pairs)
         for doc_id, text in texts(batches):
             if text:
                 # Fingerprints are minima, and so small; mixing them anew spreads them over the buckets.
@@ -127,7 +127,7 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> None:
         """Write the fingerprints of a batch as one sorted run, and compact the log if it has grown long."""
-        self._write(_packed(docs.select(F.col("doc_id").cast("long"), "text"), self.buckets))
+        self._write(_packed(docs.select(F.col("doc_id").cast("long"), "text"), self.buckets, all_pairs=True))
         if len(self.runs) > MOST_RUNS:
             self.compact()
 
@@ -136,7 +136,7 @@ class FingerprintIndex:
             keys, docs = joined(rows["keys"], np.uint64), joined(rows["docs"], np.int64)
             order = np.lexsort((docs, keys))
             keys, docs = keys[order], docs[order]
-            first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+            first = np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])] if len(keys) else np.empty(0, bool)
             return pa.table({"bucket": rows["bucket"].slice(0, 1).cast(pa.int32()), "keys": pa.array([keys[first].tobytes()], pa.binary()), "docs": pa.array([docs[first].tobytes()], pa.binary())})
 
         path = new_path(self.spark, "run")
@@ -147,7 +147,7 @@ class FingerprintIndex:
         return self.spark.read.schema(RUN).parquet(*self.runs) if self.runs else None
 
     def compact(self) -> None:
-        """Merge all runs into one; of each fingerprint the smallest document stays."""
+        """Merge all runs into one; a document that was appended twice stays once."""
         rows, self.runs = self.rows(), []
         if rows is not None:
             self._write(rows)
@@ -176,7 +176,7 @@ def deduplicate(batch: DataFrame, index: FingerprintIndex | None = None, history
     packed = _packed(firsts, buckets or buckets_for(words // 4, least))
     known = index.rows() if index else None
     if known is not None:
-        # A run's entry stands for one document; verification looks at its text.
+        # Verification looks at the texts of the documents whose fingerprints a run holds.
         empty = F.lit(b"").cast("binary")
         marks = F.unhex(F.repeat(F.lit("00"), (F.octet_length("keys") / 8).cast("int")))
         packed = packed.unionByName(known.select("bucket", "keys", "docs", marks.alias("marks"), empty.alias("known_keys"), empty.alias("known_docs"), empty.alias("sizes")))
