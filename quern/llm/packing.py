@@ -52,37 +52,38 @@ class _Encoder:
     def _alone(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
-            return [self._alone(w.encode()) for w in words]
+            return [self._alone(w) for w in words]
         data, cuts = ids.tobytes(), (4 * np.r_[0, stops]).tolist()
         return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        young, old, tails, plain, find = self.young, self.old, [], {}, self.old.get
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Fill the younger table with ``chunks``, which it doesn't have."""
+        young, old = self.young, self.old
+        young.update({c: old[c] for c in chunks if c in old})
+        plain = {c for c in chunks if c not in old and c.isalpha()}
+        tails = []
         for chunk in chunks:
-            if (ids := find(chunk)) is not None:
-                young[chunk] = ids
+            if chunk in plain or chunk in young:
                 continue
             stem = chunk.rstrip(TAIL)
-            if stem.isalpha():
-                word = stem.decode()
-            elif not stem or not PLAIN.fullmatch(word := stem.decode()):
+            if not stem or not (stem.isalpha() or PLAIN.fullmatch(stem.decode())):
                 young[chunk] = self._alone(chunk)
                 continue
             if len(stem) < len(chunk):
                 tails.append((chunk, stem))
-            if stem not in young and stem not in plain:
-                if (ids := find(stem)) is not None:
+            if stem not in young:
+                if (ids := old.get(stem)) is not None:
                     young[stem] = ids
                 else:
-                    plain[stem] = word
+                    plain.add(stem)
         stems = list(plain)
         for at in range(0, len(stems), 2000):
             part = stems[at : at + 2000]
-            young.update(zip(part, self._letters([plain[x] for x in part]), strict=True))
+            young.update(zip(part, self._letters(part), strict=True))
         for chunk, stem in tails:
             tail = chunk[len(stem) :]
             if tail not in young:
@@ -98,7 +99,7 @@ class _Encoder:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).cast(pa.binary()).dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if new := {x for x in chunks if x not in self.young}:
+        if new := [x for x in chunks if x not in self.young]:
             self._learn(new)
         found = [self.young[x] for x in chunks] + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -106,7 +107,10 @@ class _Encoder:
         order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(chunks))
         each = lengths[order]
         ends = np.cumsum(each)
-        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(starts[order] - (ends - each), each)]
+        kind = np.int32 if ends[-1] < 2**31 else np.int64
+        at = np.repeat((starts[order] - (ends - each)).astype(kind), each)
+        at += np.arange(ends[-1], dtype=kind)
+        ids = np.frombuffer(b"".join(found), "<u4").take(at)
         counts = np.diff(np.r_[0, ends[bounds[1:] - bounds[0] + np.arange(len(texts))]])
         cuts = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int64)
         return counts, pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
