@@ -7,6 +7,8 @@ documents hold costs its bucket one entry for each block, not one for each docum
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 from collections.abc import Iterator
 
@@ -112,6 +114,13 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(_meet, SHARED)
 
 
+def trim() -> None:
+    """Give freed memory back at the end of a task: Python workers stay, and the next stage may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes | None]]:
     """(doc_id, UTF-8 text or None) of batches whose first two columns are these."""
     for batch in batches:

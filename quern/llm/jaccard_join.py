@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import PACKED, Packer, batched, buckets_for, only, shared_keys, texts
+from quern.llm.blocks import PACKED, Packer, batched, buckets_for, only, shared_keys, texts, trim
 from quern.llm.text import WordHashes, runs
 from quern.operators.components import connected_components
 from quern.storage import checkpoint, table
@@ -70,6 +70,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
             found = shingle_set(text)
             yield from packer.add(doc_id, found[: _prefix(len(found))].view(np.uint64), len(found))
         yield from packer.flush()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
@@ -107,6 +108,7 @@ def _repacked(sets: DataFrame, buckets: int) -> DataFrame:
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 yield from packer.add(doc_id, values[ends[k] : ends[k + 1]].view(np.uint64), None)
         yield from packer.flush()
+        trim()
 
     return sets.select("doc_id", "x").mapInArrow(run, PACKED)
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.blocks import trim
 from quern.storage import checkpoint, table
 
 LENGTH = 4096
@@ -39,7 +40,7 @@ class _Encoder:
     last id is one that ends words and whose other ids aren't.
     """
 
-    def __init__(self, definition: str, limit: int = 1_000_000):
+    def __init__(self, definition: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_str(definition), limit
@@ -163,6 +164,7 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
                     ["doc_id", "part", "place", "n_tokens", "ids"],
                 )
                 first, held = k + 1, 0
+        trim()
 
     schema = f"doc_id {id_type.simpleString()}, part int, place long, n_tokens long, ids binary"
     return table(docs.select("doc_id", "text").mapInArrow(run, schema), "tokens")

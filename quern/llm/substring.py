@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import MOST_SENT_IDS, PACKED, Packer, batched, buckets_for, joined, only, shared_keys, texts
+from quern.llm.blocks import MOST_SENT_IDS, PACKED, Packer, batched, buckets_for, joined, only, shared_keys, texts, trim
 from quern.llm.text import WordHashes, runs
 from quern.storage import checkpoint, new_path, table
 
@@ -51,6 +51,7 @@ def _packed(docs: DataFrame, buckets: int, all_pairs: bool = False) -> DataFrame
                 # Fingerprints are minima, and so small; mixing them anew spreads them over the buckets.
                 yield from packer.add(doc_id, np.unique(_spread(_windows(text.split())[1])))
         yield from packer.flush()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
@@ -83,6 +84,7 @@ def _candidate_windows(with_keys: DataFrame, buckets: int) -> DataFrame:
                 mine = np.isin(_spread(least), values[ends[k] : ends[k + 1]])
                 yield from packer.add(doc_id, np.unique(whole[mine]))
         yield from packer.flush()
+        trim()
 
     return with_keys.select("doc_id", "text", "keys").mapInArrow(run, PACKED)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import batched
+from quern.llm.blocks import batched, trim
 from quern.storage import checkpoint, table
 
 #: Labelled rows that the models are fitted on, at most: those whose text has the smallest hashes.
@@ -207,6 +207,7 @@ def classify(docs: DataFrame, chain: Chain, threshold: float | None = None) -> D
             p = shared.value.predict(batch.column(place).to_pylist())
             arrays = [*batch.columns, *(pa.array(p[:, c]) for c in range(len(names)))]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, *names])
+        trim()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{n} double" for n in names])
     toxic = F.col("p_toxic") >= (chain.threshold if threshold is None else threshold)
