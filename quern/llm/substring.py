@@ -53,7 +53,7 @@ def _packed(docs: DataFrame, buckets: int, all_pairs: bool = False) -> DataFrame
         yield from packer.flush()
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, PACKED)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def deduplicate(batch: DataFrame, index: FingerprintIndex | None = None, history
     A word goes if a 13-word window over it also starts in a document with a smaller doc_id, of this batch or, with an
     ``index``, of ``history``, the documents that the index was built from; a larger doc_id in history removes nothing.
     Null text has no words.  Texts equal to that of a smaller document in the batch lose all words if they have 13 or more.
-    Rows that repeat a doc_id never remove one another's words.
+    Rows that repeat a doc_id never remove one another's words; a row without a doc_id loses no words and removes none.
     """
     docs = batch.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession

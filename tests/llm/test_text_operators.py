@@ -334,3 +334,14 @@ def test_blocks_find_exactly_the_shared_keys():
     count = Counter(int(k.view(np.int64)) for s in sets.values() for k in s)
     assert got == {(d, int(k.view(np.int64))) for d, s in sets.items() for k in s if count[int(k.view(np.int64))] > 1}
     assert sizes == {d: len(s) for d, s in sets.items()}
+
+
+def test_rows_without_ids_do_no_harm(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    frame = spark.createDataFrame([(None, text, None, None, None), (1, text, None, None, None), (2, text + " end", None, None, None), (2, text + " end", None, None, None), (None, None, None, None, None)], SCHEMA)
+    near = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame).collect()), key=repr)
+    assert near == [(0, 0, None), (0, 36, 1), (1, 36, 1), (2, 37, 1), (2, 37, 1)]
+    cut = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.deduplicate(frame).collect())
+    assert cut == [(0, 0, 0), (0, 40, 0), (1, 40, 0), (2, 41, 40), (2, 41, 40)]
+    assert packing.pack(frame, length=64).groupBy("doc_id").count().count() == 3
+    assert quality.apply_rules(frame).count() == 5 and secrets.redact(frame).count() == 5 and mixing.plan_mix(frame).count() == 5
