@@ -25,7 +25,7 @@ from quern.storage import checkpoint, table
 LENGTH = 4096
 END_ID = 2
 #: Text bytes that one Arrow batch of tokenized rows is built from, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _encoders: dict[int, "_Encoder"] = {}
 
@@ -40,7 +40,7 @@ class _Encoder:
     last id is one that ends words and whose other ids aren't.
     """
 
-    def __init__(self, definition: str, limit: int = 400_000):
+    def __init__(self, definition: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_str(definition), limit
@@ -103,15 +103,17 @@ class _Encoder:
         if new := [x for x in chunks if x not in self.young]:
             self._learn(new)
         found = [self.young[x] for x in chunks] + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
         starts = np.cumsum(lengths) - lengths
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(chunks))
+        order = np.insert(coded.indices.to_numpy(), bounds[1:] - bounds[0], len(chunks))
         each = lengths[order]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int64)
         kind = np.int32 if ends[-1] < 2**31 else np.int64
         at = np.repeat((starts[order] - (ends - each)).astype(kind), each)
+        del order
         at += np.arange(ends[-1], dtype=kind)
         ids = np.frombuffer(b"".join(found), "<u4").take(at)
+        del at, found, chunks
         counts = np.diff(np.r_[0, ends[bounds[1:] - bounds[0] + np.arange(len(texts))]])
         cuts = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int64)
         return counts, pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
@@ -149,6 +151,7 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
             _encoders.clear()
             _encoders[key] = _Encoder(text)
         encoder = _encoders[key]
+        trim()
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes, first, held = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0, 0
