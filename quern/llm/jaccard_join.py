@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import PACKED, Packer, batched, buckets_for, only, shared_keys, texts, trim
+from quern.llm.blocks import PACKED, Packer, buckets_for, only, shared_keys, texts, trim
 from quern.llm.text import WordHashes, runs
 from quern.operators.components import connected_components
 from quern.storage import checkpoint, table

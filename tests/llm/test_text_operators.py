@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
