@@ -98,6 +98,30 @@ def _bands(h: Column, bits: int, distance: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
+def block_sides(rows: DataFrame, spread: Column, blocks: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, with ``_i`` and ``_j``, so that a join on these compares every two blocks once.
+
+    A row's block is a hash of ``spread`` modulo ``blocks``.  Where _i = _j both sides hold the same rows.
+    """
+    own = F.pmod(F.xxhash64(spread), blocks.cast("long")).cast("int")
+    left = rows.withColumn("_i", own).withColumn("_j", F.explode(F.sequence("_i", (blocks - 1).cast("int"))))
+    right = rows.withColumn("_j", own).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+    return left, right
+
+
+def hamming_within(hashes: DataFrame, key: str, value: str, distance: int, block: int = 4096) -> DataFrame:
+    """Every pair (a < b) of ``hashes`` within ``distance``, by comparison of all rows with all, in blocks of ``block`` rows.
+
+    For distances at which no band of the hash is selective; the number of comparisons is the square of the rows.
+    """
+    rows = hashes.select(F.col(key).alias("k"), F.col(value).alias("h"))
+    left, right = block_sides(rows, F.col("k"), F.lit(max(8, -(-rows.count() // block))))
+    left, right = left.withColumnsRenamed({"k": "ka", "h": "ha"}), right.withColumnsRenamed({"k": "kb", "h": "hb"})
+    apart = hamming(F.col("ha"), F.col("hb"))
+    once = ((F.col("_i") < F.col("_j")) & (F.col("ka") != F.col("kb"))) | (F.col("ka") < F.col("kb"))
+    return left.join(right, ["_i", "_j"]).where(once & (apart <= distance)).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), apart.alias("distance"))
+
+
 def near_pairs(rasters: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float, block: list[str] | None = None, orientations: tuple[str, ...] = ORIENTATIONS) -> DataFrame:
     """Pairs (a < b) that are near in some orientation, with the best one.
 

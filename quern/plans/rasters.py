@@ -84,6 +84,13 @@ def hamming_pairs(spark, sf_dir):
     return a.join(b, (F.col("a") < F.col("b")) & (rasters.hamming(F.col("ha"), F.col("hb")) <= 20)).select("a", "b", rasters.hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
+@query()
+def hamming_pairs_all(spark, sf_dir):
+    """What hamming_pairs does, over all rows; its SQL holds that one to every tenth."""
+    h = embeddings(spark, sf_dir).select("k", rasters.difference_hash(F.col("c"), SIZE).alias("h"))
+    return rasters.hamming_within(h, "k", "h", 20)
+
+
 @query(f"WITH {_NEAR} SELECT a, b, {_NAMES}[o + 1] AS transform, CAST(d AS INTEGER) AS distance, round(r, 6) AS correlation, round(iou, 6) AS mask_iou FROM near")
 def near_dup_oriented(spark, sf_dir):
     return rounded(rasters.near_pairs(planted(spark, sf_dir), "k", "c", SIZE, DISTANCE, CORRELATION))
