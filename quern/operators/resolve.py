@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.columns import group_digest
+from quern.operators.rasters import block_sides, mask_iou
 
 
 def component_table(members: DataFrame, sample: str, label: str) -> DataFrame:
@@ -16,6 +17,26 @@ def component_table(members: DataFrame, sample: str, label: str) -> DataFrame:
     )
 
 
+def least_member_iou(members: DataFrame, rasters: DataFrame, key: str, cells: str, foreground: float = 0.0, block: int = 512) -> DataFrame:
+    """component, min_iou and failed, for :func:`resolve`: the least mask IoU over all pairs of members, as they lie.
+
+    ``members`` has id and component.  Equal masks have an IoU of 1 and are compared once; the different masks of a component
+    are compared in blocks of about ``block``.  A component failed if a member has no mask, one with null cells, or one of
+    another size; masks of the same size are compared all the same.
+    """
+    masks = rasters.select(F.col(key).alias("id"), F.transform(cells, lambda v: (v > foreground).cast("int")).alias("mask"))
+    bad = F.col("mask").isNull() | F.exists("mask", lambda v: v.isNull())
+    mine = members.select("id", "component").join(masks, "id", "left").withColumn("bad", bad)
+    failed = mine.groupBy("component").agg((F.bool_or("bad") | (F.min(F.size("mask")) < F.max(F.size("mask")))).alias("failed"))
+    distinct = mine.where("not bad").select("component", "mask").distinct()
+    blocks = distinct.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left, right = block_sides(distinct.join(blocks, "component"), F.col("mask"), F.col("blocks"))
+    left, right = left.select("component", "_i", "_j", F.col("mask").alias("ma")), right.select("component", "_i", "_j", F.col("mask").alias("mb"))
+    pairs = left.join(right, ["component", "_i", "_j"]).where("(_i < _j or ma < mb) and size(ma) = size(mb)")
+    least = pairs.groupBy("component").agg(F.min(mask_iou(F.col("ma"), F.col("mb"))).alias("least"))
+    return failed.join(least, "component", "left").select("component", F.coalesce("least", F.lit(1.0)).alias("min_iou"), "failed")
+
+
 def resolve(members: DataFrame, sample: str, label: str, order: list[Column | str], minimum_iou: DataFrame | None = None, least_iou: float = 0.95, prefix: str = "") -> DataFrame:
     """``members`` with ``reason`` and ``kept``.
 

@@ -141,6 +141,14 @@ def resolve_near_duplicates(spark, sf_dir):
     return resolve.resolve(members.withColumn("label", F.lit(1)), "id", "label", [], least).select("id", "component", "reason")
 
 
+@query()
+def resolve_near_duplicates_all(spark, sf_dir):
+    """JN17: what resolve_near_duplicates does, by the plain mask IoU of all pairs of members; its SQL holds that one to matched edges."""
+    members = _components(spark, sf_dir)
+    least = resolve.least_member_iou(members, planted(spark, sf_dir), "k", "c")
+    return resolve.resolve(members.withColumn("label", F.lit(1)), "id", "label", [], least).select("id", "component", "reason")
+
+
 @query("""WITH p AS (SELECT p_partkey, p_size * 7 + 3 AS w, p_size * 3 + 11 AS h FROM part), s AS (SELECT *, least(256.0 / w, 256.0 / h) AS f FROM p), e AS (SELECT *, w * f AS a, h * f AS b FROM s),
   r AS (SELECT p_partkey, CAST(greatest(round_even(a, 0), 1) AS INTEGER) AS scaled_width, CAST(greatest(round_even(b, 0), 1) AS INTEGER) AS scaled_height FROM e)
   SELECT *, (256 - scaled_width) // 2 AS offset_x, (256 - scaled_height) // 2 AS offset_y FROM r""")

@@ -2,7 +2,7 @@
 
 import random
 
-from quern.operators import rasters
+from quern.operators import rasters, resolve
 from quern.plans import rasters as plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,3 +23,22 @@ def test_hamming_in_many_blocks(spark):
     got = [tuple(r) for r in rasters.hamming_within(frame, "k", "h", 2, block=10).collect()]
     want = {(a, b, n) for a in h for b in h if a < b and (n := (h[a] ^ h[b]).bit_count()) <= 2}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_least_iou_is_over_all_members(spark):
+    rng = random.Random(2)
+    cells = lambda low, high: [1.0 if low <= k < high else -1.0 for k in range(100)]
+    chain = {1: cells(0, 96), 2: cells(0, 100), 3: cells(4, 100)}  # edges 1-2 and 2-3 have 0.96, 1-3 has 0.92
+    masks = chain | {k: [rng.choice([0.0, 1.0]) for _ in range(100)] for k in range(10, 60)}
+    masks |= {70: cells(0, 9), 71: cells(0, 9), 80: cells(0, 9), 81: None, 90: cells(0, 9), 91: [1.0] * 9, 95: [0.0] * 100, 96: [0.0] * 100}
+    of = lambda k: 1 if k < 10 else 10 if k < 60 else k // 10 * 10 + (5 if k >= 95 else 0)
+    members = spark.createDataFrame([(k, of(k), 0) for k in [*masks, 82]], "id long, component long, label int")
+    frame = spark.createDataFrame(list(masks.items()), "k long, c array<double>")
+    least = resolve.least_member_iou(members, frame, "k", "c", block=7)
+    got = {r.component: (r.min_iou, r.failed) for r in least.collect()}
+    iou = lambda a, b: sum(x > 0 and y > 0 for x, y in zip(a, b)) / sum(x > 0 or y > 0 for x, y in zip(a, b))
+    assert got[1] == (0.92, False) and got[70] == (1.0, False) and got[95] == (1.0, False)
+    assert got[10] == (min(iou(masks[a], masks[b]) for a in range(10, 60) for b in range(a + 1, 60)), False)
+    assert got[80][1] and got[90][1]
+    reasons = {r.id: r.reason for r in resolve.resolve(members, "id", "label", [], least).collect()}
+    assert {reasons[k] for k in (1, 2, 3)} == {"mask_conflict"} and reasons[80] == "mask_compare_error" and (reasons[70], reasons[71]) == (None, "duplicate_redundant")
