@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Everything runs as SQL expressions.  Candidates are long runs of key characters with a digit; the forest looks at their
-length, character transitions, dictionary coverage, likeness to a path, and neighbouring words.  It is trained here on
+Everything runs as SQL expressions.  Candidates are long runs of key characters with a digit, runs that begin like issued keys,
+and values after a credential word; the forest looks at their length, character transitions, dictionary coverage, likeness to a path, and neighbouring words.  It is trained here on
 labelled findings and compiled into CASE expressions.
 """
 
@@ -13,8 +13,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A maximal run of 12 or more key characters that has a digit.
-RUN = r"(?<![A-Za-z0-9_+/=.@:~-])(?=[A-Za-z_+/=.@:~-]{0,200}[0-9])[A-Za-z0-9_+/=.@:~-]{12,}"
 CONTEXT = 40
 
 #: Words whose letters tell that a candidate is language and not random.
@@ -28,6 +26,17 @@ CREDENTIAL_WORDS = "password|passwd|pwd|passphrase|secret|token|api[ _-]?key|acc
 OTHER_WORDS = "commit|sha|md5|uuid|guid|card|iban|phone|tel|isbn|doi|order|invoice|tracking|version|build|revision|ip|mail|contact|checksum|digest"
 #: Beginnings of issued keys.
 ISSUED = "AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_|glpat-|sk_live_|sk-|xox[bpars]-|AIza|eyJ[A-Za-z0-9]"
+#: A maximal run of key characters: 12 or more with a digit; 12 or more with the beginning of an issued key at its start or behind
+#: a joint; or a value of 6 or more after a credential word, in the run or before it.
+_KEY = "[A-Za-z0-9_+/=.@:~-]"
+_WORD = f"(?i:{CREDENTIAL_WORDS})s?"
+_PLAIN = rf"(?=[A-Za-z_+/=.@:~-]*+[0-9]){_KEY}{{12,}}|(?=(?:{_KEY}*?[=:/@])?(?:{ISSUED.replace('$', '')})){_KEY}{{12,}}"
+_NAMED = rf"(?={_KEY}*?{_WORD}[=:]+{_KEY}{{6}}){_KEY}{{6,}}|(?={_KEY}{{6}})(?<={_WORD}[\"']?\s{{0,3}}(?:(?:[=:]{{1,2}}>?|is|was)\s{{0,3}})?[\"'`]?){_KEY}{{6,}}"
+RUN = rf"(?<!{_KEY})(?:{_PLAIN}|{_NAMED})"
+#: The same for texts without a credential word.
+RUN_UNNAMED = rf"(?<!{_KEY})(?:{_PLAIN})"
+#: What every candidate's text has, for a quick look.
+_ANY = f"[0-9]|(?i:{CREDENTIAL_WORDS})|{ISSUED.replace('$', '')}"
 
 FEATURES = (
     "length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "dictionary", "hex", "path", "dots", "at", "credential", "other_words", "issued"
@@ -75,14 +84,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     the features.  Null text has no candidates.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    has_digit = text.rlike("[0-9]")
+    has_any, named = text.rlike(_ANY), text.rlike(_WORD)
+    either = lambda find: F.when(named, find(RUN)).otherwise(find(RUN_UNNAMED))
     out = docs.withColumns(
         {
-            "_runs": F.when(has_digit, F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>")),
-            "_gaps": F.when(has_digit, F.split(text, RUN, -1)).otherwise(F.array(text)),
+            "_runs": F.when(has_any, either(lambda run: F.regexp_extract_all(text, F.lit(run), F.lit(0)))).otherwise(F.array().cast("array<string>")),
+            "_gaps": F.when(has_any, either(lambda run: F.split(text, run, -1))).otherwise(F.array(text)),
         }
     )
-    key, value = r"^([A-Za-z_-]{2,30})[=:]+(?=.{8})", r"^(?:[A-Za-z_-]{2,30}[=:]+(?=.{8}))?(.*?)[.:=]*$"
+    key, value = r"^([A-Za-z_-]{2,30})[=:]+(?=.{6})", r"^(?:[A-Za-z_-]{2,30}[=:]+(?=.{6}))?(.*?)[.:=]*$"
     parts = f"""transform(_runs, (r, i) -> named_struct(
         'key', regexp_extract(r, {_quoted(key)}, 1), 'value', regexp_extract(r, {_quoted(value)}, 1),
         'before', right(_gaps[i], {CONTEXT}), 'after', left(_gaps[i + 1], {CONTEXT // 2})))"""
@@ -92,6 +102,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 # ---- training ---------------------------------------------------------------------------------------------------------
 
+#: Ordinary words that follow a credential word.
+_FOLLOWING = (
+    "required incorrect protected missing optional invalid expired between nothing everything something forgotten manager service hidden changed "
+    "recovery sharing economy agent garden meeting ingredient holder policy settings because should cannot stored strength generator unknown undefined"
+).split()
 _WORDS = "over the river small lights were seen by those who came along and nobody asked them about it again until morning".split()
 
 
@@ -106,7 +121,17 @@ def labelled_findings(n: int = 1500, seed: int = SEED) -> list[tuple[int, str, i
     joints = ["=", ": ", " = ", ' = "', '="', ":", " is ", "='"]
 
     def true() -> str:
-        kind = rng.randrange(9)
+        kind = rng.randrange(14)
+        if kind == 9:  # without digits
+            return rng.choice([rng.choice(["AKIA", "ASIA"]) + pick(upper, 16), rng.choice(["ghp_", "gho_", "sk_live_", "glpat-"]) + pick(lower + upper, 24)])
+        if kind == 10:
+            return rng.choice(names) + rng.choice(joints) + pick(lower + upper, rng.choice([8, 10, 12, 16, 20, 24, 32]))
+        if kind == 11:  # short
+            return rng.choice(names) + rng.choice(joints) + pick(every, rng.randint(7, 11)) + rng.choice(digits)
+        if kind == 12:
+            return rng.choice(names) + rng.choice(joints) + pick(upper, 1) + pick(lower, rng.randint(1, 3)) + pick(digits, 1) + pick(lower, rng.randint(2, 5)) + rng.choice(["", pick(digits, 1)]) + pick(lower, 1)
+        if kind == 13:
+            return rng.choice(names) + rng.choice(joints) + pick(lower, rng.choice([16, 20, 24, 32]))
         if kind <= 1:
             return rng.choice(["AKIA", "ASIA", "AKIA"]) + pick(upper + "234567" + "89", 16)
         if kind == 2:
@@ -117,7 +142,13 @@ def labelled_findings(n: int = 1500, seed: int = SEED) -> list[tuple[int, str, i
         return rng.choice(names) + rng.choice(joints) + body + rng.choice(["", '"', " "])
 
     def false() -> str:
-        kind = rng.randrange(12)
+        kind = rng.randrange(16)
+        if kind in (12, 13):
+            return rng.choice([*names, "the password", "Secret"]) + rng.choice([*joints, " ", " is ", ": "]) + rng.choice([str, str, str.capitalize])(rng.choice(_FOLLOWING))
+        if kind == 14:
+            return "sk-" + "-".join(rng.choice(_FOLLOWING) for _ in range(3))
+        if kind == 15:
+            return rng.choice(names) + rng.choice(joints) + rng.choice(["password", "your_password", "example", "changeme", "placeholder", "<token>", "os.environ", "user.password", "self.token"])
         if kind == 0:
             return rng.choice(["", "", "card ", "order "]) + pick(digits, rng.choice([12, 13, 14, 15, 16, 18]))
         if kind == 1:
