@@ -64,9 +64,8 @@ class Packer:
             starts = np.arange(len(keys))
         counts = np.diff(np.r_[starts, len(keys)])
         several = counts > 1
-        known = np.repeat(several, counts)
-        if self.later_only:
-            known[starts] = False
+        # Rows may repeat a document, whose own keys then aren't known from a smaller one.
+        known = docs > np.repeat(docs[starts], counts) if self.later_only else np.repeat(several, counts)
         sent, sent_docs = keys[starts], docs[starts]
         cut = np.searchsorted(sent >> self.shift, np.arange(self.buckets + 1, dtype=np.uint64)) if self.shift is not None else np.array([0, len(sent)])
         # What is known here already passes through any bucket; it is spread evenly so that a hot key burdens none.

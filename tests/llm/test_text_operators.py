@@ -245,6 +245,21 @@ def test_substring_dedup_by_batches(spark, rows):
     assert again[10_001] == 40
 
 
+def test_substring_dedup_keeps_repeated_rows_in_one_block(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, text), (2, "start " + text), (2, text + " end"), (3, " ".join(f"v{k}" for k in range(20)))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == [(1, 40, 0), (1, 40, 0), (2, 41, 40), (2, 41, 40), (3, 20, 0)]
+
+
+def test_later_only_compares_documents():
+    import pyarrow as pa
+
+    keys, packer = np.array([5, 9], np.uint64), blocks.Packer(1, later_only=True)
+    rows = [b for d in (4, 4, 7) for b in packer.add(d, keys)] + list(packer.flush())
+    assert np.frombuffer(b"".join(pa.Table.from_batches(rows)["known_docs"].to_pylist()), np.int64).tolist() == [7, 7]
+
+
 # ---- 8 mixing -----------------------------------------------------------------------------------------------------------
 
 
