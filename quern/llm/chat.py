@@ -20,10 +20,6 @@ from quern.llm.blocks import batched
 
 Message = tuple[str, str]
 
-#: Turns rendered together.  A longer conversation is rendered as consecutive sessions of this length, so that the work
-#: grows with the number of turns and not with its square.
-SESSION_TURNS = 64
-
 _CONTROL = re.compile(r"\\|<(?=\||/s>)|\[(?=/?INST\])")
 
 
@@ -44,11 +40,18 @@ def render_marked(messages: list[Message]) -> str:
 
 @dataclass(frozen=True)
 class Template:
-    """``render`` is a black box; ``escape`` is how it writes a text, ``unescape`` the way back."""
+    """``render`` is a black box; ``escape`` is how it writes a text, ``unescape`` the way back.
+
+    ``history_free`` declares that a turn's rendering doesn't depend on the other turns or its place.
+    """
 
     render: Callable[[list[Message]], str] = render_marked
     escape: Callable[[str], str] = escape
     unescape: Callable[[str], str] = unescape
+    history_free: bool = False
+
+
+MARKED = Template(history_free=True)
 
 
 def parse_marked(formatted: str) -> list[Message]:
@@ -87,13 +90,18 @@ def render_incrementally(messages: list[Message], template: Template) -> Renderi
 FORMATTED = "session int, n_turns int, formatted string, rewritten_at int, spans array<struct<start:long,end:long,text_start:long,text_end:long,role:string>>"
 
 
-def format_conversations(turns: DataFrame, template: Template = Template(), session_turns: int = SESSION_TURNS) -> DataFrame:
-    """One row for each session of a conversation: conv_id, session, n_turns, formatted, rewritten_at, spans.
+def format_conversations(turns: DataFrame, template: Template = MARKED, session_turns: int | None = None) -> DataFrame:
+    """One row for each conversation: conv_id, session, n_turns, formatted, rewritten_at, spans.
+
+    Every prefix of a conversation is rendered as a whole, so the work grows with the square of its turns.  Where the template
+    is declared free of history, ``session_turns`` cuts conversations into sessions of so many turns, with a row for each.
 
     ``turns`` has conv_id, turn, role and text.  Null role or text is empty; null turns come first; equal turns are ordered
     by role and text, and all are kept; a null conv_id is one conversation.  Rows are dealt by conversation and sorted, and
-    each task reads them as a stream, so a long conversation is never held as a whole; its sessions follow one another.
+    each task reads them as a stream, a conversation at a time; its sessions follow one another.
     """
+    if session_turns is not None and not template.history_free:
+        raise ValueError("sessions need a template that is free of history")
     id_type = turns.schema["conv_id"].dataType
     schema = f"conv_id {id_type.simpleString()}, {FORMATTED}"
     arrow = pa.schema(
@@ -131,7 +139,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), sess
 DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(formatted: DataFrame, template: Template = Template(), parse: Callable[[str], list[Message]] = parse_marked) -> DataFrame:
+def read_back(formatted: DataFrame, template: Template = MARKED, parse: Callable[[str], list[Message]] = parse_marked) -> DataFrame:
     """Digests of what a reader finds in the output of :func:`format_conversations`: its turns and its loss mask."""
     id_type = formatted.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {id_type}, {DIGEST}"

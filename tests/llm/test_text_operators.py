@@ -317,6 +317,20 @@ def test_rewriting_templates_are_reported():
     assert [out.text[a:b] for _, _, a, b in out.spans] == ["</u", ""]
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    preamble = lambda ms: "<s>" + "".join(f"<{r}>{x}</{r}>" for r, x in ms)
+    late = lambda ms: preamble(ms) if len(ms) < 90 else preamble(ms[-80:])
+    frame = spark.createDataFrame([(1, t, ["user", "assistant"][t % 2], f"text {t}") for t in range(100)], "conv_id long, turn long, role string, text string")
+    messages = [(["user", "assistant"][t % 2], f"text {t}") for t in range(100)]
+    (r,) = chat.format_conversations(frame, chat.Template(preamble, str, str)).collect()
+    assert (r.session, r.n_turns, r.rewritten_at, r.formatted) == (0, 100, None, preamble(messages))
+    assert [r.formatted[s.text_start : s.text_end] for s in r.spans] == [x for _, x in messages]
+    (r,) = chat.format_conversations(frame, chat.Template(late, str, str)).collect()
+    assert (r.n_turns, r.rewritten_at, r.spans) == (100, 89, [])
+    with pytest.raises(ValueError):
+        chat.format_conversations(frame, chat.Template(preamble, str, str), session_turns=64)
+
+
 # ---- 10 toxicity --------------------------------------------------------------------------------------------------------
 
 
