@@ -59,6 +59,12 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(experiments.bootstrap_interval(rounded(_differences(spark, sf_dir)), "difference", "patient", 200)).withColumn("n", F.col("n").cast("long"))
 
 
+@query()
+def bootstrap_ci_all(spark, sf_dir):
+    """What bootstrap_ci does, with the operator's 10,000 resamples; its SQL holds that one to 200."""
+    return rounded(experiments.bootstrap_interval(rounded(_differences(spark, sf_dir)), "difference", "patient")).withColumn("n", F.col("n").cast("long"))
+
+
 @query(f"WITH {RUNS_SQL}, s AS (SELECT code, round(avg(score), 6) AS score FROM runs GROUP BY code), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, code) AS rank, round(score - first_value(score) OVER (ORDER BY code ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS delta FROM s) SELECT code, score, CAST(rank AS INTEGER) AS rank, delta FROM k")
 def rank_models(spark, sf_dir):
     summary = rounded(_runs(spark, sf_dir).groupBy("code").agg(F.avg("score").alias("score")))
