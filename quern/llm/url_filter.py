@@ -66,24 +66,43 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path, which starts with a slash, without the segments ``.`` and ``..``."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x)),
+    )
+    end = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def _absolute(link: Column, base: Column) -> Column:
+    """``link`` as seen from the page ``base``; null for other schemes, such as mailto, and for fragments."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    path, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)?[^/]*$", 1))
     return (
-        F.when(link.contains("://"), link)
+        F.when(path.contains("://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("#") | link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("?"), F.concat(root, path_of(base), link))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
     )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes from the canonical links and refresh redirects in ``html``; relative links need a leading slash."""
+    """(src, dst) nodes from all canonical links and refresh redirects in ``html``; relative links are resolved at the page's URL."""
     html = F.col("html")
     found = pages.where(html.rlike("(?i)canonical|http-equiv"))
-    canonical_tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh_tag = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    links = F.array(
-        F.regexp_extract(canonical_tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(refresh_tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    canonical_tags = tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
+    refresh_tags = tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
+    links = F.concat(
+        F.transform(canonical_tags, lambda tag: F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+        F.transform(refresh_tags, lambda tag: F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
     pairs = found.select("url", F.explode(links).alias("link")).where("link <> ''")
     return pairs.select(node_of(F.col("url")).alias("src"), node_of(_absolute(F.regexp_replace("link", "&amp;", "&"), F.col("url"))).alias("dst")).where("src is not null and dst is not null")

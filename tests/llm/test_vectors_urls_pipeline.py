@@ -83,6 +83,14 @@ def test_rules_and_aliases(spark):
     assert url_filter.judge(frame.limit(0)).count() == 0
 
 
+def test_relative_and_repeated_alias_links(spark):
+    link, base = '<link rel="canonical" href="{}">', "https://a.net/x/y.html?k=1"
+    wanted = {"next.html": "a.net/x/next.html", "../p": "a.net/p", "./": "a.net/x/", "?id=2": "a.net/x/y.html?id=2", "../../../q?u=http://b.net/": "a.net/q?u=http://b.net/", "/r": "a.net/r", "//b.net/s": "b.net/s", "#t": None, "mailto:x@b.net": None}
+    rows = [(base, link.format(x)) for x in wanted] + [("https://c.net", link.format("one") + link.format("two") + '<meta http-equiv=refresh content="0; url=three">' * 2)]
+    got = {tuple(r) for r in url_filter.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {("a.net/x/y.html?k=1", x) for x in wanted.values() if x} | {("c.net", f"c.net/{x}") for x in ("one", "two", "three")}
+
+
 def test_pipeline_decisions_take_effect(spark, tmp_path):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choice(["ba", "do", "ki", "lu", "mer", "tan"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
