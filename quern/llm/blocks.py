@@ -10,7 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,25 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(_meet, SHARED)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+_last: list[str] = []
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Register what lets go of the tables that ``owner``'s tasks keep in a Python worker from one task to the next."""
+    _forget[owner] = forget
+
+
+def begin(owner: str) -> None:
+    """First thing in a task: Python workers stay for later stages, so what the tasks of other operators keep is let go."""
+    if _last != [owner]:
+        for other, forget in _forget.items():
+            if other != owner:
+                forget()
+        _last[:] = [owner]
+        trim()
+
+
 def trim() -> None:
     """Give freed memory back at the end of a task: Python workers stay, and the next stage may need it elsewhere."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import PACKED, Packer, buckets_for, only, shared_keys, texts, trim
+from quern.llm.blocks import PACKED, Packer, begin, buckets_for, only, remembers, shared_keys, texts, trim
 from quern.llm.text import WordHashes, runs
 from quern.operators.components import connected_components
 from quern.storage import checkpoint, table
@@ -35,6 +35,7 @@ CHEAP = 32
 STEP = 8
 
 _hashes = WordHashes()
+remembers("jaccard_join", _hashes.clear)
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -65,6 +66,7 @@ def _prefix(n):
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         packer = Packer(buckets)
         for doc_id, text in texts(batches):
             found = shingle_set(text)
@@ -79,6 +81,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         held, weight = [], 0
         for doc_id, text in texts(batches):
             held.append((doc_id, shingle_set(text)))
@@ -101,6 +104,7 @@ def _repacked(sets: DataFrame, buckets: int) -> DataFrame:
     """Whole sets, for the lengthened prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard_join")
         packer = Packer(buckets)
         for batch in batches:
             lists = batch.column(1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import batched, trim
+from quern.llm.blocks import batched, begin, trim
 from quern.storage import checkpoint, table
 
 #: Labelled rows that the models are fitted on, at most: those whose text has the smallest hashes.
@@ -114,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chai
     sample = labelled_sample(docs, labels, most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -202,6 +203,7 @@ def classify(docs: DataFrame, chain: Chain, threshold: float | None = None) -> D
     columns, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             # The empty text stands in for null in features only; the row keeps its null.
             p = shared.value.predict(batch.column(place).to_pylist())
