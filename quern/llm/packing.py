@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,77 +20,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import trim
+from quern.llm.blocks import begin, remembers, trim
 from quern.storage import checkpoint, table
 
 LENGTH = 4096
 END_ID = 2
 #: Text bytes that one Arrow batch of tokenized rows is built from, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+
+#: Words and other chunks that an encoder remembers in each of two tables (about 150 bytes an entry); it bounds memory only.
+MOST_WORDS = 200_000
+#: Characters up to which a word is given to the merges directly.
+LONGEST_WORD = 100
+#: Punctuation that may follow a word; it is a piece of its own, and belongs to no special token or contraction.
+TAIL = ".,!?;:%$&*#()-"
+#: Letters that stay single letters when normalised and lower-cased: basic Latin and the Latin-1 letters.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+PLAIN = f"^{LETTERS}+$"
+LOWERED = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: How a byte-level vocabulary writes bytes: printable Latin-1 characters stand for themselves, the rest follow from 256 on.
+SHOWN = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)], range(256, 512), strict=False))
 
 _encoders: dict[int, "_Encoder"] = {}
+remembers("packing", _encoders.clear)
 
 
 class _Encoder:
     """Ids (little-endian 32-bit) of texts, by way of their chunks between ASCII blanks.
 
     The vocabulary drops white space and none of its patterns or special tokens reaches over it, so chunks tokenize on
-    their own.  Chunks met before are looked up in a younger and an older
-    table; the younger grows old past ``limit`` chunks.
-    New chunks of letters, perhaps with punctuation behind, are tokenized many at a time: letters make one word, whose
-    last id is one that ends words and whose other ids aren't.
+    their own.  A chunk of plain letters with punctuation behind is a lower-cased word and a tail, which tokenize on their
+    own too; a word is given to the merges directly, without the library's patterns.  Words, tails and other chunks met
+    before are looked up in a younger and an older table; the younger grows old past ``limit`` entries.
     """
 
-    def __init__(self, definition: str, limit: int = 250_000):
+    def __init__(self, definition: str, limit: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_str(definition), limit
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _alone(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
-            return [self._alone(w) for w in words]
-        data, cuts = ids.tobytes(), (4 * np.r_[0, stops]).tolist()
-        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Fill the younger table with ``chunks``, which it doesn't have."""
-        young, old = self.young, self.old
-        young.update({c: old[c] for c in chunks if c in old})
-        plain = {c for c in chunks if c not in old and c.isalpha()}
-        tails = []
-        for chunk in chunks:
-            if chunk in plain or chunk in young:
-                continue
-            stem = chunk.rstrip(TAIL)
-            if not stem or not (stem.isalpha() or PLAIN.fullmatch(stem.decode())):
-                young[chunk] = self._alone(chunk)
-                continue
-            if len(stem) < len(chunk):
-                tails.append((chunk, stem))
-            if stem not in young:
-                if (ids := old.get(stem)) is not None:
-                    young[stem] = ids
-                else:
-                    plain.add(stem)
-        stems = list(plain)
-        for at in range(0, len(stems), 2000):
-            part = stems[at : at + 2000]
-            young.update(zip(part, self._letters(part), strict=True))
-        for chunk, stem in tails:
-            tail = chunk[len(stem) :]
-            if tail not in young:
-                young[tail] = old.get(tail) or self._alone(tail)
-            young[chunk] = young[stem] + young[tail]
+        self.merges = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, key: str) -> bytes:
+        if len(key) <= LONGEST_WORD and key.isalpha() and LOWERED.fullmatch(key):
+            ids = [t.id for t in self.merges.tokenize(key if key.isascii() else key.encode().decode("latin-1").translate(SHOWN))]
+        else:
+            ids = self.tokenizer.encode(key, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _look_up(self, keys: pa.Array) -> list[bytes]:
+        """Ids of distinct keys."""
+        names = keys.to_pylist()
+        found = list(map(self.young.get, names))
+        for k, ids in enumerate(found):
+            if ids is None:
+                name = names[k]
+                found[k] = self.young[name] = self.old.get(name) or self._ids(name)
+        return found
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, pa.Array]:
         """Number of ids and the ids (binary) of each text; null is empty, and ``end_id`` follows every text."""
@@ -98,31 +86,33 @@ class _Encoder:
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         # Slices share their offsets' buffer, so positions are taken from the first offset on.
         bounds = parts.offsets.to_numpy().astype(np.int64)
-        coded = parts.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).cast(pa.binary()).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if new := [x for x in chunks if x not in self.young]:
-            self._learn(new)
-        found = [self.young[x] for x in chunks] + [b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
-        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        starts = np.cumsum(lengths) - lengths
+        coded = parts.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).dictionary_encode()
+        chunks = coded.dictionary
+        stems = pc.utf8_rtrim(chunks, characters=TAIL)
+        plain = pc.match_substring_regex(stems, PLAIN)
+        words = pc.if_else(plain, pc.utf8_lower(stems), chunks).dictionary_encode()
+        with_tail = pc.and_(plain, pc.less(pc.binary_length(stems), pc.binary_length(chunks)))
+        tails = pc.if_else(with_tail, pc.replace_substring_regex(chunks, "^" + LETTERS + "+", ""), "").dictionary_encode()
+        # The ids of a chunk are those of its word and its tail; the end of a text is one more chunk.
+        found = [*self._look_up(words.dictionary), *self._look_up(tails.dictionary), b"" if end_id is None else struct.pack("<I", end_id)]
+        pairs = np.column_stack([words.indices.to_numpy(), tails.indices.to_numpy() + len(words.dictionary)]).ravel()
+        known, lengths = _gathered(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4, np.r_[pairs, len(found) - 1])
+        lengths = np.r_[lengths[:-1].reshape(-1, 2).sum(1), lengths[-1:]]
         order = np.insert(coded.indices.to_numpy(), bounds[1:] - bounds[0], len(chunks))
-        each = lengths[order]
-        ends = np.cumsum(each, dtype=np.int64)
-        kind = np.int32 if ends[-1] < 2**31 else np.int64
-        at = np.repeat((starts[order] - (ends - each)).astype(kind), each)
-        del order
-        at += np.arange(ends[-1], dtype=kind)
-        ids = np.frombuffer(b"".join(found), "<u4").take(at)
-        del at, found, chunks
-        counts = np.diff(np.r_[0, ends[bounds[1:] - bounds[0] + np.arange(len(texts))]])
-        cuts = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int64)
-        return counts, pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+        ids, each = _gathered(known, lengths, order)
+        ends = np.r_[0, np.cumsum(each)]
+        cuts = ends[np.r_[0, bounds[1:] - bounds[0] + np.arange(1, len(texts) + 1)]]
+        return np.diff(cuts), pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((4 * cuts).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
-#: Punctuation that may follow a word; it is a piece of its own, and belongs to no special token or contraction.
-TAIL = b".,!?;:%$&*#()-"
-#: Letters that stay single letters when normalised and lower-cased: basic Latin and the Latin-1 letters.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+def _gathered(values: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``values``, which have these lengths, in ``order``, and their lengths."""
+    starts, each = np.cumsum(lengths) - lengths, lengths[order]
+    ends = np.cumsum(each)
+    kind = np.int32 if len(ends) == 0 or ends[-1] < 2**31 else np.int64
+    at = np.repeat((starts[order] - (ends - each)).astype(kind), each)
+    at += np.arange(len(at), dtype=kind)
+    return values.take(at), each
 
 
 def word_tokenizer(path: str | None = None) -> str:
@@ -145,13 +135,13 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        begin("packing")
         text = shared.value
         key = hash(text)
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = _Encoder(text)
         encoder = _encoders[key]
-        trim()
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes, first, held = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0, 0
