@@ -28,6 +28,8 @@ END_ID = 2
 #: Text bytes that one Arrow batch of tokenized rows is built from, about.
 BATCH_BYTES = 8 << 20
 
+#: Partitions up to which their offsets are sent to all tasks; more are joined by shuffle.
+MOST_SENT_PARTITIONS = 1_000_000
 #: Words and other chunks that an encoder remembers in each of two tables (about 150 bytes an entry); it bounds memory only.
 MOST_WORDS = 200_000
 #: Characters up to which a word is given to the merges directly.
@@ -172,9 +174,11 @@ def pack_tokens(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # One row for each input partition, in one task: 12 bytes a row, whatever the partitions hold.
+    # One row for each input partition, in one task: 12 bytes a row, whatever the partitions hold.  Sent to all tasks, they
+    # let the ids stay where they are.
     offsets = checkpoint(totals.select(F.col("part").alias("_part"), before.alias("base")))
-    placed = tokens.join(offsets, tokens["part"] == offsets["_part"]).withColumn("at", F.col("base") + F.col("place"))
+    few = offsets.limit(MOST_SENT_PARTITIONS + 1).count() <= MOST_SENT_PARTITIONS
+    placed = tokens.join(F.broadcast(offsets) if few else offsets, tokens["part"] == offsets["_part"]).withColumn("at", F.col("base") + F.col("place"))
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n_tokens") - 1) / length)
 
     def piece(k: Column) -> Column:
