@@ -7,6 +7,7 @@ executors share.  A private folder is used only where that setting is absent (te
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -83,14 +84,17 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "2000")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system and all below it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def sweep() -> None:
     """Remove every table made by :func:`table` so far; call only when no frame that reads one is still needed."""
     for path, spark in list(_made.items()):
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may already be gone
-            pass
+        with contextlib.suppress(Exception):  # the session may already be gone
+            delete(spark, path)
         _made.pop(path, None)
 
 
