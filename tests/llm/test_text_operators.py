@@ -221,35 +221,51 @@ def brute_cut(rows, history=()):
     return {i: out[i] for i, *_ in rows}
 
 
-def test_substring_dedup_matches_brute_force(spark, rows, docs, nothing):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.deduplicate(docs).collect()}
-    assert got == brute_cut(rows)
-    assert substring.deduplicate(nothing).count() == 0
+def cut_rows(frame):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_dedup_matches_brute_force(spark, rows, docs, nothing, batches):
+    assert cut_rows(substring.deduplicate_all(docs, batches)) == brute_cut(rows)
+    assert substring.deduplicate_all(nothing, batches).count() == 0
 
 
 def test_substring_dedup_by_batches(spark, rows):
     ids = sorted(r[0] for r in rows)
-    edges = [ids[0], ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1] + 1]
-    index, got, history = substring.FingerprintIndex(spark, 8), {}, None
+    edges = [ids[len(ids) * k // 5] for k in range(5)] + [ids[-1] + 1]
+    index, got, history = substring.FingerprintIndex(spark, buckets=8, slots=2, fanout=2), {}, None
     for low, high in zip(edges[:-1], edges[1:]):
         batch = spark.createDataFrame([r for r in rows if low <= r[0] < high], SCHEMA)
-        cut = substring.deduplicate(batch, index, history)
-        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in cut.collect()}
-        index.append(batch)
+        got |= cut_rows(substring.deduplicate(batch, index, history))
         history = batch if history is None else history.unionByName(batch)
-    assert got == brute_cut(rows) and len(index.runs) == 3
-    index.compact()
-    assert len(index.runs) == 1
-    more = spark.createDataFrame([(10_000, rows[0][1] or "x", "", "", 0), (10_001, " ".join(f"u{k}" for k in range(100, 140)), "", "", 0)], SCHEMA)
-    again = {r.doc_id: r.n_removed for r in substring.deduplicate(more, index, history).collect()}
-    assert again[10_001] == 40
-
-
-def test_substring_dedup_keeps_repeated_rows_in_one_block(spark):
-    text = " ".join(f"w{k}" for k in range(40))
-    rows = [(1, text), (1, text), (2, "start " + text), (2, text + " end"), (3, " ".join(f"v{k}" for k in range(20)))]
-    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
-    assert got == [(1, 40, 0), (1, 40, 0), (2, 41, 40), (2, 41, 40), (3, 20, 0)]
+        index.close()
+        index = substring.FingerprintIndex.open(spark, index.path)  # as another session would
+    assert got == brute_cut(rows)
+    assert index.runs == {(f, at): 1 for f in (substring.PRINTS, substring.WINDOWS) for at in (0, 2)}
+    # A batch's join reads the runs where they are.
+    assert "Exchange" not in index.rows(substring.PRINTS).groupBy("bucket").count()._jdf.queryExecution().executedPlan().toString()
+    more = spark.createDataFrame([(10_000, rows[0][1] or "x", "", "", 0), (10_001, " ".join(f"u{k}" for k in range(100, 140)), "", "", 0), (-5, " ".join(f"u{k}" for k in range(200, 240)), "", "", 0)], SCHEMA)
+    again = cut_rows(substring.deduplicate(more, index, history))
+    assert again[10_001][1] == 40 and again[-5][1] == 0  # a larger document of history removes nothing
+    levels = {r.path.split("/")[-2] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(index.path).select("path").collect()}
+    assert levels == {"level=1", "level=2"}  # runs that were merged are gone
+    index.remove()
+
+
+def test_substring_dedup_keeps_repeated_rows(spark):
+    def cut(rows, parts):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        return sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.deduplicate_all(frame, 2).collect())
+
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"b{k}" for k in range(50))
+    p, q = " ".join(f"p{k}" for k in range(15)), " ".join(f"q{k}" for k in range(13))
+    for parts in (1, 4):
+        rows = [(1, text), (1, text), (2, "start " + text), (2, text + " end"), (3, " ".join(f"v{k}" for k in range(20)))]
+        assert cut(rows, parts) == [(1, 40, 0), (1, 40, 0), (2, 41, 40), (2, 41, 40), (3, 20, 0)]
+        assert cut([(1, text), (2, text), (2, other)], parts) == [(1, 40, 0), (2, 40, 40), (2, 50, 0)]
+        assert cut([(5, text), (5, text)], parts) == [(5, 40, 0), (5, 40, 0)]
+        assert cut([(5, f"{p} x y"), (5, f"{q} r {p}")], parts) == [(5, 17, 0), (5, 29, 0)]
 
 
 def test_later_only_compares_documents():
@@ -387,7 +403,7 @@ def test_rows_without_ids_do_no_harm(spark):
     frame = spark.createDataFrame([(None, text, None, None, None), (1, text, None, None, None), (2, text + " end", None, None, None), (2, text + " end", None, None, None), (None, None, None, None, None)], SCHEMA)
     near = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame).collect()), key=repr)
     assert near == [(0, 0, None), (0, 36, 1), (1, 36, 1), (2, 37, 1), (2, 37, 1)]
-    cut = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.deduplicate(frame).collect())
+    cut = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.deduplicate_all(frame).collect())
     assert cut == [(0, 0, 0), (0, 40, 0), (1, 40, 0), (2, 41, 40), (2, 41, 40)]
     assert packing.pack(frame, length=64).groupBy("doc_id").count().count() == 3
     assert quality.apply_rules(frame).count() == 5 and secrets.redact(frame).count() == 5 and mixing.plan_mix(frame).count() == 5
