@@ -338,7 +338,7 @@ def deduplicate_all(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     n = docs.agg(F.sum(F.length("text")).alias("n"), F.expr(f"percentile_approx(doc_id, array({', '.join(f'{k / batches}D' for k in range(1, batches))}))").alias("edges")).first()
     edges = [None, *sorted({*(n["edges"] or [])}), None]
     # About 6 characters a word, and a fingerprint for each four.
-    index = FingerprintIndex(spark, buckets=buckets_for((n["n"] or 0) // 24, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout=2)
+    index = FingerprintIndex(spark, buckets=buckets_for((n["n"] or 0) // 24, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout=2)
     removed = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         history = docs.where(F.col("doc_id") <= low) if low is not None else None
