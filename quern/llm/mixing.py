@@ -21,10 +21,16 @@ SEEDS = 32
 MOST_SOURCES = 100_000
 
 
-def _uniform(doc_id: Column, seed: int) -> Column:
-    """Number in [0, 1) from 32 bits of a digest of the id; one digest serves eight seeds."""
-    digest = F.sha2(F.concat(F.lit(f"{seed // 8}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
-    return F.conv(F.substring(digest, 8 * (seed % 8) + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def _draw(doc_id: Column, seed: Column) -> Column:
+    """Eight hex digits, 32 bits of a digest of the id; one digest serves eight seeds."""
+    digest = F.sha2(F.concat(F.floor(seed / 8).cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+    return F.substring(digest, 8 * (seed % 8) + 1, F.lit(8))
+
+
+def _limit(fraction: Column) -> Column:
+    """The hex digits that a draw must lie below to fall under ``fraction`` of all draws."""
+    least = F.ceil(fraction * F.lit(4294967296.0)).cast("long")
+    return F.when(least >= 1 << 32, "~").otherwise(F.lower(F.lpad(F.hex(least), 8, "0")))
 
 
 def source_targets(sizes: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -62,26 +68,26 @@ def plan_mix(docs: DataFrame, limit: float = 3.0) -> DataFrame:
     ids get the same draw.  Columns of ``docs`` with one of these names are replaced.  The table by source is small
     (one row each with ``SEEDS`` sums), and Spark chooses how to join it back.
     """
-    docs = docs.drop("size", "source_size", "target", "rate", "copies", "_s", "_seed")
+    docs = docs.drop("size", "source_size", "target", "rate", "copies", "_s", "_seed", "_below")
     sized = docs.withColumn("size", count_words(F.col("text")))
     sizes = table(sized.select("doc_id", "source", "size"), "sizes")
     rates = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), limit)
-    rates = checkpoint(rates.withColumnRenamed("source", "_s"))
-    small = rates.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
     fraction = F.col("rate") - F.floor("rate")
+    rates = checkpoint(rates.withColumnRenamed("source", "_s").withColumn("_below", _limit(fraction)))
+    small = rates.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
 
     def with_source(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(F.broadcast(right) if small else right, left["source"].eqNullSafe(right["_s"]), "left").drop("_s")
 
+    below = lambda seed: _draw(F.col("doc_id"), seed) < F.col("_below")
     drawn = with_source(sizes, rates).groupBy("source").agg(
         F.first("rate").alias("rate"), F.first("source_size").alias("total"),
-        *[F.sum(F.when(_uniform(F.col("doc_id"), k) < fraction, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)],
+        *[F.sum(F.when(below(F.lit(k)), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)],
     )
     misses = F.array(*[F.struct(F.abs(F.col(f"s{k}") - fraction * F.col("total")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)])
     seeds = checkpoint(drawn.select(F.col("source").alias("_s"), F.array_min(misses)["seed"].alias("_seed")))
     chosen = with_source(with_source(sized, rates), seeds)
-    draw = F.element_at(F.array(*[_uniform(F.col("doc_id"), k) for k in range(SEEDS)]), F.col("_seed") + 1)
-    return chosen.withColumn("copies", (F.floor("rate") + F.when(draw < fraction, 1).otherwise(0)).cast("int")).drop("_seed")
+    return chosen.withColumn("copies", (F.floor("rate") + F.when(below(F.col("_seed")), 1).otherwise(0)).cast("int")).drop("_seed", "_below")
 
 
 def mix(docs: DataFrame, limit: float = 3.0) -> DataFrame:
