@@ -25,9 +25,10 @@ MOST_LABELLED = 8_000
 #: Words and word beginnings that the models see, at most.
 MOST_FEATURES = 1024
 FOLDS = 5
-#: Likelihood ratio statistic that a feature must reach against independence of the first category.
+#: Likelihood ratio statistic that a feature must reach against independence of a category.
 LEAST_EVIDENCE = 12.0
-CATEGORIES = ("toxic", "severe")
+#: In the order of the chain; the last one decides.
+CATEGORIES = ("low_quality", "toxic")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -49,7 +50,7 @@ class Chain:
     categories: tuple[str, ...]
     weights: list[np.ndarray]
     biases: list[float]
-    #: Probability of the first category from which a text is rejected; out-of-fold predictions chose it.
+    #: Probability of the last category from which a text is rejected; out-of-fold predictions chose it.
     threshold: float = 0.5
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,87 +98,122 @@ def _fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, d: int,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """text and toxic (0 or 1) of up to ``most`` labelled documents with different texts."""
-    labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"))
-    once = hashed.join(labels, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    chosen = checkpoint(once.orderBy("h").limit(most).select("doc_id", "toxic"))
-    return table(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    """text and each category's label (0, 1 or null) of up to ``most`` labelled documents with different texts.
 
+    ``labels`` has doc_id, toxic and, if known, quality.  Rows without a toxic label take no part; of several labels of a
+    text the worst counts.
+    """
+    quality = 1 - F.col("quality") if "quality" in labels.columns else F.lit(None).cast("int")
+    worst = [F.max(c).alias(c) for c in CATEGORIES]
+    labels = labels.where("toxic is not null").select("doc_id", quality.alias("low_quality"), "toxic").groupBy("doc_id").agg(*worst)
+    hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    once = hashed.join(labels, "doc_id").groupBy("h").agg(*worst, F.min("doc_id").alias("doc_id"))
+    chosen = checkpoint(once.orderBy("h").limit(most).select("doc_id", *CATEGORIES))
+    # A text stands for its document: of rows that repeat a doc_id one is kept.
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in CATEGORIES])
+    return table(texts, "labelled")
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
-    """Fit the chain toxic, severe.
 
-    A labelled text is severe if it is toxic and has more selected features than the median toxic one.  Without toxic or
-    without other labelled texts the chain finds nothing toxic.
-    """
-    sample = labelled_sample(docs, labels, most)
+def _chosen_features(sample: DataFrame) -> dict[str, int]:
+    """The features that tell most about any category, half of the room for each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("toxicity")
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen: dict[tuple[int, int], Counter] = {(c, y): Counter() for c in range(len(CATEGORIES)) for y in (0, 1)}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[int(toxic > 0)].update({f for w in set(_words(text)) for f in _features(w)})
-        schema = pa.schema([("feature", pa.string()), ("n1", pa.int64()), ("n0", pa.int64())])
-        yield from batched(((f, n, seen[0][f]) for f, n in seen[1].items()), schema, 50_000)
-        yield from batched(((f, 0, n) for f, n in seen[0].items() if f not in seen[1]), schema, 50_000)
-
-    sizes = {int(r["y"] > 0): r["n"] for r in sample.groupBy(F.col("toxic").alias("y")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return Chain({}, CATEGORIES, [np.zeros(0), np.zeros(1)], [-40.0, -40.0])
-    counts = sample.select("text", "toxic").mapInArrow(count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    share = n1 / (n1 + n0)
-    a, b = F.col("n1"), F.col("n0")
-    both = a + b
-    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    evidence = 2 * (term(a, both * share) + term(b, both * (1 - share)))
-    best = counts.where((a > 2) & (a > both * share)).withColumn("g", evidence).where(F.col("g") >= LEAST_EVIDENCE)
-    features = {r["feature"]: k for k, r in enumerate(best.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect())}
+            for text, *marks in zip(*(batch.column(k).to_pylist() for k in range(1 + len(CATEGORIES))), strict=True):
+                found = {f for w in set(_words(text)) for f in _features(w)}
+                for c, mark in enumerate(marks):
+                    if mark is not None:
+                        seen[c, int(mark > 0)].update(found)
+        schema = pa.schema([("category", pa.int32()), ("feature", pa.string()), ("n1", pa.int64()), ("n0", pa.int64())])
+        for c in range(len(CATEGORIES)):
+            ones, zeros = seen[c, 1], seen[c, 0]
+            yield from batched(((c, f, ones[f], zeros[f]) for f in ones.keys() | zeros.keys()), schema, 50_000)
+
+    sizes = sample.agg(*[F.count_if(F.col(c) > 0).alias(f"a{k}") for k, c in enumerate(CATEGORIES)], *[F.count_if(F.col(c) <= 0).alias(f"b{k}") for k, c in enumerate(CATEGORIES)]).first()
+    counts = sample.select("text", *CATEGORIES).mapInArrow(count, "category int, feature string, n1 long, n0 long").groupBy("category", "feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = table(counts.where("n1 > 2"), "counts")
+    features: list[str] = []
+    for k in range(len(CATEGORIES)):
+        n1, n0 = sizes[f"a{k}"], sizes[f"b{k}"]
+        if not n1 or not n0:
+            continue
+        share, a, b = n1 / (n1 + n0), F.col("n1"), F.col("n0")
+        both = a + b
+        term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        best = counts.where((F.col("category") == k) & (a > both * share)).withColumn("g", 2 * (term(a, both * share) + term(b, both * (1 - share)))).where(F.col("g") >= LEAST_EVIDENCE)
+        features += [r["feature"] for r in best.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES // len(CATEGORIES)).collect()]
+    return {f: k for k, f in enumerate(dict.fromkeys(features))}
+
+
+def fit_chain(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, d: int, targets: list[np.ndarray]) -> tuple[list[np.ndarray], list[float], np.ndarray]:
+    """Weights and biases of a model for each target, and the out-of-fold probabilities that the later ones were fed.
+
+    A target is nan where a label is unknown; such rows teach that model nothing but get a probability from each fold's.
+    """
+    weights, biases, earlier = [], [], np.zeros((n, 0))
+    fold = np.arange(n) % FOLDS
+
+    def fitted(chosen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        if not chosen.any():
+            return np.zeros(d + earlier.shape[1]), 0.0
+        inside = chosen[row]
+        renumber = np.cumsum(chosen) - 1
+        return _fit(renumber[row[inside]], column[inside], value[inside], int(chosen.sum()), d, earlier[chosen], y[chosen])
+
+    for y in targets:
+        known = ~np.isnan(y)
+        outside = np.zeros(n)
+        for f in range(FOLDS):
+            w, bias = fitted(known & (fold != f), y)
+            p = _sigmoid(_scores(row, column, value, n, w, d) + earlier @ w[d:] + bias)
+            outside[fold == f] = p[fold == f]
+        w, bias = fitted(known, y)
+        weights.append(w)
+        biases.append(bias)
+        earlier = np.column_stack([earlier, outside])
+    return weights, biases, earlier
+
 
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chain:
+    """Fit the chain low_quality, toxic: the last model sees how poor a text is thought to be, and its probability decides.
+
+    Without toxic or without other labelled texts the chain finds nothing toxic; without quality labels the first model
+    knows nothing and says one half.
+    """
+    sample = labelled_sample(docs, labels, most)
+    kinds = sample.select(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b")).first()
+    if not kinds["a"] or not kinds["b"]:
+        return Chain({}, CATEGORIES, [np.zeros(k) for k in range(len(CATEGORIES))], [-40.0] * len(CATEGORIES))
+    features = _chosen_features(sample)
     chain = Chain(features, CATEGORIES, [], [])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.int32())), ("amounts", pa.list_(pa.float64()))])
+        schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in CATEGORIES), ("features", pa.list_(pa.int32())), ("amounts", pa.list_(pa.float64()))])
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 row, column, value = chain.rows(texts)
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
-                for k, (doc, toxic) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for k, (doc, *marks) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, *range(2, 2 + len(CATEGORIES)))), strict=True)):
                     part = slice(cut[k], cut[k + 1])
-                    yield doc, int(toxic > 0), column[part].tolist(), value[part].tolist()
+                    yield doc, *(None if m is None else int(m > 0) for m in marks), column[part].tolist(), value[part].tolist()
 
         yield from batched(rows(), schema)
 
     # At most ``most`` rows of a few numbers each.
-    found = sample.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(sparse, "doc_id long, toxic int, features array<int>, amounts array<double>").orderBy("doc_id").collect()
+    kind = "doc_id long, " + "".join(f"{c} int, " for c in CATEGORIES) + "features array<int>, amounts array<double>"
+    found = sample.select(F.col("doc_id").cast("long"), "text", *CATEGORIES).mapInArrow(sparse, kind).orderBy("doc_id").collect()
     n, d = len(found), len(features)
     order = [sorted(zip(r["features"], r["amounts"], strict=True)) for r in found]
     row = np.repeat(np.arange(n), [len(o) for o in order])
     column = np.array([c for o in order for c, _ in o], np.int64)
     value = np.array([v for o in order for _, v in o])
-    toxic = np.array([r["toxic"] for r in found], float)
-    hits = np.bincount(row, value, n)
-    targets = [toxic, toxic * (hits > np.median(hits[toxic > 0]))]
-    fold = np.arange(n) % FOLDS
-    earlier = np.zeros((n, 0))
-    for y in targets:
-        w, bias = _fit(row, column, value, n, d, earlier, y)
-        chain.weights.append(w)
-        chain.biases.append(bias)
-        outside = np.zeros(n)
-        for f in range(FOLDS):
-            train_row = fold != f
-            inside = train_row[row]
-            renumber = np.cumsum(train_row) - 1
-            w_f, b_f = _fit(renumber[row[inside]], column[inside], value[inside], int(train_row.sum()), d, earlier[train_row], y[train_row])
-            p = _sigmoid(_scores(row, column, value, n, w_f, d) + earlier @ w_f[d:] + b_f)
-            outside[~train_row] = p[~train_row]
-        earlier = np.column_stack([earlier, outside])
-    chain.threshold = _threshold(earlier[:, 0], toxic)
+    targets = [np.array([np.nan if r[c] is None else r[c] for r in found], float) for c in CATEGORIES]
+    chain.weights, chain.biases, outside = fit_chain(row, column, value, n, d, targets)
+    chain.threshold = _threshold(outside[:, -1], targets[-1])
     return chain
 
 
@@ -195,7 +231,9 @@ def _threshold(p: np.ndarray, y: np.ndarray, clean_weight: float = 5.0) -> float
 def classify(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
     """``docs`` with p_<category> for every category, ``toxic`` (p_toxic at or over ``threshold``, the chain's own if None) and ``kept`` (not toxic).
 
-    Null or wordless text has no features and gets the models' base probabilities.  Columns with these names are replaced.
+    Null or wordless text has no features and gets the models' base probabilities; whole texts are read, however long.
+    Repeated rows are judged alike, a probability at the threshold is toxic, and an empty table stays empty.  Columns with
+    these names are replaced; doc_id may have any type or be null.
     """
     names = [f"p_{c}" for c in chain.categories]
     docs = docs.drop(*names, "toxic", "kept")
