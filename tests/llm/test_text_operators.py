@@ -1,12 +1,14 @@
 """Operators on texts against brute force, on fixtures with nulls, empty and long texts, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import blocks, chat, jaccard_join, mixing, packing, quality, secrets, substring, toxicity
 
@@ -204,6 +206,43 @@ def test_near_duplicates_with_a_large_group(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cheap", [0, 1])
+def test_lengthened_prefixes_lose_no_link(spark, rows, monkeypatch, cheap):
+    monkeypatch.setattr(jaccard_join, "CHEAP", cheap)
+    rng = random.Random(12)
+    base, more = [f"b{k}" for k in range(120)], []
+    for i in range(120):  # copies at all distances around the threshold, of several lengths
+        w = base[: rng.choice([30, 60, 120])]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(30)}"
+        more.append((10_000 + i, " ".join(w)))
+    both = [(r[0], r[1]) for r in rows] + more
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(both, "doc_id long, text string")).collect()}
+    assert got == brute_components(both)
+
+
+def test_levels_agree_on_numbers_and_columns(spark):
+    sizes = [1, 2, 3, 7, 8, 20, 63, 64, 500, 4097]
+    for level in range(jaccard_join.TOP + 1):
+        functions = (jaccard_join._asked, jaccard_join._least_shared, jaccard_join._prefix)
+        columns = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", *[F.lit(f(level, F.col("n"))).cast("long").alias(f"c{k}") for k, f in enumerate(functions)])
+        for r in columns.collect():
+            assert [r.c0, r.c1, r.c2] == [f(level, r.n) for f in functions]
+            assert 1 <= jaccard_join._least_shared(level, r.n) <= r.n and jaccard_join._asked(level, r.n) <= jaccard_join._prefix(level, r.n) <= r.n
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda n, mark="w": " ".join(f"{mark}{k}" for k in range(n))
+    near = lambda rows: sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert near([(1, text(20)), (1, text(50))]) == [(1, 16, 1), (1, 46, 1)]
+    # Text v of document 1 is near document 5's; text w of document 2 is document 1's.
+    rows = [(1, text(40)), (1, text(60, "v")), (2, text(40)), (2, text(30, "x")), (5, text(61, "v")), (7, text(12, "y")), (7, text(12, "y")), (7, "")]
+    assert near(rows) == sorted([(1, 36, 1), (1, 56, 1), (2, 36, 1), (2, 26, 2), (5, 57, 1), (7, 8, 7), (7, 8, 7), (7, 0, 7)])
+    frame = spark.createDataFrame([(*r, "z") for r in [*rows, (None, text(40)), (None, "alone without an id")]], "doc_id long, text string, _h string")
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard_join.one_of_each(frame).collect())
+    assert kept == sorted([(1, text(40)), (1, text(60, "v")), (2, text(30, "x")), (7, text(12, "y")), (7, ""), (0, "alone without an id")])
+
+
 # ---- 7 substring --------------------------------------------------------------------------------------------------------
 
 
@@ -371,10 +410,64 @@ def test_toxicity_on_held_out_texts(spark):
     held = [i for i in range(300, 500)]
     assert sum(got[i].toxic == (i % 5 == 0) for i in held) / len(held) > 0.97
     assert len(chain.weights) == 2 and len(chain.weights[1]) == len(chain.features) + 1
+    judged = toxicity.classify(docs.selectExpr("cast(doc_id as string) as doc_id", "text").union(docs.selectExpr("null", "text").limit(3)), chain)
+    assert judged.count() == len(rows) + 3 and toxicity.classify(docs.limit(0), chain).count() == 0
+    edge = got[0].p_toxic
+    assert toxicity.classify(docs.where("doc_id = 0"), chain, edge).first().toxic and not toxicity.classify(docs.where("doc_id = 0"), chain, np.nextafter(edge, 1)).first().toxic
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.classify(docs, none).where("toxic").count() == 0
 
 
+def test_chain_feeds_on_probabilities_from_other_folds():
+    """Dense loops for sparse sums; the out-of-fold probabilities are those of models that haven't seen the row."""
+    rng = np.random.default_rng(6)
+    n, d = 80, 7
+    dense = np.where(rng.random((n, d)) < 0.4, 1 + rng.random((n, d)), 0.0)
+    row, column = np.nonzero(dense)
+    first = (dense[:, 0] + rng.normal(0, 0.5, n) > 0.7).astype(float)
+    first[::9] = np.nan
+    last = ((dense[:, 1] > 0) | (np.nan_to_num(first) > 0) & (rng.random(n) < 0.8)).astype(float)
+    weights, biases, fed = toxicity.fit_chain(row, column, dense[row, column], n, d, [first, last])
+
+    def fit(x, y):
+        w = at = np.zeros(x.shape[1])
+        b = b_at = 0.0
+        rate, share = 4 / ((dense**2).sum(1)[: len(x)].max() if x is None else (x[:, :d] ** 2).sum(1).max() + x.shape[1] - d + 1), max(1.0, len(x) / 50)
+        for k in range(300):
+            error = 1 / (1 + np.exp(-(x @ at + b_at))) - y
+            new, new_b = at - rate * (x.T @ error + len(x) * 1e-3 * at) / share, b_at - rate * error.sum() / share
+            at, b_at, w, b = new + k / (k + 3) * (new - w), new_b + k / (k + 3) * (new_b - b), new, new_b
+        return w, b
+
+    x = dense
+    for k, y in enumerate((first, last)):
+        known, outside = ~np.isnan(y), np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            inside = known & (np.arange(n) % toxicity.FOLDS != f)
+            w, b = fit(x[inside], y[inside])
+            held = np.arange(n) % toxicity.FOLDS == f
+            outside[held] = (1 / (1 + np.exp(-(x @ w + b))))[held]
+        w, b = fit(x[known], y[known])
+        assert np.allclose(weights[k], w, rtol=1e-3, atol=1e-3) and np.isclose(biases[k], b, rtol=1e-3) and np.allclose(fed[:, k], outside, atol=1e-4)
+        x = np.column_stack([x, outside])
+    assert abs(weights[1][d]) > 0.1  # the earlier category counts
+
+
+def test_chain_matches_a_loop_over_texts(spark):
+    chain = toxicity.Chain({"bad": 0, "bad*": 1, "poor": 2}, ("low_quality", "toxic"), [np.array([0.1, 0.2, 2.0]), np.array([1.5, 0.5, 0.0, 3.0])], [-1.0, -2.0], 0.5)
+    texts = ["bad BAD poor", "badly", None, "", "poor " * 400, "nothing here"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.classify(frame, chain).collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").lower().split()
+        # A word of three letters is no beginning of itself.
+        counts = [sum(w == "bad" for w in words), sum(len(w) > 3 and w[:3] == "bad" for w in words), sum(w == "poor" for w in words)]
+        values = [1 + math.log(c) if c else 0.0 for c in counts]
+        p = 1 / (1 + math.exp(1.0 - sum(v * w for v, w in zip(values, chain.weights[0]))))
+        q = 1 / (1 + math.exp(2.0 - sum(v * w for v, w in zip(values, chain.weights[1])) - 3.0 * p))
+        assert abs(got[k].p_low_quality - p) < 1e-9 and abs(got[k].p_toxic - q) < 1e-9 and got[k].toxic == (q >= 0.5) and got[k].kept != got[k].toxic
+
+
 def test_blocks_find_exactly_the_shared_keys():
     import pyarrow as pa
 
