@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard_join, mixing, packing, secrets, toxicity
-from quern.storage import scratch_root, ship, sweep, table
+from quern.storage import scratch_root, ship, sweep
 
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,9 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates, the one with the smallest doc_id; documents without words stay."""
     sweep()  # the previous stage is written
     ship(spark)
-    placed = jaccard_join.near_duplicates(docs)
-    gone = table(placed.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return jaccard_join.one_of_each(docs).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
