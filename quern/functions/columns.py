@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: what a lambda refers to is computed anew for each element otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ratio(numerator: Column, denominator: Column, empty: Column | float) -> Column:
     """numerator / denominator, and ``empty`` where the denominator is 0."""
     value = empty if isinstance(empty, Column) else F.lit(float(empty))

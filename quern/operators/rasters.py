@@ -1,11 +1,11 @@
-"""Small square rasters as arrays: statistics, difference hashes, orientations and pair comparison, all as expressions."""
+"""Square rasters as arrays: statistics, orientations and pair comparison, all as expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.columns import pearson
+from quern.functions.columns import held, pearson
 
 ORIENTATIONS = ("identity", "flip_h", "flip_v", "rotate_180", "rotate_90", "rotate_270", "transpose", "anti_transpose")
 INVERSE = {name: name for name in ORIENTATIONS} | {"rotate_90": "rotate_270", "rotate_270": "rotate_90"}
@@ -28,21 +28,13 @@ def permutation(name: str, size: int) -> list[int]:
     return [sy * size + sx for sx, sy in cells]
 
 
-def turned(cells: Column, name: str, size: int) -> Column:
-    return F.transform(F.array(*[F.lit(k) for k in permutation(name, size)]), lambda k: F.get(cells, k))
-
+def fixed(values: list, kind: str = "int") -> Column:
+    """A constant array; one literal, as a column for each of thousands of values would take the driver seconds."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
-def difference_hash(cells: Column, size: int, orientation: str = "identity") -> Column:
-    """A bit for each cell that is less than its right neighbour, the first in the highest place; up to 64 bits.
 
-    For a turned raster the cells are picked from their places in the raster as it is.
-    """
-    at = permutation(orientation, size)
-    pairs = [(at[y * size + x], at[y * size + x + 1]) for y in range(size) for x in range(size - 1)]
-    if len(pairs) > 64:
-        raise ValueError("more than 64 comparisons; hash parts of the raster")
-    picked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    return F.aggregate(picked, F.lit(0).cast("long"), lambda h, k: F.shiftleft(h, 1).bitwiseOR(F.when(F.get(cells, k["i"]) < F.get(cells, k["j"]), 1).otherwise(0).cast("long")))
+def turned(cells: Column, name: str, size: int) -> Column:
+    return held(cells, lambda c: F.transform(fixed(permutation(name, size)), lambda k: F.get(c, k)))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -91,11 +83,9 @@ def psnr(mean_square: Column, peak: float = 255.0) -> Column:
     return F.when(mean_square == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(peak * peak) / mean_square))
 
 
-def _bands(h: Column, bits: int, distance: int) -> Column:
-    """(band, value) of ``distance`` + 1 parts of the hash: two hashes within the distance agree in one part at least."""
-    n = distance + 1
-    edges = [bits * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+def hash_distance(a: Column, b: Column) -> Column:
+    """Bits in which two hashes of four longs differ."""
+    return hamming(a[0], b[0]) + hamming(a[1], b[1]) + hamming(a[2], b[2]) + hamming(a[3], b[3])
 
 
 def block_sides(rows: DataFrame, spread: Column, blocks: Column) -> tuple[DataFrame, DataFrame]:
@@ -110,58 +100,48 @@ def block_sides(rows: DataFrame, spread: Column, blocks: Column) -> tuple[DataFr
 
 
 def hamming_within(hashes: DataFrame, key: str, value: str, distance: int, block: int = 4096) -> DataFrame:
-    """Every pair (a < b) of ``hashes`` within ``distance``, by comparison of all rows with all, in blocks of ``block`` rows.
+    """Every pair (a < b) of ``hashes`` of four longs within ``distance``, by comparison of all rows with all, in blocks of ``block`` rows.
 
     For distances at which no band of the hash is selective; the number of comparisons is the square of the rows.
     """
     rows = hashes.select(F.col(key).alias("k"), F.col(value).alias("h"))
     left, right = block_sides(rows, F.col("k"), F.lit(max(8, -(-rows.count() // block))))
     left, right = left.withColumnsRenamed({"k": "ka", "h": "ha"}), right.withColumnsRenamed({"k": "kb", "h": "hb"})
-    apart = hamming(F.col("ha"), F.col("hb"))
+    apart = hash_distance(F.col("ha"), F.col("hb"))
     once = ((F.col("_i") < F.col("_j")) & (F.col("ka") != F.col("kb"))) | (F.col("ka") < F.col("kb"))
     return left.join(right, ["_i", "_j"]).where(once & (apart <= distance)).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), apart.alias("distance"))
 
 
-def near_pairs(rasters: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float, block: list[str] | None = None, orientations: tuple[str, ...] = ORIENTATIONS) -> DataFrame:
-    """Pairs (a < b) that are near in some orientation, with the best one.
+def verify_pairs(pairs: DataFrame, rasters: DataFrame, key: str, cells: str, size: int, foreground: float = 0.0) -> DataFrame:
+    """Correlation, MAE, RMSE, PSNR, mask IoU and mismatching cells of given pairs (a, b, transform) at full size.
 
-    Candidates share a band of the difference hash, of b as it is and a turned, or the reverse; then the exact distance, then
-    Pearson correlation of the turned raster.  Of several orientations the best correlation wins, then the smaller distance,
-    then the first.  ``block`` columns must be equal too.
+    A mask cell is one of ``foreground`` or more.
     """
-    block = block or []
-    bits = size * (size - 1)
-    base = rasters.select(F.col(key).alias("k"), F.col(cells).cast("array<double>").alias("c"), *block)
-    turned_hashes = F.array(*[F.struct(F.lit(k).alias("o"), difference_hash(F.col("c"), size, name).alias("h")) for k, name in enumerate(ORIENTATIONS) if name in orientations])
-    hashed = base.withColumn("hs", turned_hashes).withColumn("h0", difference_hash(F.col("c"), size))
-    plain = hashed.select("k", *block, "h0", F.inline(_bands(F.col("h0"), bits, distance)))
-    moved = hashed.select("k", *block, F.inline("hs")).select("k", *block, "o", "h", F.inline(_bands(F.col("h"), bits, distance)))
-    on = ["band", "part", *block]
-    left = moved.withColumnsRenamed({"k": "a", "h": "ha"})
-    forward = left.join(plain.withColumnsRenamed({"k": "b"}), on).where("a < b").select("a", "b", "o", hamming(F.col("ha"), F.col("h0")).alias("d"))
-    inverse = F.element_at(F.array(*[F.lit(ORIENTATIONS.index(INVERSE[name])) for name in ORIENTATIONS]), F.col("o") + 1)
-    backward = moved.withColumnsRenamed({"k": "b", "h": "hb"}).join(plain.withColumnsRenamed({"k": "a"}), on).where("a < b").select("a", "b", inverse.alias("o"), hamming(F.col("hb"), F.col("h0")).alias("d"))
-    near = forward.union(backward).where(F.col("d") <= distance).groupBy("a", "b", "o").agg(F.min("d").alias("d"))
-    x, y = base.select(F.col("k").alias("a"), F.col("c").alias("ca")), base.select(F.col("k").alias("b"), F.col("c").alias("cb"))
-    names = F.array(*[F.lit(n) for n in ORIENTATIONS])
-    moved_cells = None
-    for k, name in enumerate(ORIENTATIONS):
-        moved_cells = F.when(F.col("o") == k, turned(F.col("ca"), name, size)) if moved_cells is None else moved_cells.when(F.col("o") == k, turned(F.col("ca"), name, size))
-    scored = near.join(x, "a").join(y, "b").withColumn("m", moved_cells)
-    scored = scored.withColumns({"r": pearson(F.col("m"), F.col("cb")), "iou": mask_iou(F.col("m"), F.col("cb"))}).where(F.round("r", 9) >= correlation)
-    best = F.struct(F.round("r", 9), -F.col("d"), -F.col("o"))
-    return scored.groupBy("a", "b").agg(F.max_by(F.struct("o", "d", "r", "iou"), best).alias("x")).select("a", "b", F.element_at(names, F.col("x.o") + 1).alias("transform"), F.col("x.d").alias("distance"), F.col("x.r").alias("correlation"), F.col("x.iou").alias("mask_iou"))
-
-
-def verify_pairs(pairs: DataFrame, rasters: DataFrame, key: str, cells: str, size: int) -> DataFrame:
-    """Correlation, MAE, RMSE, PSNR and mask IoU of given pairs (a, b, transform) at full size."""
     x = rasters.select(F.col(key).alias("a"), F.col(cells).cast("array<double>").alias("ca"))
     y = rasters.select(F.col(key).alias("b"), F.col(cells).cast("array<double>").alias("cb"))
     moved = None
     for name in ORIENTATIONS:
         moved = F.when(F.col("transform") == name, turned(F.col("ca"), name, size)) if moved is None else moved.when(F.col("transform") == name, turned(F.col("ca"), name, size))
     joined = pairs.join(x, "a").join(y, "b").withColumn("m", moved).withColumn("mse", mse(F.col("m"), F.col("cb")))
-    return joined.select("a", "b", "transform", pearson(F.col("m"), F.col("cb")).alias("full_correlation"), mae(F.col("m"), F.col("cb")).alias("mae"), F.sqrt("mse").alias("rmse"), psnr(F.col("mse")).alias("psnr"), mask_iou(F.col("m"), F.col("cb")).alias("full_mask_iou"))
+    unlike = lambda f: F.aggregate(F.zip_with("m", "cb", f), F.lit(0).cast("long"), lambda s, d: s + F.when(d, 1).otherwise(0))
+    return joined.select(
+        "a", "b", "transform", pearson(F.col("m"), F.col("cb")).alias("full_correlation"), mae(F.col("m"), F.col("cb")).alias("mae"), F.sqrt("mse").alias("rmse"), psnr(F.col("mse")).alias("psnr"),
+        mask_iou(F.col("m"), F.col("cb"), foreground - 0.5).alias("full_mask_iou"), unlike(lambda p, q: p != q).alias("image_mismatch"),
+        unlike(lambda p, q: (p >= foreground) != (q >= foreground)).alias("mask_mismatch"),
+    )
+
+
+def strong_duplicate(correlation: float = 0.998, most_mae: float = 3.0) -> Column:
+    return (F.col("full_correlation") >= correlation) & (F.col("mae") <= most_mae)
+
+
+def likely_duplicate(correlation: float = 0.98, iou: float = 0.90) -> Column:
+    return (F.col("full_correlation") >= correlation) & (F.col("full_mask_iou") >= iou)
+
+
+def strong_candidate(distance: int = 8, correlation: float = 0.98) -> Column:
+    """Of a near pair before its verification at full size."""
+    return (F.col("distance") <= distance) & (F.col("correlation") >= correlation)
 
 
 def letterbox(width: Column, height: Column, target: int) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.columns import hash_order
+from quern.functions.columns import hash_order, held
 from quern.schemas import SPLITS
 
 RATIOS = (0.70, 0.15, 0.15)
@@ -22,11 +22,6 @@ def _ordered_groups(groups: DataFrame, strata: list[str], order: Column, fields:
     return groups.groupBy(*strata).agg(listed, *[F.sum(field).alias(name) for name, field in totals.items()])
 
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: expressions inside folds aren't shared otherwise."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _folded(grouped: DataFrame, strata: list[str], state: Column, step) -> DataFrame:
     return grouped.withColumn("r", F.aggregate("g", state, step)["out"]).select(*strata, F.inline("r"))
 
@@ -49,7 +44,7 @@ def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int, ratios: t
         deficits = [(F.lit(r) * F.col("total") - a[s]) / F.greatest(F.lit(r) * F.col("total"), F.lit(1.0)) for s, r in zip(SPLITS, ratios, strict=True)]
         # The largest deficit first; of equals the smallest hash.
         best = F.array_min(F.array(*[F.struct((-F.round(d, 12)).alias("d"), x["prefer"][k].alias("h"), F.lit(s).alias("s")) for k, (s, d) in enumerate(zip(SPLITS, deficits, strict=True))]))["s"]
-        return _with(best, lambda choice: moved(a, x, choice))
+        return held(best, lambda choice: moved(a, x, choice))
 
     def moved(a: Column, x: Column, choice: Column) -> Column:
         return F.struct(
@@ -85,7 +80,7 @@ def allocate_by_error(rows: DataFrame, positive: Column, seed: int, ratios: tupl
         return out
 
     def step(a: Column, x: Column) -> Column:
-        return _with(F.array(*[error(a, x, s) for s in SPLITS]), lambda e: _with(chosen(e), lambda choice: moved(a, x, choice)))
+        return held(F.array(*[error(a, x, s) for s in SPLITS]), lambda e: held(chosen(e), lambda choice: moved(a, x, choice)))
 
     def chosen(e: Column) -> Column:
         second = e[1] < e[0] - 1e-12

@@ -4,26 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType([T.StructField(name, _KINDS[kind], True) for name, kind in (part.split(":") for part in text.split())])
 
+def _schema(columns: str) -> T.StructType:
+    """A schema from ``name type, name type``; Spark's own parser needs a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
-_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType()}
 
-MANIFEST = _struct("sample_id:s source_id:i tumor_type:s group_id:s split:s image_path:s mask_path:s image_sha256:s mask_sha256:s")
-GROUP_MAP = _struct("sample_id:s group_id:s")
-SAMPLE_METRICS = _struct(
-    "sample_id:s tumor_type:s image_path:s mask_path:s iou:d dice:d precision:d recall:d specificity:d accuracy:d true_positive:l false_positive:l false_negative:l true_negative:l"
+MANIFEST = _schema(
+    "sample_id string, source_id int, tumor_type string, group_id string, split string, image_path string, mask_path string, image_sha256 string, "
+    "mask_sha256 string"
 )
-PIXEL_AUDIT = _struct(
-    "sample_id:s tumor_type:s source_dataset:s original_split:s split:s group_id:s image_path:s mask_path:s image_pixel_sha256:s mask_pixel_sha256:s "
-    "image_distinct_values:i image_min:i image_max:i image_mean:d image_stddev:d mask_distinct_values:i mask_binary:b foreground_pixels:l foreground_fraction:d "
-    "mask_min_x:i mask_min_y:i mask_max_x:i mask_max_y:i actual_image_sha256:s actual_mask_sha256:s"
+GROUP_MAP = _schema("sample_id string, group_id string")
+SAMPLE_METRICS = _schema(
+    "sample_id string, tumor_type string, image_path string, mask_path string, iou double, dice double, precision double, recall double, "
+    "specificity double, accuracy double, true_positive long, false_positive long, false_negative long, true_negative long"
+)
+PIXEL_AUDIT = _schema(
+    "sample_id string, tumor_type string, source_dataset string, original_split string, split string, group_id string, image_path string, "
+    "mask_path string, image_pixel_sha256 string, mask_pixel_sha256 string, image_distinct_values int, image_min int, image_max int, image_mean "
+    "double, image_stddev double, mask_distinct_values int, mask_binary boolean, foreground_pixels long, foreground_fraction double, mask_min_x "
+    "int, mask_min_y int, mask_max_x int, mask_max_y int, actual_image_sha256 string, actual_mask_sha256 string"
+)
+QUARANTINE = _schema("candidate_id string, source_dataset string, tumor_type string, duplicate_group string, reason string, minimum_mask_iou double")
+ISSUES = _schema("severity string, code string, count long, detail string")
+EPOCH_METRICS = _schema(
+    "loss double, macro_iou double, macro_dice double, micro_iou double, micro_dice double, positive_macro_iou double, positive_macro_dice "
+    "double, empty_false_positive_rate double"
 )
-QUARANTINE = _struct("candidate_id:s source_dataset:s tumor_type:s duplicate_group:s reason:s minimum_mask_iou:d")
-ISSUES = _struct("severity:s code:s count:l detail:s")
-EPOCH_METRICS = _struct("loss:d macro_iou:d macro_dice:d micro_iou:d micro_dice:d positive_macro_iou:d positive_macro_dice:d empty_false_positive_rate:d")
 EPOCH_RECORD = T.StructType(
     [
         T.StructField("epoch", T.IntegerType()),
@@ -38,5 +47,5 @@ EPOCH_RECORD = T.StructType(
         T.StructField("elapsed_seconds", T.DoubleType()),
     ]
 )
-CASE_MAP = _struct("case_id:s sample_id:s group_id:s split:s")
+CASE_MAP = _schema("case_id string, sample_id string, group_id string, split string")
 SPLITS = ("train", "val", "test")

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import rasters
-from quern.plans.rasters import SIZE
 from quern.schemas import EPOCH_RECORD, MANIFEST
 from quern.sources import config, files, tables
 from quern.streaming import history
@@ -99,33 +98,105 @@ def test_case_map_and_folds(spark):
         tables.case_map(clash).collect()
 
 
-def test_config_rules():
-    good = {s: {} for s in config.SECTIONS} | {"split": {"ratios": {"train": 0.7, "val": 0.15, "test": 0.15}}, "data": {"image_size": [256, 256]}, "model": {"name": "unet"}}
-    assert config.problems(good) == []
-    assert config.problems(good | {"data": {"image_size": [48, 48]}, "model": {"name": "resnet34_unet"}}) == ["image_size must be two positive multiples of 32"]
-    bad = good | {"split": {"ratios": {"train": 0.9, "val": 0.2, "test": 0.1}}, "data": {"channel_mode": "rgb_multimodal"}, "evaluation": {"threshold": 1.0}}
-    assert len(config.problems(bad)) == 3
+def good_config():
+    return {
+        "project": {"name": "run", "seed": 42, "output_dir": "runs/run_seed42"},
+        "data": {
+            "root": "DATASET", "manifest": "splits/m.csv", "split_ratios": {"train": 0.70, "val": 0.15, "test": 0.15}, "image_size": [256, 256], "channel_mode": "flair_green",
+            "positive_sampling_fraction": 0.40, "augmentation": {"horizontal_flip_probability": 0.5, "rotation_degrees": 5.0},
+        },
+        "model": {"name": "unet", "encoder": "double_conv", "in_channels": 1, "out_channels": 1},
+        "loss": {"name": "bce_positive_dice"}, "optimizer": {"name": "adamw"}, "scheduler": {"name": "reduce_on_plateau"}, "training": {"epochs": 150},
+        "metrics": {"threshold": 0.5, "primary": "positive_macro_iou", "threshold_search": [0.3, 0.5]},
+        "evaluation": {"split": "val", "save_predictions": True, "max_saved_predictions": None},
+    }
+
+
+CONFIG_FAULTS = [
+    ("data", "split_ratios", {"train": 0.8, "val": 0.2}, "train, val and test"),
+    ("data", "split_ratios", {"train": 1.15, "val": -0.3, "test": 0.15}, "positive"),
+    ("data", "split_ratios", {"train": 0.9, "val": 0.2, "test": 0.1}, "sum to 1"),
+    ("data", "image_size", [256], "two positive integers"),
+    ("data", "image_size", [250, 256], "divisible by 16"),
+    ("data", "channel_mode", "green_flair", "channel_mode"),
+    ("data", "positive_sampling_fraction", 1.0, "positive_sampling_fraction"),
+    ("data", "augmentation", {"gaussian_blur_probability": 1.5}, "gaussian_blur_probability"),
+    ("model", "in_channels", 3, "in_channels must be 1"),
+    ("model", "out_channels", 2, "out_channels"),
+    ("metrics", "threshold", 0.0, "metrics.threshold must"),
+    ("metrics", "threshold_search", [0.5, 1.0], "threshold_search"),
+    ("evaluation", "max_saved_predictions", 0, "max_saved_predictions"),
+    ("evaluation", "save_predictions", "yes", "save_predictions"),
+]
+
+
+def test_each_config_rule_fails_alone():
+    assert config.problems(good_config()) == []
+    for section, key, value, message in CONFIG_FAULTS:
+        broken = good_config()
+        broken[section][key] = value
+        found = config.problems(broken)
+        assert len(found) == 1 and message in found[0], (section, key, found)
+    for section in config.SECTIONS:
+        broken = good_config()
+        del broken[section]
+        assert f"section {section} is missing" in config.problems(broken)
+    resnet = good_config()
+    resnet["data"]["image_size"], resnet["model"]["encoder"] = [48, 48], "resnet34"
+    assert config.problems(resnet) == ["data.image_size must be divisible by 32"]
+    resnet["model"] |= {"encoder": "double_conv", "name": "resnet34_unet"}
+    assert config.problems(resnet) == []  # the encoder's name alone asks for 32
     with pytest.raises(ValueError):
         config.validate({})
+
+
+def test_config_comparison_and_stages():
     assert config.comparable_digest({"seed": 1, "a": {"output_dir": "x", "b": 2}}) == config.comparable_digest({"seed": 2, "a": {"b": 2}, "_path": "y"})
+    assert config.without_internal({"_project_root": "x", "a": 1}) == {"a": 1}
     assert config.seed_config("a: 1\nseed: 42\n", 7) == "a: 1\nseed: 7\n"
     with pytest.raises(ValueError):
         config.seed_config("a: 1\n", 7)
     assert config.next_stage({"a": True}, ("a", "b")) == "b" and config.next_stage({"a": True, "b": True}, ("a", "b")) is None
+    done = {"prepare"}
+    stages = {name: (lambda name=name: done.add(name)) for name in ("prepare", "train", "report")}
+    assert config.run_stages(stages, done.__contains__) == ["train", "report"] and config.run_stages(stages, done.__contains__) == []
+    with pytest.raises(RuntimeError):
+        config.run_stages({"idle": lambda: None}, lambda _: False)
+    with pytest.raises(ValueError):
+        config.plan_stages({"b": True}, ("a", "b"))
+    assert config.run_all([("a", lambda: None), ("b", lambda: 1 / 0), ("c", lambda: done.add("c"))]) == {"b": "division by zero"} and "c" in done
+    assert [config.run_state(x, 150) for x in ({}, {"history": 30, "checkpoint": 12}, {"history": 150, "checkpoint": 90, "metrics": 352})] == ["missing", "resume", "complete"]
+    with pytest.raises(ValueError):
+        config.run_state({"history": 3, "checkpoint": 9}, 150)
 
 
 def test_orientations_invert_and_near_pairs_match_nested_loops(spark):
     import random
 
+    from quern.operators import images, near
+
     cells = list(range(16))
-    turn = lambda c, name: [c[k] for k in rasters.permutation(name, 4)]
+    turn = lambda c, name, size: [c[k] for k in rasters.permutation(name, size)]
     for name in rasters.ORIENTATIONS:
-        assert turn(turn(cells, name), rasters.INVERSE[name]) == cells
+        assert turn(turn(cells, name, 4), rasters.INVERSE[name], 4) == cells
     rng = random.Random(1)
-    base = {k: [rng.random() for _ in range(64)] for k in range(12)}
-    turn = lambda c, name: [c[k] for k in rasters.permutation(name, SIZE)]
+    base = {k: [rng.randrange(256) for _ in range(64 * 64)] for k in range(10)}
+    for k, name in enumerate(rasters.ORIENTATIONS):
+        base[100 + k] = [min(255, v + 1) for v in turn(base[k], name, 64)]
+    base |= {200 + k: [7] * 4096 for k in range(5)}  # blank images are near nothing
+
+    def hash_of(c, name):
+        s = [c[k] for k in images.sample_places(64, name)]
+        return sum((s[y * 17 + x] > s[y * 17 + x + 1]) << (16 * y + x) for y in range(16) for x in range(16))
+
+    frame = spark.createDataFrame(list(base.items()), "k long, c array<int>")
+    words = {r.k: r.h for r in frame.select("k", images.sampled_hash(F.col("c"), 64, "rotate_90").alias("h")).collect()}
+    assert all(sum((w & (2**64 - 1)) << (64 * k) for k, w in enumerate(words[k])) == hash_of(c, "rotate_90") for k, c in base.items() for k in [k])
+    got = {(r.a, r.b): (r.transform, r.distance) for r in near.near_pairs(frame, "k", "c", 64, 12, 0.95).collect()}
+    want = {}
     for k, name in enumerate(rasters.ORIENTATIONS):
-        base[100 + k] = turn(base[k], name)
-    frame = spark.createDataFrame(list(base.items()), "k long, c array<double>")
-    got = {(r.a, r.b): r.transform for r in rasters.near_pairs(frame, "k", "c", SIZE, 6, 0.95).collect()}
-    assert {p: t for p, t in got.items()} == {(k, 100 + k): name for k, name in enumerate(rasters.ORIENTATIONS)}
+        forward = (hash_of(base[k], name) ^ hash_of(base[100 + k], "identity")).bit_count()
+        want[k, 100 + k] = (name, min(forward, (hash_of(base[100 + k], rasters.INVERSE[name]) ^ hash_of(base[k], "identity")).bit_count()))
+    assert got == want
+    across = near.near_across(frame.where("k < 100"), frame.where("k >= 100"), "k", "c", 64, 12, 0.95).collect()
+    assert [(r.a, r.b) for r in across] == [(0, 100)]
