@@ -58,3 +58,21 @@ def pearson(a: Column, b: Column) -> Column:
     product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
     var_a, var_b = n * product(a, a) - total(a) * total(a), n * product(b, b) - total(b) * total(b)
     return F.when((var_a <= 1e-12) | (var_b <= 1e-12), F.lit(0.0)).otherwise((n * product(a, b) - total(a) * total(b)) / F.sqrt(var_a * var_b))
+
+
+def fixed_digits(value: Column, digits: int = 4, signed: bool = False) -> Column:
+    """A number with so many decimals, with its sign if ``signed``; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%{'+' if signed else ''}.{digits}f", value))
+
+
+def percent(value: Column, digits: int = 2) -> Column:
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f%%", 100 * value))
+
+
+def utc_stamp(time: Column) -> Column:
+    """ISO 8601 to the second with the offset of UTC; the session's time zone must be UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    return F.unix_micros(end.cast("timestamp")) / F.lit(1e6) - F.unix_micros(start.cast("timestamp")) / F.lit(1e6)

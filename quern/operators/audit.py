@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -82,3 +83,80 @@ def comparable(runs: DataFrame, fingerprint: Column, count: Column, expected_fin
     status = F.when(fingerprint.isNull(), "missing").when(fingerprint != expected_fingerprint, "different_data").when(count != expected_count, "different_count").otherwise("comparable")
     out = runs.withColumn("status", status)
     return out.withColumns({m: F.when(F.col("status") == "comparable", F.col(m)) for m in metrics})
+
+
+def slice_key(patient: Column, number: Column) -> Column:
+    """The key that manifests and audit rows share: patient__slice_n."""
+    return F.concat(patient, F.lit("__slice_"), number.cast("string"))
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, preview: int = 10) -> DataFrame:
+    """Inner join in which every left row must find a partner; else an error that names the first keys without one."""
+    missing = left.join(right.select(key), key, "left_anti").select(key).orderBy(key).limit(preview).collect()
+    if missing:
+        raise ValueError(f"no partner for {[r[0] for r in missing]}")
+    return left.join(right, key)
+
+
+def without_date(folder: Column) -> Column:
+    """A folder name without the eight digits of a date at its end."""
+    return F.regexp_replace(folder, "_[0-9]{8}$", "")
+
+
+def unreferenced(files: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
+    """Files that the manifest doesn't name, whatever the case of the names."""
+    named = manifest.select(F.lower(path).alias("_lower")).distinct()
+    return files.join(named, F.lower(files[path]) == named["_lower"], "left_anti")
+
+
+def verify_files(manifest: DataFrame, files: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:
+    """The rows of ``manifest`` whose file is missing or has another digest, with ``problem``."""
+    found = files.select(F.col(path).alias("_path"), F.col(digest).alias("_digest"))
+    problem = F.when(F.col("_digest").isNull(), "missing_file").when(F.col("_digest") != F.col(digest), "digest_differs")
+    return manifest.join(found, manifest[path] == found["_path"], "left").withColumn("problem", problem).where("problem is not null").drop("_path", "_digest")
+
+
+def unified(sources: list[tuple[DataFrame, dict[str, str | Column]]], classes: dict[str, str], code: str) -> DataFrame:
+    """One table from differently shaped sources: each comes with its column for every name; class codes become class names.
+
+    A code that ``classes`` doesn't have is an error when read.
+    """
+    names = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    known = F.element_at(names, F.col(code))
+    checked = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown class code: "), F.coalesce(F.col(code), F.lit("null")))))
+    parts = [frame.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]).withColumn(code, checked) for frame, columns in sources]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def numeric_order(rows: DataFrame, within: str, text: str) -> DataFrame:
+    """``rows`` numbered from 1 within a class, by a text column read as a number; what isn't one comes last, by text."""
+    number = F.col(text).try_cast("long")
+    return rows.withColumn("position", F.row_number().over(W.partitionBy(within).orderBy(number.asc_nulls_last(), text)))
+
+
+def with_cohort(clean: DataFrame, old: DataFrame, key: str, metric: str) -> DataFrame:
+    """``clean`` with the metric of the older cohort by experiment, null where it has none, and the difference."""
+    earlier = old.select(key, F.col(metric).alias(f"old_{metric}"))
+    return clean.join(earlier, key, "left").withColumn(f"{metric}_change", F.col(metric) - F.col(f"old_{metric}"))
+
+
+#: Severity, code, condition and detail of the rules for pairs of 512 x 512 images and masks.
+SEGMENTATION_RULES = (
+    ("critical", "content_hash_mismatch", "actual_image_sha256 <> image_sha256 or actual_mask_sha256 <> mask_sha256", "File bytes differ from the manifest."),
+    ("high", "bad_dimensions", "image_width <> 512 or image_height <> 512 or mask_width <> 512 or mask_height <> 512", "Image or mask is not 512x512."),
+    ("medium", "unexpected_bit_depth", "image_bpp <> 8 or mask_bpp <> 8", "Image or mask is not decoded as 8-bit."),
+    ("high", "invalid_masks", "not mask_binary or foreground_pixels = 0 or foreground_pixels = 262144", "Mask is non-binary, empty or full."),
+    ("medium", "low_information_images", "image_distinct_values < 16 or image_stddev < 5", "Image has under 16 values or a standard deviation below 5."),
+)
+#: The same for slices of 256 x 256 with three channels.
+SLICE_RULES = (
+    ("high", "bad_dimensions", "image_width <> 256 or image_height <> 256 or mask_width <> 256 or mask_height <> 256", "Image or mask is not 256x256."),
+    ("high", "invalid_masks", "not mask_binary", "Mask is non-binary."),
+    ("info", "empty_masks", "foreground_pixels = 0", "Mask is empty."),
+    ("medium", "full_masks", "foreground_pixels = 65536", "Mask is full."),
+    ("medium", "low_information_images", "red_sd < 3 and green_sd < 3 and blue_sd < 3", "All channels have a standard deviation below 3."),
+)
+
+
+def rule_issues(rows: DataFrame, rules: tuple[tuple[str, str, str, str], ...]) -> DataFrame:
+    return issue_list(rows, [(severity, code, F.expr(condition), detail) for severity, code, condition, detail in rules])

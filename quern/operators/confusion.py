@@ -6,9 +6,11 @@ Every accumulator is a sum, so partial aggregation in the map tasks leaves one r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.columns import ratio
+from quern.functions.columns import hash_int, held, ratio
+from quern.storage import checkpoint
 
 COUNTS = ("tp", "fp", "fn", "tn")
 RATIOS = ("iou", "dice", "precision", "recall", "specificity", "accuracy")
@@ -43,11 +45,11 @@ def sample_ratios(counts: DataFrame) -> DataFrame:
     return counts.withColumns(ratios(*map(F.col, COUNTS)))
 
 
-def _metrics() -> list[Column]:
+def _metrics(empty: float = 0.0, cells_of_a_sample: int | None = None) -> list[Column]:
     there = F.col("tp") + F.col("fn")
     sums = [F.sum(c) for c in COUNTS]
-    cells = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    mean = lambda c, when: F.coalesce(F.avg(F.when(when, c)), F.lit(0.0))
+    cells = F.lit(cells_of_a_sample) if cells_of_a_sample else F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    mean = lambda c, when: F.coalesce(F.avg(F.when(when, c)), F.lit(empty))
     out = [F.count("*").alias("num_samples"), F.count_if(there > 0).alias("positive_samples"), F.count_if(there == 0).alias("empty_samples")]
     out += [F.avg(r).alias(f"macro_{r}") for r in RATIOS]
     out += [value.alias(f"micro_{name}") for name, value in ratios(*sums, empty_accuracy=1.0).items()]
@@ -62,6 +64,11 @@ def metrics(samples: DataFrame, *keys: str) -> DataFrame:
     return samples.groupBy(*keys).agg(*_metrics())
 
 
+def metrics_or_nan(samples: DataFrame, cells_of_a_sample: int, *keys: str) -> DataFrame:
+    """The metrics as a second implementation has them: means over no sample are NaN, and every sample has as many cells."""
+    return samples.groupBy(*keys).agg(*_metrics(float("nan"), cells_of_a_sample))
+
+
 def metrics_with_total(samples: DataFrame, key: str) -> DataFrame:
     """The metrics for each value of ``key`` and over all, in one pass; ``is_total`` marks the latter."""
     return samples.rollup(key).agg(F.grouping(key).alias("is_total"), *_metrics())
@@ -106,14 +113,37 @@ def balanced_weights(samples: DataFrame, positive: Column, fraction: float = 0.5
     return samples.crossJoin(F.broadcast(totals)).withColumn("weight", weight).drop("n_pos", "n_empty")
 
 
-def weighted_draw(samples: DataFrame, weight: str, draws: int, seed: str, key: str) -> DataFrame:
-    """``draws`` draws with replacement by weight: each sample's expected count is kept by systematic positions.
+def draw_with_replacement(samples: DataFrame, weight: str, draws: int, seed: str, key: str) -> DataFrame:
+    """``samples`` with ``draws``: how often each is hit by so many independent draws by weight; samples without a hit are kept.
+
+    Draw i falls at hash(seed|i) of the cumulated weights, samples in key order.  Sums run within 256 ranges of keys first; draws
+    meet samples by the range of weights that both lie in, so no task holds all of either.
+    """
+    rows = samples.where(F.col(weight) > 0)
+    parts = rows.repartitionByRange(256, key).withColumn("_p", F.spark_partition_id())
+    parts = checkpoint(parts.select(key, weight, "_p"))
+    sums = parts.groupBy("_p").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    sums = checkpoint(sums.select("_p", "_n", F.coalesce(F.sum("_w").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_w").over(W.partitionBy()).alias("_all")))
+    whole = sums.agg(F.max("_all").alias("w"), F.sum("_n").alias("n")).first()
+    if not whole["n"]:
+        return samples.withColumn("draws", F.lit(0).cast("long"))
+    cell = float(whole["w"]) / whole["n"]
+    end = F.col("_base") + F.sum(weight).over(W.partitionBy("_p").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
+    placed = parts.join(F.broadcast(sums), "_p").withColumn("_end", end).withColumn("_start", F.col("_end") - F.col(weight))
+    at = lambda x: F.floor(x / F.lit(cell))
+    placed = placed.select(F.col(key).alias("_key"), "_start", "_end", F.explode(F.sequence(at(F.col("_start")), at(F.col("_end")))).alias("_cell"))
+    point = hash_int(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))) / F.lit(4294967296.0) * F.lit(whole["w"])
+    drawn = samples.sparkSession.range(draws).select(point.alias("_x")).withColumn("_cell", at(F.col("_x")))
+    hits = placed.join(drawn, "_cell").where("_x >= _start and _x < _end").groupBy("_key").agg(F.count("*").alias("draws"))
+    return samples.join(hits, samples[key] == hits["_key"], "left").drop("_key").withColumn("draws", F.coalesce("draws", F.lit(0).cast("long")))
+
+
+def systematic_draw(samples: DataFrame, weight: str, draws: int, seed: str, key: str) -> DataFrame:
+    """``draws`` draws by weight at systematic positions: a sample's count differs from its expected one by less than one.
 
     A sample is drawn once for every point (k + u) / draws inside its interval of the cumulated weights, samples in hash
     order; u comes from the seed.  Sums run within hash buckets first, so no window covers all rows.
     """
-    from pyspark.sql import Window as W
-
     offset = int.from_bytes(seed.encode()[:4].ljust(4, b"0"), "big") / 2**32
     rows = samples.withColumns({"_h": F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)}).withColumn("_b", F.substring("_h", 1, 2))
     buckets = rows.groupBy("_b").agg(F.sum(weight).alias("_w"))
@@ -155,7 +185,34 @@ def losses(cells: DataFrame, sample: str, p: Column, t: Column, smooth: float =
     return out.withColumns({"bce_dice_loss": half("bce_loss", "dice_loss"), "bce_positive_dice_loss": half("bce_loss", "positive_dice_loss")})
 
 
-LOSSES = {"bce": "bce_loss", "bce_dice": "bce_dice_loss", "bce_positive_dice": "bce_positive_dice_loss", "focal": "focal_loss", "dice": "dice_loss"}
+def boundary(cells: Column, size: int) -> Column:
+    """Largest less smallest value around each cell of a square raster, 3 x 3 cells where they lie inside."""
+    around = [[yy * size + xx for yy in range(max(0, y - 1), min(size, y + 2)) for xx in range(max(0, x - 1), min(size, x + 2))] for y in range(size) for x in range(size)]
+    places = F.transform(F.split(F.lit(";".join(",".join(map(str, a)) for a in around)), ";"), lambda a: F.split(a, ",").cast("array<int>"))
+    return held(cells, lambda c: F.transform(places, lambda near: held(F.transform(near, lambda k: F.get(c, k)), lambda v: F.array_max(v) - F.array_min(v))))
+
+
+def raster_losses(rasters: DataFrame, p: str, t: str, size: int, smooth: float = 1.0, weights: tuple[float, float, float] = (0.55, 0.30, 0.15)) -> DataFrame:
+    """Soft Dice, focal, boundary Dice and their weighted mixture over rasters: one row per sample with arrays ``p`` and ``t``.
+
+    Weights must not be negative and are divided by their sum.
+    """
+    if min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("weights must be non-negative and not all zero")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    dice = lambda a, b: (2 * total(F.zip_with(a, b, lambda x, y: x * y)) + smooth) / (total(a) + total(b) + smooth)
+    edges = rasters.withColumns({"_bp": boundary(F.col(p), size), "_bt": boundary(F.col(t), size)})
+    per = edges.select(dice(F.col(p), F.col(t)).alias("d"), dice(F.col("_bp"), F.col("_bt")).alias("b"), total(F.zip_with(p, t, lambda x, y: focal(x, y))).alias("f"), F.size(p).alias("n"))
+    out = per.agg((1 - F.avg("d")).alias("dice_loss"), (F.sum("f") / F.sum("n")).alias("focal_loss"), (1 - F.avg("b")).alias("boundary_loss"))
+    parts = [w / sum(weights) * F.col(c) for w, c in zip(weights, ("dice_loss", "focal_loss", "boundary_loss"), strict=True)]
+    return out.withColumn("dice_focal_boundary_loss", parts[0] + parts[1] + parts[2])
+
+
+#: The names of losses, with the columns of :func:`losses` or :func:`raster_losses` that hold them.
+LOSSES = {
+    "bce": "bce_loss", "bce_dice": "bce_dice_loss", "bce_positive_dice": "bce_positive_dice_loss", "bce_pos_dice": "bce_positive_dice_loss", "focal": "focal_loss", "dice": "dice_loss",
+    "boundary": "boundary_loss", "dice_focal_boundary": "dice_focal_boundary_loss", "focal_dice_boundary": "dice_focal_boundary_loss",
+}
 
 
 def build_loss(name: str):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.columns import hash_int, sample_sd
+from quern.functions.columns import fixed_digits, hash_int, sample_sd
 
 
 def mean_sd(runs: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -82,3 +82,67 @@ def consistency(runs: DataFrame, config: Column, expected_counts: dict[str, int]
     rules += [(F.bool_or(F.col(c) != n), f"{c}_unexpected") for c, n in expected_counts.items()]
     found = runs.groupBy(*keys).agg(F.array_compact(F.array(*[F.when(bad, name) for bad, name in rules])).alias("issues"))
     return found.select(*keys, F.explode("issues").alias("issue"))
+
+
+def fit_gap(runs: DataFrame, train: str, val: str) -> DataFrame:
+    """``runs`` with the training metric less the validation metric at the best epoch."""
+    return runs.withColumn("gap", F.col(train) - F.col(val))
+
+
+def seeds_in_order(runs: DataFrame, seed: str, order: str) -> DataFrame:
+    """Each seed once, with its position by first occurrence."""
+    first = runs.groupBy(seed).agg(F.min(order).alias("_first"))
+    return first.select(seed, F.row_number().over(W.orderBy("_first")).alias("position"))
+
+
+#: Numbers of samples by split and the threshold that every audited run must have.
+RUN_COUNTS = {"train_samples": 525, "val_samples": 173, "test_samples": 352}
+RUN_THRESHOLD = 0.5
+RUN_FILES = ("config.json", "metrics.jsonl", "summary.json", "best.pt", "test_metrics.json")
+
+
+def run_issues(runs: DataFrame, expected: DataFrame, *matrix: str, counts: dict[str, int] | None = None, threshold: float = RUN_THRESHOLD, files: tuple[str, ...] = RUN_FILES) -> DataFrame:
+    """code, seed and issue of every rule that a run breaks, and missing_run for expected runs that aren't there.
+
+    ``runs`` has code, seed, files (array), config (digest without seed and folder), threshold, best_epoch, checkpoint_epoch,
+    the columns of ``counts`` and those of ``matrix``; ``expected`` has code, seed and the matrix's values.
+    """
+    counts = RUN_COUNTS if counts is None else counts
+    same = runs.groupBy("code").agg((F.count_distinct("config") > 1).alias("_differs"))
+    wanted = expected.select("code", "seed", *[F.col(m).alias(f"_{m}") for m in matrix], F.lit(True).alias("_expected"))
+    rows = runs.withColumn("_there", F.lit(True)).join(wanted, ["code", "seed"], "full_outer").join(same, "code", "left")
+    there = F.col("_there").isNotNull()
+    rules = [(there & ~F.array_contains("files", f), f"missing_file:{f}") for f in files]
+    rules += [(F.col(c) != n, f"{c}_unexpected") for c, n in counts.items()]
+    rules += [(F.col("threshold") != threshold, "threshold_unexpected"), (F.col("best_epoch") != F.col("checkpoint_epoch"), "checkpoint_not_best"), (there & F.col("_differs"), "config_differs")]
+    rules += [(there & F.col("_expected").isNotNull() & ~F.col(m).eqNullSafe(F.col(f"_{m}")), f"matrix_differs:{m}") for m in matrix]
+    rules += [(~there, "missing_run"), (F.col("_expected").isNull(), "unexpected_run")]
+    issues = F.array_compact(F.array(*[F.when(bad, name) for bad, name in rules]))
+    return rows.select("code", "seed", F.explode(issues).alias("issue"))
+
+
+def run_states(runs: DataFrame, epochs: int) -> DataFrame:
+    """``runs`` with ``state`` by last epoch (history), checkpoint's epoch and metric rows: missing, resume, complete or inconsistent."""
+    history, point, rows = F.col("history"), F.col("checkpoint"), F.col("metrics")
+    complete = (rows > 0) & (history >= 1) & ((rows == history) | (history >= epochs))
+    state = (
+        F.when(history.isNull() & point.isNull() & rows.isNull(), "missing").when(history.isNull() | point.isNull() | (point > history), "inconsistent").when(F.coalesce(complete, F.lit(False)), "complete").otherwise("resume")
+    )
+    return runs.withColumn("state", state)
+
+
+def baseline_plan(runs: DataFrame, stages: tuple[str, ...] = ("prepare", "smoke_test", "train", "test", "report")) -> DataFrame:
+    """``runs`` with ``next_stage``: the first stage whose column is false, null if none; a later one that is done is ``out_of_order``."""
+    first = F.coalesce(*[F.when(~F.coalesce(F.col(s), F.lit(False)), k) for k, s in enumerate(stages)], F.lit(len(stages)))
+    ahead = F.greatest(*[F.when(F.coalesce(F.col(s), F.lit(False)), k).otherwise(-1) for k, s in enumerate(stages)]) > first
+    names = F.array(*[F.lit(s) for s in stages], F.lit(None).cast("string"))
+    return runs.withColumn("next_stage", F.when(ahead, "out_of_order").otherwise(F.get(names, first)))
+
+
+def report_lines(summary: DataFrame, title: str, columns: dict[str, str], metrics: tuple[str, ...], order: str, missing: str = "-") -> DataFrame:
+    """place and line of a Markdown table: a heading, the header, and a row for each row of ``summary`` in order."""
+    header = [f"# {title}", "", "| " + " | ".join(columns.values()) + " |", "| " + " | ".join("---:" if c in metrics else "---" for c in columns) + " |"]
+    cells = [F.coalesce(fixed_digits(F.col(c)) if c in metrics else F.col(c).cast("string"), F.lit(missing)) for c in columns]
+    body = summary.select((F.row_number().over(W.orderBy(order)) + len(header)).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = summary.sparkSession.createDataFrame([(k + 1, line) for k, line in enumerate(header)], "place int, line string")
+    return head.unionByName(body)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.columns import hash_order, held
+from quern.functions.columns import hash_int, hash_order, held
 from quern.schemas import SPLITS
+from quern.storage import checkpoint
 
 RATIOS = (0.70, 0.15, 0.15)
 
@@ -26,16 +27,17 @@ def _folded(grouped: DataFrame, strata: list[str], state: Column, step) -> DataF
     return grouped.withColumn("r", F.aggregate("g", state, step)["out"]).select(*strata, F.inline("r"))
 
 
-def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
+def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int | Column, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """group_id and split within each stratum.
 
     Groups come by size, largest first, ties by hash; each goes to the split with the largest deficit relative to its
-    target, ties by hash of group and split.
+    target, ties by hash of group and split.  ``seed`` may be an expression over the strata.
     """
     groups = rows.groupBy(*strata, "group_id").agg(F.count("*").alias("size"))
     name = F.concat_ws(", ", *strata)
-    keyed = groups.withColumn("tie", hash_order(str(seed), name, F.col("group_id")))
-    prefer = F.array(*[hash_order(str(seed), F.col("group_id"), s) for s in SPLITS])
+    seed = (seed if isinstance(seed, Column) else F.lit(seed)).cast("string")
+    keyed = groups.withColumn("tie", hash_order(seed, name, F.col("group_id")))
+    prefer = F.array(*[hash_order(seed, F.col("group_id"), s) for s in SPLITS])
     keyed = keyed.withColumn("prefer", prefer)
     grouped = _ordered_groups(keyed, strata, F.struct((-F.col("size")).alias("s"), F.col("tie").alias("t")), ["size", "prefer"], total="size")
     state = F.struct(*[F.lit(0).cast("long").alias(s) for s in SPLITS], F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
@@ -55,6 +57,25 @@ def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int, ratios: t
     return _folded(grouped, strata, state, step)
 
 
+def allocate_stratified(rows: DataFrame, label: str, seed: int, ratios: tuple[float, float, float] = RATIOS, preview: int = 10) -> DataFrame:
+    """group_id and split of whole groups by class, with the guards that a training set needs.
+
+    Each class has its own seed, ``seed`` and a digest of its name.  Ratios that don't sum to 1, a group of several classes, a class
+    with fewer than three groups and one that leaves a split empty are errors.
+    """
+    if len(ratios) != len(SPLITS) or abs(sum(ratios) - 1) > 1e-8:
+        raise ValueError("three ratios must sum to 1")
+    groups = rows.groupBy("group_id").agg(F.count_distinct(label).alias("n"))
+    if mixed := [r[0] for r in groups.where("n > 1").orderBy("group_id").limit(preview).collect()]:
+        raise ValueError(f"groups of several classes: {mixed}")
+    if few := [r[0] for r in rows.groupBy(label).agg(F.count_distinct("group_id").alias("n")).where(F.col("n") < len(SPLITS)).orderBy(label).limit(preview).collect()]:
+        raise ValueError(f"classes with fewer than {len(SPLITS)} groups: {few}")
+    assigned = checkpoint(allocate_by_deficit(rows, [label], F.lit(seed) + hash_int(F.col(label)), ratios))
+    if empty := [r[0] for r in assigned.groupBy(label).agg(F.count_distinct("split").alias("n")).where(F.col("n") < len(SPLITS)).orderBy(label).limit(preview).collect()]:
+        raise ValueError(f"classes with an empty split: {empty}")
+    return assigned
+
+
 def allocate_by_error(rows: DataFrame, positive: Column, seed: int, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """group_id and split over the whole cohort, balancing samples and positive samples.
 

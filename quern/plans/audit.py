@@ -117,18 +117,73 @@ def _grouped(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), F.substring("h", 1, 12).alias("group_id"), "source", "lang", "n_chars")
 
 
-@query()
+_GROUPED = f"{_HASHED}, sm AS (SELECT substr(h, 1, 12) AS group_id, source, lang FROM d)"
+_SHARES = {"train": 0.7, "val": 0.15, "test": 0.15}
+
+
+def _deficit(s: str) -> str:
+    return f"round((CAST({_SHARES[s]} AS DOUBLE) * total - {{a}}.{s}) / greatest(CAST({_SHARES[s]} AS DOUBLE) * total, 1.0), 12)"
+
+
+def _choice(a: str, seed: str = "'42'") -> str:
+    """The split with the largest deficit, of equals that whose hash with the group is least."""
+    rows = ", ".join(f"{{'d': -({_deficit(s).format(a=a)}), 'h': sha256({seed} || '|' || g.group_id || '|{s}'), 's': '{s}'}}" for s in _SHARES)
+    return f"list_sort([{rows}])[1].s"
+
+
+_ORDERED_B = "g AS (SELECT lang, source, group_id, count(*) AS size, sum(count(*)) OVER (PARTITION BY lang, source) AS total, row_number() OVER (PARTITION BY lang, source ORDER BY count(*) DESC, sha256('42|' || lang || ', ' || source || '|' || group_id)) AS n FROM sm GROUP BY 1, 2, 3)"
+_ADDED = ", ".join(f"f.{s} + CASE WHEN f.choice = '{s}' THEN f.size ELSE 0 END AS {s}" for s in _SHARES)
+
+
+_ORDERED_A = """g AS (SELECT source, seed, group_id, count(*) AS size, sum(count(*)) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, sha256(seed || '|' || source || '|' || group_id)) AS n
+    FROM (SELECT source, CAST(42 + CAST('0x' || substr(sha256(source), 1, 8) AS BIGINT) AS VARCHAR) AS seed, source || '_' || group_id AS group_id FROM sm) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH RECURSIVE {_GROUPED}, {_ORDERED_A}, z AS (SELECT 0 AS train, 0 AS val, 0 AS test), f AS (SELECT g.source, g.seed, g.group_id, g.n, g.size, CAST(0 AS BIGINT) AS train, CAST(0 AS BIGINT) AS val, CAST(0 AS BIGINT) AS test, {_choice('z', 'g.seed')} AS choice FROM g, z WHERE n = 1
+    UNION ALL SELECT source, seed, group_id, n, size, train, val, test, {_choice('g', 'g.seed')} FROM (SELECT g.*, {_ADDED} FROM f JOIN g ON g.source = f.source AND g.n = f.n + 1) g)
+  SELECT source, group_id, choice AS split FROM f""")
+def split_stratified_a(spark, sf_dir):
+    rows = _grouped(spark, sf_dir).withColumn("group_id", F.concat_ws("_", "source", "group_id"))
+    return splitting.allocate_stratified(rows, "source", 42)
+
+
+@query(f"""WITH RECURSIVE {_GROUPED}, {_ORDERED_B}, z AS (SELECT 0 AS train, 0 AS val, 0 AS test), f AS (SELECT g.lang, g.source, g.group_id, g.n, g.size, CAST(0 AS BIGINT) AS train, CAST(0 AS BIGINT) AS val, CAST(0 AS BIGINT) AS test, {_choice('z')} AS choice FROM g, z WHERE n = 1
+    UNION ALL SELECT lang, source, group_id, n, size, train, val, test, {_choice('g')} FROM (SELECT g.*, {_ADDED} FROM f JOIN g ON g.lang = f.lang AND g.source = f.source AND g.n = f.n + 1) g)
+  SELECT lang, source, group_id, choice AS split FROM f""")
 def split_fold_b(spark, sf_dir):
     return splitting.allocate_by_deficit(_grouped(spark, sf_dir), ["lang", "source"], 42)
 
 
-@query()
+def _error(chosen: str) -> str:
+    """Sum over splits of the squared relative errors of samples and of positive samples, with the group in ``chosen``."""
+    terms = []
+    for s, r in _SHARES.items():
+        for have, whole, add in ((f"{s}_n", "n_all", "size"), (f"{s}_p", "p_all", "pos")):
+            error = f"(({have} + {add if s == chosen else 0} - CAST({r} AS DOUBLE) * {whole}) / greatest(CAST({r} AS DOUBLE) * {whole}, 1.0))"
+            terms.append(f"{error} * {error}")
+    return " + ".join(terms)
+
+
+_COUNTS_C = [f"{s}_{k}" for s in _SHARES for k in ("n", "p")]
+_PICK_C = "CASE WHEN e3 < least(e1, CASE WHEN e2 < e1 - 1e-12 THEN e2 ELSE e1 END) - 1e-12 THEN 'test' WHEN e2 < e1 - 1e-12 THEN 'val' ELSE 'train' END"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT CAST(o_custkey AS VARCHAR) AS group_id, count(*) AS size, count(*) FILTER (o_orderpriority = '1-URGENT') AS pos, sum(count(*)) OVER () AS n_all, sum(count(*) FILTER (o_orderpriority = '1-URGENT')) OVER () AS p_all,
+    row_number() OVER (ORDER BY count(*) DESC, count(*) FILTER (o_orderpriority = '1-URGENT') DESC, sha256('42|' || o_custkey)) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
+  f AS (SELECT n, group_id, size, pos, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in _COUNTS_C)}, {_PICK_C} AS split FROM (SELECT *, {_error('train')} AS e1, {_error('val')} AS e2, {_error('test')} AS e3 FROM (SELECT *, {', '.join(f'0 AS {c}' for c in _COUNTS_C)} FROM g WHERE n = 1))
+    UNION ALL SELECT n, group_id, size, pos, {', '.join(_COUNTS_C)}, {_PICK_C} FROM (SELECT *, {_error('train')} AS e1, {_error('val')} AS e2, {_error('test')} AS e3 FROM (SELECT g.*, {', '.join(f"f.{s}_{k} + CASE WHEN f.split = '{s}' THEN f.{a} ELSE 0 END AS {s}_{k}" for s in _SHARES for k, a in (('n', 'size'), ('p', 'pos')))} FROM f JOIN g ON g.n = f.n + 1)))
+  SELECT group_id, split FROM f""")
 def split_fold_c(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").where("o_custkey is not null").select(F.col("o_custkey").cast("string").alias("group_id"), "o_orderpriority")
     return splitting.allocate_by_error(orders, F.col("o_orderpriority") == "1-URGENT", 42)
 
 
-@query()
+_ORDERED_D = "g AS (SELECT lang, group_id, count(*) AS size, round(CAST(0.18 AS DOUBLE) * sum(count(*)) OVER (PARTITION BY lang), 0) AS target, row_number() OVER (PARTITION BY lang ORDER BY sha256('42|' || lang || '|' || group_id)) AS n FROM sm GROUP BY 1, 2)"
+
+
+@query(f"""WITH RECURSIVE {_GROUPED}, {_ORDERED_D}, f AS (SELECT lang, group_id, n, CASE WHEN abs(size - target) <= abs(target) THEN size ELSE 0 END AS have, CASE WHEN abs(size - target) <= abs(target) THEN 'val' ELSE 'train' END AS split FROM g WHERE n = 1
+    UNION ALL SELECT g.lang, g.group_id, g.n, f.have + CASE WHEN abs(f.have + g.size - g.target) <= abs(f.have - g.target) THEN g.size ELSE 0 END, CASE WHEN abs(f.have + g.size - g.target) <= abs(f.have - g.target) THEN 'val' ELSE 'train' END FROM f JOIN g ON g.lang = f.lang AND g.n = f.n + 1)
+  SELECT lang, group_id, split FROM f""")
 def split_frozen_d(spark, sf_dir):
     return splitting.allocate_validation(_grouped(spark, sf_dir), "lang", 42)
 

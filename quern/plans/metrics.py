@@ -51,12 +51,6 @@ METRIC_SQL = ", ".join(
 )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_returnflag") == "R").alias("t"), (F.col("l_discount") * 10).alias("score"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("tumor_type"), F.col("o_custkey").alias("patient"))
-    return lines.join(orders, "sample_id")
-
-
 KEYS = ["sample_id", "tumor_type", "patient"]
 
 
@@ -123,7 +117,9 @@ _TH = f"WITH {CELLS_SQL}, th AS (SELECT unnest([0.2, 0.35, 0.5, 0.65, 0.8])::DOU
 
 
 def _searched(spark, sf_dir):
-    found = selection.threshold_search(cells(spark, sf_dir), ["sample_id"], F.col("score"), F.col("t"), THRESHOLDS)
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_returnflag") == "R").alias("t"), (F.col("l_discount") * 10).alias("score"))
+    found = selection.threshold_search(lines, ["sample_id"], F.col("score"), F.col("t"), THRESHOLDS)
+    found = found.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id")), "sample_id", "left_semi")
     return rounded(confusion.sample_ratios(found).groupBy("threshold").agg(F.avg("iou").alias("macro_iou")), 6, "macro_iou")
 
 
@@ -170,7 +166,7 @@ def balanced_weights(spark, sf_dir):
 def balanced_draw(spark, sf_dir):
     """Draws with replacement by balanced weight; tested for its totals, as the order comes from hashes."""
     weighed = confusion.balanced_weights(samples(spark, sf_dir), F.col("tp") + F.col("fn") > 0)
-    return confusion.weighted_draw(weighed, "weight", 10_000, "42", "sample_id").select("sample_id", "draws")
+    return confusion.systematic_draw(weighed, "weight", 10_000, "42", "sample_id").select("sample_id", "draws")
 
 
 _BATCH = "b AS (SELECT event_type, ts, event_id, event_id % 5 AS tp, event_id % 3 AS fp, event_id % 4 AS fn, event_id % 11 AS tn FROM events)"
@@ -213,7 +209,9 @@ def best_last_epoch(spark, sf_dir):
     return selection.best_and_last(epochs(spark, sf_dir), "metric", "user_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EPOCHS}, f AS (SELECT user_id, epoch, metric AS best, 0 AS bad, CAST(0.1 AS DOUBLE) AS rate FROM ep WHERE epoch = 1
+    UNION ALL SELECT e.user_id, e.epoch, CASE WHEN better THEN metric ELSE best END, CASE WHEN better OR bad + 1 > 3 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad + 1 > 3 THEN greatest(rate * 0.5, 1e-4) ELSE rate END
+      FROM (SELECT e.user_id, e.epoch, e.metric, f.best, f.bad, f.rate, e.metric > f.best * (1 + CAST(1e-4 AS DOUBLE)) AS better FROM f JOIN ep e ON e.user_id = f.user_id AND e.epoch = f.epoch + 1) e)
+  SELECT user_id, CAST(epoch AS BIGINT) AS epoch, round(rate, 12) AS rate FROM f""")
 def reduce_on_plateau(spark, sf_dir):
-    """A stateful fold; tested against a loop."""
     return rounded(selection.reduce_on_plateau(epochs(spark, sf_dir), "metric", 0.1, 0.5, 3, 1e-4, "user_id"), 12)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,15 +50,26 @@ def relative_path(path: Column, prefix: str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "(?i)^" + prefix.rstrip("/") + "/", "")
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
+def read_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Decoded images: path, width, height, channels and bytes; undecodable files have width -1."""
-    rows = spark.read.format("image").load(root).select("image.*")
+    rows = spark.read.format("image").option("recursiveFileLookup", recursive).load(root).select("image.*")
     return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), F.col("data").alias("bytes"))
 
 
-def pixel_bytes(data: Column) -> Column:
-    """Unsigned byte values of a raster."""
-    return F.transform(F.sequence(F.lit(1), F.length(data)), lambda k: F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("int"))
+def with_cells(images: DataFrame, data: str = "bytes", name: str = "cells") -> DataFrame:
+    """``images`` with the unsigned byte values of a raster in place of its bytes, an Arrow batch at a time; empty for no bytes."""
+    place = images.columns.index(data)
+    rest = [c for c in images.columns if c != data]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(b or b"", np.uint8).astype(np.int32) for b in batch.column(place).to_pylist()]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), cells], [*rest, name])
+
+    schema = ", ".join([f"`{c}` {images.schema[c].dataType.simpleString()}" for c in rest] + [f"{name} array<int>"])
+    return images.mapInArrow(run, schema)
 
 
 def channel(cells: Column, channels: int, index: int) -> Column:

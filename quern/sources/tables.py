@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.columns import case_identifier
+from quern.operators.splitting import validate
 from quern.schemas import EPOCH_RECORD, GROUP_MAP, MANIFEST, SPLITS
+from quern.sources.png import with_png
+from quern.storage import put
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -19,7 +25,8 @@ def read_manifest(spark: SparkSession, path: str, validate: bool = True) -> Data
     if sorted(header) != sorted(MANIFEST.names):
         raise ValueError(f"manifest columns {header}, expected {MANIFEST.names}")
     raw = spark.read.option("header", True).csv(path)
-    rows = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MANIFEST])
+    number = lambda c: F.when(F.col(c).isNull() | F.col(c).try_cast("int").isNotNull(), F.col(c).try_cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"{c} isn't an integer: "), F.col(c))))
+    rows = raw.select(*[(number(f.name).cast("int") if f.dataType.typeName() == "integer" else F.col(f.name)).alias(f.name) for f in MANIFEST])
     if validate:
         bad = rows.where(~F.col("split").isin(*SPLITS) | F.col("split").isNull()).limit(1).count()
         repeated = rows.groupBy("sample_id").count().where("count > 1").limit(1).count()
@@ -100,10 +107,28 @@ def scalars(rows: DataFrame) -> DataFrame:
 # ---- sinks ------------------------------------------------------------------------------------------------------------
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
-    """A manifest in its order, as one CSV file; an existing target is an error."""
+def write_manifest(rows: DataFrame, path: str) -> str:
+    """Write a manifest in its order, as one CSV file, and return the file's SHA-256.
+
+    Assignments that :func:`validate` finds fault with, and an existing target, are errors.
+    """
+    faults = [f"{r['check']}: {r['violations']}" for r in validate(rows).where("violations > 0").collect()]
+    if faults:
+        raise ValueError("; ".join(faults))
     rank = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
-    rows.select(*MANIFEST.names).orderBy(rank, "tumor_type", "source_id", "sample_id").coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    ordered = rows.select(*MANIFEST.names).repartition(1).sortWithinPartitions(rank, "tumor_type", "source_id", "sample_id")
+    ordered.write.mode("errorifexists").option("header", True).csv(path)
+    return rows.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+def write_json(spark: SparkSession, value: dict, path: str, overwrite: bool = False) -> None:
+    """A JSON document in UTF-8 with sorted keys and a last line end; an existing target is an error unless ``overwrite``."""
+    put(spark, path, (json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode(), overwrite)
+
+
+def write_quoted(rows: DataFrame, path: str) -> None:
+    """CSV with every value in quotes."""
+    rows.write.mode("errorifexists").option("header", True).option("quoteAll", True).csv(path)
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
@@ -122,8 +147,6 @@ def saved_predictions(samples: DataFrame, most: int, *order: str) -> DataFrame:
 
 def case_map(manifest: DataFrame) -> DataFrame:
     """case_id, sample_id, group_id and split; a case_id that two samples would share is an error when read."""
-    from quern.functions.columns import case_identifier
-
     cases = manifest.select(case_identifier(F.col("sample_id")).alias("case_id"), "sample_id", "group_id", "split")
     clash = F.count("*").over(W.partitionBy("case_id"))
     return cases.withColumn("n", clash).withColumn("case_id", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("case id clash: "), F.col("case_id")))).otherwise(F.col("case_id"))).drop("n")
@@ -134,6 +157,54 @@ def folds(cases: DataFrame) -> DataFrame:
     return cases.where(F.col("split").isin("train", "val")).groupBy("split").agg(F.array_sort(F.collect_list("case_id")).alias("cases"))
 
 
+def dataset_description(manifest: DataFrame, channels: list[str]) -> dict:
+    """What an exported data set says of itself; ``channels`` are the names of three channels."""
+    if len(channels) != 3:
+        raise ValueError("three channel names are needed")
+    return {
+        "channel_names": {str(k): name for k, name in enumerate(channels)}, "labels": {"background": 0, "tumor": 1}, "file_ending": ".png",
+        "numTraining": manifest.where(F.col("split").isin("train", "val")).count(), "overwrite_image_reader_writer": "NaturalImage2DIO",
+    }
+
+
+def exported_files(samples: DataFrame, size: int = 256) -> DataFrame:
+    """path and png of every channel file and label file of an export.
+
+    ``samples`` has sample_id, split, red, green, blue and mask (arrays of ``size`` x ``size`` values).  Development cases go to
+    imagesTr and labelsTr, test cases to imagesTs and labelsTs; a label is 0 or 1.  Other sizes are errors when read.
+    """
+    case = case_identifier(F.col("sample_id"))
+    folder = F.when(F.col("split") == "test", "Ts").otherwise("Tr")
+    whole = lambda c: F.when(F.size(c) == size * size, F.col(c)).otherwise(F.raise_error(F.lit(f"expected {size} x {size} values")))
+    parts = [F.struct(F.concat(F.lit("images"), folder, F.lit("/"), case, F.lit(f"_{k:04d}.png")).alias("path"), whole(c).cast("array<int>").alias("cells")) for k, c in enumerate(("red", "green", "blue"))]
+    label = F.transform(whole("mask"), lambda v: F.when(v >= 128, 1).otherwise(0))
+    parts.append(F.struct(F.concat(F.lit("labels"), folder, F.lit("/"), case, F.lit(".png")).alias("path"), label.alias("cells")))
+    return with_png(samples.select(F.explode(F.array(*parts)).alias("f")).select("f.path", "f.cells"), "cells", size, size).drop("cells")
+
+
+#: The curves that are drawn, each with its series as columns of flattened epochs.
+CURVES = {
+    "loss": ("train_loss", "val_loss"),
+    "iou": ("train_macro_iou", "val_macro_iou", "train_micro_iou", "val_micro_iou"),
+    "dice": ("train_macro_dice", "val_macro_dice", "train_micro_dice", "val_micro_dice"),
+    "precision_recall": ("train_macro_precision", "val_macro_precision", "train_macro_recall", "val_macro_recall"),
+    "specificity_accuracy": ("train_macro_specificity", "val_macro_specificity", "train_macro_accuracy", "val_macro_accuracy"),
+    "learning_rate": ("learning_rate",),
+    "model_selection": ("selection_metric_value", "best_val_metric", "selection_threshold"),
+}
+
+
+def curve_series(epochs: DataFrame) -> DataFrame:
+    """curve, series, epoch and value of what is drawn; series that the epochs don't have are left out, and so are nulls."""
+    points = [F.struct(F.lit(curve).alias("curve"), F.lit(s).alias("series"), F.col(s).cast("double").alias("value")) for curve, series in CURVES.items() for s in series if s in epochs.columns]
+    return epochs.select("epoch", F.explode(F.array(*points)).alias("p")).where("p.value is not null").select("p.curve", "p.series", "epoch", "p.value")
+
+
+def with_expected(runs: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for every expected run; one that isn't there has nulls."""
+    return expected.join(runs, keys, "left")
+
+
 def overlay(image: Column, target: Column, predicted: Column) -> Column:
     """Red, green and blue of a comparison pixel: hits green, false alarms red, misses blue, over 45 % of the image."""
     colour = lambda on: F.bround(0.45 * image + 0.55 * F.when(on, 255).otherwise(0)).cast("int")

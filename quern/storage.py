@@ -23,7 +23,7 @@ def build_session(app: str = "quern", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
-    for key, value in {"spark__ui__enabled": "false", **conf}.items():
+    for key, value in {"spark__ui__enabled": "false", "spark__cleaner__referenceTracking__cleanCheckpoints": "true", **conf}.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
@@ -35,6 +35,8 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not root:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='quern-')}"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
@@ -84,6 +86,16 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "2000")
 
 
+def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> None:
+    """Write a small file to any file system that Spark knows; an existing one is an error unless ``overwrite``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system and all below it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

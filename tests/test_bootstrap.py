@@ -14,6 +14,6 @@ def test_bootstrap_with_all_resamples(spark):
     d = [r.difference for r in plans.patient_differences(spark, FOLDER).orderBy("patient").collect()]
     draw = lambda i, j: int(hashlib.sha256(f"42|{i}|{j}".encode()).hexdigest()[:8], 16) % len(d)
     means = [sum(d[draw(i, j)] for j in range(1, len(d) + 1)) / len(d) for i in range(10_000)]
-    (r,) = plans.bootstrap_ci_all(spark, FOLDER).collect()
+    (r,) = plans.bootstrap_ci(spark, FOLDER).collect()
     assert r.n == len(d) and r.mean == pytest.approx(np.mean(d), abs=2e-6)
     assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=2e-6)

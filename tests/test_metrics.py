@@ -50,7 +50,7 @@ def test_weights_draws_histogram_and_buckets(spark):
     weighed = confusion.balanced_weights(rows, F.col("pos"))
     sums = {r.pos: r.w for r in weighed.groupBy("pos").agg(F.sum("weight").alias("w")).collect()}
     assert sums[True] == pytest.approx(0.5) and sums[False] == pytest.approx(0.5)
-    drawn = confusion.weighted_draw(weighed, "weight", 1000, "42", "id").collect()
+    drawn = confusion.systematic_draw(weighed, "weight", 1000, "42", "id").collect()
     assert sum(r.draws for r in drawn) in (999, 1000, 1001) and all(abs(r.draws - 1000 * r.weight) < 1.001 for r in drawn)
     assert {r.bin: r.n for r in confusion.histogram(rows, "v").collect()}[19] == 2
     sized = confusion.size_buckets(rows, F.col("id") * 200, "v").orderBy("bucket_order").collect()

@@ -1,6 +1,7 @@
 """Readers, writers, configuration, rasters and the stream."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,10 +63,15 @@ def test_stream_rebuilds_the_history(spark, tmp_path):
     log.mkdir()
     (log / "a.jsonl").write_text(record(1, 0.9, elapsed_seconds=1.0) + "\n")
     history.rebuild_history(spark, str(log), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    (log / "b.jsonl").write_text(record(1, 0.7, elapsed_seconds=2.0) + "\n" + record(2, 0.5) + "\n")
+    # A resumed run starts its clock anew: its line is the later one all the same, and of its own two the last.
+    time.sleep(0.05)
+    (log / "b.jsonl").write_text(record(1, 0.8, elapsed_seconds=0.5) + "\n\n" + record(2, 0.5) + "\n" + record(1, 0.7, elapsed_seconds=0.2) + "\n")
     history.rebuild_history(spark, str(log), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = {r.epoch: r.train_loss for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {1: 0.7, 2: 0.5}
+    assert {r.epoch: r.train_loss for r in history.current_history(spark, f"{tmp_path}/out").collect()} == {1: 0.7, 2: 0.5}
+    time.sleep(0.05)
+    (log / "c.jsonl").write_text(record(3, 0.4) + "\n")
+    history.rebuild_history(spark, str(log), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert {r.epoch: r.train_loss for r in history.current_history(spark, f"{tmp_path}/out").collect()} == {1: 0.7, 2: 0.5, 3: 0.4}
 
 
 def test_file_names_and_masks(spark, tmp_path):
@@ -86,7 +92,8 @@ def test_file_names_and_masks(spark, tmp_path):
     assert sum(spark.createDataFrame([(cells,)], "m array<int>").select(files.foreground(F.col("m"))).first()[0]) == 12
     pixel = spark.createDataFrame([([240, 128, 10],)], "c array<int>")
     assert pixel.select(files.channel(F.col("c"), 3, 1), files.channel(F.col("c"), 3, 2)).first() == ([128], [10])
-    assert spark.createDataFrame([(bytearray([0, 127, 128, 255]),)], "b binary").select(files.pixel_bytes(F.col("b"))).first()[0] == [0, 127, 128, 255]
+    raw = spark.createDataFrame([(1, bytearray([0, 127, 128, 255])), (2, None)], "k int, b binary")
+    assert {r.k: r.cells for r in files.with_cells(raw, "b").collect()} == {1: [0, 127, 128, 255], 2: []}
 
 
 def test_case_map_and_folds(spark):

@@ -47,6 +47,54 @@ def test_error_allocation_is_complete_and_balanced(spark):
     assert {r.check: r.violations for r in splitting.validate(joined).collect()} == {"duplicate_ids": 0, "unknown_split": 0, "leaking_groups": 0, "empty_splits": 0}
 
 
+def test_stratified_allocation_and_its_guards(spark):
+    import pytest
+
+    data = [(f"s{g}_{k}", f"g{g}", f"c{g % 2}", "d", True) for g in range(24) for k in range(1 + g % 4)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    got = {r.group_id: r.split for r in splitting.allocate_stratified(frame, "tumor_type", 42).collect()}
+    for c in ("c0", "c1"):
+        seed, groups = 42 + int(hashlib.sha256(c.encode()).hexdigest()[:8], 16), Counter(g for _, g, t, *_ in data if t == c)
+        total, have = sum(groups.values()), dict.fromkeys(("train", "val", "test"), 0)
+        for g, n in sorted(groups.items(), key=lambda x: (-x[1], sha(seed, c, x[0]))):
+            target = {s: r * total for s, r in zip(have, (0.70, 0.15, 0.15))}
+            choice = min(have, key=lambda s: (-round((target[s] - have[s]) / max(target[s], 1), 12), sha(seed, g, s)))
+            have[choice] += n
+            assert got[g] == choice
+    for bad, message in (([*data, ("x", "g0", "c1", "d", True)], "several classes"), ([*data, ("x", "h", "c2", "d", True)], "fewer than 3")):
+        with pytest.raises(ValueError, match=message):
+            splitting.allocate_stratified(spark.createDataFrame(bad, SCHEMA), "tumor_type", 42)
+    with pytest.raises(ValueError, match="sum to 1"):
+        splitting.allocate_stratified(frame, "tumor_type", 42, (0.5, 0.5, 0.5))
+    lopsided = spark.createDataFrame([(f"y{k}", f"h{max(k, 9)}", "c3", "d", True) for k in range(12)], SCHEMA)
+    with pytest.raises(ValueError, match="empty split"):
+        splitting.allocate_stratified(lopsided, "tumor_type", 42, (0.98, 0.01, 0.01))
+
+
+def test_frozen_and_error_allocation_match_loops(spark):
+    data = rows(50)
+    got = {r.group_id: r.split for r in splitting.allocate_validation(spark.createDataFrame(data, SCHEMA), "tumor_type", 42).collect()}
+    for c in {r[2] for r in data}:
+        groups, have = Counter(r[1] for r in data if r[2] == c), 0
+        target = int(0.18 * sum(groups.values()) + 0.5)
+        for g, n in sorted(groups.items(), key=lambda x: sha(42, c, x[0])):
+            take = abs(have + n - target) <= abs(have - target)
+            have += n * take
+            assert got[g] == ("val" if take else "train")
+    split = {r.group_id: r.split for r in splitting.allocate_by_error(spark.createDataFrame(data, SCHEMA), F.col("pos"), 7).collect()}
+    size, pos = Counter(r[1] for r in data), Counter(r[1] for r in data if r[4])
+    have, whole, ratios = {s: [0, 0] for s in ("train", "val", "test")}, (len(data), sum(pos.values())), (0.70, 0.15, 0.15)
+    for g in sorted(size, key=lambda g: (-size[g], -pos[g], sha(7, g))):
+        best = None
+        for choice in have:
+            error = sum(((have[s][k] + (s == choice) * (size, pos)[k][g] - r * whole[k]) / max(r * whole[k], 1)) ** 2 for s, r in zip(have, ratios) for k in (0, 1))
+            if best is None or error < best[0] - 1e-12:
+                best = (error, choice)
+        have[best[1]][0] += size[g]
+        have[best[1]][1] += pos[g]
+        assert split[g] == best[1]
+
+
 def test_validation_finds_each_fault(spark):
     bad = spark.createDataFrame([("a", "g", "train"), ("a", "g", "val"), ("b", "h", "other"), ("c", "i", None)], "sample_id string, group_id string, split string")
     assert {r.check: r.violations for r in splitting.validate(bad).collect()} == {"duplicate_ids": 1, "unknown_split": 2, "leaking_groups": 1, "empty_splits": 1}
