@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 MOST_TRAINING = 4_096
 #: Inner products over this share of the norm count in the score-aware loss.
 SCORE_SHARE = 0.2
+#: Different lengths of queries in one search, at most: each is a search of its own.
+MOST_LENGTHS = 100
 #: Rows of a block of candidates or queries.
 BLOCK = 4_096
 #: Candidates of a block that are scored exactly for each query.
@@ -163,12 +166,19 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, book: Codebook | None = None, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best rows of ``vectors`` for each row of ``queries``.
 
-    Both have vec_id and embedding, of one length; rows that :func:`usable` leaves out take no part.  A query's own vec_id is
-    no candidate.  Ties go to the smaller vec_id.  Fewer candidates than ``k`` are all returned; repeated rows count as they
+    Both have vec_id and embedding; rows that :func:`usable` leaves out take no part, and a query's candidates are the rows of
+    its own length.  A query's own vec_id is no candidate.  Ties go to the smaller vec_id.  Fewer candidates than ``k`` are all returned; repeated rows count as they
     occur.  Blocks of queries meet blocks of candidates; every candidate's code is scanned for every query.
     """
     spark = vectors.sparkSession
     candidates, asked = usable(vectors), usable(queries)
+    sizes = [r[0] for r in asked.select(F.size("vector")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"queries of more than {MOST_LENGTHS} different lengths")
+    if len(sizes) > 1:
+        of = lambda frame, n: frame.where(F.size("embedding") == n)
+        return reduce(DataFrame.union, [search(of(vectors, n), of(queries, n), k, None, rerank) for n in sorted(sizes)])
+    candidates = candidates.where(F.size("vector") == sizes[0]) if sizes else candidates.limit(0)
     if book is None:
         sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MOST_TRAINING).collect()
         if not sample:

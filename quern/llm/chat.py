@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.blocks import batched
 
@@ -104,8 +105,9 @@ def format_conversations(turns: DataFrame, template: Template = MARKED, session_
         raise ValueError("sessions need a template that is free of history")
     id_type = turns.schema["conv_id"].dataType
     schema = f"conv_id {id_type.simpleString()}, {FORMATTED}"
+    id_kind = to_arrow_type(id_type)
     arrow = pa.schema(
-        [("conv_id", pa.int64()), ("session", pa.int32()), ("n_turns", pa.int32()), ("formatted", pa.string()), ("rewritten_at", pa.int32())]
+        [("conv_id", id_kind), ("session", pa.int32()), ("n_turns", pa.int32()), ("formatted", pa.string()), ("rewritten_at", pa.int32())]
         + [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("role", pa.string())])))]
     )
 
@@ -129,9 +131,8 @@ def format_conversations(turns: DataFrame, template: Template = MARKED, session_
             if held:
                 yield done()
 
-        yield from batched(rows(), arrow.set(0, pa.field("conv_id", batches_type)), size=500)
+        yield from batched(rows(), arrow, size=500)
 
-    batches_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
     ordered = turns.select("conv_id", "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
 
@@ -141,8 +142,8 @@ DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string
 
 def read_back(formatted: DataFrame, template: Template = MARKED, parse: Callable[[str], list[Message]] = parse_marked) -> DataFrame:
     """Digests of what a reader finds in the output of :func:`format_conversations`: its turns and its loss mask."""
-    id_type = formatted.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {id_type}, {DIGEST}"
+    id_type = formatted.schema["conv_id"].dataType
+    id_kind, schema = to_arrow_type(id_type), f"conv_id {id_type.simpleString()}, {DIGEST}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -165,7 +166,7 @@ def read_back(formatted: DataFrame, template: Template = MARKED, parse: Callable
             if state:
                 yield current, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
-        arrow = pa.schema([("conv_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+        arrow = pa.schema([("conv_id", id_kind), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         yield from batched(rows(), arrow)
 
     # No exchange in between: a conversation's sessions still follow one another.

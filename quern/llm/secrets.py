@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import random
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from pyspark.ml.classification import RandomForestClassificationModel
+
 CONTEXT = 40
 
 #: Words whose letters tell that a candidate is language and not random.
@@ -183,14 +187,17 @@ def labelled_findings(n: int = 1500, seed: int = SEED) -> list[tuple[int, str, i
 
 def train(spark: SparkSession, findings: list[tuple[int, str, int]] | None = None) -> str:
     """Fit the forest and return its vote share for x.f as SQL.  ``findings`` is bounded, at most some thousand rows."""
+    return forest_sql(fit(spark, findings).toDebugString, FEATURES)
+
+
+def fit(spark: SparkSession, findings: list[tuple[int, str, int]] | None = None) -> RandomForestClassificationModel:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = spark.createDataFrame(findings or labelled_findings(), "doc_id long, text string, label int").coalesce(1)
     found = candidates(rows).select(F.col("label").cast("double").alias("label"), F.explode("_found").alias("x")).select("label", "x.f.*")
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found).select("label", "features")
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3, featureSubsetStrategy="sqrt").fit(data)
-    return forest_sql(model.toDebugString, FEATURES)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3, featureSubsetStrategy="sqrt").fit(data)
 
 
 def forest_sql(dump: str, features: tuple[str, ...], at: str = "x.f") -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
+from quern.storage import checkpoint
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,13 +113,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     """``pages`` with host, path, rule and verdict (allow or block).
 
     ``redirects`` may hold further (src, dst) URLs.  Null urls and urls without ``://`` have empty host and path, no rule
-    and no aliases.  Null html has no links.  Columns of ``pages`` with one of the new names are replaced.
+    and no aliases.  Null html has no links; whole pages are read, however long.  Repeated rows are judged alike, and an empty
+    table stays empty.  Columns of ``pages`` with one of the new names are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "_node", "_own")
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
-    members = connected_components(edges)
+    # Written once: the components refer to the edges more than once, and html is large.
+    members = connected_components(checkpoint(edges.distinct()))
     # A node is host + path + query; rules apply to aliases that aren't pages too.
     as_url = F.concat(F.lit("x://"), F.col("id"))
     decided = members.select("id", "component", best_rule(host_of(as_url), path_of(as_url), rules)["verdict"].alias("v"))
