@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import ann, url_filter
@@ -41,6 +42,15 @@ def test_search_recall_ties_and_odd_vectors(spark, monkeypatch):
     assert ann.search(few, few.where("vec_id % 4 = 0")).count() == 2
 
 
+def test_vectors_of_several_lengths_search_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 3 else 6)]) for i in range(60)] + [(60, [1.0] * 4), (60, [1.0] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(frame.withColumn("score", F.lit("clash")), frame.where("vec_id % 20 = 0"), k=5).collect()
+    length = {i: len(v) for i, v in rows}
+    assert {r.query_id for r in got} == {0, 20, 40, 60} and all(length[r.query_id] == length[r.vec_id] != 0 and r.vec_id != r.query_id for r in got)
+
+
 def test_anisotropic_codes_shrink_parallel_error():
     x = np.random.default_rng(2).normal(size=(600, 8))
     book = ann.fit(x)
@@ -91,6 +101,12 @@ def test_relative_and_repeated_alias_links(spark):
     assert got == {("a.net/x/y.html?k=1", x) for x in wanted.values() if x} | {("c.net", f"c.net/{x}") for x in ("one", "two", "three")}
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_decisions_take_effect(spark, tmp_path):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choice(["ba", "do", "ki", "lu", "mer", "tan"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
