@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from quern.operators import audit
@@ -224,8 +226,6 @@ def slice_files(spark, sf_dir):
 @query(f"""WITH {_MANIFEST}, c AS (SELECT 'k3m_' || sample_id AS case_id, split FROM m WHERE split <> 'test'), f AS (SELECT split, list_sort(list(case_id)) AS cases FROM c GROUP BY split)
   SELECT 'fold_' || split AS part, sha256(array_to_string(cases, ',')) AS content FROM f UNION ALL SELECT 'numTraining', CAST(count(*) AS VARCHAR) FROM c UNION ALL SELECT 'channel_names', '{{"0": "pre", "1": "flair", "2": "post"}}'""")
 def export_description(spark, sf_dir):
-    import json
-
     rows = manifest(spark, sf_dir)
     folds = tables.folds(tables.case_map(rows)).select(F.concat(F.lit("fold_"), "split").alias("part"), F.sha2(F.array_join("cases", ","), 256).alias("content"))
     said = tables.dataset_description(rows, ["pre", "flair", "post"])
@@ -271,13 +271,11 @@ def _variants():
 @query("""SELECT * FROM (VALUES ('ratios', 'data.split_ratios must sum to 1'), ('size', 'data.image_size must be divisible by 16'), ('mode', 'data.channel_mode must be one of grayscale, flair_green, rgb_multimodal'), ('channels', 'model.in_channels must be 3'),
   ('resnet', 'data.image_size must be divisible by 32'), ('threshold', 'metrics.threshold must lie between 0 and 1'), ('cap', 'evaluation.max_saved_predictions must be positive or null')) v(variant, problem)""")
 def config_problems(spark, sf_dir):
-    """Configurations written as YAML and loaded again, with the rules that they break."""
-    import yaml
-
+    """Configurations written out, as JSON, which YAML includes, and loaded again, with the rules that they break."""
     rows = []
     for name, value in _variants():
         path = f"{new_path(spark, 'config')}/{name}.yaml"
-        put(spark, path, yaml.safe_dump(value).encode())
+        put(spark, path, json.dumps(value).encode())
         rows += [(name, p) for p in config.problems(config.load_config_text(spark.read.text(path, wholetext=True).first()[0]))]
     return spark.createDataFrame(rows, "variant string, problem string")
 
