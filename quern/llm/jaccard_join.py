@@ -3,8 +3,9 @@
 Shingles are ordered by hash.  Two sets with Jaccard similarity of at least ``similarity`` share that part of either set, so
 prefixes that are l longer than the shortest possible share at least l shingles (Wang, Li, Feng, "Can We Beat the Prefix
 Filtering?", 2012).  Prefixes come in levels, up to the whole set, with an l for each.  Every document starts at level 0.
-Where the frequencies of its prefix's shingles foretell more than ``CHEAP`` candidates, its prefix is lengthened to the level
-whose cost is least: the lists to be read, and the candidates that a longer prefix with more shared shingles leaves to be verified.
+Where a list of its prefix foretells more than ``CHEAP`` candidates, its prefix is lengthened to the level whose estimated cost is
+least: the lists that it joins, and the documents that it meets in them.  A longer prefix asks for more shared shingles, so fewer
+and rarer ones need a list.
 A pair is sought at the lower one of its documents' levels, at which both have a prefix, and must share as many shingles as
 that level asks for before it is verified.
 
@@ -31,7 +32,7 @@ from quern.storage import checkpoint, table
 WIDTH = 5
 #: Similarity as a fraction, 3/4.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Candidates of a document at level 0, as estimated, up to which its prefix stays short.
+#: Documents of a list at level 0 up to which its documents' prefixes stay short: as many candidates at least would come of it.
 CHEAP = 32
 #: At level 0 one shared shingle is asked for, and one more for each so many shingles.
 STEP = 8
@@ -200,8 +201,8 @@ def _links(lists: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _frequencies(found: DataFrame) -> DataFrame:
-    """Number of documents of each key that several have."""
-    return checkpoint(found.groupBy("t", "key").agg(F.count("*").alias("df")).where("df > 1"))
+    """Number of documents of each key that several have, one of them at its own level."""
+    return checkpoint(found.groupBy("t", "key").agg(F.count("*").alias("df"), F.bool_and("higher").alias("none")).where("df > 1 and not none").select("t", "key", "df"))
 
 
 def _rarest(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,29 +215,28 @@ def _rarest(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     needed = _by_level(_least_shared, F.col("n"))
     ranked = found.join(_frequencies(found), ["t", "key"]).withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "key")), "left": F.count("*").over(by_doc)})
     ranked = table(ranked.where(F.col("left") >= needed), "ranked")
-    lists = ranked.where(F.col("rank") <= F.col("left") - needed + 1).select("t", "key", "doc_id", "n", (F.col("n") - F.col("left")).alias("own"), (F.col("left") - F.col("rank")).alias("after"), "higher")
+    lists = ranked.where(F.col("rank") <= F.col("left") - needed + 1).select("t", "key", "doc_id", "n", (F.col("n") - F.col("left")).alias("own"), (F.col("left") - F.col("rank")).alias("after"), "higher", "df")
     return table(lists, "lists"), table(ranked.groupBy("t", "doc_id").agg(F.collect_list("key").alias("x")), "kept")
 
 
 def _at_least_cost(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """The level of each document (level, from 1), and the postings of all its levels: t, key, doc_id, n and level.
+    """Postings of the documents at all levels up to their own: t, key, doc_id, n and higher (the document's level is a higher one).
 
-    ``keys`` has the shared shingles (key, doc_id) of whole sets.  Reading a list costs its length; a candidate costs its
-    document's shingles.  Of the documents in the lists of a prefix that asks for l, at most the lists' length over l can
-    be candidates.  Documents that share too little at level 1 have no partner at any level.
+    ``keys`` has the shared shingles (key, doc_id) of whole sets.  Of what a prefix shares, the rarest need lists, all but as many
+    as the level asks for less one.  Joining a list costs one, and so does each document met there.  Documents that share too
+    little at level 1 have no partner at any level.
     """
     ends = sets.select("doc_id", F.size("x").alias("n"), *[F.element_at("x", _prefix(t, F.size("x")).cast("int")).alias(f"end{t}") for t in range(1, TOP)])
     first_level = F.coalesce(*[F.when(F.col("key") <= F.col(f"end{t}"), t) for t in range(1, TOP)], F.lit(TOP))
     found = table(keys.join(ends, "doc_id").select("key", "doc_id", F.col("n").cast("long").alias("n"), first_level.alias("from")), "whole")
     df = checkpoint(found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    inside = lambda t: F.col("from") <= t
-    sums = found.join(df, "key").groupBy("doc_id", "n").agg(
-        *[F.sum(F.when(inside(t), F.col("df"))).alias(f"read{t}") for t in range(1, TOP + 1)], *[F.sum(F.when(inside(t), F.col("df") - 1)).alias(f"met{t}") for t in range(1, TOP + 1)], F.count_if(inside(1)).alias("shared")
-    )
-    read = lambda t: sum((F.coalesce(f"read{k}", F.lit(0)) for k in range(1, t + 1)), F.lit(0))
-    cost = lambda t: read(t) + F.col("n") * F.coalesce(f"met{t}", F.lit(0)) / _asked(t, F.col("n"))
-    best = F.array_min(F.array(*[F.struct(cost(t).cast("double").alias("cost"), F.lit(t).alias("level")) for t in range(1, TOP + 1)]))["level"]
-    levels = table(sums.where(F.col("shared") >= _least_shared(1, F.col("n"))).select("doc_id", best.alias("level")), "levels")
+    lists = found.join(df, "key").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "from"))).alias("l"))
+    inside = lists.select("doc_id", "n", *[F.filter("l", lambda x: x["from"] <= t).alias(f"l{t}") for t in range(1, TOP + 1)])
+    rarest = lambda t: F.slice(f"l{t}", 1, F.greatest(F.size(f"l{t}") - _least_shared(t, F.col("n")) + 1, F.lit(0)).cast("int"))
+    cost = lambda t: F.aggregate(rarest(t), F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    best = F.array_min(F.array(*[F.struct(cost(t).alias("cost"), F.lit(t).alias("level")) for t in range(1, TOP + 1)]))["level"]
+    alive = [F.size(f"l{t}") >= _least_shared(t, F.col("n")) for t in range(1, TOP + 1)]
+    levels = table(inside.where(alive[0] & alive[-1]).select("doc_id", best.alias("level")), "levels")
     postings = found.join(levels, "doc_id").where("from <= level").withColumn("t", F.explode(F.sequence("from", "level")))
     return postings.select("t", "key", "doc_id", "n", (F.col("t") < F.col("level")).alias("higher"))
 
@@ -283,12 +283,13 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = found.where("key is null").groupBy("doc_id").agg(F.max("size").alias("n"))
     keys = found.where("key is not null").select("key", "doc_id").distinct()
     enough = keys.groupBy("doc_id").agg(F.count("*").alias("k")).join(sizes, "doc_id").where(F.col("k") >= _least_shared(0, F.col("n")))
-    alive = table(keys.join(enough, "doc_id").select(F.lit(0).alias("t"), "key", "doc_id", "n"), "alive")
-    estimate = alive.join(_frequencies(alive), ["t", "key"]).groupBy("doc_id", "n").agg(F.sum(F.col("df") - 1).alias("met"))
-    dear = table(estimate.where(F.col("met") > CHEAP * _asked(0, F.col("n"))).select("doc_id", F.lit(True).alias("higher")), "dear")
-    lists, kept = _rarest(table(alive.join(dear, "doc_id", "left").withColumn("higher", F.coalesce("higher", F.lit(False))), "marked"))
+    alive = table(keys.join(enough, "doc_id").select(F.lit(0).alias("t"), "key", "doc_id", "n", F.lit(False).alias("higher")), "alive")
+    lists, kept = _rarest(alive)
+    marked = table(lists.withColumn("higher", F.max("df").over(W.partitionBy("doc_id")) > CHEAP), "marked")
+    dear = checkpoint(marked.where("higher").select("doc_id").distinct())
     sets = table(_sets(only(texts_of_nodes, checkpoint(kept.select("doc_id").distinct()))), "sets")
-    links = _links(lists, kept, sets)
+    # A longer list has documents of higher levels only.
+    links = _links(marked.where(F.col("df") <= CHEAP), kept, sets)
     if not dear.isEmpty():
         links = links.union(_lengthened(table(sets.join(dear, "doc_id", "left_semi"), "dear_sets"), least))
     component = checkpoint(connected_components(links, "a", "b"))
