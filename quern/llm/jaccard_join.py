@@ -216,7 +216,7 @@ def _rarest(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = found.join(_frequencies(found), ["t", "key"]).withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "key")), "left": F.count("*").over(by_doc)})
     ranked = table(ranked.where(F.col("left") >= needed), "ranked")
     lists = ranked.where(F.col("rank") <= F.col("left") - needed + 1).select("t", "key", "doc_id", "n", (F.col("n") - F.col("left")).alias("own"), (F.col("left") - F.col("rank")).alias("after"), "higher", "df")
-    return table(lists, "lists"), table(ranked.groupBy("t", "doc_id").agg(F.collect_list("key").alias("x")), "kept")
+    return lists, table(ranked.groupBy("t", "doc_id").agg(F.collect_list("key").alias("x")), "kept")
 
 
 def _at_least_cost(keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,7 +237,10 @@ def _at_least_cost(keys: DataFrame, sets: DataFrame) -> DataFrame:
     best = F.array_min(F.array(*[F.struct(cost(t).alias("cost"), F.lit(t).alias("level")) for t in range(1, TOP + 1)]))["level"]
     alive = [F.size(f"l{t}") >= _least_shared(t, F.col("n")) for t in range(1, TOP + 1)]
     levels = table(inside.where(alive[0] & alive[-1]).select("doc_id", best.alias("level")), "levels")
-    postings = found.join(levels, "doc_id").where("from <= level").withColumn("t", F.explode(F.sequence("from", "level")))
+    # Pairs are sought at levels that some document has chosen; no others need postings.
+    chosen = [r["level"] for r in levels.select("level").distinct().collect()]
+    places = F.filter(F.sequence("from", "level"), lambda t: t.isin(chosen))
+    postings = found.join(levels, "doc_id").where("from <= level").withColumn("t", F.explode(places))
     return postings.select("t", "key", "doc_id", "n", (F.col("t") < F.col("level")).alias("higher"))
 
 
