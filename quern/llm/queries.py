@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import ann, chat, jaccard_join, mixing, packing, quality, secrets, substring, toxicity, url_filter
+from quern.llm import alignment, ann, chat, exact, jaccard_join, mixing, packing, quality, secrets, spelling, substring, toxicity, url_filter
 from quern.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs.select("doc_id", "text"), chain).drop("text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = exact.judge(_read(spark, sf_dir, "documents"), smallest=False)
+    return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_read(spark, sf_dir, "documents"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -82,5 +96,8 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": pipeline,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import mixing, quality, url_filter
+from quern.llm import mixing, quality, spelling, url_filter
 
 _W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted({*quality.STOP_WORDS, *map(str.capitalize, quality.STOP_WORDS)})) + "]"
@@ -73,10 +73,28 @@ _OP8 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_W}) AS BIGINT) AS size
   e AS (SELECT source, k FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1)
   SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < part THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f JOIN e ON f.source IS NOT DISTINCT FROM e.source AND f.k = e.k"""
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_OP11 = rf"""WITH RECURSIVE c AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+  o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[a-z\x{{c0}}-\x{{ff}}]+')) AS w FROM documents) GROUP BY ALL),
+  b AS (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM o),
+  h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS h FROM b, c),
+  v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % {spelling.DAMAGED} = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h) WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_SEEN}),
+  d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS r FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+  e AS (SELECT a.word AS u, b.word AS v FROM d a JOIN d b ON a.r = b.r AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON d.r = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.r = v.word),
+  m AS (SELECT e.u, e.v, v.n, count(*) OVER (PARTITION BY e.u) AS n_near FROM e JOIN v ON v.word = e.v QUALIFY row_number() OVER (PARTITION BY e.u ORDER BY v.n DESC, e.v) = 1),
+  f AS (SELECT v.word, v.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.n >= {spelling.RATIO} * v.n THEN m.v END AS form, CASE WHEN m.n >= {spelling.RATIO} * v.n THEN m.n END AS form_n FROM v LEFT JOIN m ON m.u = v.word),
+  r(word, root, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT r.word, f.form, depth + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+  SELECT f.word, f.form, x.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM r GROUP BY word) x ON x.word = f.word"""
+
+_OP12 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2,
     "op4_approximate_neighbours": _OP4,
     "op6_url_filter": _OP6,
     "op7_substring_dedup": _OP7,
     "op8_mixing": _OP8,
+    "op11_spelling_variants": _OP11,
+    "op12_exact_dedup": _OP12,
 }
