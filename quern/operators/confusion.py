@@ -5,11 +5,13 @@ Every accumulator is a sum, so partial aggregation in the map tasks leaves one r
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.columns import hash_int, held, ratio
+from quern.functions.columns import hash_int, ratio
+from quern.operators.kernels import kernel
 from quern.storage import checkpoint
 
 COUNTS = ("tp", "fp", "fn", "tn")
@@ -185,11 +187,11 @@ def losses(cells: DataFrame, sample: str, p: Column, t: Column, smooth: float =
     return out.withColumns({"bce_dice_loss": half("bce_loss", "dice_loss"), "bce_positive_dice_loss": half("bce_loss", "positive_dice_loss")})
 
 
-def boundary(cells: Column, size: int) -> Column:
-    """Largest less smallest value around each cell of a square raster, 3 x 3 cells where they lie inside."""
-    around = [[yy * size + xx for yy in range(max(0, y - 1), min(size, y + 2)) for xx in range(max(0, x - 1), min(size, x + 2))] for y in range(size) for x in range(size)]
-    places = F.transform(F.split(F.lit(";".join(",".join(map(str, a)) for a in around)), ";"), lambda a: F.split(a, ",").cast("array<int>"))
-    return held(cells, lambda c: F.transform(places, lambda near: held(F.transform(near, lambda k: F.get(c, k)), lambda v: F.array_max(v) - F.array_min(v))))
+def edges(m: np.ndarray, size: int) -> np.ndarray:
+    """Largest less smallest value around each cell of square rasters, 3 x 3 cells where they lie inside."""
+    grid = np.pad(m.reshape(-1, size, size), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    around = np.stack([grid[:, y : y + size, x : x + size] for y in range(3) for x in range(3)])
+    return (around.max(0) - around.min(0)).reshape(len(m), -1)
 
 
 def raster_losses(rasters: DataFrame, p: str, t: str, size: int, smooth: float = 1.0, weights: tuple[float, float, float] = (0.55, 0.30, 0.15)) -> DataFrame:
@@ -199,10 +201,16 @@ def raster_losses(rasters: DataFrame, p: str, t: str, size: int, smooth: float =
     """
     if min(weights) < 0 or sum(weights) <= 0:
         raise ValueError("weights must be non-negative and not all zero")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    dice = lambda a, b: (2 * total(F.zip_with(a, b, lambda x, y: x * y)) + smooth) / (total(a) + total(b) + smooth)
-    edges = rasters.withColumns({"_bp": boundary(F.col(p), size), "_bt": boundary(F.col(t), size)})
-    per = edges.select(dice(F.col(p), F.col(t)).alias("d"), dice(F.col("_bp"), F.col("_bt")).alias("b"), total(F.zip_with(p, t, lambda x, y: focal(x, y))).alias("f"), F.size(p).alias("n"))
+
+    def of_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        dice = lambda a, b: (2 * (a * b).sum(1) + smooth) / (a.sum(1) + b.sum(1) + smooth)
+        held_in = np.clip(x, 1e-7, 1 - 1e-7)
+        cross = -np.where(y == 1, np.log(held_in), np.log(1 - held_in))
+        hard = np.where(y == 1, 0.75, 0.25) * (1 - np.where(y == 1, x, 1 - x)) ** 2 * cross
+        return np.column_stack([dice(x, y), dice(edges(x, size), edges(y, size)), hard.sum(1)])
+
+    found = rasters.select(kernel(of_rows, "array<double>", size * size, F.col(p), F.col(t), rasters=2).alias("v"), F.size(p).alias("n"))
+    per = found.select(*[F.get("v", k).alias(c) for k, c in enumerate("dbf")], "n")
     out = per.agg((1 - F.avg("d")).alias("dice_loss"), (F.sum("f") / F.sum("n")).alias("focal_loss"), (1 - F.avg("b")).alias("boundary_loss"))
     parts = [w / sum(weights) * F.col(c) for w, c in zip(weights, ("dice_loss", "focal_loss", "boundary_loss"), strict=True)]
     return out.withColumn("dice_focal_boundary_loss", parts[0] + parts[1] + parts[2])

@@ -1,25 +1,24 @@
-"""Images as arrays of byte values, row by row: channels, resampling, sampled hashes, normal forms and post-processing.
+"""Images as arrays of byte values, row by row: channels, resampling, sampled hashes, normal forms, augmentation, masks.
 
-Sizes are parameters, so which source cells a target cell needs is worked out once, and each operator is one expression.
+Sizes are parameters, so which source cells a target cell needs is worked out once a process; the work is done by kernels.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.columns import held
-from quern.operators.rasters import fixed, permutation
+from quern.operators.kernels import bilinear, blurred, difference_words, kernel, nearest_places, normal, population_sd, rotated, turns
 
 CHANNELS = ("red", "green", "blue")
 #: Samples of the 256-bit hash: rows, and comparisons in a row.
 HASH_ROWS = HASH_COLUMNS = 16
 
 
-def _picked(cells: Column, places: list[int]) -> Column:
-    return held(cells, lambda c: F.transform(fixed(places), lambda p: F.get(c, p)))
-
-
 # ---- channels ---------------------------------------------------------------------------------------------------------
 
 
@@ -32,10 +31,7 @@ def channel_statistics(images: DataFrame, channels: tuple[str, str, str] = CHANN
     """min, max and population SD of each channel column, and whether channels are equal everywhere."""
     out = {}
     for c in channels:
-        n = F.size(c).cast("double")
-        total = F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-        squares = F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
-        out |= {f"{c}_min": F.array_min(c), f"{c}_max": F.array_max(c), f"{c}_sd": F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))}
+        out |= {f"{c}_min": F.array_min(c), f"{c}_max": F.array_max(c), f"{c}_sd": kernel(population_sd, "double", None, F.col(c))}
     red, green, blue = channels
     for name, (a, b) in {"red_green_equal": (red, green), "red_blue_equal": (red, blue), "green_blue_equal": (green, blue)}.items():
         out[name] = F.col(a) == F.col(b)
@@ -52,34 +48,12 @@ def gray_equivalent() -> Column:
 
 def resized_nearest(cells: Column, size: tuple[int, int], target: tuple[int, int]) -> Column:
     """Nearest cells, by cell centres; sizes are (width, height)."""
-    (w, h), (tw, th) = size, target
-    return _picked(cells, [min(h - 1, (2 * y + 1) * h // (2 * th)) * w + min(w - 1, (2 * x + 1) * w // (2 * tw)) for y in range(th) for x in range(tw)])
-
-
-def _axis(n: int, target: int) -> list[tuple[int, int, float]]:
-    """For each target place the two source places around its centre and the second one's share."""
-    out = []
-    for k in range(target):
-        at = min(max((k + 0.5) * n / target - 0.5, 0.0), n - 1.0)
-        low = min(int(at), n - 1)
-        out.append((low, min(low + 1, n - 1), at - low))
-    return out
+    return kernel(lambda m: m[:, nearest_places(size, target)], "array<int>", size[0] * size[1], cells)
 
 
 def resized_bilinear(cells: Column, size: tuple[int, int], target: tuple[int, int]) -> Column:
     """Bilinear values between cell centres, as doubles; sizes are (width, height)."""
-    (w, h), (tw, th) = size, target
-    xs, ys = _axis(w, tw), _axis(h, th)
-    corners = [(y0 * w + x0, y0 * w + x1, y1 * w + x0, y1 * w + x1, fx, fy) for y0, y1, fy in ys for x0, x1, fx in xs]
-    four, shares = [fixed([c[k] for c in corners]) for k in range(4)], [fixed([c[k] for c in corners], "double") for k in (4, 5)]
-    mixed = lambda a, b, share: a + (b - a) * share
-
-    def value(source: Column, k: Column) -> Column:
-        a, b, c, d = (F.get(source, F.get(f, k)).cast("double") for f in four)
-        x, y = (F.get(s, k) for s in shares)
-        return mixed(mixed(a, b, x), mixed(c, d, x), y)
-
-    return held(cells, lambda source: F.transform(F.sequence(F.lit(0), F.lit(tw * th - 1)), lambda k: value(source, k)))
+    return kernel(lambda m: bilinear(m, size, target), "array<double>", size[0] * size[1], cells)
 
 
 def letterbox_geometry(size: tuple[int, int], target: int) -> tuple[int, int, int, int]:
@@ -92,12 +66,14 @@ def letterbox_geometry(size: tuple[int, int], target: int) -> tuple[int, int, in
 def letterboxed(cells: Column, size: tuple[int, int], target: int, mask: bool = False) -> Column:
     """Cells of a square with black bars: bilinear values to the nearest byte, of a mask nearest cells as 0 or 255."""
     w, h, left, top = letterbox_geometry(size, target)
-    if mask:
-        inner = F.transform(resized_nearest(cells, size, (w, h)), lambda v: F.when(v >= 128, 255).otherwise(0))
-    else:
-        inner = F.transform(resized_bilinear(cells, size, (w, h)), lambda v: F.floor(v + 0.5).cast("int"))
-    places = [(y - top) * w + x - left if left <= x < left + w and top <= y < top + h else -1 for y in range(target) for x in range(target)]
-    return held(inner, lambda c: F.transform(fixed(places), lambda p: F.when(p >= 0, F.get(c, p)).otherwise(0)))
+
+    def boxed(m: np.ndarray) -> np.ndarray:
+        inner = np.where(m[:, nearest_places(size, (w, h))] >= 128, 255, 0) if mask else np.floor(bilinear(m, size, (w, h)) + 0.5)
+        out = np.zeros((len(m), target, target), np.int32)
+        out[:, top : top + h, left : left + w] = inner.reshape(-1, h, w)
+        return out.reshape(len(m), -1)
+
+    return kernel(boxed, "array<int>", size[0] * size[1], cells)
 
 
 def conversion_problems(image: Column, mask: Column, width: Column, height: Column, bits: Column, target: int) -> Column:
@@ -116,12 +92,13 @@ def conversion_problems(image: Column, mask: Column, width: Column, height: Colu
 
 def normalised(cells: Column, mean: float, sd: float) -> Column:
     """(v / 255 - mean) / sd of every cell."""
-    return F.transform(cells, lambda v: (v / F.lit(255.0) - mean) / sd)
+    return kernel(lambda m: (m / 255.0 - mean) / sd, "array<double>", None, cells)
 
 
-def gamma_table(exponent: Column) -> Column:
-    """What each byte value becomes under an exponent, halves to even."""
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bround(F.lit(255.0) * F.pow(v / F.lit(255.0), exponent)).cast("int"))
+def _shares(seed: int, key: str, *places: int) -> list[Column]:
+    """Numbers of 32 bits from a digest of seed and key, by their places in it."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    return [F.conv(F.substring(digest, 8 * at + 1, 8), 16, 10).cast("long") for at in places]
 
 
 def augmented(images: DataFrame, cells: str, size: int, key: str, seed: int, flip: float = 0.0, gamma: float = 0.0) -> DataFrame:
@@ -129,15 +106,84 @@ def augmented(images: DataFrame, cells: str, size: int, key: str, seed: int, fli
 
     Both are drawn from a digest of seed and key, so runs agree; masks flipped with the same seed and key follow.
     """
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    share = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+    def change(m: np.ndarray, turn: np.ndarray, bend: np.ndarray) -> np.ndarray:
+        m = np.where((turn / 2**32 < flip)[:, None], m[:, turns("flip_h", size)], m)
+        return bent(m, bend, gamma) if gamma > 0 else m
+
+    return images.withColumn(cells, kernel(change, "array<int>", size * size, F.col(cells), *_shares(seed, key, 0, 1)))
+
+
+def bent(m: np.ndarray, draw: np.ndarray, gamma: float) -> np.ndarray:
+    """Byte values through a table for each row's exponent, drawn within ``gamma`` of 1; halves go to even."""
     low, high = max(1.0 - gamma, 0.1), 1.0 + gamma
-    turned = F.when(share(1) < flip, _picked(F.col(cells), permutation("flip_h", size))).otherwise(F.col(cells))
-    out = images.withColumn(cells, turned)
-    if gamma > 0:
-        table = gamma_table(F.lit(low) + F.lit(high - low) * share(9))
-        out = out.withColumn(cells, held(table, lambda t: F.transform(cells, lambda v: F.get(t, v))))
-    return out
+    exponents = low + (high - low) * (draw / 2**32)
+    return np.round(255.0 * (m / 255.0) ** exponents[:, None])
+
+
+@dataclass(frozen=True)
+class Augmentation:
+    """How much training images may change; 0 leaves a step out."""
+
+    flip: float = 0.0
+    rotation: float = 0.0
+    brightness: float = 0.0
+    contrast: float = 0.0
+    gamma: float = 0.0
+    blur: float = 0.0
+    blur_radius: float = 0.75
+    noise: float = 0.0
+    noise_sd: float = 0.02
+
+
+def augmented_pairs(pairs: DataFrame, image: str, mask: str, size: tuple[int, int], key: str, seed: int, how: Augmentation) -> DataFrame:
+    """``pairs`` with ``image`` as values from 0 to 1 and ``mask`` as byte values, both changed alike where that moves cells.
+
+    In turn: a flip left to right with a chance, a rotation by up to so many degrees either way (bilinear over black; the
+    mask by nearest cells over 3, a background value), brightness and contrast by factors about 1 (contrast about the mean
+    of the image), an exponent about 1, a blur with a chance, and noise with a chance.  Everything is drawn from a digest of
+    seed and key, so a sample changes alike in every run and on every executor; noise is drawn for each cell by a counter.
+    """
+    w, h = size
+    names = ("flip", "bend", "angle", "light", "spread", "blur", "noise", "seed")
+    draws = F.array(*_shares(seed, key, *range(len(names))))
+
+    def drawn(numbers: np.ndarray) -> dict[str, np.ndarray]:
+        rows = np.stack([np.asarray(x, np.int64) for x in numbers]) if len(numbers) else np.empty((0, len(names)), np.int64)
+        return {n: rows[:, k] if n == "seed" else rows[:, k] / 2**32 for k, n in enumerate(names)}
+
+    def moved(m: np.ndarray, d: dict[str, np.ndarray], fill: float, nearest: bool) -> np.ndarray:
+        flipped = m.reshape(-1, h, w)[:, :, ::-1].reshape(len(m), -1)
+        m = np.where((d["flip"] < how.flip)[:, None], flipped, m)
+        return rotated(m, size, (2 * d["angle"] - 1) * how.rotation, fill, nearest) if how.rotation > 0 else m
+
+    def factor(draw: np.ndarray, most: float) -> np.ndarray:
+        return (1.0 - most + 2 * most * draw)[:, None]
+
+    def picture(m: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        d = drawn(numbers)
+        m = moved(m, d, 0.0, False).astype(np.float64)
+        if how.brightness > 0:
+            m = np.floor(np.clip(m * factor(d["light"], how.brightness), 0, 255))
+        if how.contrast > 0:
+            middle = np.floor(m.sum(1) / m.shape[1] + 0.5)[:, None]
+            m = np.floor(np.clip(middle + (m - middle) * factor(d["spread"], how.contrast), 0, 255))
+        if how.gamma > 0:
+            m = bent(m, d["bend"] * 2**32, how.gamma)
+        if how.blur > 0:
+            m = np.where((d["blur"] < how.blur)[:, None], blurred(m, size, how.blur_radius), m)
+        m = m / 255.0
+        if how.noise > 0:
+            noisy = np.clip(m + how.noise_sd * normal(d["seed"], m.shape[1]), 0.0, 1.0)
+            m = np.where((d["noise"] < how.noise)[:, None], noisy, m)
+        return m
+
+    return pairs.withColumns(
+        {
+            image: kernel(picture, "array<double>", w * h, F.col(image), draws),
+            mask: kernel(lambda m, numbers: moved(m, drawn(numbers), 3.0, True), "array<int>", w * h, F.col(mask), draws),
+        }
+    )
 
 
 def predicted_mask(probability: Column, size: tuple[int, int], original: tuple[int, int], threshold: float = 0.5) -> Column:
@@ -145,37 +191,29 @@ def predicted_mask(probability: Column, size: tuple[int, int], original: tuple[i
 
     This order differs from an evaluation, which compares first.
     """
-    bytes_ = F.transform(probability, lambda p: F.bround(p * 255).cast("int"))
-    resized = F.transform(resized_bilinear(bytes_, size, original), lambda v: F.floor(v + 0.5))
-    return F.transform(resized, lambda v: F.when(v >= round(threshold * 255), 255).otherwise(0))
+    least = round(threshold * 255)
+    return kernel(lambda m: np.where(np.floor(bilinear(np.round(m * 255), size, original) + 0.5) >= least, 255, 0), "array<int>", size[0] * size[1], probability)
 
 
 # ---- hashes of 256 bits -----------------------------------------------------------------------------------------------
 
 
-def hash_words(samples: Column) -> Column:
-    """Four longs from 16 rows of 17 samples: bit k of a word is set where a sample is greater than its right neighbour."""
-    bit = lambda k: F.when(F.get(samples, (k / 16).cast("int") * 17 + k % 16) > F.get(samples, (k / 16).cast("int") * 17 + k % 16 + 1), 1).otherwise(0).cast("long")
-    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, k: h.bitwiseOR(F.call_function("shiftleft", bit(k + 64 * w), k)))
-    return F.array(*[word(w) for w in range(4)])
-
-
-def sample_places(size: int, orientation: str = "identity") -> list[int]:
+@lru_cache(64)
+def sample_places(size: int, orientation: str = "identity") -> np.ndarray:
     """Where a square raster, turned, is sampled for its hash: 16 rows of 17 places."""
-    at = permutation(orientation, size)
-    ys = [min(size - 1, y * size // 16 + size // 32) for y in range(HASH_ROWS)]
-    xs = [min(size - 1, x * size // 17 + size // 34) for x in range(HASH_COLUMNS + 1)]
-    return [at[y * size + x] for y in ys for x in xs]
+    ys = np.minimum(size - 1, np.arange(HASH_ROWS) * size // 16 + size // 32)
+    xs = np.minimum(size - 1, np.arange(HASH_COLUMNS + 1) * size // 17 + size // 34)
+    return turns(orientation, size)[(ys[:, None] * size + xs).ravel()]
 
 
 def sampled_hash(cells: Column, size: int, orientation: str = "identity") -> Column:
-    """Difference hash of point samples of a square raster as if it were turned."""
-    return held(_picked(cells, sample_places(size, orientation)), hash_words)
+    """Difference hash of point samples of a square raster as if it were turned: four longs."""
+    return kernel(lambda m: difference_words(m[:, sample_places(size, orientation)]), "array<bigint>", size * size, cells)
 
 
 def resampled_hash(cells: Column, size: tuple[int, int]) -> Column:
     """Difference hash of the raster resized to 17 x 16 bilinearly, in whole gray values."""
-    return held(F.transform(resized_bilinear(cells, size, (17, 16)), lambda v: F.floor(v + 0.5)), hash_words)
+    return kernel(lambda m: difference_words(np.floor(bilinear(m, size, (17, 16)) + 0.5)), "array<bigint>", size[0] * size[1], cells)
 
 
 def hash_bits(words: Column) -> Column:

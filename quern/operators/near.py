@@ -7,15 +7,13 @@ leave first; else blank images would all meet in every band.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.images import hash_bits, sampled_hash
-from quern.operators.rasters import INVERSE, ORIENTATIONS, hash_distance, permutation
+from quern.operators.kernels import correlation, kernel, overlap, turns
+from quern.operators.rasters import INVERSE, ORIENTATIONS, hash_distance
 from quern.storage import table
 
 BITS = 256
@@ -49,29 +47,15 @@ def _within(left: DataFrame, right: DataFrame, distance: int, block: tuple[str,
 
 
 def _measured(near: DataFrame, left: DataFrame, right: DataFrame, size: int) -> DataFrame:
-    """``near`` with r (Pearson) and iou (of cells from 128) of a turned and b, an Arrow batch at a time."""
-    turns = np.array([permutation(name, size) for name in ORIENTATIONS])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            o = batch.column(2).to_numpy()
-            a, b = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for k in (4, 5))
-            a = np.take_along_axis(a, turns[o], 1)
-            n = a.shape[1]
-            cross = n * (a * b).sum(1) - a.sum(1) * b.sum(1)
-            va, vb = (n * (x * x).sum(1) - x.sum(1) ** 2 for x in (a, b))
-            flat = (va <= 0) | (vb <= 0)
-            r = np.where(flat, 0.0, cross / np.sqrt(np.where(flat, 1.0, va * vb)))
-            ma, mb = a >= FOREGROUND, b >= FOREGROUND
-            either = (ma | mb).sum(1)
-            iou = np.where(either == 0, 1.0, (ma & mb).sum(1) / np.maximum(either, 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(r), pa.array(iou)], ["a", "b", "o", "d", "r", "iou"])
+    """``near`` with r (Pearson) and iou (of cells from 128) of a turned and b."""
+
+    def measures(a: np.ndarray, b: np.ndarray, o: np.ndarray) -> np.ndarray:
+        a = np.take_along_axis(a, np.stack([turns(name, size) for name in ORIENTATIONS])[o], 1)
+        return np.column_stack([correlation(a, b), overlap(a >= FOREGROUND, b >= FOREGROUND)])
 
     met = near.join(left.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a").join(right.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b")
-    kinds = dict(met.dtypes)
-    return met.select("a", "b", "o", "d", "ca", "cb").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, o int, d int, r double, iou double")
+    found = met.select("a", "b", "o", "d", kernel(measures, "array<double>", size * size, "ca", "cb", "o", rasters=2).alias("m"))
+    return found.select("a", "b", "o", "d", F.get("m", 0).alias("r"), F.get("m", 1).alias("iou"))
 
 
 def _best(scored: DataFrame, correlation: float) -> DataFrame:

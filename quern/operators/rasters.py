@@ -1,11 +1,12 @@
-"""Square rasters as arrays: statistics, orientations and pair comparison, all as expressions."""
+"""Square rasters as arrays: statistics, orientations and pair comparison."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.columns import held, pearson
+from quern.operators.kernels import correlation, kernel, overlap, population_sd, turns
 
 ORIENTATIONS = ("identity", "flip_h", "flip_v", "rotate_180", "rotate_90", "rotate_270", "transpose", "anti_transpose")
 INVERSE = {name: name for name in ORIENTATIONS} | {"rotate_90": "rotate_270", "rotate_270": "rotate_90"}
@@ -13,28 +14,12 @@ INVERSE = {name: name for name in ORIENTATIONS} | {"rotate_90": "rotate_270", "r
 
 def permutation(name: str, size: int) -> list[int]:
     """Index of the source cell of each cell of a turned raster, row by row."""
-    last = size - 1
-    source = {
-        "identity": lambda x, y: (x, y),
-        "flip_h": lambda x, y: (last - x, y),
-        "flip_v": lambda x, y: (x, last - y),
-        "rotate_180": lambda x, y: (last - x, last - y),
-        "rotate_90": lambda x, y: (y, last - x),
-        "rotate_270": lambda x, y: (last - y, x),
-        "transpose": lambda x, y: (y, x),
-        "anti_transpose": lambda x, y: (last - y, last - x),
-    }[name]
-    cells = [source(x, y) for y in range(size) for x in range(size)]
-    return [sy * size + sx for sx, sy in cells]
-
-
-def fixed(values: list, kind: str = "int") -> Column:
-    """A constant array; one literal, as a column for each of thousands of values would take the driver seconds."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    return turns(name, size).tolist()
 
 
 def turned(cells: Column, name: str, size: int) -> Column:
-    return held(cells, lambda c: F.transform(fixed(permutation(name, size)), lambda k: F.get(c, k)))
+    """A square raster of whole values in one of ORIENTATIONS."""
+    return kernel(lambda m: m[:, turns(name, size)], "array<int>", size * size, cells)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -44,38 +29,27 @@ def hamming(a: Column, b: Column) -> Column:
 def statistics(rasters: DataFrame, cells: str, size: int, foreground: float = 0.0) -> DataFrame:
     """min, max, mean, population SD, distinct values, foreground cells (over ``foreground``) and their bounding box."""
     value = F.col(cells)
-    n = F.size(value).cast("double")
-    total = F.aggregate(value, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    squares = F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x)
-    at = F.filter(F.sequence(F.lit(0), F.size(value) - 1), lambda k: F.get(value, k) > foreground)
-    box = lambda f, best: F.coalesce(best(F.transform(F.col("_at"), f)), F.lit(-1)).cast("int")
-    out = rasters.withColumn("_at", at).withColumns(
+
+    def box(m: np.ndarray) -> np.ndarray:
+        on = (m > foreground).reshape(len(m), -1, size)
+        across, down = on.any(1), on.any(2)
+        some = across.any(1)
+        edge = lambda x: (x.argmax(1), x.shape[1] - 1 - x[:, ::-1].argmax(1))
+        return np.column_stack([on.sum((1, 2)), *(np.where(some, e, -1) for e in (*edge(across), *edge(down)))])
+
+    out = rasters.withColumn("_box", kernel(box, "array<int>", None, value))
+    places = {n: F.get("_box", k) for k, n in enumerate(("foreground", "min_x", "max_x", "min_y", "max_y"))}
+    return out.withColumns(
         {
-            "min": F.array_min(value).cast("double"), "max": F.array_max(value).cast("double"), "mean": mean,
-            "sd": F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))), "distinct_values": F.size(F.array_distinct(value)),
-            "foreground": F.size("_at"),
-            "min_x": box(lambda k: k % size, F.array_min), "max_x": box(lambda k: k % size, F.array_max),
-            "min_y": box(lambda k: (k / size).cast("int"), F.array_min), "max_y": box(lambda k: (k / size).cast("int"), F.array_max),
+            "min": F.array_min(value).cast("double"), "max": F.array_max(value).cast("double"), "mean": kernel(lambda m: m.mean(1, dtype=np.float64), "double", None, value),
+            "sd": kernel(population_sd, "double", None, value), "distinct_values": F.size(F.array_distinct(value)), **places,
         }
-    )
-    return out.drop("_at")
+    ).drop("_box")
 
 
 def mask_iou(a: Column, b: Column, foreground: float = 0.0) -> Column:
-    """Intersection over union of the foregrounds; 1 if both are empty."""
-    count = lambda f: F.aggregate(F.zip_with(a, b, f), F.lit(0).cast("long"), lambda s, v: s + v)
-    both = count(lambda x, y: F.when((x > foreground) & (y > foreground), 1).otherwise(0))
-    either = count(lambda x, y: F.when((x > foreground) | (y > foreground), 1).otherwise(0))
-    return F.when(either == 0, 1.0).otherwise(both / either)
-
-
-def mae(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
-
-
-def mse(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    """Intersection over union of the foregrounds; 1 if both are empty, null where the sizes differ."""
+    return kernel(lambda x, y: overlap(x > foreground, y > foreground), "double", None, a, b, rasters=2)
 
 
 def psnr(mean_square: Column, peak: float = 255.0) -> Column:
@@ -117,17 +91,22 @@ def verify_pairs(pairs: DataFrame, rasters: DataFrame, key: str, cells: str, siz
 
     A mask cell is one of ``foreground`` or more.
     """
-    x = rasters.select(F.col(key).alias("a"), F.col(cells).cast("array<double>").alias("ca"))
-    y = rasters.select(F.col(key).alias("b"), F.col(cells).cast("array<double>").alias("cb"))
-    moved = None
-    for name in ORIENTATIONS:
-        moved = F.when(F.col("transform") == name, turned(F.col("ca"), name, size)) if moved is None else moved.when(F.col("transform") == name, turned(F.col("ca"), name, size))
-    joined = pairs.join(x, "a").join(y, "b").withColumn("m", moved).withColumn("mse", mse(F.col("m"), F.col("cb")))
-    unlike = lambda f: F.aggregate(F.zip_with("m", "cb", f), F.lit(0).cast("long"), lambda s, d: s + F.when(d, 1).otherwise(0))
+
+    def measures(ca: np.ndarray, cb: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        m = np.take_along_axis(ca, np.stack([turns(n, size) for n in ORIENTATIONS])[turn], 1).astype(np.float64)
+        apart = m - cb
+        ma, mb = m >= foreground, cb >= foreground
+        parts = (correlation(m, cb, 1e-12), np.abs(apart).mean(1), (apart * apart).mean(1), overlap(ma, mb), (apart != 0).sum(1), (ma != mb).sum(1))
+        return np.column_stack(parts)
+
+    x = rasters.select(F.col(key).alias("a"), F.col(cells).alias("ca"))
+    y = rasters.select(F.col(key).alias("b"), F.col(cells).alias("cb"))
+    turn = (F.array_position(F.array(*[F.lit(n) for n in ORIENTATIONS]), F.col("transform")) - 1).cast("int")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "transform", kernel(measures, "array<double>", size * size, "ca", "cb", turn, rasters=2).alias("v"))
+    at = lambda k: F.get("v", k)
     return joined.select(
-        "a", "b", "transform", pearson(F.col("m"), F.col("cb")).alias("full_correlation"), mae(F.col("m"), F.col("cb")).alias("mae"), F.sqrt("mse").alias("rmse"), psnr(F.col("mse")).alias("psnr"),
-        mask_iou(F.col("m"), F.col("cb"), foreground - 0.5).alias("full_mask_iou"), unlike(lambda p, q: p != q).alias("image_mismatch"),
-        unlike(lambda p, q: (p >= foreground) != (q >= foreground)).alias("mask_mismatch"),
+        "a", "b", "transform", at(0).alias("full_correlation"), at(1).alias("mae"), F.sqrt(at(2)).alias("rmse"), psnr(at(2)).alias("psnr"), at(3).alias("full_mask_iou"),
+        at(4).cast("long").alias("image_mismatch"), at(5).cast("long").alias("mask_mismatch"),
     )
 
 

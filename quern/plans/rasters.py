@@ -6,12 +6,16 @@ rotated, the latter slightly brighter.  They must be found again.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from quern.functions.columns import held
 from quern.operators import audit, components, images, near, rasters, resolve
+from quern.operators.kernels import kernel
 from quern.plans.metrics import rounded
 from quern.plans.registry import query, read
+from quern.storage import table
 
 SIZE, SMALL, DISTANCE, CORRELATION = 64, 8, 12, 0.95
 FLIP, TURN = 1_000_000, 2_000_000
@@ -71,15 +75,23 @@ def _wholes(cells):
 
 def base(spark, sf_dir):
     """k and c, 64 x 64 byte values that look random but depend on the embedding only."""
-    at = lambda a, i: F.get(a, ((i / 512).cast("int") * 8 + ((i % 64) / 8).cast("int"))) * (17 + (i % 8) * 31 + ((i / 64).cast("int") % 8) * 57)
-    cells = held(_wholes(F.col("c")), lambda a: F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: (F.floor(at(a, i) / 1000) % 256).cast("int")))
-    return embeddings(spark, sf_dir).select("k", cells.alias("c"))
+    i = np.arange(SIZE * SIZE)
+    source, factor = (i // 512) * 8 + (i % 64) // 8, 17 + (i % 8) * 31 + ((i // 64) % 8) * 57
+
+    def grown(m: np.ndarray) -> np.ndarray:
+        return np.floor(np.abs(m) * WHOLE).astype(np.int64)[:, source] * factor // 1000 % 256
+
+    return embeddings(spark, sf_dir).select("k", kernel(grown, "array<int>", SMALL * SMALL, "c").alias("c"))
+
+
+def brighter(cells):
+    return kernel(lambda m: np.minimum(m + 2, 255), "array<int>", None, cells)
 
 
 def planted(spark, sf_dir):
-    rows = base(spark, sf_dir)
+    rows = table(base(spark, sf_dir), "base")
     flipped = rows.where("k % 7 = 0").select((F.col("k") + FLIP).alias("k"), rasters.turned(F.col("c"), "flip_h", SIZE).alias("c"))
-    rotated = rows.where("k % 11 = 0").select((F.col("k") + TURN).alias("k"), F.transform(rasters.turned(F.col("c"), "rotate_90", SIZE), lambda v: F.least(v + 2, F.lit(255))).alias("c"))
+    rotated = rows.where("k % 11 = 0").select((F.col("k") + TURN).alias("k"), brighter(rasters.turned(F.col("c"), "rotate_90", SIZE)).alias("c"))
     return rows.unionByName(flipped).unionByName(rotated)
 
 
@@ -197,6 +209,63 @@ def augmented_cells(spark, sf_dir):
     return images.augmented(_bytes(spark, sf_dir), "c", SMALL, "k", 42, flip=0.5, gamma=0.2).select("k", F.array_join("c", ",").alias("cells"))
 
 
+def _mix(x: str) -> str:
+    """The finaliser in SQL, step by step through nested lists, so that no step is written twice."""
+    step = lambda inner, shift, factor: f"list_transform({inner}, lambda a: xor(a, a >> {shift}) * {factor}::UBIGINT % 4294967296::UBIGINT)"
+    return f"list_transform({step(step(f'[CAST({x} AS UBIGINT)]', 16, 2246822507), 13, 3266489909)}, lambda a: xor(a, a >> 16))[1]"
+
+
+def _uniform(stream: int) -> str:
+    return f"(({_mix(f'({_mix(f'xor(seed, {stream})')} + 2654435769::UBIGINT * (j + 1)) % 4294967296::UBIGINT')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+_DRAW = "CAST('0x' || substr(sha256('7|' || k), {at}, 8) AS BIGINT)"
+_DRAWS = ", ".join(f"{_DRAW.format(at=8 * k + 1)} AS {n}" for k, n in enumerate(("flip", "bend", "angle", "light", "spread", "blur", "noise", "seed")))
+_HOW = images.Augmentation(flip=0.5, rotation=15.0, brightness=0.2, contrast=0.3, gamma=0.2, blur=0.4, blur_radius=0.75, noise=0.6, noise_sd=0.02)
+_SOURCE_X, _SOURCE_Y = "cos(turn) * ((j % 8) + 0.5::DOUBLE - 4) - sin(turn) * ((j // 8) + 0.5::DOUBLE - 4) + 4", "sin(turn) * ((j % 8) + 0.5::DOUBLE - 4) + cos(turn) * ((j // 8) + 0.5::DOUBLE - 4) + 4"
+_WEIGHTS = [math.exp(-((k / 0.75) ** 2) / 2) for k in range(-3, 4)]
+_BLUR = lambda c, place: f"list_sum(list_transform(range(7), lambda t: [{', '.join(repr(w / sum(_WEIGHTS)) for w in _WEIGHTS)}][t + 1]::DOUBLE * {c}[{place} + 1]))"
+_PAIR = f"""{_BYTES}, a AS (SELECT k, c, list_transform(c, lambda v: CASE WHEN v >= 100 THEN 255 ELSE 3 END) AS m, {_DRAWS} FROM px),
+  b AS (SELECT *, radians((2 * (angle / 4294967296.0::DOUBLE) - 1) * 15) AS turn, CASE WHEN flip / 4294967296.0::DOUBLE < 0.5 THEN list_transform(range(64), lambda j: c[(j // 8) * 8 + 8 - j % 8]) ELSE c END AS fc,
+    CASE WHEN flip / 4294967296.0::DOUBLE < 0.5 THEN list_transform(range(64), lambda j: m[(j // 8) * 8 + 8 - j % 8]) ELSE m END AS fm FROM a),
+  q AS (SELECT *, list_transform(range(64), lambda j: {_SOURCE_X}) AS sx, list_transform(range(64), lambda j: {_SOURCE_Y}) AS sy FROM b),
+  i AS (SELECT *, list_transform(range(1, 65), lambda j: sx[j] >= 0 AND sx[j] < 8 AND sy[j] >= 0 AND sy[j] < 8) AS inside, list_transform(sx, lambda v: least(greatest(v - 0.5::DOUBLE, 0), 7)) AS px, list_transform(sy, lambda v: least(greatest(v - 0.5::DOUBLE, 0), 7)) AS py FROM q),
+  f AS (SELECT *, list_transform(px, lambda v: CAST(floor(v) AS INTEGER)) AS x0, list_transform(py, lambda v: CAST(floor(v) AS INTEGER)) AS y0 FROM i),
+  g AS (SELECT *, list_transform(range(1, 65), lambda j: [fc[y0[j] * 8 + x0[j] + 1], fc[y0[j] * 8 + least(x0[j] + 1, 7) + 1], fc[least(y0[j] + 1, 7) * 8 + x0[j] + 1], fc[least(y0[j] + 1, 7) * 8 + least(x0[j] + 1, 7) + 1]]::DOUBLE[]) AS four FROM f),
+  h AS (SELECT *, list_transform(range(1, 65), lambda j: [four[j][1] + (four[j][2] - four[j][1]) * (px[j] - x0[j]), four[j][3] + (four[j][4] - four[j][3]) * (px[j] - x0[j])]) AS two FROM g),
+  r AS (SELECT *, list_transform(range(1, 65), lambda j: CASE WHEN inside[j] THEN floor(two[j][1] + (two[j][2] - two[j][1]) * (py[j] - y0[j])) ELSE 0 END) AS rc,
+    list_transform(range(1, 65), lambda j: CASE WHEN inside[j] THEN fm[CAST(least(floor(sy[j]), 7) AS INTEGER) * 8 + CAST(least(floor(sx[j]), 7) AS INTEGER) + 1] ELSE 3 END) AS rm FROM h),
+  l AS (SELECT *, list_transform(rc, lambda v: floor(least(v * (1.0::DOUBLE - 0.2::DOUBLE + 2 * 0.2::DOUBLE * (light / 4294967296.0::DOUBLE)), 255))) AS lc FROM r),
+  s AS (SELECT *, floor(list_sum(lc) / 64 + 0.5::DOUBLE) AS middle FROM l),
+  t AS (SELECT *, list_transform(lc, lambda v: floor(least(greatest(middle + (v - middle) * (1.0::DOUBLE - 0.3::DOUBLE + 2 * 0.3::DOUBLE * (spread / 4294967296.0::DOUBLE)), 0), 255))) AS tc FROM s),
+  u AS (SELECT *, list_transform(tc, lambda v: round_even(255.0::DOUBLE * pow(v / 255.0::DOUBLE, 0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * (bend / 4294967296.0::DOUBLE)), 0)) AS uc FROM t),
+  v AS (SELECT *, list_transform(range(64), lambda j: {_BLUR('uc', '(j // 8) * 8 + least(greatest(j % 8 + t - 3, 0), 7)')}) AS vc FROM u),
+  w AS (SELECT *, CASE WHEN blur / 4294967296.0::DOUBLE < 0.4 THEN list_transform(range(64), lambda j: floor({_BLUR('vc', 'least(greatest(j // 8 + t - 3, 0), 7) * 8 + j % 8')} + 0.5::DOUBLE)) ELSE uc END AS wc FROM v),
+  z AS (SELECT *, list_transform(range(64), lambda j: least(greatest(wc[j + 1] / 255.0::DOUBLE + CASE WHEN noise / 4294967296.0::DOUBLE < 0.6 THEN 0.02::DOUBLE * (sqrt(-2 * ln({_uniform(0)})) * cos(2 * pi() * {_uniform(1)})) ELSE 0.0 END, 0), 1)) AS zc FROM w)"""
+
+
+@query(f"WITH {_PAIR} SELECT k, unnest(range(64)) AS place, round(unnest(zc), 6) AS value, CAST(unnest(rm) AS INTEGER) AS mask FROM z")
+def augmented_pairs(spark, sf_dir):
+    """Images and masks through every step of the augmentation."""
+    mask = F.transform("c", lambda v: F.when(v >= 100, 255).otherwise(3).cast("int"))
+    pairs = images.augmented_pairs(_bytes(spark, sf_dir).withColumn("m", mask), "c", "m", (SMALL, SMALL), "k", 7, _HOW)
+    cells = pairs.select("k", F.posexplode(F.arrays_zip(F.col("c").alias("value"), F.col("m").alias("mask"))).alias("place", "x"))
+    return cells.select("k", F.col("place").cast("long").alias("place"), F.round("x.value", 6).alias("value"), "x.mask")
+
+
+_AT512 = "c[(least(511, (j // 17) * 512 // 16 + 16) // 8) * 64 + least(511, (j % 17) * 512 // 17 + 15) // 8 + 1]"
+
+
+@query(f"""WITH {_BASE}, s AS (SELECT k, c, list_transform(range(272), lambda j: {_AT512}) AS s FROM base)
+  SELECT k, list_aggregate(list_transform(range(256), lambda b: CASE WHEN s[(b // 16) * 17 + b % 16 + 1] > s[(b // 16) * 17 + b % 16 + 2] THEN '1' ELSE '0' END), 'string_agg', '') AS bits,
+    list_min(c) AS min, list_max(c) AS max, round(list_sum(c) / 4096, 6) AS mean, CAST(64 * len(list_filter(c, lambda v: v >= 128)) AS INTEGER) AS foreground FROM s""")
+def rasters_512(spark, sf_dir):
+    """Hashes and statistics of rasters of 512 x 512 cells, each row's raster at eight times its size."""
+    wide = base(spark, sf_dir).select("k", images.resized_nearest(F.col("c"), (SIZE, SIZE), (512, 512)).alias("c"))
+    found = rasters.statistics(wide.withColumn("bits", images.hash_bits(images.sampled_hash(F.col("c"), 512))), "c", 512, foreground=127)
+    return found.select("k", "bits", F.col("min").cast("int").alias("min"), F.col("max").cast("int").alias("max"), F.round("mean", 6).alias("mean"), "foreground")
+
+
 @query(f"""WITH {_EMB}, p AS (SELECT k, list_transform(c, lambda v: CAST(round_even(abs(v) / (1 + abs(v)) * 255, 0) AS INTEGER)) AS c FROM emb), g AS (SELECT k, {_bilinear_sql('c', (8, 8), (10, 6))} AS g FROM p)
   SELECT k, list_aggregate(list_transform(g, lambda v: CASE WHEN floor(v + 0.5::DOUBLE) >= 26 THEN '255' ELSE '0' END), 'string_agg', ',') AS mask FROM g""")
 def predicted_masks(spark, sf_dir):
@@ -218,8 +287,8 @@ def hamming_pairs(spark, sf_dir):
 def near_hashes(spark, sf_dir):
     """Pairs within the distance of near duplicates, found by bands."""
     rows = planted(spark, sf_dir)
-    brighter = rows.select("k", F.transform("c", lambda v: F.least(v + 2, F.lit(255))).alias("c"))
-    return near.hash_pairs(brighter.unionByName(rows.withColumn("k", F.col("k") + 5_000_000)), "k", "c", SIZE, DISTANCE)
+    bright = rows.select("k", brighter("c").alias("c"))
+    return near.hash_pairs(bright.unionByName(rows.withColumn("k", F.col("k") + 5_000_000)), "k", "c", SIZE, DISTANCE)
 
 
 @query(f"WITH {_NEAR} " + _FOUND.format(transform="(SELECT name FROM orient t WHERE t.o = near.o)", rows="near"))
@@ -235,7 +304,7 @@ _H0 = _BITS.format(c="c", q="q")
   r AS (SELECT a, b, d, {_corr('m', 'c')} AS r, {_iou('m', 'c')} AS iou FROM p) """ + _FOUND.format(transform="'identity'", rows="r WHERE round(r, 9) >= 0.98"))
 def near_dup_blocked(spark, sf_dir):
     rows = base(spark, sf_dir)
-    copies = rows.where("k % 5 = 0").select((F.col("k") + FLIP).alias("k"), F.transform("c", lambda v: F.least(v + 2, F.lit(255))).alias("c"), (F.col("k") % 3).alias("g"))
+    copies = rows.where("k % 5 = 0").select((F.col("k") + FLIP).alias("k"), brighter("c").alias("c"), (F.col("k") % 3).alias("g"))
     return rounded(near.near_pairs(rows.withColumn("g", F.col("k") % 3).unionByName(copies), "k", "c", SIZE, 8, 0.98, ("g",), ("identity",)))
 
 
@@ -245,7 +314,7 @@ def near_dup_blocked(spark, sf_dir):
 def near_dup_across(spark, sf_dir):
     """Two sets, the second a brighter copy of each third row of the first."""
     rows = base(spark, sf_dir)
-    return rounded(near.near_across(rows, rows.where("k % 3 = 0").select("k", F.transform("c", lambda v: F.least(v + 2, F.lit(255))).alias("c")), "k", "c", SIZE, DISTANCE, CORRELATION))
+    return rounded(near.near_across(rows, rows.where("k % 3 = 0").select("k", brighter("c").alias("c")), "k", "c", SIZE, DISTANCE, CORRELATION))
 
 
 @query(f"""WITH {_NEAR}, q AS (SELECT *, list_transform(range(1, 4097), lambda i: m[i] - c[i]) AS e FROM (SELECT n.a, n.b, n.o, n.d, s.m, s.c FROM near n JOIN sc s ON s.a = n.a AND s.b = n.b AND s.o = n.o)),

@@ -11,6 +11,7 @@ from quern.plans.metrics import rounded
 from quern.plans.registry import query, read
 from quern.sources import config, files, tables
 from quern.sources.png import encode
+from quern.sources.rowfiles import write_files
 from quern.storage import new_path, put
 
 _MANIFEST = """m AS (SELECT 'd' || doc_id AS sample_id, CAST(doc_id AS INTEGER) AS source_id, source AS tumor_type, substr(sha256(text), 1, 12) AS group_id,
@@ -232,25 +233,58 @@ def export_description(spark, sf_dir):
     return folds.unionByName(spark.createDataFrame([("numTraining", str(said["numTraining"])), ("channel_names", json.dumps(said["channel_names"]))], "part string, content string"))
 
 
-@query(f"""WITH {_IMAGES}, s AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'Ts' ELSE 'Tr' END AS t FROM px) SELECT 'images' || t || '/k3m_n' || k || '_0000.png' AS path, CAST(list_sum(red) AS BIGINT) AS total FROM s
+_SUPPLIERS = """px AS (SELECT s_suppkey AS k, list_transform(range(16), lambda i: CASE WHEN i < 12 THEN (s_suppkey * 7 + i * 11) % 256 ELSE 0 END) AS red, list_transform(range(16), lambda i: CASE WHEN i < 12 THEN (s_suppkey * 5 + i * 3) % 256 ELSE 0 END) AS green,
+  list_transform(range(16), lambda i: CASE WHEN i < 12 THEN (s_suppkey + i) % 256 ELSE 0 END) AS blue, list_transform(range(16), lambda i: CASE WHEN i < 12 AND (i + s_suppkey) % 3 = 0 THEN 255 ELSE 0 END) AS mask FROM supplier)"""
+
+
+@query(f"""WITH {_SUPPLIERS}, s AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'Ts' ELSE 'Tr' END AS t FROM px) SELECT 'images' || t || '/k3m_n' || k || '_0000.png' AS path, CAST(list_sum(red) AS BIGINT) AS total FROM s
   UNION ALL SELECT 'images' || t || '/k3m_n' || k || '_0001.png', CAST(list_sum(green) AS BIGINT) FROM s UNION ALL SELECT 'images' || t || '/k3m_n' || k || '_0002.png', CAST(list_sum(blue) AS BIGINT) FROM s
   UNION ALL SELECT 'labels' || t || '/k3m_n' || k || '.png', CAST(len(list_filter(mask, lambda v: v >= 128)) AS BIGINT) FROM s""")
 def exported_files(spark, sf_dir):
-    """Channel and label files as PNG bytes; written, decoded and summed again."""
-    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    """Channel and label files of a sample for each supplier, written by the tasks, decoded and summed again."""
+    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"))
     of = lambda f: F.transform(F.sequence(F.lit(0), F.lit(15)), f)
     pad = lambda f: of(lambda i: F.when(i < 12, f(i)).otherwise(0).cast("int"))
-    samples = nations.select(
+    samples = suppliers.select(
         F.concat(F.lit("n"), "k").alias("sample_id"), F.when(F.col("k") % 5 == 0, "test").otherwise("train").alias("split"), pad(lambda i: (F.col("k") * 7 + i * 11) % 256).alias("red"),
         pad(lambda i: (F.col("k") * 5 + i * 3) % 256).alias("green"), pad(lambda i: (F.col("k") + i) % 256).alias("blue"), pad(lambda i: F.when((i + F.col("k")) % 3 == 0, 255).otherwise(0)).alias("mask"),
     )
     root = new_path(spark, "export")
-    for r in tables.exported_files(samples, 4).collect():
-        put(spark, f"{root}/{r['path']}", bytes(r["png"]))
+    write_files(tables.exported_files(samples, 4).withColumnRenamed("png", "content"), root)
     rows = files.with_cells(files.read_images(spark, root, recursive=True))
     return rows.select(F.regexp_extract("path", r"((?:images|labels)T[rs]/[^/]+)$", 1).alias("path"), F.aggregate("cells", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS c FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100), p AS (SELECT k, substr(c, 1, 1) AS c, i, (k * 7 + i * 13) % 101 / 100.0 AS p FROM (SELECT *, unnest(range(16)) AS i FROM o))
+  SELECT c || '/o_' || k || '_pred.png' AS path, 8 AS width, 4 AS height, CAST(2 * 255 * count(*) FILTER (p >= 0.5) AS BIGINT) AS total FROM p GROUP BY c, k""")
+def prediction_files(spark, sf_dir):
+    """Masks of the first 100 orders by date, at twice their width, written by the tasks and decoded again."""
+    k = F.col("o_orderkey")
+    cell = lambda i: ((k * 7 + i * 13) % 101) / 100
+    samples = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o/"), k).alias("sample_id"), F.substring("o_orderpriority", 1, 1).alias("tumor_type"), F.transform(F.sequence(F.lit(0), F.lit(15)), cell).alias("probability"), "o_orderdate", "o_orderkey"
+    )
+    root = new_path(spark, "predictions")
+    write_files(tables.prediction_files(samples, (4, 4), (8, 4), "o_orderdate", "o_orderkey", most=100), root)
+    rows = files.with_cells(files.read_images(spark, root, recursive=True))
+    return rows.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "width", "height", F.aggregate("cells", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
+_RAGGED = """r AS (SELECT event_id AS e, 0 AS place, 'event_id' AS key, CAST(event_id AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 1, 'a' || ((13 * event_id + 4) % 9), event_type FROM events UNION ALL SELECT event_id, 2, 'b' || (7 * event_id % 5), CAST(user_id AS VARCHAR) FROM events),
+  h AS (SELECT key, row_number() OVER (ORDER BY min(e * 4 + place)) AS n FROM r GROUP BY key)"""
+
+
+@query(f"""WITH {_RAGGED}, x AS (SELECT string_agg(key, ',' ORDER BY n) AS header FROM h) SELECT e AS event_id, header, string_agg(coalesce(r.value, ''), ',' ORDER BY n) AS line FROM (SELECT event_id AS e FROM events) CROSS JOIN h CROSS JOIN x LEFT JOIN r USING (e, key) GROUP BY e, header""")
+def ragged_csv(spark, sf_dir):
+    """Records with different keys; the header has all of them in the order of their first appearance."""
+    e = F.col("event_id")
+    fields = F.create_map(F.lit("event_id"), e.cast("string"), F.concat(F.lit("a"), (13 * e + 4) % 9), "event_type", F.concat(F.lit("b"), 7 * e % 5), F.col("user_id").cast("string"))
+    path = new_path(spark, "ragged")
+    header = tables.write_ragged(read(spark, sf_dir, "events").select("event_id", fields.alias("fields")), "fields", path, "event_id")
+    rows = tables.read_csv(spark, path)
+    return rows.select(F.col("event_id").cast("long").alias("event_id"), F.lit(",".join(header)).alias("header"), F.concat_ws(",", *[F.coalesce(F.col(h), F.lit("")) for h in rows.columns]).alias("line"))
+
+
 # ---- configurations -------------------------------------------------------------------------------------------------------
 
 _GOOD = {

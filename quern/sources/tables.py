@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.columns import case_identifier
+from quern.operators.images import resized_bilinear, resized_nearest
 from quern.operators.splitting import validate
 from quern.schemas import EPOCH_RECORD, GROUP_MAP, MANIFEST, SPLITS
 from quern.sources.png import with_png
-from quern.storage import put
+from quern.storage import delete, put, replace
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -140,6 +142,57 @@ def write_rows(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+#: Different keys that records may have to become a table.
+MOST_COLUMNS = 10_000
+
+
+def ragged_header(records: DataFrame, fields: str, *order: str, most: int = MOST_COLUMNS) -> list[str]:
+    """The keys of all records in the order in which they are first met, records in ``order`` and keys as a record has them."""
+    keys = records.select(*order, F.posexplode(F.map_keys(fields)).alias("_place", "_key"))
+    first = keys.groupBy("_key").agg(F.min(F.struct(*order, "_place")).alias("_first"))
+    found = [r["_key"] for r in first.orderBy("_first").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"records have more than {most} different keys")
+    return found
+
+
+def write_ragged(records: DataFrame, fields: str, path: str, *order: str, header: list[str] | None = None, overwrite: bool = False) -> list[str]:
+    """Write records (a map of strings each) as CSV in ``order`` and return the header.
+
+    Without ``header`` that is the union of all keys by first appearance; with it, other keys are left out.  A key that a
+    record hasn't got, or whose value is null, is empty.  The folder appears at ``path`` when it is complete.
+    """
+    spark = records.sparkSession
+    header = ragged_header(records, fields, *order) if header is None else header
+    held = records.select(*[F.col(o).alias(f"_order{k}") for k, o in enumerate(order)], F.col(fields).alias("_fields"))
+    rows = held.orderBy(*[f"_order{k}" for k in range(len(order))]).select(*[F.coalesce(F.col("_fields")[h], F.lit("")).alias(h) for h in header])
+    part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    try:
+        rows.write.option("header", True).option("emptyValue", "").csv(part)
+        replace(spark, part, path, overwrite)
+    finally:
+        delete(spark, part)
+    return header
+
+
+def prediction_files(samples: DataFrame, size: tuple[int, int], original: tuple[int, int], *order: str, most: int | None = None, threshold: float = 0.5, probabilities: bool = False) -> DataFrame:
+    """path and content of the prediction files of the first ``most`` samples (all if None) in a total order.
+
+    ``samples`` has sample_id, tumor_type and probability (array, ``size`` cells).  A sample gives ``<tumor_type>/<id>_pred.png``,
+    the mask at its ``original`` size by nearest cells, and with ``probabilities`` ``<id>_prob.png`` beside it, resized
+    bilinearly.  Slashes of either kind in an id become underscores.
+    """
+    chosen = samples.orderBy(*order).limit(most) if most is not None else samples
+    stem = F.concat("tumor_type", F.lit("/"), F.regexp_replace("sample_id", r"[/\\\\]", "_"))
+    mask = resized_nearest(F.transform("probability", lambda p: F.when(p >= threshold, 255).otherwise(0)), size, original)
+    kinds = [F.struct(F.lit("_pred.png").alias("kind"), mask.cast("array<int>").alias("cells"))]
+    if probabilities:
+        bytes_ = F.transform("probability", lambda p: F.floor(F.greatest(F.least(p * 255, F.lit(255.0)), F.lit(0.0))).cast("int"))
+        kinds.append(F.struct(F.lit("_prob.png").alias("kind"), F.transform(resized_bilinear(bytes_, size, original), lambda v: F.floor(v + 0.5).cast("int")).alias("cells")))
+    files = chosen.select(stem.alias("stem"), F.explode(F.array(*kinds)).alias("f")).select(F.concat("stem", "f.kind").alias("path"), "f.cells")
+    return with_png(files, "cells", *original, name="content").drop("cells")
+
+
 def saved_predictions(samples: DataFrame, most: int, *order: str) -> DataFrame:
     """The first ``most`` samples in a total order."""
     return samples.orderBy(*order).limit(most)

@@ -102,6 +102,19 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def replace(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> None:
+    """Move a finished folder to its place in one step; an existing target is an error unless ``overwrite``."""
+    source_path, target_path = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = target_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target_path):
+        if not overwrite:
+            raise FileExistsError(f"{target} exists already")
+        files.delete(target_path, True)
+    files.mkdirs(target_path.getParent())
+    if not files.rename(source_path, target_path):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def sweep() -> None:
     """Remove every table made by :func:`table` so far; call only when no frame that reads one is still needed."""
     for path, spark in list(_made.items()):
