@@ -52,6 +52,8 @@ class Written(WriterCommitMessage):
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, root: str, overwrite: bool):
         self.root, self.overwrite, self.job = root.rstrip("/"), overwrite, uuid.uuid4().hex
+        store, path = _place(self.root)
+        store.create_dir(self._temporary(path), recursive=True)  # its end tells tasks that still run that the job is over
 
     def _temporary(self, path: str) -> str:
         return f"{path}/_temporary/{self.job}"
@@ -61,22 +63,29 @@ class FileWriter(DataSourceArrowWriter):
         task = TaskContext.get()
         own = f"{self._temporary(path)}/{f'{task.partitionId()}-{task.taskAttemptId()}' if task else uuid.uuid4().hex}"
         made, names = set(), []
-        for batch in iterator:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                where = f"{own}/{_checked(name)}"
-                folder = posixpath.dirname(where)
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(where) as out:
-                    if content.is_valid:
-                        out.write(content.as_buffer())
-                names.append(name)
-        if names:
-            if len(set(names)) < len(names):
-                raise ValueError("two rows name the same file")
-            with store.open_output_stream(f"{own}/{_NAMES}") as out:
-                out.write("\n".join(names).encode())
+        try:
+            for batch in iterator:
+                for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                    where = f"{own}/{_checked(name)}"
+                    if store.get_file_info(self._temporary(path)).type == fs.FileType.NotFound:
+                        raise RuntimeError("the job has ended")
+                    folder = posixpath.dirname(where)
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    with store.open_output_stream(where) as out:
+                        if content.is_valid:
+                            out.write(content.as_buffer())
+                    names.append(name)
+            if names:
+                if len(set(names)) < len(names):
+                    raise ValueError("two rows name the same file")
+                with store.open_output_stream(f"{own}/{_NAMES}") as out:
+                    out.write("\n".join(names).encode())
+        except BaseException:
+            if made and store.get_file_info(own).type != fs.FileType.NotFound:
+                store.delete_dir(own)
+            raise
         return Written(posixpath.basename(own), len(names))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

@@ -61,14 +61,24 @@ def apply_group_map(samples: DataFrame, groups: DataFrame, preview: int = 10) ->
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Any CSV with a header, all strings."""
-    return spark.read.option("header", True).csv(path)
+    """Any CSV with a header, all strings; a quote inside a quoted value is doubled."""
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+_BEFORE = "^[\ufeff \\t\\r\\n]+"
+
+
+def _objects(texts: DataFrame, schema) -> DataFrame:
+    """The columns of the JSON objects in ``value``; any other JSON value, and what isn't JSON, is an error when read."""
+    bare = F.regexp_replace("value", _BEFORE, "")
+    checked = F.when(bare.startswith("{"), bare).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(bare, 1, 100))))
+    return texts.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Objects, one per line; blank lines are skipped and anything else is an error."""
-    reader = spark.read.option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """Objects, one per line; blank lines and a byte order mark are skipped and anything else is an error."""
+    schema = schema if schema is not None else spark.read.option("mode", "FAILFAST").json(path).schema
+    return _objects(spark.read.text(path).where(F.regexp_replace("value", _BEFORE, "") != ""), schema)
 
 
 def read_history(spark: SparkSession, path: str, schema=EPOCH_RECORD) -> DataFrame:
@@ -79,9 +89,9 @@ def read_history(spark: SparkSession, path: str, schema=EPOCH_RECORD) -> DataFra
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON documents over several lines, one row each."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """JSON documents over several lines, one object and one row each; anything else in a file is an error."""
+    schema = schema if schema is not None else spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path).schema
+    return _objects(spark.read.text(path, wholetext=True), schema)
 
 
 def read_runs(spark: SparkSession, root: str, file: str, schema=None) -> DataFrame:
@@ -119,7 +129,7 @@ def write_manifest(rows: DataFrame, path: str) -> str:
         raise ValueError("; ".join(faults))
     rank = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
     ordered = rows.select(*MANIFEST.names).repartition(1).sortWithinPartitions(rank, "tumor_type", "source_id", "sample_id")
-    ordered.write.mode("errorifexists").option("header", True).csv(path)
+    ordered.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
     return rows.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.sha2("content", 256)).first()[0]
 
 
@@ -130,7 +140,7 @@ def write_json(spark: SparkSession, value: dict, path: str, overwrite: bool = Fa
 
 def write_quoted(rows: DataFrame, path: str) -> None:
     """CSV with every value in quotes."""
-    rows.write.mode("errorifexists").option("header", True).option("quoteAll", True).csv(path)
+    rows.write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
@@ -139,7 +149,7 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 
 def write_rows(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """CSV under Spark's commit protocol; without ``overwrite`` an existing target is an error."""
-    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 #: Different keys that records may have to become a table.
@@ -168,7 +178,7 @@ def write_ragged(records: DataFrame, fields: str, path: str, *order: str, header
     rows = held.orderBy(*[f"_order{k}" for k in range(len(order))]).select(*[F.coalesce(F.col("_fields")[h], F.lit("")).alias(h) for h in header])
     part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
     try:
-        rows.write.option("header", True).option("emptyValue", "").csv(part)
+        rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(part)
         replace(spark, part, path, overwrite)
     finally:
         delete(spark, part)
