@@ -11,11 +11,13 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, SparkSession] = {}
+_made: dict[str, tuple[SparkSession, str | None]] = {}
+_owners: list[str | None] = [None]
 
 
 def build_session(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,7 +46,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint; Spark removes its files once the frame is no longer referenced."""
+    """Eager reliable checkpoint; with spark.cleaner.referenceTracking.cleanCheckpoints, as :func:`build_session` sets it,
+    Spark removes its files once the frame is no longer referenced, otherwise they stay until the folder is cleared."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -59,7 +62,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    _made[path] = spark
+    _made[path] = spark, _owners[-1]
     return path
 
 
@@ -115,12 +118,24 @@ def replace(spark: SparkSession, source: str, target: str, overwrite: bool = Fal
         raise OSError(f"{source} could not be moved to {target}")
 
 
-def sweep() -> None:
-    """Remove every table made by :func:`table` so far; call only when no frame that reads one is still needed."""
-    for path, spark in list(_made.items()):
-        with contextlib.suppress(Exception):  # the session may already be gone
-            delete(spark, path)
-        _made.pop(path, None)
+def sweep(owner: str | None = None) -> None:
+    """Remove the tables that :func:`table` has made for ``owner``; without one, at the end of the program, all that are left."""
+    for path, (spark, name) in list(_made.items()):
+        if owner is None or name == owner:
+            with contextlib.suppress(Exception):  # the session may already be gone
+                delete(spark, path)
+            _made.pop(path, None)
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """The tables made within belong to ``owner``; those it has from before go first, so no frame may still need them."""
+    sweep(owner)
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
 
 
 atexit.register(sweep)
