@@ -143,12 +143,12 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes | None
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000, weight: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of up to ``size`` rows and about ``weight`` bytes of binary values."""
+    """Record batches of up to ``size`` rows and about ``weight`` bytes of texts and binary values, a character as four bytes."""
     held, bytes_held = [], 0
     for row in itertools.chain(rows, [None]):
         if row is not None:
             held.append(row)
-            bytes_held += sum(len(x) for x in row if isinstance(x, bytes))
+            bytes_held += sum(len(x) if isinstance(x, bytes) else 4 * len(x) for x in row if isinstance(x, (bytes, str)))
         if held and (row is None or len(held) >= size or bytes_held >= weight):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, bytes_held = [], 0

@@ -30,12 +30,14 @@ CREDENTIAL_WORDS = "password|passwd|pwd|passphrase|secret|token|api[ _-]?key|acc
 OTHER_WORDS = "commit|sha|md5|uuid|guid|card|iban|phone|tel|isbn|doi|order|invoice|tracking|version|build|revision|ip|mail|contact|checksum|digest"
 #: Beginnings of issued keys.
 ISSUED = "AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_|glpat-|sk_live_|sk-|xox[bpars]-|AIza|eyJ[A-Za-z0-9]"
+#: Blanks that may stand on either side of a joint between a credential word and its value; what looks back must be bounded.
+BLANKS = 16
 #: A maximal run of key characters: 12 or more with a digit; 12 or more with the beginning of an issued key at its start or behind
 #: a joint; or a value of 6 or more after a credential word, in the run or before it.
 _KEY = "[A-Za-z0-9_+/=.@:~-]"
 _WORD = f"(?i:{CREDENTIAL_WORDS})s?"
 _PLAIN = rf"(?=[A-Za-z_+/=.@:~-]*+[0-9]){_KEY}{{12,}}|(?=(?:{_KEY}*?[=:/@])?(?:{ISSUED.replace('$', '')})){_KEY}{{12,}}"
-_NAMED = rf"(?={_KEY}*?{_WORD}[=:]+{_KEY}{{6}}){_KEY}{{6,}}|(?={_KEY}{{6}})(?<={_WORD}[\"']?\s{{0,3}}(?:(?:[=:]{{1,2}}>?|is|was)\s{{0,3}})?[\"'`]?){_KEY}{{6,}}"
+_NAMED = rf"(?={_KEY}*?{_WORD}[=:]+{_KEY}{{6}}){_KEY}{{6,}}|(?={_KEY}{{6}})(?<={_WORD}[\"']?\s{{0,{BLANKS}}}(?:(?:[=:]{{1,2}}>?|is|was)\s{{0,{BLANKS}}})?[\"'`]?){_KEY}{{6,}}"
 RUN = rf"(?<!{_KEY})(?:{_PLAIN}|{_NAMED})"
 #: The same for texts without a credential word.
 RUN_UNNAMED = rf"(?<!{_KEY})(?:{_PLAIN})"
@@ -96,7 +98,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             "_gaps": F.when(has_any, either(lambda run: F.split(text, run, -1))).otherwise(F.array(text)),
         }
     )
-    key, value = r"^([A-Za-z_-]{2,30})[=:]+(?=.{6})", r"^(?:[A-Za-z_-]{2,30}[=:]+(?=.{6}))?(.*?)[.:=]*$"
+    key, value = r"^([A-Za-z_-]{2,}+)[=:]+(?=.{6})", r"^(?:[A-Za-z_-]{2,}+[=:]+(?=.{6}))?(.*?)[.:=]*$"
     parts = f"""transform(_runs, (r, i) -> named_struct(
         'key', regexp_extract(r, {_quoted(key)}, 1), 'value', regexp_extract(r, {_quoted(value)}, 1),
         'before', right(_gaps[i], {CONTEXT}), 'after', left(_gaps[i + 1], {CONTEXT // 2})))"""
