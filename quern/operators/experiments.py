@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.columns import fixed_digits, hash_int, sample_sd
+from quern.storage import checkpoint, table
 
 
 def mean_sd(runs: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -48,19 +49,66 @@ def patient_differences(samples: DataFrame, value: str, left: str, right: str, m
     return per_patient.crossJoin(F.broadcast(runs)).where("n = runs").select(patient, (F.col("l") - F.col("r")).alias("difference"))
 
 
-def bootstrap_interval(differences: DataFrame, value: str, key: str, resamples: int = 10_000, seed: str = "42", low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of the mean of resampled patients.
+#: Groups whose intervals are computed together, and patients up to which their values are sent to all tasks.
+MOST_GROUPS, MOST_SENT_PATIENTS = 1_000, 100_000
+
 
-    Draw j of resample i is patient number hash(seed|i|j) mod n in key order, so runs agree.  Patients are tens to
-    hundreds: their values are one array, and resamples run in parallel.
+def order_statistics(rows: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
+    """keys, share and the value at that share of the sorted values, mixed between neighbours: exact percentiles.
+
+    Rows are dealt in ranges of (keys, value); counts by range tell in which one each wanted rank lies, and only those
+    ranges are numbered.  Nulls don't count.  Ties are dealt apart, so that a frequent value doesn't fill one range.
+    """
+    held = table(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_id", F.monotonically_increasing_id()), "values")
+    ranges = table(held.repartitionByRange(*keys, "_v", "_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    same = W.partitionBy(*keys)
+    counts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    counts = counts.withColumns({"_to": F.sum("_n").over(same.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(same)})
+    at = lambda share: F.lit(share) * (F.col("_all") - 1)
+    wanted = [F.struct(F.lit(q).alias("share"), rank.cast("long").alias("_rank"), part.alias("_part")) for q in shares for rank, part in ((F.floor(at(q)), 1 - (at(q) - F.floor(at(q)))), (F.floor(at(q)) + 1, at(q) - F.floor(at(q))))]
+    found = counts.select("*", F.inline(F.array(*wanted))).where("_part > 0 and _rank >= _to - _n and _rank < _to")
+    found = checkpoint(found.select(*keys, "_range", "share", "_part", (F.col("_rank") - F.col("_to") + F.col("_n")).alias("_place")))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys] + [F.col("r._range") == F.col("f._range")]
+    cells = found.select(*keys, "_range").distinct()
+    numbered = ranges.alias("r").join(cells.alias("f"), on, "left_semi").withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_range").orderBy("_v", "_id")) - 1)
+    met = found.alias("f").join(numbered.alias("r"), [*on, F.col("r._place") == F.col("f._place")])
+    return met.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], F.col("f.share").alias("share")).agg(F.sum(F.col("f._part") * F.col("r._v")).alias("value"))
+
+
+def bootstrap_intervals(differences: DataFrame, value: str, key: str, *groups: str, resamples: int = 10_000, seed: str = "42", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """n, mean, low and high of each group: percentile intervals of the means of resampled patients, all groups in one pass.
+
+    Draw j of resample i is patient number hash(seed|i|j) mod n of its group in key order, so runs agree and a draw's hash
+    serves all groups.  A draw is a row that meets its patient's value; nothing holds all patients.
     """
-    values = differences.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col(value).alias("v")))), lambda x: x["v"]).alias("v"))
-    spark = differences.sparkSession
-    trials = spark.range(resamples).select(F.col("id").alias("i")).crossJoin(F.broadcast(values)).where(F.size("v") > 0)
-    n = F.size("v")
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, j: a + F.get(F.col("v"), (hash_int(F.concat_ws("|", F.lit(seed), F.col("i"), j)) % n).cast("int")))
-    means = trials.select((total / n).alias("m"), F.size("v").alias("n"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n).alias("mean"))
-    return means.agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
+    number = F.row_number().over(W.partitionBy(*groups).orderBy(key)) - 1
+    patients = table(differences.select(*groups, number.cast("long").alias("_p"), F.col(value).cast("double").alias("_v")), "patients")
+    sizes = patients.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    known = sizes.limit(MOST_GROUPS + 1).collect()
+    if len(known) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    kinds = {g: t for g, t in patients.dtypes if g in groups}
+    if not known:
+        return sizes.withColumns({"low": F.lit(0.0), "high": F.lit(0.0)})
+    lists = F.array(*[F.struct(*[F.lit(r[g]).cast(kinds[g]).alias(g) for g in groups], F.lit(r["n"]).cast("long").alias("_n")) for r in known])
+    most = max(r["n"] for r in known)
+    # Rows by number, so that tasks share the draws evenly whatever the numbers of resamples and patients.
+    draws = differences.sparkSession.range(resamples * most).select(F.floor(F.col("id") / most).alias("_i"), (F.col("id") % most + 1).alias("_j"))
+    draws = draws.withColumn("_h", hash_int(F.concat_ws("|", F.lit(seed), "_i", "_j"))).select("_i", "_j", "_h", F.inline(lists)).where("_j <= _n")
+    few = patients.limit(MOST_SENT_PATIENTS + 1).count() <= MOST_SENT_PATIENTS
+    side = patients.withColumnsRenamed({g: f"_{g}" for g in groups})
+    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("_h") % F.col("_n") == F.col("_p")]
+    means = draws.join(F.broadcast(side) if few else side, on).groupBy(*groups, "_i").agg((F.sum("_v") / F.first("_n")).alias("m"))
+    found = order_statistics(means, "m", [low, high], *groups)
+    edges = found.groupBy(*groups).agg(F.max(F.when(F.col("share") == low, F.col("value"))).alias("low"), F.max(F.when(F.col("share") == high, F.col("value"))).alias("high"))
+    edges = edges.withColumnsRenamed({g: f"_{g}" for g in groups})
+    return sizes.join(edges, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]).select(*groups, "n", "mean", "low", "high")
+
+
+def bootstrap_interval(differences: DataFrame, value: str, key: str, resamples: int = 10_000, seed: str = "42", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """:func:`bootstrap_intervals` of one group."""
+    one = differences.withColumn("_group", F.lit(0))
+    return bootstrap_intervals(one, value, key, "_group", resamples=resamples, seed=seed, low=low, high=high).drop("_group")
 
 
 def rank_models(summary: DataFrame, metric: str, order: str) -> DataFrame:

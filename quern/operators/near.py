@@ -1,23 +1,41 @@
 """Near-duplicate images: hashes of 256 bits find the pairs, exact distance and correlation verify them.
 
-Two hashes within a distance agree in one of distance + 1 bands, so an equi-join on bands loses no pair.  Bands have about 20
-bits, so rows that are alike by chance seldom meet.  Rasters without variance have a correlation of 0 with every other and
-leave first; else blank images would all meet in every band.
+Equal rasters are one class with a representative, and equal hashes meet once.  Two hashes within a distance differ in at
+most r bits in one of distance / (r + 1) bands; each hash looks for its bands with up to r bits turned, so wider bands, which
+hold fewer rows, can be used the more rows there are.  Rasters without variance have a correlation of 0 with every other
+and leave first; else blank images would all meet in every band.
 """
 
 from __future__ import annotations
 
+import hashlib
+from math import comb
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.images import hash_bits, sampled_hash
+from quern.operators.images import sampled_hash
 from quern.operators.kernels import correlation, kernel, overlap, turns
-from quern.operators.rasters import INVERSE, ORIENTATIONS, hash_distance
-from quern.storage import table
+from quern.operators.rasters import INVERSE, ORIENTATIONS, hash_distance, hamming_blocks
+from quern.storage import checkpoint, table
 
 BITS = 256
 FOREGROUND = 128
+#: Bits of a band at most, as bands are longs, and of a probe.
+WIDEST, MOST_TURNED = 60, 2
+
+
+def _digest(m: np.ndarray) -> np.ndarray:
+    return np.array([np.frombuffer(hashlib.blake2b(np.ascontiguousarray(row, np.float64).tobytes(), digest_size=16).digest(), np.int64) for row in m]).reshape(len(m), 2)
+
+
+def classes(images: DataFrame, key: str, cells: str, block: tuple[str, ...] = ()) -> DataFrame:
+    """k and rep of every raster with a key: the smallest key of those with the same cells (by a digest of 128 bits) and block."""
+    rows = images.select(F.col(key).alias("k"), *block, kernel(_digest, "array<bigint>", None, F.col(cells)).alias("_c")).where("k is not null and _c is not null")
+    rows = table(rows, "digests")
+    first = checkpoint(rows.groupBy(*block, "_c").agg(F.min("k").alias("rep")).withColumnsRenamed({c: f"_r{c}" for c in (*block, "_c")}))
+    return rows.join(first, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*block, "_c")]).select("k", "rep")
 
 
 def hashed(images: DataFrame, key: str, cells: str, size: int, orientations: tuple[str, ...] = ("identity",), block: tuple[str, ...] = (), least_correlation: float = 0.0) -> DataFrame:
@@ -29,21 +47,58 @@ def hashed(images: DataFrame, key: str, cells: str, size: int, orientations: tup
     return table(rows.withColumn("hs", turned), "hashed")
 
 
-def _bands(h: Column, distance: int) -> Column:
-    edges = [BITS * k // (distance + 1) for k in range(distance + 2)]
-    bits = hash_bits(h)
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.substring(bits, lo + 1, hi - lo).alias("part")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+def bands_for(rows: int, distance: int) -> tuple[int, int] | None:
+    """Bits turned in a probe and number of bands with the least work for so many hashes; None where comparing all is less."""
+    work = {}
+    for r in range(MOST_TURNED + 1):
+        bands = max(distance // (r + 1) + 1, -(-BITS // WIDEST))
+        width = BITS // bands
+        work[r, bands] = bands * sum(comb(width, k) for k in range(r + 1)) * (1 + rows / 2**width)
+    best = min(work, key=work.get)
+    return best if work[best] < max(rows, 2) * 4 else None
+
+
+def _probes(band: int, part: Column, masks: list[int]) -> Column:
+    literal = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+    return F.transform(literal, lambda mask: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(mask).alias("part"))) if len(masks) > 1 else F.array(F.struct(F.lit(band).alias("band"), part.alias("part")))
+
+
+def _bands(h: Column, bands: int, turned: int) -> Column:
+    """band and part of a hash of four longs, and of those with up to ``turned`` bits of a band turned."""
+    edges = [BITS * k // bands for k in range(bands + 1)]
+    out = []
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        word, shift, width = low // 64, low % 64, high - low
+        part = F.shiftrightunsigned(h[word], shift)
+        if shift + width > 64:
+            part = part.bitwiseOR(F.shiftleft(h[word + 1], 64 - shift))
+        part = part.bitwiseAND(F.lit((1 << width) - 1))
+        masks = [0] + [1 << i for i in range(width) if turned] + [1 << i | 1 << j for i in range(width) for j in range(i) if turned > 1]
+        out.append(_probes(k, part, masks))
+    return F.flatten(F.array(*out))
+
+
+def hashes_within(left: DataFrame, right: DataFrame, distance: int, block: tuple[str, ...] = ()) -> DataFrame:
+    """block, hl, hr and d of the different hashes ``h`` of two frames within ``distance``, each pair once (both ways in a self join)."""
+    a, b = (checkpoint(side.select(*block, "h").distinct()) for side in (left, right))
+    how = bands_for(max(a.count(), b.count()), distance)
+    d = hash_distance(F.col("hl"), F.col("hr"))
+    if how is None:
+        return hamming_blocks(a, b, block, distance)
+    turned, bands = how
+    probing = a.select(*block, F.col("h").alias("hl"), F.inline(_bands(F.col("h"), bands, turned)))
+    plain = b.select(*block, F.col("h").alias("hr"), F.inline(_bands(F.col("h"), bands, 0)))
+    return probing.join(plain, ["band", "part", *block]).where(d <= distance).select(*block, "hl", "hr", d.alias("d")).distinct()
 
 
 def _within(left: DataFrame, right: DataFrame, distance: int, block: tuple[str, ...], self_join: bool) -> DataFrame:
     """a, b, o and d of the pairs of hashes within ``distance``, of ``left`` turned and ``right`` as it is."""
-    moved = left.select("k", *block, F.inline("hs"))
-    moved = moved.select(F.col("k").alias("a"), *block, "o", F.col("h").alias("ha"), F.inline(_bands(F.col("h"), distance)))
-    plain = right.select(F.col("k").alias("b"), *block, F.element_at(F.filter("hs", lambda x: x["o"] == 0), 1)["h"].alias("hb"))
-    plain = plain.select("b", *block, "hb", F.inline(_bands(F.col("hb"), distance)))
-    d = hash_distance(F.col("ha"), F.col("hb"))
-    met = moved.join(plain, ["band", "part", *block]).where(d <= distance)
-    return (met.where("a <> b") if self_join else met).select("a", "b", "o", d.alias("d")).distinct()
+    moved = left.select(*block, "k", F.inline("hs"))
+    plain = right.select(*block, "k", F.element_at(F.filter("hs", lambda x: x["o"] == 0), 1)["h"].alias("h"))
+    near = checkpoint(hashes_within(moved, plain, distance, block))
+    ahead = moved.select(*block, F.col("k").alias("a"), "o", F.col("h").alias("hl"))
+    met = near.join(ahead, [*block, "hl"]).join(plain.select(*block, F.col("k").alias("b"), F.col("h").alias("hr")), [*block, "hr"])
+    return (met.where("a <> b") if self_join else met).select("a", "b", "o", "d")
 
 
 def _measured(near: DataFrame, left: DataFrame, right: DataFrame, size: int) -> DataFrame:
@@ -65,18 +120,55 @@ def _best(scored: DataFrame, correlation: float) -> DataFrame:
     return kept.select("a", "b", F.element_at(names, F.col("x.o") + 1).alias("transform"), F.col("x.d").alias("distance"), F.col("x.r").alias("correlation"), F.col("x.iou").alias("mask_iou"))
 
 
-def near_pairs(images: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float, block: tuple[str, ...] = (), orientations: tuple[str, ...] = ORIENTATIONS) -> DataFrame:
-    """Pairs (a < b) of one set that are near in some orientation, with the best one.
-
-    The distance of an orientation is the lesser of a turned against b and b turned back against a.  Of several orientations
-    the best correlation wins, then the smaller distance, then the first.  ``block`` columns must be equal.
-    """
-    rows = hashed(images, key, cells, size, orientations, block, correlation)
+def _near_representatives(images: DataFrame, members: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> DataFrame:
+    only = images.join(members.where("k = rep").select(F.col("k").alias("_rep")), F.col(key) == F.col("_rep"), "left_semi")
+    rows = hashed(only, key, cells, size, orientations, block, least)
     back = F.element_at(F.array(*[F.lit(ORIENTATIONS.index(INVERSE[n])) for n in ORIENTATIONS]), F.col("o") + 1)
     found = _within(rows, rows, distance, block, True)
     ahead = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(back).alias("o"), "d")
     near = ahead.groupBy("x", "y", "o").agg(F.min("d").alias("d")).withColumnsRenamed({"x": "a", "y": "b"})
-    return _best(_measured(near, rows, rows, size), correlation)
+    return _best(_measured(near, rows, rows, size), least)
+
+
+def _found(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The classes (k, rep) of the rasters that can be near any, and the near pairs of representatives."""
+    varied = images.where(F.array_min(cells) < F.array_max(cells)) if least > 0 else images
+    members = table(classes(varied, key, cells, block), "classes")
+    return members, _near_representatives(varied, members, key, cells, size, distance, least, block, orientations)
+
+
+def _copies(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of equal rasters as near pairs."""
+    return pairs.select("a", "b", F.lit(ORIENTATIONS[0]).alias("transform"), F.lit(0).alias("distance"), F.lit(1.0).alias("correlation"), F.lit(1.0).alias("mask_iou"))
+
+
+def near_links(images: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float, block: tuple[str, ...] = (), orientations: tuple[str, ...] = ORIENTATIONS) -> DataFrame:
+    """Near pairs between representatives, and a pair of each copy with its representative: n copies give n - 1 rows.
+
+    The links connect what :func:`near_pairs` connects, and hold every pair of different rasters.
+    """
+    members, pairs = _found(images, key, cells, size, distance, correlation, block, orientations)
+    return pairs.unionByName(_copies(members.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))))
+
+
+def near_pairs(images: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float, block: tuple[str, ...] = (), orientations: tuple[str, ...] = ORIENTATIONS) -> DataFrame:
+    """Pairs (a < b) of one set that are near in some orientation, with the best one; keys are distinct.
+
+    The distance of an orientation is the lesser of a turned against b and b turned back against a.  Of several orientations
+    the best correlation wins, then the smaller distance, then the first.  ``block`` columns must be equal.  Copies are
+    found as one and written out in the end: n copies are n (n - 1) / 2 pairs, where :func:`near_links` has n - 1.
+    """
+    members, pairs = _found(images, key, cells, size, distance, correlation, block, orientations)
+    if members.where("k <> rep").isEmpty():
+        return pairs
+    back = F.element_at(F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair]), F.col("transform"))
+    of = lambda end: members.select(F.col("rep").alias(end), F.col("k").alias(f"_{end}"))
+    wide = pairs.join(of("a"), "a").join(of("b"), "b")
+    ordered = wide.select(
+        F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), F.when(F.col("_a") < F.col("_b"), F.col("transform")).otherwise(back).alias("transform"), "distance", "correlation", "mask_iou"
+    )
+    inside = members.select("rep", F.col("k").alias("a")).join(members.select("rep", F.col("k").alias("b")), "rep").where("a < b")
+    return ordered.unionByName(_copies(inside))
 
 
 def near_across(left: DataFrame, right: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float) -> DataFrame:
@@ -89,3 +181,12 @@ def hash_pairs(images: DataFrame, key: str, cells: str, size: int, distance: int
     """Pairs (a < b) whose hashes differ in at most ``distance`` bits, whatever their correlation."""
     rows = hashed(images, key, cells, size)
     return _within(rows, rows, distance, (), True).where("a < b").select("a", "b", F.col("d").alias("distance"))
+
+
+def hamming_within(hashes: DataFrame, key: str, value: str, distance: int) -> DataFrame:
+    """Every pair (a < b) of ``hashes`` of four longs within ``distance``, through bands where these are selective.
+
+    Rows of equal hashes meet once, as one; they are written out in the end.
+    """
+    rows = hashes.select(F.col(key).alias("k"), F.array(F.struct(F.lit(0).alias("o"), F.col(value).alias("h"))).alias("hs")).where("hs[0].h is not null")
+    return _within(rows, rows, distance, (), True).where("a < b").select("a", "b", F.col("d").alias("distance"))

@@ -73,17 +73,16 @@ def block_sides(rows: DataFrame, spread: Column, blocks: Column) -> tuple[DataFr
     return left, right
 
 
-def hamming_within(hashes: DataFrame, key: str, value: str, distance: int, block: int = 4096) -> DataFrame:
-    """Every pair (a < b) of ``hashes`` of four longs within ``distance``, by comparison of all rows with all, in blocks of ``block`` rows.
+def hamming_blocks(left: DataFrame, right: DataFrame, keys: tuple[str, ...], distance: int, block: int = 4096) -> DataFrame:
+    """keys, hl, hr and d of the hashes ``h`` of two frames within ``distance``, by comparison of all with all, in blocks.
 
-    For distances at which no band of the hash is selective; the number of comparisons is the square of the rows.
+    For distances at which no band of a hash is selective; the number of comparisons is the product of the rows.
     """
-    rows = hashes.select(F.col(key).alias("k"), F.col(value).alias("h"))
-    left, right = block_sides(rows, F.col("k"), F.lit(max(8, -(-rows.count() // block))))
-    left, right = left.withColumnsRenamed({"k": "ka", "h": "ha"}), right.withColumnsRenamed({"k": "kb", "h": "hb"})
-    apart = hash_distance(F.col("ha"), F.col("hb"))
-    once = ((F.col("_i") < F.col("_j")) & (F.col("ka") != F.col("kb"))) | (F.col("ka") < F.col("kb"))
-    return left.join(right, ["_i", "_j"]).where(once & (apart <= distance)).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), apart.alias("distance"))
+    n = [max(1, -(-side.count() // block)) for side in (left, right)]
+    n = [max(x, 4) for x in n]
+    deal = lambda side, name, own, other: side.select(*keys, F.col("h").alias(name), F.pmod(F.xxhash64("h"), F.lit(n[own])).alias(f"_{own}"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[other] - 1).cast("long"))).alias(f"_{other}"))
+    apart = hash_distance(F.col("hl"), F.col("hr"))
+    return deal(left, "hl", 0, 1).join(deal(right, "hr", 1, 0), ["_0", "_1", *keys]).where(apart <= distance).select(*keys, "hl", "hr", apart.alias("d"))
 
 
 def verify_pairs(pairs: DataFrame, rasters: DataFrame, key: str, cells: str, size: int, foreground: float = 0.0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.folds import Step, in_order
+
 
 def threshold_search(cells: DataFrame, keys: list[str], score: Column, target: Column, thresholds: list[float]) -> DataFrame:
     """Confusion counts for each key and threshold in one scan: each cell is counted in the first threshold interval above
@@ -58,21 +60,25 @@ def best_and_last(epochs: DataFrame, metric: str, *runs: str) -> DataFrame:
 def reduce_on_plateau(epochs: DataFrame, metric: str, start: float, factor: float, patience: int, floor: float, *runs: str, threshold: float = 1e-4) -> DataFrame:
     """Learning rate after each epoch when it shrinks after more than ``patience`` epochs without relative improvement.
 
-    One fold over a run's epochs, which are a few hundred rows.
+    Epochs pass one after the other with best, bad epochs and rate for a state.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("epoch", F.col(metric).cast("double").alias("m"))))
-    state = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("bad"), F.lit(float(start)).alias("rate"), F.array().cast("array<struct<epoch:bigint,rate:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        better = x["m"] > F.when(a["best"] == float("-inf"), a["best"]).otherwise(a["best"] * (1 + threshold))
-        bad = F.when(better, 0).otherwise(a["bad"] + 1)
-        cut = bad > patience
-        rate = F.when(cut, F.greatest(a["rate"] * factor, F.lit(float(floor)))).otherwise(a["rate"])
-        item = F.struct(x["epoch"].cast("bigint").alias("epoch"), rate.alias("rate"))
-        return F.struct(F.when(better, x["m"]).otherwise(a["best"]).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"), rate.alias("rate"), F.concat(a["out"], F.array(item)).alias("out"))
-
-    folded = epochs.groupBy(*runs).agg(ordered.alias("e")).withColumn("r", F.aggregate("e", state, step)["out"])
-    return folded.select(*runs, F.inline("r"))
+
+    def begin() -> Step:
+        best, bad, rate = float("-inf"), 0, float(start)
+
+        def step(row: tuple) -> tuple:
+            nonlocal best, bad, rate
+            epoch, value = row
+            better = value is not None and value > (best if best == float("-inf") else best * (1 + threshold))
+            best, bad = (value, 0) if better else (best, bad + 1)
+            if bad > patience:
+                rate, bad = max(rate * factor, float(floor)), 0
+            return epoch, rate
+
+        return step
+
+    rows = epochs.select(*runs, F.col("epoch").cast("long").alias("epoch"), F.col(metric).cast("double").alias("_m"))
+    return in_order(rows, list(runs), [F.col("epoch"), F.col("_m")], ["epoch", "_m"], begin, "epoch long, rate double")
 
 
 def cumulative_metrics(batches: DataFrame, order: list[str], *keys: str) -> DataFrame:

@@ -1,30 +1,37 @@
 """Assignment of groups to splits without leakage.
 
-Allocation is greedy and sequential within a stratum, so each stratum's groups are folded in order inside one expression.
-What is folded has one entry per group, which is far fewer than rows; strata are independent and run in parallel.
+Allocation is greedy and sequential within a stratum: its groups, which are far fewer than rows, pass through one task in
+order, and each is assigned as it passes.  Strata are independent and run in parallel.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.columns import hash_int, hash_order, held
+from quern.functions.columns import hash_int, hash_order
+from quern.operators.folds import Step, in_order
 from quern.schemas import SPLITS
-from quern.storage import checkpoint
+from quern.storage import checkpoint, table
 
 RATIOS = (0.70, 0.15, 0.15)
+#: Digests in a leaf of a fingerprint's tree, on average at most.
+LEAF = 256
 
 
-def _ordered_groups(groups: DataFrame, strata: list[str], order: Column, fields: list[str], **totals: str) -> DataFrame:
-    """The groups of each stratum in order, and sums of fields; the sums are aggregates, so no fold computes them again."""
-    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("group_id"), *fields))).alias("g")
-    return groups.groupBy(*strata).agg(listed, *[F.sum(field).alias(name) for name, field in totals.items()])
+def _with_totals(groups: DataFrame, strata: list[str], **totals: str) -> DataFrame:
+    """``groups`` with the sums of fields over their stratum."""
+    sums = groups.groupBy(*[F.col(s).alias(f"_{s}") for s in strata]).agg(*[F.sum(field).alias(name) for name, field in totals.items()])
+    on = [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata]
+    return groups.join(sums, on).drop(*[f"_{s}" for s in strata])
 
 
-def _folded(grouped: DataFrame, strata: list[str], state: Column, step) -> DataFrame:
-    return grouped.withColumn("r", F.aggregate("g", state, step)["out"]).select(*strata, F.inline("r"))
+def _digest(*parts: str | None) -> str:
+    """The same order as ``hash_order``, where nulls are left out."""
+    return hashlib.sha256("|".join(p for p in parts if p is not None).encode()).hexdigest()
 
 
 def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int | Column, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
@@ -33,28 +40,25 @@ def allocate_by_deficit(rows: DataFrame, strata: list[str], seed: int | Column,
     Groups come by size, largest first, ties by hash; each goes to the split with the largest deficit relative to its
     target, ties by hash of group and split.  ``seed`` may be an expression over the strata.
     """
-    groups = rows.groupBy(*strata, "group_id").agg(F.count("*").alias("size"))
-    name = F.concat_ws(", ", *strata)
     seed = (seed if isinstance(seed, Column) else F.lit(seed)).cast("string")
-    keyed = groups.withColumn("tie", hash_order(seed, name, F.col("group_id")))
-    prefer = F.array(*[hash_order(seed, F.col("group_id"), s) for s in SPLITS])
-    keyed = keyed.withColumn("prefer", prefer)
-    grouped = _ordered_groups(keyed, strata, F.struct((-F.col("size")).alias("s"), F.col("tie").alias("t")), ["size", "prefer"], total="size")
-    state = F.struct(*[F.lit(0).cast("long").alias(s) for s in SPLITS], F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
+    groups = rows.groupBy(*strata, "group_id").agg(F.count("*").alias("size")).withColumns({"g": F.col("group_id").cast("string"), "seed": seed})
+    tie = hash_order(F.col("seed"), F.concat_ws(", ", *strata), F.col("group_id"))
+
+    def start() -> Step:
+        have = [0] * len(SPLITS)
 
-    def step(a: Column, x: Column) -> Column:
-        deficits = [(F.lit(r) * F.col("total") - a[s]) / F.greatest(F.lit(r) * F.col("total"), F.lit(1.0)) for s, r in zip(SPLITS, ratios, strict=True)]
-        # The largest deficit first; of equals the smallest hash.
-        best = F.array_min(F.array(*[F.struct((-F.round(d, 12)).alias("d"), x["prefer"][k].alias("h"), F.lit(s).alias("s")) for k, (s, d) in enumerate(zip(SPLITS, deficits, strict=True))]))["s"]
-        return held(best, lambda choice: moved(a, x, choice))
+        def step(row: tuple) -> tuple:
+            group, size, total, seed = row
+            deficits = [round((r * total - h) / max(r * total, 1.0), 12) for r, h in zip(ratios, have, strict=True)]
+            best = [k for k, d in enumerate(deficits) if d == max(deficits)]
+            chosen = best[0] if len(best) == 1 else min(best, key=lambda k: _digest(seed, group, SPLITS[k]))
+            have[chosen] += size
+            return group, SPLITS[chosen]
 
-    def moved(a: Column, x: Column, choice: Column) -> Column:
-        return F.struct(
-            *[(a[s] + F.when(choice == s, x["size"]).otherwise(0)).alias(s) for s in SPLITS],
-            F.concat(a["out"], F.array(F.struct(x["group_id"].cast("string").alias("group_id"), choice.alias("split")))).alias("out"),
-        )
+        return step
 
-    return _folded(grouped, strata, state, step)
+    order = [-F.col("size"), tie, F.col("group_id")]
+    return in_order(_with_totals(groups, strata, total="size"), strata, order, ["g", "size", "total", "seed"], start, "group_id string, split string")
 
 
 def allocate_stratified(rows: DataFrame, label: str, seed: int, ratios: tuple[float, float, float] = RATIOS, preview: int = 10) -> DataFrame:
@@ -79,42 +83,37 @@ def allocate_stratified(rows: DataFrame, label: str, seed: int, ratios: tuple[fl
 def allocate_by_error(rows: DataFrame, positive: Column, seed: int, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """group_id and split over the whole cohort, balancing samples and positive samples.
 
-    Groups come by size, then positives, then hash; each goes where the sum over splits of both squared relative errors is
+    The order is one for all groups, so they pass through one task, with six sums for a state.  Groups come by size, then positives, then hash; each goes where the sum over splits of both squared relative errors is
     least, the first unless another is better by 1e-12.
     """
-    groups = rows.groupBy("group_id").agg(F.count("*").alias("size"), F.count_if(positive).alias("pos")).withColumn("h", hash_order(str(seed), F.col("group_id")))
-    order = F.struct((-F.col("size")).alias("s"), (-F.col("pos")).alias("p"), F.col("h").alias("h"))
-    grouped = _ordered_groups(groups.withColumn("stratum", F.lit("all")), ["stratum"], order, ["size", "pos"], n="size", np="pos")
-    fields = [f"{s}_{f}" for s in SPLITS for f in ("n", "p")]
-    state = F.struct(*[F.lit(0).cast("long").alias(f) for f in fields], F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
-
-    def error(a: Column, x: Column, chosen: str) -> Column:
-        terms = []
-        for s, r in zip(SPLITS, ratios, strict=True):
-            for f, whole, add in (("n", "n", "size"), ("p", "np", "pos")):
-                target = F.greatest(F.lit(r) * F.col(whole), F.lit(1.0))
-                have = a[f"{s}_{f}"] + (x[add] if s == chosen else F.lit(0))
-                terms.append(((have - F.lit(r) * F.col(whole)) / target) * ((have - F.lit(r) * F.col(whole)) / target))
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return out
-
-    def step(a: Column, x: Column) -> Column:
-        return held(F.array(*[error(a, x, s) for s in SPLITS]), lambda e: held(chosen(e), lambda choice: moved(a, x, choice)))
-
-    def chosen(e: Column) -> Column:
-        second = e[1] < e[0] - 1e-12
-        best = F.when(second, e[1]).otherwise(e[0])
-        return F.when(e[2] < best - 1e-12, SPLITS[2]).when(second, SPLITS[1]).otherwise(SPLITS[0])
-
-    def moved(a: Column, x: Column, choice: Column) -> Column:
-        return F.struct(
-            *[(a[f"{s}_{f}"] + F.when(choice == s, x[add]).otherwise(0)).alias(f"{s}_{f}") for s in SPLITS for f, add in (("n", "size"), ("p", "pos"))],
-            F.concat(a["out"], F.array(F.struct(x["group_id"].cast("string").alias("group_id"), choice.alias("split")))).alias("out"),
-        )
-
-    return _folded(grouped, ["stratum"], state, step).drop("stratum")
+    groups = rows.groupBy("group_id").agg(F.count("*").alias("size"), F.count_if(positive).alias("pos")).withColumns({"stratum": F.lit("all"), "g": F.col("group_id").cast("string")})
+    order = [-F.col("size"), -F.col("pos"), hash_order(str(seed), F.col("group_id")), F.col("group_id")]
+
+    def start() -> Step:
+        have = [[0, 0] for _ in SPLITS]
+
+        def step(row: tuple) -> tuple:
+            group, size, pos, *whole = row
+
+            def error(chosen: int) -> float:
+                total = None
+                for k, ratio in enumerate(ratios):
+                    for f, add in enumerate((size, pos)):
+                        off = (have[k][f] + (add if k == chosen else 0) - ratio * whole[f]) / max(ratio * whole[f], 1.0)
+                        total = off * off if total is None else total + off * off
+                return total
+
+            chosen, least = 0, error(0)
+            for k in range(1, len(SPLITS)):
+                if (e := error(k)) < least - 1e-12:
+                    chosen, least = k, e
+            have[chosen][0] += size
+            have[chosen][1] += pos
+            return group, SPLITS[chosen]
+
+        return step
+
+    return in_order(_with_totals(groups, ["stratum"], n="size", np="pos"), ["stratum"], order, ["g", "size", "pos", "n", "np"], start, "group_id string, split string").drop("stratum")
 
 
 def allocate_validation(rows: DataFrame, stratum: str, seed: int, share: float = 0.18) -> DataFrame:
@@ -122,16 +121,23 @@ def allocate_validation(rows: DataFrame, stratum: str, seed: int, share: float =
 
     By stratum, groups in hash order go to val while that doesn't move its size further from the rounded target.
     """
-    groups = rows.groupBy(stratum, "group_id").agg(F.count("*").alias("size")).withColumn("h", hash_order(str(seed), F.col(stratum), F.col("group_id")))
-    grouped = _ordered_groups(groups, [stratum], F.col("h"), ["size"], total="size").withColumn("target", F.round(F.lit(share) * F.col("total"), 0))
-    state = F.struct(F.lit(0).cast("long").alias("have"), F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
+    groups = rows.groupBy(stratum, "group_id").agg(F.count("*").alias("size")).withColumn("g", F.col("group_id").cast("string"))
+    order = [hash_order(str(seed), F.col(stratum), F.col("group_id")), F.col("group_id")]
+    totals = _with_totals(groups, [stratum], total="size").withColumn("target", F.round(F.lit(share) * F.col("total"), 0))
+
+    def start() -> Step:
+        have = 0
+
+        def step(row: tuple) -> tuple:
+            nonlocal have
+            group, size, target = row
+            take = abs(have + size - target) <= abs(have - target)
+            have += size if take else 0
+            return group, "val" if take else "train"
 
-    def step(a: Column, x: Column) -> Column:
-        take = F.abs(a["have"] + x["size"] - F.col("target")) <= F.abs(a["have"] - F.col("target"))
-        item = F.struct(x["group_id"].cast("string").alias("group_id"), F.when(take, "val").otherwise("train").alias("split"))
-        return F.struct((a["have"] + F.when(take, x["size"]).otherwise(0)).alias("have"), F.concat(a["out"], F.array(item)).alias("out"))
+        return step
 
-    return _folded(grouped, [stratum], state, step)
+    return in_order(totals, [stratum], order, ["g", "size", "target"], start, "group_id string, split string")
 
 
 def preserve(assigned: DataFrame, group: str, bad: Column) -> DataFrame:
@@ -156,14 +162,22 @@ def validate(rows: DataFrame, sample: str = "sample_id", group: str = "group_id"
 def fingerprint(rows: DataFrame, *columns: str, trailing_newline: bool = True) -> DataFrame:
     """Digest of the records in order, and their number.
 
-    Records are digested one by one; the digest over sorted record digests is folded in two levels, by first hex digits, so
-    no task holds all rows: equal tables have equal fingerprints in any partitioning.
+    Equal records count together, as ``digest:number``.  The sorted digests are the leaves of a tree: as many hex digits as
+    make leaves of LEAF digests or fewer on average, then a level for each digit.  The depth follows from the number of
+    different records, so equal tables have equal fingerprints in any partitioning, and no list grows with the table.
     """
     end = "\n" if trailing_newline else ""
     record = F.sha2(F.concat(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(end)), 256)
-    digests = rows.select(record.alias("d"))
-    buckets = digests.groupBy(F.substring("d", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
-    return buckets.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
+    digests = table(rows.select(record.alias("d")).groupBy("d").agg(F.count("*").alias("n")), "digests")
+    different, depth = digests.count(), 0
+    while 16**depth * LEAF < different:
+        depth += 1
+    level = digests.select(F.substring("d", 1, depth).alias("p"), "d", F.concat_ws(":", "d", "n").alias("x"), "n")
+    for digits in range(depth, -1, -1):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda y: y["x"]), "\n")
+        level = level.groupBy("p").agg(F.sha2(joined, 256).alias("x"), F.sum("n").alias("n")).select(F.substring("p", 1, max(digits - 1, 0)).alias("p"), F.col("p").alias("d"), "x", "n")
+    empty = F.sha2(F.lit(""), 256)
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("rows"), F.coalesce(F.max("x"), empty).alias("fingerprint"))
 
 
 def renumber(rows: DataFrame, within: str, *order: str) -> DataFrame:

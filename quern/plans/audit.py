@@ -199,10 +199,14 @@ def split_validation(spark, sf_dir):
     return splitting.validate(documents(spark, sf_dir), "doc_id", "h")
 
 
-@query("""WITH r AS (SELECT sha256(doc_id || '|' || coalesce(source, '') || '|' || coalesce(lang, '') || '
-') AS d FROM documents), b AS (SELECT substr(d, 1, 3) AS b, count(*) AS n, sha256(string_agg(d, '
-' ORDER BY d)) AS d FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '
-' ORDER BY b)) AS fingerprint FROM b""")
+#: A level of the tree: groups of ``k`` hex digits become entries of groups of one digit less; trees that aren't so deep pass.
+def _level(k: int) -> str:
+    return f"""t{k} AS (SELECT CASE WHEN length(p) = {k} THEN left(p, {max(k - 1, 0)}) ELSE p END AS p, d, x FROM (SELECT p, p AS d, sha256(string_agg(x, chr(10) ORDER BY d)) AS x FROM t{k + 1} WHERE length(p) = {k} GROUP BY p) UNION ALL SELECT p, d, x FROM t{k + 1} WHERE length(p) < {k})"""
+
+
+@query(f"""WITH r AS (SELECT sha256(doc_id || '|' || coalesce(source, '') || '|' || coalesce(lang, '') || chr(10)) AS d, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT count(*) AS c, CAST(sum(n) AS BIGINT) AS rows FROM r),
+  t5 AS (SELECT left(d, CASE WHEN c <= {splitting.LEAF} THEN 0 WHEN c <= {16 * splitting.LEAF} THEN 1 WHEN c <= {256 * splitting.LEAF} THEN 2 WHEN c <= {4096 * splitting.LEAF} THEN 3 ELSE 4 END) AS p, d, d || ':' || n AS x FROM r, m),
+  {', '.join(_level(k) for k in (4, 3, 2, 1))} SELECT (SELECT rows FROM m) AS rows, sha256(string_agg(x, chr(10) ORDER BY d)) AS fingerprint FROM t1""")
 def dataset_fingerprint(spark, sf_dir):
     return splitting.fingerprint(read(spark, sf_dir, "documents"), "doc_id", "source", "lang")
 

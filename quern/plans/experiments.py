@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import experiments
@@ -57,6 +60,32 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(experiments.bootstrap_interval(rounded(_differences(spark, sf_dir)), "difference", "patient")).withColumn("n", F.col("n").cast("long"))
 
 
+_CONTRASTS = {"gain": ("purchase", "view"), "loss": ("error", "view"), "clicks": ("click", "view"), "signups": ("signup", "view"), "errors": ("error", "click")}
+_RESAMPLES = 200
+
+
+@query(f"""WITH ev AS (SELECT event_type AS code, user_id AS patient, avg(value) AS v FROM events GROUP BY 1, 2), c(contrast, l, r) AS (VALUES {', '.join(f"('{k}', '{l}', '{r}')" for k, (l, r) in _CONTRASTS.items())}),
+  d AS (SELECT contrast, a.patient, round(a.v - b.v, 6) AS d, row_number() OVER (PARTITION BY contrast ORDER BY a.patient) - 1 AS p, count(*) OVER (PARTITION BY contrast) AS n FROM c JOIN ev a ON a.code = l JOIN ev b ON b.code = r AND b.patient = a.patient),
+  s AS (SELECT contrast, max(n) AS n, avg(d) AS mean FROM d GROUP BY contrast), i AS (SELECT i, unnest(range(1, (SELECT max(n) FROM s) + 1)) AS j FROM range({_RESAMPLES}) r(i)),
+  h AS (SELECT i, j, CAST('0x' || substr(sha256('7|' || i || '|' || j), 1, 8) AS BIGINT) AS h FROM i), m AS (SELECT s.contrast, i, sum(d) / max(s.n) AS m FROM s JOIN h ON j <= s.n JOIN d ON d.contrast = s.contrast AND d.p = h % s.n GROUP BY 1, 2)
+  SELECT contrast, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM s JOIN (SELECT contrast, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) USING (contrast)""")
+def bootstrap_contrasts(spark, sf_dir):
+    """Intervals of five contrasts in one pass."""
+    means = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code"), F.col("user_id").alias("patient")).agg(F.avg("value").alias("v"))
+    of = lambda code: means.where(F.col("code") == code).select("patient", "v")
+    parts = [of(a).withColumnRenamed("v", "l").join(of(b).withColumnRenamed("v", "r"), "patient").select(F.lit(name).alias("contrast"), "patient", F.round(F.col("l") - F.col("r"), 6).alias("d")) for name, (a, b) in _CONTRASTS.items()]
+    return rounded(experiments.bootstrap_intervals(reduce(DataFrame.unionByName, parts), "d", "patient", "contrast", resamples=_RESAMPLES, seed="7"))
+
+
+_PERCENTILES = (0.025, 0.5, 0.9)
+
+
+@query(f"WITH {RUNS_SQL} " + " UNION ALL ".join(f"SELECT code, CAST({q} AS DOUBLE) AS share, round(quantile_cont(value, {q}), 6) AS value FROM ev GROUP BY code" for q in _PERCENTILES))
+def percentiles(spark, sf_dir):
+    found = experiments.order_statistics(_events(spark, sf_dir), "value", list(_PERCENTILES), "code")
+    return rounded(found, 6, "value")
+
+
 @query(f"WITH {RUNS_SQL}, s AS (SELECT code, round(avg(score), 6) AS score FROM runs GROUP BY code), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, code) AS rank, round(score - first_value(score) OVER (ORDER BY code ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS delta FROM s) SELECT code, score, CAST(rank AS INTEGER) AS rank, delta FROM k")
 def rank_models(spark, sf_dir):
     summary = rounded(_runs(spark, sf_dir).groupBy("code").agg(F.avg("score").alias("score")))

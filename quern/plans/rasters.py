@@ -280,7 +280,17 @@ def predicted_masks(spark, sf_dir):
 def hamming_pairs(spark, sf_dir):
     """All pairs of rows within 100 of 256 bits, which no pair of unlike rows reaches often: no band is selective, so blocks meet."""
     h = planted(spark, sf_dir).select("k", images.sampled_hash(F.col("c"), SIZE).alias("h"))
-    return rasters.hamming_within(h, "k", "h", 100)
+    return near.hamming_within(h, "k", "h", 100)
+
+
+@query(f"""WITH {_BASE}, {_ORIENT}, {_PLACES}, ws AS (SELECT k, c FROM base WHERE k % 4 = 0 AND list_min(c) < list_max(c)), w AS (SELECT k, {_BITS.format(c='c', q='q')} AS h, c FROM ws, s WHERE o = 0)
+  SELECT k AS a, k + n * 1000000 AS b, 0 AS distance FROM w, (SELECT unnest([1, 2, 3]) AS n)
+  UNION ALL SELECT a.k, b.k, CAST({_APART.format(a='a.h', b='b.h')} AS INTEGER) FROM w a JOIN w b ON a.k < b.k AND {_APART.format(a='a.h', b='b.h')} <= {DISTANCE} AND {_corr('a.c', 'b.c')} >= {CORRELATION}""")
+def near_links(spark, sf_dir):
+    """Every fourth raster four times over: a link for each copy, and the near pairs of what differs."""
+    rows = table(base(spark, sf_dir).where("k % 4 = 0"), "base")
+    copies = rows.select("k", "c", F.explode(F.array(*[F.lit(n * 1_000_000) for n in range(4)])).alias("n")).select((F.col("k") + F.col("n")).alias("k"), "c")
+    return near.near_links(copies, "k", "c", SIZE, DISTANCE, CORRELATION, orientations=("identity",)).select("a", "b", "distance")
 
 
 @query(f"WITH {_PLANTED}, both_ AS (SELECT k, {_BRIGHTER.format(c='c')} AS c FROM pl UNION ALL SELECT k + 5000000, c FROM pl), h AS (SELECT k, {_BITS.format(c='c', q='q')} AS h FROM both_, s WHERE o = 0) SELECT a.k AS a, b.k AS b, CAST({_APART.format(a='a.h', b='b.h')} AS INTEGER) AS distance FROM h a JOIN h b ON a.k < b.k AND {_APART.format(a='a.h', b='b.h')} <= {DISTANCE}")
