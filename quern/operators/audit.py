@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from quern.storage import checkpoint
 
 
 def pair_up(images: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,6 +49,18 @@ def members(rows: DataFrame, groups: DataFrame, content: str, kind: str) -> Data
     return rows.join(groups.select(content, "group_size"), content).withColumn("kind", F.lit(kind))
 
 
+def tagged_members(rows: DataFrame, contents: dict[str, str]) -> DataFrame:
+    """The rows of the duplicate groups of every kind of content, with ``kind``, ``hash`` and ``group_size``.
+
+    ``contents`` names the column with the digest of each kind, null where a row has no such content.  All kinds are counted
+    and met in one pass over (kind, hash); a row is there once for each kind in which it has an equal.
+    """
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("hash")) for kind, c in contents.items()])
+    wide = rows.select("*", F.inline(kinds)).where("hash is not null")
+    groups = checkpoint(wide.groupBy(F.col("kind").alias("_kind"), F.col("hash").alias("_hash")).agg(F.count("*").alias("group_size")).where("group_size > 1"))
+    return wide.join(groups, (F.col("kind") == F.col("_kind")) & (F.col("hash") == F.col("_hash"))).drop("_kind", "_hash")
+
+
 def leaking(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups with rows in several splits."""
     return rows.groupBy(group).agg(F.count_distinct(split).alias("n_splits"), F.array_sort(F.collect_set(split)).alias("splits")).where("n_splits > 1")

@@ -24,10 +24,15 @@ def exact_dup_groups(spark, sf_dir):
     return audit.exact_groups(documents(spark, sf_dir), "h", "source", "lang")
 
 
-@query(f"WITH {_HASHED} SELECT h, doc_id, source, split, count(*) OVER (PARTITION BY h) AS group_size, 'text' AS kind FROM d QUALIFY count(*) OVER (PARTITION BY h) > 1")
+_CONTENTS = {"image": "h", "mask": "m"}
+
+
+@query(f"""WITH {_HASHED}, e AS (SELECT *, CASE WHEN n_chars > 0 THEN sha256(source || '|' || n_chars) END AS m FROM d), u AS (SELECT 'image' AS kind, h AS hash, doc_id, source, split FROM e UNION ALL SELECT 'mask', m, doc_id, source, split FROM e WHERE m IS NOT NULL)
+  SELECT kind, hash, doc_id, source, split, count(*) OVER (PARTITION BY kind, hash) AS group_size FROM u QUALIFY count(*) OVER (PARTITION BY kind, hash) > 1""")
 def dup_members(spark, sf_dir):
-    rows = documents(spark, sf_dir)
-    return audit.members(rows, audit.exact_groups(rows, "h"), "h", "text").select("h", "doc_id", "source", "split", "group_size", "kind")
+    """The text stands for the image; source and length, where there is any, for the mask."""
+    rows = documents(spark, sf_dir).withColumn("m", F.when(F.col("n_chars") > 0, F.sha2(F.concat("source", F.lit("|"), F.col("n_chars").cast("string")), 256)))
+    return audit.tagged_members(rows, _CONTENTS).select("kind", "hash", "doc_id", "source", "split", "group_size")
 
 
 @query(f"WITH {_HASHED} SELECT h, count(DISTINCT split) AS n_splits, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM d GROUP BY h HAVING count(DISTINCT split) > 1")

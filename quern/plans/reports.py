@@ -9,6 +9,7 @@ from quern.operators import audit, confusion, experiments, rasters
 from quern.plans.metrics import SR_SQL, rounded, samples
 from quern.plans.rasters import _EMB, embeddings
 from quern.plans.registry import query, read
+from quern.sources.charts import ALARM, HIT, MISS
 from quern.sources import tables
 
 _AROUND = "list_transform(range(9), lambda j: CASE WHEN i // 8 + j // 3 - 1 BETWEEN 0 AND 7 AND i % 8 + j % 3 - 1 BETWEEN 0 AND 7 THEN {c}[(i // 8 + j // 3 - 1) * 8 + i % 8 + j % 3 - 1 + 1] END)"
@@ -47,12 +48,12 @@ def metrics_or_nan(spark, sf_dir):
     )
 
 
-_OVER = "CAST(round_even(0.45 * {v} + 0.55 * {on}, 0) AS INTEGER)"
+_OVER = "CASE WHEN t OR p THEN CAST(floor(0.45::DOUBLE * v + (1 - 0.45::DOUBLE) * CASE WHEN p AND t THEN {hit} WHEN p THEN {alarm} ELSE {miss} END) AS INTEGER) ELSE v END"
+_OVERLAID = ", ".join(f"{_OVER.format(hit=HIT[k], alarm=ALARM[k], miss=MISS[k])} AS {name}" for k, name in enumerate(("red", "green", "blue")))
 
 
 @query(f"""WITH {_EMB}, x AS (SELECT k, unnest(range(64)) AS place, unnest(list_transform(c, lambda v: CAST(floor(abs(v) * 1000000) AS BIGINT) % 256)) AS v FROM emb), y AS (SELECT *, v >= 128 AS t, v % 2 = 0 AS p FROM x)
-  SELECT k, place, CASE WHEN t OR p THEN {_OVER.format(v='v', on='CASE WHEN p AND NOT t THEN 255 ELSE 0 END')} ELSE v END AS red, CASE WHEN t OR p THEN {_OVER.format(v='v', on='CASE WHEN p AND t THEN 255 ELSE 0 END')} ELSE v END AS green,
-    CASE WHEN t OR p THEN {_OVER.format(v='v', on='CASE WHEN t AND NOT p THEN 255 ELSE 0 END')} ELSE v END AS blue FROM y""")
+  SELECT k, place, {_OVERLAID} FROM y""")
 def overlay_pixels(spark, sf_dir):
     cells = F.transform("c", lambda v: F.floor(F.abs(v) * 1000000) % 256)
     rows = embeddings(spark, sf_dir).select("k", F.posexplode(cells).alias("place", "v"))

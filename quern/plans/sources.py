@@ -6,10 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from quern.operators import audit
-from quern.plans.metrics import rounded
+from quern.operators import audit, confusion
+from quern.operators.kernels import kernel
+from quern.plans.metrics import SR_SQL, rounded, samples
 from quern.plans.registry import query, read
-from quern.sources import config, files, tables
+from quern.sources import charts, config, files, tables
 from quern.sources.png import encode
 from quern.sources.rowfiles import write_files
 from quern.storage import new_path, put
@@ -112,6 +113,40 @@ def curve_series(spark, sf_dir):
     return rounded(tables.curve_series(tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir)))))
 
 
+_X, _Y = "20 + CAST(floor(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0.5 END * 599 + 0.5::DOUBLE) AS INTEGER)", "20 + CAST(floor(CASE WHEN y1 > y0 THEN (y1 - y) / (y1 - y0) ELSE 0.5 END * 359 + 0.5::DOUBLE) AS INTEGER)"
+
+
+@query(f"""WITH {_EPOCHS}, p AS (SELECT 'loss' AS chart, 'train_loss' AS series, CAST(epoch AS DOUBLE) AS x, v AS y FROM h UNION ALL SELECT 'loss', 'val_loss', epoch, v * 2 FROM h UNION ALL SELECT 'iou', 'train_macro_iou', epoch, v / 2 FROM h UNION ALL SELECT 'model_selection', 'best_val_metric', epoch, v / 4 FROM h),
+  r AS (SELECT chart, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY chart) SELECT chart, series, {_X} AS px, {_Y} AS py, true AS drawn FROM p JOIN r USING (chart)""")
+def curve_charts(spark, sf_dir):
+    """The curves of a history as files, decoded again: whether there is colour where each point lies."""
+    series = tables.curve_series(tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir))))
+    points = series.select(F.col("curve").alias("chart"), "series", F.col("epoch").alias("x"), F.col("value").alias("y"))
+    root = new_path(spark, "charts")
+    write_files(charts.line_charts(points), root)
+    drawn = files.with_cells(files.read_images(spark, root)).select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("chart"), "width", "cells")
+    at = lambda k: F.get("cells", (F.col("py") * F.col("width") + F.col("px")) * 3 + k)
+    colour = F.greatest(at(0), at(1), at(2)) != F.least(at(0), at(1), at(2))
+    return charts.pixel_points(points).join(drawn, "chart").select("chart", "series", "px", "py", colour.alias("drawn"))
+
+
+_RATIOS = ("iou", "dice", "precision", "recall")
+
+
+@query(f"""WITH {SR_SQL}, v AS (SELECT unnest([{', '.join(f"'{r}'" for r in _RATIOS)}]) AS chart, unnest([{', '.join(_RATIOS)}]) AS v FROM sr), b AS (SELECT chart, CAST(least(floor(v * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY chart) AS most FROM b)
+  SELECT chart, CAST(sum(((2 * n * 359 + most) // (2 * most)) * ((bin + 1) * 600 // 20 - bin * 600 // 20 - 1)) AS BIGINT) AS coloured FROM m GROUP BY chart""")
+def histogram_charts(spark, sf_dir):
+    """Four histograms as files, decoded again: the pixels that their bars fill."""
+    ratios = confusion.sample_ratios(samples(spark, sf_dir))
+    values = ratios.select(F.inline(F.array(*[F.struct(F.lit(r).alias("chart"), F.col(r).alias("v")) for r in _RATIOS])))
+    bars = values.where(F.col("v").between(0, 1)).groupBy("chart", F.least(F.floor(F.col("v") * 20), F.lit(19)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    root = new_path(spark, "charts")
+    write_files(charts.bar_charts(bars, 20), root)
+    drawn = files.with_cells(files.read_images(spark, root))
+    coloured = kernel(lambda m: (m.reshape(len(m), -1, 3).max(2) != m.reshape(len(m), -1, 3).min(2)).sum(1), "bigint", None, "cells")
+    return drawn.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("chart"), coloured.alias("coloured"))
+
+
 @query("SELECT event_id, event_type, round(value, 6) AS value FROM events")
 def jsonl_append(spark, sf_dir):
     """Two halves appended to one log."""

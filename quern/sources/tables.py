@@ -13,6 +13,7 @@ from quern.functions.columns import case_identifier
 from quern.operators.images import resized_bilinear, resized_nearest
 from quern.operators.splitting import validate
 from quern.schemas import EPOCH_RECORD, GROUP_MAP, MANIFEST, SPLITS
+from quern.sources.charts import ALARM, HIT, IMAGE_SHARE, MISS
 from quern.sources.png import with_png
 from quern.storage import delete, put, replace
 
@@ -269,12 +270,8 @@ def with_expected(runs: DataFrame, expected: DataFrame, keys: list[str]) -> Data
 
 
 def overlay(image: Column, target: Column, predicted: Column) -> Column:
-    """Red, green and blue of a comparison pixel: hits green, false alarms red, misses blue, over 45 % of the image."""
-    colour = lambda on: F.bround(0.45 * image + 0.55 * F.when(on, 255).otherwise(0)).cast("int")
-    marked = target | predicted
-    plain = image.cast("int")
-    return F.struct(
-        F.when(marked, colour(predicted & ~target)).otherwise(plain).alias("red"),
-        F.when(marked, colour(predicted & target)).otherwise(plain).alias("green"),
-        F.when(marked, colour(target & ~predicted)).otherwise(plain).alias("blue"),
-    )
+    """Red, green and blue of a comparison pixel: hits green, false alarms red, misses yellow, over 45 % of the image, rounded down."""
+    colour = lambda at: F.floor(
+        IMAGE_SHARE * image + (1 - IMAGE_SHARE) * F.when(predicted & target, HIT[at]).when(predicted, ALARM[at]).otherwise(MISS[at])
+    ).cast("int")
+    return F.struct(*[F.when(target | predicted, colour(k)).otherwise(image.cast("int")).alias(name) for k, name in enumerate(("red", "green", "blue"))])
