@@ -17,9 +17,14 @@ def pair_up(images: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "full_outer").withColumn("status", status).drop("_i", "_m")
 
 
+def unpaired(pairs: DataFrame, keys: list[str], preview: int = 10) -> DataFrame:
+    """status and keys of the first rows of :func:`pair_up` in order that have no partner."""
+    return pairs.where("status <> 'paired'").orderBy(*keys).limit(preview).select("status", *keys)
+
+
 def assert_paired(pairs: DataFrame, keys: list[str], preview: int = 10) -> DataFrame:
     """``pairs`` of :func:`pair_up`, or an error that names the first unpaired keys."""
-    bad = pairs.where("status <> 'paired'").orderBy(*keys).limit(preview).select("status", *keys).collect()
+    bad = unpaired(pairs, keys, preview).collect()
     if bad:
         raise ValueError(f"unpaired rows: {[tuple(r) for r in bad]}")
     return pairs.drop("status")

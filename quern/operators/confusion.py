@@ -149,13 +149,16 @@ def systematic_draw(samples: DataFrame, weight: str, draws: int, seed: str, key:
     offset = int.from_bytes(seed.encode()[:4].ljust(4, b"0"), "big") / 2**32
     rows = samples.withColumns({"_h": F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)}).withColumn("_b", F.substring("_h", 1, 2))
     buckets = rows.groupBy("_b").agg(F.sum(weight).alias("_w"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.select("_b", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_base"), F.sum("_w").over(W.partitionBy()).alias("_all"))
-    inside = W.partitionBy("_b").orderBy("_h", key).rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.join(F.broadcast(buckets), "_b").withColumn("_end", (F.col("_base") + F.sum(weight).over(inside)) / F.col("_all"))
-    start = F.col("_end") - F.col(weight) / F.col("_all")
+    upto = F.sum("_w").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    buckets = buckets.select("_b", upto.alias("_upto"), F.sum("_w").over(W.partitionBy()).alias("_all")).withColumn("_base", F.coalesce(F.lag("_upto").over(W.orderBy("_b")), F.lit(0.0)))
+    order = W.partitionBy("_b").orderBy("_h", key)
+    placed = rows.join(F.broadcast(buckets), "_b").withColumn("_sum", F.col("_base") + F.sum(weight).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # A row starts where the one before it ends, to the last bit, so that every point lies in exactly one interval.
+    last = F.lead("_sum").over(order).isNull()
+    placed = placed.withColumns({"_end": F.when(last, F.col("_upto")).otherwise(F.col("_sum")) / F.col("_all"), "_start": F.coalesce(F.lag("_sum").over(order), F.col("_base")) / F.col("_all")})
+    start = F.col("_start")
     point = lambda x: F.ceil(F.round(x * draws - offset, 9))
-    return placed.withColumn("draws", (point(F.col("_end")) - point(start)).cast("int")).drop("_h", "_b", "_base", "_all", "_end")
+    return placed.withColumn("draws", (point(F.col("_end")) - point(start)).cast("int")).drop("_h", "_b", "_base", "_upto", "_all", "_sum", "_start", "_end")
 
 
 # ---- losses over cells: one row per cell with sample, p in (0, 1) and t in {0, 1} -----------------------------------------

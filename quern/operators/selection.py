@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from quern.operators.folds import Step, in_order
 
 
-def threshold_search(cells: DataFrame, keys: list[str], score: Column, target: Column, thresholds: list[float]) -> DataFrame:
+def threshold_search(cells: DataFrame, keys: list[str], score: Column, target: Column, thresholds: list[float], among: DataFrame | None = None) -> DataFrame:
     """Confusion counts for each key and threshold in one scan: each cell is counted in the first threshold interval above
-    its score, and running sums over the few thresholds give the counts."""
+    its score, and running sums over the few thresholds give the counts.  ``among`` has the keys that count, all if None."""
     marks = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
     level = F.size(F.filter(marks, lambda t: t <= score))
     cells = cells.groupBy(*keys, level.alias("level")).agg(F.count_if(target).alias("pos"), F.count_if(~target).alias("neg"))
     grouped = cells.groupBy(*keys).agg(F.collect_list(F.struct("level", "pos", "neg")).alias("levels"))
+    grouped = grouped if among is None else grouped.join(among, keys, "left_semi")
     out = grouped.select(*keys, "levels", F.posexplode(marks).alias("k", "threshold"))
     total = lambda field, keep: F.aggregate(F.filter("levels", keep), F.lit(0).cast("long"), lambda a, x: a + x[field])
     above, below = (lambda x: x["level"] > F.col("k")), (lambda x: x["level"] <= F.col("k"))

@@ -24,6 +24,15 @@ def exact_dup_groups(spark, sf_dir):
     return audit.exact_groups(documents(spark, sf_dir), "h", "source", "lang")
 
 
+@query("""WITH p AS (SELECT coalesce(c_custkey, o_custkey) AS custkey, CASE WHEN o_custkey IS NULL THEN 'missing_mask' WHEN c_custkey IS NULL THEN 'orphan_mask' END AS status
+    FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 <> 0) ON c_custkey = o_custkey) SELECT status, custkey FROM p WHERE status IS NOT NULL ORDER BY custkey LIMIT 10""")
+def unpaired_preview(spark, sf_dir):
+    """What the error of a fatal pairing names: the first keys without a partner."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
+    orders = read(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("custkey")).distinct()
+    return audit.unpaired(audit.pair_up(customers, orders, ["custkey"]), ["custkey"])
+
+
 _CONTENTS = {"image": "h", "mask": "m"}
 
 

@@ -118,8 +118,8 @@ _TH = f"WITH {CELLS_SQL}, th AS (SELECT unnest([0.2, 0.35, 0.5, 0.65, 0.8])::DOU
 
 def _searched(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_returnflag") == "R").alias("t"), (F.col("l_discount") * 10).alias("score"))
-    found = selection.threshold_search(lines, ["sample_id"], F.col("score"), F.col("t"), THRESHOLDS)
-    found = found.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id")), "sample_id", "left_semi")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    found = selection.threshold_search(lines, ["sample_id"], F.col("score"), F.col("t"), THRESHOLDS, orders)
     return rounded(confusion.sample_ratios(found).groupBy("threshold").agg(F.avg("iou").alias("macro_iou")), 6, "macro_iou")
 
 
@@ -162,9 +162,14 @@ def balanced_weights(spark, sf_dir):
     return rounded(weighed.select("sample_id", "weight"), 12)
 
 
-@query()
+_OFFSET = int.from_bytes(b"42".ljust(4, b"0"), "big") / 2**32
+
+
+@query(f"""WITH w AS ({_WEIGHTS.replace('round(', '').replace(', 12) AS weight', ' AS weight')}), h AS (SELECT sample_id, weight, sha256('42|' || sample_id) AS h FROM w),
+  c AS (SELECT sample_id, sum(weight) OVER o / sum(weight) OVER () AS upto, coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(weight) OVER () AS start FROM h WINDOW o AS (ORDER BY h, sample_id))
+  SELECT sample_id, CAST(ceil(round(upto * 10000 - {_OFFSET!r}::DOUBLE, 9)) - ceil(round(start * 10000 - {_OFFSET!r}::DOUBLE, 9)) AS INTEGER) AS draws FROM c""")
 def balanced_draw(spark, sf_dir):
-    """Draws with replacement by balanced weight; tested for its totals, as the order comes from hashes."""
+    """Draws with replacement by balanced weight, at systematic positions in hash order."""
     weighed = confusion.balanced_weights(samples(spark, sf_dir), F.col("tp") + F.col("fn") > 0)
     return confusion.systematic_draw(weighed, "weight", 10_000, "42", "sample_id").select("sample_id", "draws")
 

@@ -15,7 +15,9 @@ from quern.operators import audit, components, images, near, rasters, resolve
 from quern.operators.kernels import kernel
 from quern.plans.metrics import rounded
 from quern.plans.registry import query, read
-from quern.storage import table
+from quern.sources import charts, files
+from quern.sources.rowfiles import write_files
+from quern.storage import new_path, table
 
 SIZE, SMALL, DISTANCE, CORRELATION = 64, 8, 12, 0.95
 FLIP, TURN = 1_000_000, 2_000_000
@@ -273,6 +275,25 @@ def predicted_masks(spark, sf_dir):
     return embeddings(spark, sf_dir).select("k", F.array_join(images.predicted_mask(p, (SMALL, SMALL), (10, 6), 0.1), ",").alias("mask"))
 
 
+_SEEN = f"""{_BYTES}, g AS (SELECT k, c, list_transform({_bilinear_sql('q', (4, 4), (8, 8))}, lambda v: v >= 0.5::DOUBLE) AS p FROM (SELECT *, list_transform(c[1:16], lambda v: v / 255.0::DOUBLE) AS q FROM px)),
+  x AS (SELECT k, unnest(c) AS v, unnest(list_transform(c, lambda v: v % 3 = 0)) AS t, unnest(p) AS p FROM g)"""
+_SHOWN = "CASE WHEN t OR p THEN CAST(floor(0.45::DOUBLE * v + (1 - 0.45::DOUBLE) * CASE WHEN p AND t THEN {hit} WHEN p THEN {alarm} ELSE {miss} END) AS INTEGER) ELSE v END"
+_SUMS = ", ".join(f"CAST(sum(v + CASE WHEN t THEN 255 ELSE 0 END + CASE WHEN p THEN 255 ELSE 0 END + {_SHOWN.format(hit=charts.HIT[k], alarm=charts.ALARM[k], miss=charts.MISS[k])}) AS BIGINT) AS {c}" for k, c in enumerate(images.CHANNELS))
+
+
+@query(f"WITH {_SEEN} SELECT k, {_SUMS} FROM x GROUP BY k")
+def comparison_files(spark, sf_dir):
+    """Image, truth, prediction and overlay of each row side by side in a file, decoded again: the sums of the channels."""
+    mask = kernel(lambda m: np.where(m % 3 == 0, 255, 3), "array<int>", None, "c")
+    chance = kernel(lambda m: m[:, :16] / 255.0, "array<double>", SMALL * SMALL, "c")
+    samples = _bytes(spark, sf_dir).select(F.concat(F.lit("s"), "k", F.lit(".png")).alias("path"), F.col("c").alias("image"), mask.alias("mask"), chance.alias("probability"))
+    root = new_path(spark, "comparisons")
+    write_files(charts.comparison_files(samples, (SMALL, SMALL), (4, 4)), root)
+    seen = files.with_cells(files.read_images(spark, root)).select(F.regexp_extract("path", r"s(\d+)\.png$", 1).cast("long").alias("k"), "cells")
+    total = kernel(lambda m: m.reshape(len(m), -1, 3).sum(1), "array<bigint>", None, "cells")  # a decoder gives blue, green, red
+    return seen.select("k", total.alias("s")).select("k", F.get("s", 2).alias("red"), F.get("s", 1).alias("green"), F.get("s", 0).alias("blue"))
+
+
 # ---- pairs --------------------------------------------------------------------------------------------------------------
 
 

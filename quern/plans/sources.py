@@ -360,6 +360,39 @@ def config_comparison(spark, sf_dir):
     return spark.createDataFrame([("seed_and_folder", digest(first) == digest(other), derived), ("threshold", digest(first) == digest(third), derived)], "pair string, comparable boolean, derived string")
 
 
+_CHECKED = """c AS (SELECT p_partkey AS k, p_size * 8 AS width, p_size / 50.0 AS threshold, ['grayscale', 'flair_green', 'rgb_multimodal', 'green'][p_partkey % 4 + 1] AS mode, CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 1 END AS channels, p_partkey % 7 = 0 AS short FROM part)"""
+
+
+def _config_texts(spark, sf_dir):
+    """A configuration for each part, as text: sizes, modes, channels and thresholds by its columns; every seventh lacks a section."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("grayscale", "flair_green", "rgb_multimodal", "green")]), (k % 4 + 1).cast("int"))
+    parts = (
+        '{"_path": "', k, '", "project": {"seed": ', k, ', "output_dir": "runs/', k, '"}, "data": {"split_ratios": {"train": 0.7, "val": 0.15, "test": 0.15}, "image_size": [', size * 8, ', 256], "channel_mode": "', mode,
+        '"}, "model": {"in_channels": ', F.when(k % 5 == 0, 3).otherwise(1), ', "out_channels": 1}, ', F.when(k % 7 == 0, "").otherwise('"loss": {}, '), '"optimizer": {}, "scheduler": {}, "training": {}, "metrics": {"threshold": ', size / 50, '}, "evaluation": {}}',
+    )
+    return read(spark, sf_dir, "part").select(k.alias("k"), size.alias("size"), F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]).alias("value"))
+
+
+@query(f"""WITH {_CHECKED}, p AS (SELECT k, unnest([CASE WHEN width % 16 <> 0 THEN 'data.image_size must be divisible by 16' END, CASE WHEN mode = 'green' THEN 'data.channel_mode must be one of grayscale, flair_green, rgb_multimodal' END,
+    CASE WHEN mode = 'rgb_multimodal' AND channels <> 3 THEN 'model.in_channels must be 3' WHEN mode IN ('grayscale', 'flair_green') AND channels <> 1 THEN 'model.in_channels must be 1' END,
+    CASE WHEN threshold >= 1 THEN 'metrics.threshold must lie between 0 and 1' END, CASE WHEN short THEN 'section loss is missing' END]) AS problem FROM c) SELECT k, problem FROM p WHERE problem IS NOT NULL""")
+def config_checks(spark, sf_dir):
+    """The rules that each of many configurations breaks, read from their texts."""
+    return config.text_problems(_config_texts(spark, sf_dir), "k")
+
+
+@query(f"WITH {_CHECKED} SELECT width, mode, channels, short, count(*) AS runs FROM c GROUP BY ALL")
+def config_groups(spark, sf_dir):
+    """Runs with comparable configurations, which differ in seed, folder and internal keys only."""
+    k = F.col("k")
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("grayscale", "flair_green", "rgb_multimodal", "green")]), (k % 4 + 1).cast("int"))
+    told = config.text_digests(_config_texts(spark, sf_dir), "k").join(_config_texts(spark, sf_dir).select("k", "size"), "k")
+    first = lambda c: F.min(c)
+    rows = told.select("digest", (F.col("size") * 8).alias("width"), mode.alias("mode"), F.when(k % 5 == 0, 3).otherwise(1).alias("channels"), (k % 7 == 0).alias("short"))
+    return rows.groupBy("digest").agg(*[first(c).alias(c) for c in ("width", "mode", "channels", "short")], F.count("*").alias("runs")).drop("digest")
+
+
 @query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN substr(sha256(text), 1, 1) <= '9' THEN 'train' WHEN substr(sha256(text), 1, 1) <= 'c' THEN 'val' ELSE 'test' END AS split FROM documents) WHERE split IN ('train', 'val') GROUP BY split")
 def development_samples(spark, sf_dir):
     rows = manifest(spark, sf_dir)
