@@ -11,9 +11,9 @@ from quern.operators.kernels import kernel
 from quern.plans.metrics import SR_SQL, rounded, samples
 from quern.plans.registry import query, read
 from quern.sources import charts, config, files, tables
-from quern.sources.png import encode
+from quern.sources.png import with_png
 from quern.sources.rowfiles import write_files
-from quern.storage import new_path, put
+from quern.storage import new_path
 
 _MANIFEST = """m AS (SELECT 'd' || doc_id AS sample_id, CAST(doc_id AS INTEGER) AS source_id, source AS tumor_type, substr(sha256(text), 1, 12) AS group_id,
   CASE WHEN substr(sha256(text), 1, 1) <= '9' THEN 'train' WHEN substr(sha256(text), 1, 1) <= 'c' THEN 'val' ELSE 'test' END AS split, 'i/' || doc_id || '.png' AS image_path, 'm/' || doc_id || '.png' AS mask_path,
@@ -184,28 +184,32 @@ def runs_scan(spark, sf_dir):
     return tables.with_expected(found, expected, ["code", "seed"]).select("code", "seed", "n", "score")
 
 
-# ---- images: the nations are samples, their regions classes ---------------------------------------------------------------
+# ---- images: the suppliers are samples, their regions classes -------------------------------------------------------------
 
-_IMAGES = """n AS (SELECT n_nationkey AS k, r_name AS c FROM nation JOIN region ON n_regionkey = r_regionkey),
+_IMAGES = """n AS (SELECT s_suppkey AS k, r_name AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   px AS (SELECT k, c, list_transform(range(12), lambda i: (k * 7 + i * 11) % 256) AS red, list_transform(range(12), lambda i: (k * 5 + i * 3) % 256) AS green, list_transform(range(12), lambda i: (k + i) % 256) AS blue,
     list_transform(range(12), lambda i: CASE WHEN (i + k) % 3 = 0 THEN 255 WHEN k % 4 = 0 THEN 3 WHEN k % 10 = 1 THEN 9 ELSE 0 END) AS mask FROM n)"""
 
 
+BROKEN = 999_999
+
+
 def _folder(spark, sf_dir):
-    """A folder of 4 x 3 images and masks for the 25 nations; two masks are missing and a file has no image in it."""
+    """A folder of 4 x 3 images and masks for the suppliers; two masks are missing and a file has no image in it."""
     root = new_path(spark, "images")
-    nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name").collect()
-    for r in nations:
-        k, name = r["n_nationkey"], f"{root}/{r['r_name']}/enh_{r['n_nationkey']}"
-        colours = bytes(v for i in range(12) for v in ((k * 7 + i * 11) % 256, (k * 5 + i * 3) % 256, (k + i) % 256))
-        put(spark, f"{name}.png", encode(colours, 4, 3, 3))
-        if k not in (3, 8):
-            put(spark, f"{name}_mask.png", encode(bytes(255 if (i + k) % 3 == 0 else 3 if k % 4 == 0 else 9 if k % 10 == 1 else 0 for i in range(12)), 4, 3))
-    put(spark, f"{root}/EUROPE/enh_99.png", b"no image")
+    places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    rows = read(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), F.concat("r_name", F.lit("/enh_"), "s_suppkey").alias("stem"))
+    k, cells = F.col("k"), F.sequence(F.lit(0), F.lit(11))
+    colours = F.flatten(F.transform(cells, lambda i: F.array((k * 7 + i * 11) % 256, (k * 5 + i * 3) % 256, (k + i) % 256))).cast("array<int>")
+    mask = F.transform(cells, lambda i: F.when((i + k) % 3 == 0, 255).when(k % 4 == 0, 3).when(k % 10 == 1, 9).otherwise(0)).cast("array<int>")
+    images = with_png(rows.select(F.concat("stem", F.lit(".png")).alias("path"), colours.alias("cells")), "cells", 4, 3, 3, "content")
+    masks = with_png(rows.where(~k.isin(3, 8)).select(F.concat("stem", F.lit("_mask.png")).alias("path"), mask.alias("cells")), "cells", 4, 3, name="content")
+    broken = spark.createDataFrame([(f"EUROPE/enh_{BROKEN}.png", b"no image")], "path string, content binary")
+    write_files(images.unionByName(masks).drop("cells").unionByName(broken), root)
     return root
 
 
-@query(f"WITH {_IMAGES} SELECT c AS tumor_type, CAST(k AS INTEGER) AS source_id, CASE WHEN k IN (3, 8) THEN 'missing_mask' ELSE 'paired' END AS status FROM n UNION ALL SELECT 'EUROPE', 99, 'missing_mask'")
+@query(f"WITH {_IMAGES} SELECT c AS tumor_type, CAST(k AS INTEGER) AS source_id, CASE WHEN k IN (3, 8) THEN 'missing_mask' ELSE 'paired' END AS status FROM n UNION ALL SELECT 'EUROPE', 999999, 'missing_mask'")
 def class_file_pairs(spark, sf_dir):
     found = files.parse_class_files(files.inventory(spark, _folder(spark, sf_dir), "*.png", content=False)).select("tumor_type", "source_id", "is_mask")
     return audit.pair_up(found.where("not is_mask").drop("is_mask"), found.where("is_mask").drop("is_mask"), ["tumor_type", "source_id"])
@@ -214,7 +218,7 @@ def class_file_pairs(spark, sf_dir):
 _TOTAL = ", ".join(f"CAST(list_sum({c}) AS BIGINT) AS {c}" for c in ("red", "green", "blue"))
 
 
-@query(f"WITH {_IMAGES} SELECT CAST(k AS INTEGER) AS source_id, 4 AS width, 3 AS height, {_TOTAL}, CAST(list_sum(list_transform(range(1, 13), lambda i: (299 * red[i] + 587 * green[i] + 114 * blue[i] + 500) // 1000)) AS BIGINT) AS luma, list_sum(green) / 12 AS green_mean FROM px UNION ALL SELECT 99, -1, -1, 0, 0, 0, 0, NULL")
+@query(f"WITH {_IMAGES} SELECT CAST(k AS INTEGER) AS source_id, 4 AS width, 3 AS height, {_TOTAL}, CAST(list_sum(list_transform(range(1, 13), lambda i: (299 * red[i] + 587 * green[i] + 114 * blue[i] + 500) // 1000)) AS BIGINT) AS luma, list_sum(green) / 12 AS green_mean FROM px UNION ALL SELECT 999999, -1, -1, 0, 0, 0, 0, NULL")
 def decoded_images(spark, sf_dir):
     """Sums of the channels and of the luma of decoded colour images; a file that can't be decoded has width -1."""
     from quern.operators import images, rasters
@@ -241,21 +245,21 @@ def decoded_masks(spark, sf_dir):
     )
 
 
-@query("SELECT CAST(n_nationkey AS INTEGER) AS source_id, CASE WHEN n_nationkey % 7 = 0 THEN 'missing_file' ELSE 'digest_differs' END AS problem FROM nation WHERE n_nationkey % 7 = 0 OR n_nationkey % 5 = 0")
+@query("SELECT CAST(s_suppkey AS INTEGER) AS source_id, CASE WHEN s_suppkey % 7 = 0 THEN 'missing_file' ELSE 'digest_differs' END AS problem FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0")
 def verified_files(spark, sf_dir):
     """A manifest whose rows name a file that isn't there (every seventh) or another digest (every fifth)."""
-    found = files.parse_class_files(files.inventory(spark, _folder(spark, sf_dir), "*.png")).where("not is_mask and source_id < 99")
+    found = files.parse_class_files(files.inventory(spark, _folder(spark, sf_dir), "*.png")).where(~F.col("is_mask") & (F.col("source_id") < BROKEN))
     named = found.select("source_id", F.when(F.col("source_id") % 7 == 0, F.concat("path", F.lit("x"))).otherwise(F.col("path")).alias("path"), F.when(F.col("source_id") % 5 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
     return audit.verify_files(named, found).select("source_id", "problem")
 
 
-@query("SELECT 'P' || n_regionkey AS patient, CASE WHEN n_nationkey % 6 = 0 THEN 0 ELSE CAST(n_nationkey AS INTEGER) END AS slice, n_nationkey % 2 = 1 AS is_mask FROM nation")
+@query("SELECT 'P' || (s_nationkey % 5) AS patient, CASE WHEN s_suppkey % 6 = 0 THEN 0 ELSE CAST(s_suppkey AS INTEGER) END AS slice, s_suppkey % 2 = 1 AS is_mask FROM supplier")
 def slice_files(spark, sf_dir):
     """Slice numbers from file names; 0 where the name has none."""
-    root = new_path(spark, "slices")
-    for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():
-        number = "x" if r["n_nationkey"] % 6 == 0 else str(r["n_nationkey"])
-        put(spark, f"{root}/P{r['n_regionkey']}/s{r['n_nationkey']}_{number}{'_mask' if r['n_nationkey'] % 2 else ''}.tif", b"-")
+    root, k = new_path(spark, "slices"), F.col("s_suppkey")
+    number = F.when(k % 6 == 0, "x").otherwise(k.cast("string"))
+    name = F.concat(F.lit("P"), F.col("s_nationkey") % 5, F.lit("/s"), k, F.lit("_"), number, F.when(k % 2 == 1, "_mask").otherwise(""), F.lit(".tif"))
+    write_files(read(spark, sf_dir, "supplier").select(name.alias("path"), F.lit(b"-").alias("content")), root)
     return files.parse_slice_files(files.inventory(spark, root, "*.tif", content=False)).select("patient", "slice", "is_mask")
 
 
@@ -322,44 +326,6 @@ def ragged_csv(spark, sf_dir):
 
 # ---- configurations -------------------------------------------------------------------------------------------------------
 
-_GOOD = {
-    "project": {"name": "run", "seed": 42, "output_dir": "runs/run_seed42"},
-    "data": {"split_ratios": {"train": 0.7, "val": 0.15, "test": 0.15}, "image_size": [256, 256], "channel_mode": "flair_green", "positive_sampling_fraction": 0.4},
-    "model": {"name": "unet", "in_channels": 1, "out_channels": 1}, "loss": {}, "optimizer": {}, "scheduler": {}, "training": {}, "metrics": {"threshold": 0.5}, "evaluation": {"max_saved_predictions": None},
-}
-_VARIANTS = [
-    ("good", {}), ("ratios", {"data": {"split_ratios": {"train": 0.9, "val": 0.2, "test": 0.1}}}), ("size", {"data": {"image_size": [250, 256]}}), ("mode", {"data": {"channel_mode": "green"}}),
-    ("channels", {"data": {"channel_mode": "rgb_multimodal"}}), ("resnet", {"data": {"image_size": [48, 48]}, "model": {"encoder": "resnet34"}}), ("threshold", {"metrics": {"threshold": 1.0}}), ("cap", {"evaluation": {"max_saved_predictions": 0}}),
-]
-
-
-def _variants():
-    return [(name, {s: {**values, **change.get(s, {})} for s, values in _GOOD.items()}) for name, change in _VARIANTS]
-
-
-@query("""SELECT * FROM (VALUES ('ratios', 'data.split_ratios must sum to 1'), ('size', 'data.image_size must be divisible by 16'), ('mode', 'data.channel_mode must be one of grayscale, flair_green, rgb_multimodal'), ('channels', 'model.in_channels must be 3'),
-  ('resnet', 'data.image_size must be divisible by 32'), ('threshold', 'metrics.threshold must lie between 0 and 1'), ('cap', 'evaluation.max_saved_predictions must be positive or null')) v(variant, problem)""")
-def config_problems(spark, sf_dir):
-    """Configurations written out, as JSON, which YAML includes, and loaded again, with the rules that they break."""
-    rows = []
-    for name, value in _variants():
-        path = f"{new_path(spark, 'config')}/{name}.yaml"
-        put(spark, path, json.dumps(value).encode())
-        rows += [(name, p) for p in config.problems(config.load_config_text(spark.read.text(path, wholetext=True).first()[0]))]
-    return spark.createDataFrame(rows, "variant string, problem string")
-
-
-@query("SELECT 'seed_and_folder' AS pair, TRUE AS comparable, 'seed: 7' AS derived UNION ALL SELECT 'threshold', FALSE, 'seed: 7'")
-def config_comparison(spark, sf_dir):
-    """Runs whose configurations differ in seed and folder only are comparable; a seed's configuration is derived from another's text."""
-    first = dict(_variants()[0][1])
-    other = {**first, "project": {"name": "run", "seed": 7, "output_dir": "elsewhere"}, "_path": "x"}
-    third = {**other, "metrics": {"threshold": 0.4}}
-    derived = [x.strip() for x in config.seed_config("project:\n  seed: 42\n", 7).splitlines() if "seed" in x][0]
-    digest = config.comparable_digest
-    return spark.createDataFrame([("seed_and_folder", digest(first) == digest(other), derived), ("threshold", digest(first) == digest(third), derived)], "pair string, comparable boolean, derived string")
-
-
 _CHECKED = """c AS (SELECT p_partkey AS k, p_size * 8 AS width, p_size / 50.0 AS threshold, ['grayscale', 'flair_green', 'rgb_multimodal', 'green'][p_partkey % 4 + 1] AS mode, CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 1 END AS channels, p_partkey % 7 = 0 AS short FROM part)"""
 
 
@@ -377,13 +343,13 @@ def _config_texts(spark, sf_dir):
 @query(f"""WITH {_CHECKED}, p AS (SELECT k, unnest([CASE WHEN width % 16 <> 0 THEN 'data.image_size must be divisible by 16' END, CASE WHEN mode = 'green' THEN 'data.channel_mode must be one of grayscale, flair_green, rgb_multimodal' END,
     CASE WHEN mode = 'rgb_multimodal' AND channels <> 3 THEN 'model.in_channels must be 3' WHEN mode IN ('grayscale', 'flair_green') AND channels <> 1 THEN 'model.in_channels must be 1' END,
     CASE WHEN threshold >= 1 THEN 'metrics.threshold must lie between 0 and 1' END, CASE WHEN short THEN 'section loss is missing' END]) AS problem FROM c) SELECT k, problem FROM p WHERE problem IS NOT NULL""")
-def config_checks(spark, sf_dir):
+def config_problems(spark, sf_dir):
     """The rules that each of many configurations breaks, read from their texts."""
     return config.text_problems(_config_texts(spark, sf_dir), "k")
 
 
 @query(f"WITH {_CHECKED} SELECT width, mode, channels, short, count(*) AS runs FROM c GROUP BY ALL")
-def config_groups(spark, sf_dir):
+def config_comparison(spark, sf_dir):
     """Runs with comparable configurations, which differ in seed, folder and internal keys only."""
     k = F.col("k")
     mode = F.element_at(F.array(*[F.lit(m) for m in ("grayscale", "flair_green", "rgb_multimodal", "green")]), (k % 4 + 1).cast("int"))
