@@ -51,6 +51,36 @@ def test_vectors_of_several_lengths_search_their_own(spark):
     assert {r.query_id for r in got} == {0, 20, 40, 60} and all(length[r.query_id] == length[r.vec_id] != 0 and r.vec_id != r.query_id for r in got)
 
 
+def test_recall_at_the_default_depth(spark):
+    """More vectors than a block holds, in clusters, a tenth of them copies of one vector."""
+    rng = np.random.default_rng(4)
+    n, d = 40_000, 24
+    x = rng.normal(size=(n, d)) + 2 * rng.normal(size=(50, d))[rng.integers(0, 50, n)]
+    x[rng.choice(n, n // 10, replace=False)] = x[7]
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    assert n > ann.BLOCK and ann.RERANK < n // 10
+    asked = np.arange(0, n, 800)
+    got = {}
+    for r in ann.search(frame, frame.where("vec_id % 800 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = [np.lexsort((np.arange(n), -row.round(9)))[:20] for row in scores]
+    assert np.mean([len(got[q] & set(w.tolist())) / 20 for q, w in zip(asked.tolist(), want)]) >= 0.98
+
+
+def test_queries_of_any_number_of_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=1 + k % 130).tolist()) for k in range(520)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "MOST_SENT_QUERIES", 0)
+    got = ann.search(frame, frame.where("vec_id < 130"), k=2).collect()
+    for r in got:
+        scores = sorted(((-sum(a * b for a, b in zip(rows[r.query_id][1], v)), k) for k, v in rows if len(v) == len(rows[r.query_id][1]) and k != r.query_id))
+        assert r.vec_id == scores[r["rank"] - 1][1]
+    assert len(got) == 260
+
+
 def test_anisotropic_codes_shrink_parallel_error():
     x = np.random.default_rng(2).normal(size=(600, 8))
     book = ann.fit(x)
