@@ -340,16 +340,17 @@ def deduplicate_all(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # About 6 characters a word, and a fingerprint for each four.
     index = FingerprintIndex(spark, buckets=buckets_for((n["n"] or 0) // 24, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout=2)
     removed = None
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        history = docs.where(F.col("doc_id") <= low) if low is not None else None
-        batch = docs.where(F.col("doc_id") > low) if low is not None else docs
-        found = find_repeats(batch.where(F.col("doc_id") <= high) if high is not None else batch, index, history)
-        # Documents of history are read again for their windows; what they lose was found before.
-        found = found.where(F.col("doc_id") > low) if low is not None else found
-        removed = found if removed is None else removed.unionByName(found)
-    out = cut(docs, table(removed, "all_removed"))
-    index.remove()
-    return out
+    try:
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            history = docs.where(F.col("doc_id") <= low) if low is not None else None
+            batch = docs.where(F.col("doc_id") > low) if low is not None else docs
+            found = find_repeats(batch.where(F.col("doc_id") <= high) if high is not None else batch, index, history)
+            # Documents of history are read again for their windows; what they lose was found before.
+            found = found.where(F.col("doc_id") > low) if low is not None else found
+            removed = found if removed is None else removed.unionByName(found)
+        return cut(docs, table(removed, "all_removed"))
+    finally:
+        index.remove()
 
 
 def _except(docs: DataFrame, ids: DataFrame) -> DataFrame:
