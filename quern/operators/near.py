@@ -120,9 +120,8 @@ def _best(scored: DataFrame, correlation: float) -> DataFrame:
     return kept.select("a", "b", F.element_at(names, F.col("x.o") + 1).alias("transform"), F.col("x.d").alias("distance"), F.col("x.r").alias("correlation"), F.col("x.iou").alias("mask_iou"))
 
 
-def _near_representatives(images: DataFrame, members: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> DataFrame:
-    only = images.join(members.where("k = rep").select(F.col("k").alias("_rep")), F.col(key) == F.col("_rep"), "left_semi")
-    rows = hashed(only, key, cells, size, orientations, block, least)
+def _near_representatives(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> DataFrame:
+    rows = hashed(images, key, cells, size, orientations, block, least)
     back = F.element_at(F.array(*[F.lit(ORIENTATIONS.index(INVERSE[n])) for n in ORIENTATIONS]), F.col("o") + 1)
     found = _within(rows, rows, distance, block, True)
     ahead = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(back).alias("o"), "d")
@@ -130,11 +129,14 @@ def _near_representatives(images: DataFrame, members: DataFrame, key: str, cells
     return _best(_measured(near, rows, rows, size), least)
 
 
-def _found(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """The classes (k, rep) of the rasters that can be near any, and the near pairs of representatives."""
+def _found(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> tuple[DataFrame | None, DataFrame]:
+    """The classes (k, rep) of the rasters that can be near any, None if each is its own, and the near pairs of representatives."""
     varied = images.where(F.array_min(cells) < F.array_max(cells)) if least > 0 else images
     members = table(classes(varied, key, cells, block), "classes")
-    return members, _near_representatives(varied, members, key, cells, size, distance, least, block, orientations)
+    if members.where("k <> rep").isEmpty():
+        return None, _near_representatives(varied, key, cells, size, distance, least, block, orientations)
+    only = varied.join(members.where("k = rep").select(F.col("k").alias("_rep")), F.col(key) == F.col("_rep"), "left_semi")
+    return members, _near_representatives(only, key, cells, size, distance, least, block, orientations)
 
 
 def _copies(pairs: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def near_links(images: DataFrame, key: str, cells: str, size: int, distance: int
     The links connect what :func:`near_pairs` connects, and hold every pair of different rasters.
     """
     members, pairs = _found(images, key, cells, size, distance, correlation, block, orientations)
-    return pairs.unionByName(_copies(members.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))))
+    return pairs if members is None else pairs.unionByName(_copies(members.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))))
 
 
 def near_pairs(images: DataFrame, key: str, cells: str, size: int, distance: int, correlation: float, block: tuple[str, ...] = (), orientations: tuple[str, ...] = ORIENTATIONS) -> DataFrame:
@@ -159,7 +161,7 @@ def near_pairs(images: DataFrame, key: str, cells: str, size: int, distance: int
     found as one and written out in the end: n copies are n (n - 1) / 2 pairs, where :func:`near_links` has n - 1.
     """
     members, pairs = _found(images, key, cells, size, distance, correlation, block, orientations)
-    if members.where("k <> rep").isEmpty():
+    if members is None:
         return pairs
     back = F.element_at(F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair]), F.col("transform"))
     of = lambda end: members.select(F.col("rep").alias(end), F.col("k").alias(f"_{end}"))
