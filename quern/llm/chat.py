@@ -98,7 +98,8 @@ def format_conversations(turns: DataFrame, template: Template = MARKED, session_
     is declared free of history, ``session_turns`` cuts conversations into sessions of so many turns, with a row for each.
 
     ``turns`` has conv_id, turn, role and text.  Null role or text is empty; null turns come first; equal turns are ordered
-    by role and text, and all are kept; a null conv_id is one conversation.  Rows are dealt by conversation and sorted, and
+    by role and text, and all are kept; a null conv_id is one conversation.  Texts are rendered whole, so a conversation with
+    its renderings must fit into a task, and an output below Arrow's 2 GiB a value; batches of them are bounded by bytes.  Rows are dealt by conversation and sorted, and
     each task reads them as a stream, a conversation at a time; its sessions follow one another.
     """
     if session_turns is not None and not template.history_free:

@@ -313,6 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null text and text without words have no shingles and are linked with nothing, not even with one another.  Equal texts
     are one node from the start.  Rows that repeat a doc_id stay rows of their own, each with its text's result.
+    Texts are read whole, however long: one text's shingles (8 bytes a word) must fit into a task.
     A row without a doc_id links nothing; it has its text's result if another row has the same text, else 0 shingles and a null component.
     """
     by_text, of_text = _joined(docs.select(F.col("doc_id").cast("long"), "text"))

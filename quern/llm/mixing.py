@@ -65,7 +65,7 @@ def plan_mix(docs: DataFrame, limit: float = 3.0) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``.
 
     Null text has size 0; a source without words has target 0 and no copies; a null source is one more source; repeated
-    ids get the same draw.  Columns of ``docs`` with one of these names are replaced.  The table by source is small
+    ids get the same draw; of seeds that miss a target equally the lowest is used; an empty table stays empty.  Columns of ``docs`` with one of these names are replaced.  The table by source is small
     (one row each with ``SEEDS`` sums), and Spark chooses how to join it back.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies", "_s", "_seed", "_below")

@@ -121,6 +121,9 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with measures, ``base_failed``, ``failed_rules`` (names) and ``kept``.
 
     A document fails the base with fewer than 50 words or if over half of its words are repeated; the rules judge the rest.
+    A bound that is met exactly passes.  Null and empty texts have no words, and fail; texts are read whole, however long.
+    Repeated rows are judged alike, and an empty table stays empty.  Columns with the names of results are replaced, and
+    columns named by an underscore and one letter, which the measures use, are left out.
     """
     measured = measure(docs.drop("base_failed", "failed_rules", "kept"))
     base = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEATED_PERCENT * F.col("n_words"))

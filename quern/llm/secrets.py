@@ -259,7 +259,8 @@ def scan(docs: DataFrame, votes: str | None = None, threshold: float = 0.5) -> D
 def findings(docs: DataFrame, votes: str | None = None) -> DataFrame:
     """One row for each candidate: doc_id, nth (from 0), value, key, p_secret and is_secret.
 
-    Repeated rows give their findings as often as they occur; documents without candidates give none.
+    Half of the votes or more make a secret.  Repeated rows give their findings as often as they occur; documents without
+    candidates, null and empty texts give none; texts are read whole, however long; other columns don't matter.
     """
     scanned = scan(docs.select("doc_id", "text"), votes)
     return scanned.select("doc_id", F.posexplode("findings").alias("nth", "x")).select("doc_id", "nth", "x.value", "x.key", "x.p_secret", "x.is_secret")

@@ -323,7 +323,8 @@ def deduplicate(batch: DataFrame, index: FingerprintIndex, history: DataFrame |
     A word goes if a 13-word window over it also starts in a document with a smaller doc_id, of this batch or of
     ``history``, the documents that the index was built from; a larger doc_id in history removes nothing, and history
     itself isn't cut again.  Null text has no words.  Rows that repeat a doc_id never remove one another's words, and each
-    loses what its own text shares with smaller documents; a row without a doc_id loses no words and removes none.
+    loses what its own text shares with smaller documents; a row without a doc_id loses no words and removes none.  A text
+    is read whole; with its words and the hashes of its windows it must fit into a task (about 100 bytes a word).
     """
     return cut(batch, find_repeats(batch, index, history))
 

@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Chai
     """Fit the chain low_quality, toxic: the last model sees how poor a text is thought to be, and its probability decides.
 
     Without toxic or without other labelled texts the chain finds nothing toxic; without quality labels the first model
-    knows nothing and says one half.
+    knows nothing and says one half.  A fit that doesn't reach its optimum raises.
     """
     sample = labelled_sample(docs, labels, most)
     kinds = sample.select(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b")).first()

@@ -113,7 +113,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     """``pages`` with host, path, rule and verdict (allow or block).
 
     ``redirects`` may hold further (src, dst) URLs.  Null urls and urls without ``://`` have empty host and path, no rule
-    and no aliases.  Null html has no links; whole pages are read, however long.  Repeated rows are judged alike, and an empty
+    and no aliases.  Null html has no links; whole pages are read, however long, and equal links count once.  Repeated rows are judged alike, and an empty
     table stays empty.  Columns of ``pages`` with one of the new names are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "_node", "_own")
