@@ -28,6 +28,18 @@ _OP4 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embedd
   s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.x, b.x) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
 
+_OP5 = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_transform({_W}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.id = w.doc_id"""
+
+#: Characters that the template's escapes add to a text.
+_ESCAPES = " + ".join(rf"(length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)}" for c in ("\\", "<|", "</s>", "[INST]", "[/INST]"))
+_OP9 = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(24 + length(role) + length(text) + {_ESCAPES.format(x='role')} + {_ESCAPES.format(x='text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+
 _HOST = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -92,9 +104,11 @@ _OP12 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), g
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2,
     "op4_approximate_neighbours": _OP4,
+    "op5_ngram_jaccard_join": _OP5,
     "op6_url_filter": _OP6,
     "op7_substring_dedup": _OP7,
     "op8_mixing": _OP8,
+    "op9_chat_formatting": _OP9,
     "op11_spelling_variants": _OP11,
     "op12_exact_dedup": _OP12,
 }
