@@ -26,12 +26,12 @@ from quern.storage import checkpoint, table
 LENGTH = 4096
 END_ID = 2
 #: Text bytes that one Arrow batch of tokenized rows is built from, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: Partitions up to which their offsets are sent to all tasks; more are joined by shuffle.
 MOST_SENT_PARTITIONS = 1_000_000
 #: Words and other chunks that an encoder remembers in each of two tables (about 150 bytes an entry); it bounds memory only.
-MOST_WORDS = 100_000
+MOST_WORDS = 60_000
 #: Characters up to which a word is given to the merges directly.
 LONGEST_WORD = 100
 #: Punctuation that may follow a word; it is a piece of its own, and belongs to no special token or contraction.
