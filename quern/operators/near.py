@@ -30,21 +30,25 @@ def _digest(m: np.ndarray) -> np.ndarray:
     return np.array([np.frombuffer(hashlib.blake2b(np.ascontiguousarray(row, np.float64).tobytes(), digest_size=16).digest(), np.int64) for row in m]).reshape(len(m), 2)
 
 
+def _classes(rows: DataFrame, block: tuple[str, ...]) -> DataFrame:
+    """k and rep of rows of k, block and _digest (of their cells)."""
+    first = checkpoint(rows.groupBy(*block, "_digest").agg(F.min("k").alias("rep")).withColumnsRenamed({c: f"_first_{c}" for c in (*block, "_digest")}))
+    return rows.join(first, [F.col(c).eqNullSafe(F.col(f"_first_{c}")) for c in (*block, "_digest")]).select("k", "rep")
+
+
 def classes(images: DataFrame, key: str, cells: str, block: tuple[str, ...] = ()) -> DataFrame:
     """k and rep of every raster with a key: the smallest key of those with the same cells (by a digest of 128 bits) and block."""
-    rows = images.select(F.col(key).alias("k"), *block, kernel(_digest, "array<bigint>", None, F.col(cells)).alias("_c")).where("k is not null and _c is not null")
-    rows = table(rows, "digests")
-    first = checkpoint(rows.groupBy(*block, "_c").agg(F.min("k").alias("rep")).withColumnsRenamed({c: f"_r{c}" for c in (*block, "_c")}))
-    return rows.join(first, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*block, "_c")]).select("k", "rep")
+    rows = images.select(F.col(key).alias("k"), *block, kernel(_digest, "array<bigint>", None, F.col(cells)).alias("_digest")).where("k is not null and _digest is not null")
+    return _classes(table(rows, "digests"), block)
 
 
 def hashed(images: DataFrame, key: str, cells: str, size: int, orientations: tuple[str, ...] = ("identity",), block: tuple[str, ...] = (), least_correlation: float = 0.0) -> DataFrame:
-    """k, the block columns, c (cells) and hs (orientation, hash) of the images, written once."""
+    """k, the block columns, c (cells), _digest (theirs) and hs (orientation, hash) of the images, written once."""
     rows = images.select(F.col(key).alias("k"), *block, F.col(cells).alias("c")).where("k is not null and c is not null")
     if least_correlation > 0:
         rows = rows.where(F.array_min("c") < F.array_max("c"))
     turned = F.array(*[F.struct(F.lit(ORIENTATIONS.index(name)).alias("o"), sampled_hash(F.col("c"), size, name).alias("h")) for name in orientations])
-    return table(rows.withColumn("hs", turned), "hashed")
+    return table(rows.withColumns({"_digest": kernel(_digest, "array<bigint>", None, F.col("c")), "hs": turned}), "hashed")
 
 
 def bands_for(rows: int, distance: int) -> tuple[int, int] | None:
@@ -120,23 +124,18 @@ def _best(scored: DataFrame, correlation: float) -> DataFrame:
     return kept.select("a", "b", F.element_at(names, F.col("x.o") + 1).alias("transform"), F.col("x.d").alias("distance"), F.col("x.r").alias("correlation"), F.col("x.iou").alias("mask_iou"))
 
 
-def _near_representatives(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> DataFrame:
-    rows = hashed(images, key, cells, size, orientations, block, least)
+def _found(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> tuple[DataFrame | None, DataFrame]:
+    """The classes (k, rep) of the rasters that can be near any, None if each is its own, and the near pairs of representatives."""
+    rows, members = hashed(images, key, cells, size, orientations, block, least), None
+    digests = rows.select("k", *block, "_digest")
+    if digests.count() > digests.select(*block, "_digest").distinct().count():
+        members = table(_classes(digests, block), "classes")
+        rows = table(rows.join(members.where("k = rep").select("k"), "k", "left_semi"), "representatives")
     back = F.element_at(F.array(*[F.lit(ORIENTATIONS.index(INVERSE[n])) for n in ORIENTATIONS]), F.col("o") + 1)
     found = _within(rows, rows, distance, block, True)
     ahead = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("o")).otherwise(back).alias("o"), "d")
     near = ahead.groupBy("x", "y", "o").agg(F.min("d").alias("d")).withColumnsRenamed({"x": "a", "y": "b"})
-    return _best(_measured(near, rows, rows, size), least)
-
-
-def _found(images: DataFrame, key: str, cells: str, size: int, distance: int, least: float, block: tuple[str, ...], orientations: tuple[str, ...]) -> tuple[DataFrame | None, DataFrame]:
-    """The classes (k, rep) of the rasters that can be near any, None if each is its own, and the near pairs of representatives."""
-    varied = images.where(F.array_min(cells) < F.array_max(cells)) if least > 0 else images
-    members = table(classes(varied, key, cells, block), "classes")
-    if members.where("k <> rep").isEmpty():
-        return None, _near_representatives(varied, key, cells, size, distance, least, block, orientations)
-    only = varied.join(members.where("k = rep").select(F.col("k").alias("_rep")), F.col(key) == F.col("_rep"), "left_semi")
-    return members, _near_representatives(only, key, cells, size, distance, least, block, orientations)
+    return members, _best(_measured(near, rows, rows, size), least)
 
 
 def _copies(pairs: DataFrame) -> DataFrame:
