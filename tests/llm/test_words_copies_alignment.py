@@ -75,10 +75,12 @@ def test_variants_match_a_loop(spark):
     rows += [(None, "Aaaaaa " * 7), (7, rows[3][1]), (8, None), (9, ""), (10, "퟿×÷" * 9 + " " + "q" * 100_000), (11, " ".join(["q" * 100_000] * 5))]
     rows += [(20 + k, "Chainword " * 50 + "chainwords " * 8 + "chainwordsy") for k in range(6)]
     docs = spark.createDataFrame([(*r, *OTHERS) for r in rows], SCHEMA).repartition(5)
+    chained = False
     for damaged in (spelling.DAMAGED, 3):
         got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variants(docs, damaged=damaged).collect()}
         assert got == variants_by_loop(rows, damaged) and len(got) > 100
-    assert any(root not in (w, form) for w, (form, root, *_) in got.items())
+        chained |= any(root not in (w, form) for w, (form, root, *_) in got.items())
+    assert chained
     assert spelling.variants(docs.limit(0)).collect() == []
 
 
