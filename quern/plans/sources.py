@@ -359,6 +359,14 @@ def config_comparison(spark, sf_dir):
     return rows.groupBy("digest").agg(*[first(c).alias(c) for c in ("width", "mode", "channels", "short")], F.count("*").alias("runs")).drop("digest")
 
 
+@query("SELECT p_partkey AS k, 'project:' || chr(10) || '  name: p' || p_partkey || chr(10) || '  seed: ' || p_size || chr(10) || 'model:' || chr(10) || '  width: 7' AS value FROM part")
+def seed_configs(spark, sf_dir):
+    """Each part's configuration with its size for a seed."""
+    text = F.concat(F.lit("project:\n  name: p"), "p_partkey", F.lit("\n  seed: 42\nmodel:\n  width: 7"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size", text.alias("value"))
+    return config.seed_texts(rows, F.col("p_size")).select("k", "value")
+
+
 @query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN substr(sha256(text), 1, 1) <= '9' THEN 'train' WHEN substr(sha256(text), 1, 1) <= 'c' THEN 'val' ELSE 'test' END AS split FROM documents) WHERE split IN ('train', 'val') GROUP BY split")
 def development_samples(spark, sf_dir):
     rows = manifest(spark, sf_dir)

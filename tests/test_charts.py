@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import audit, confusion
@@ -102,6 +103,15 @@ def test_configurations_in_a_table(spark):
     assert digests[1] == digests[5] != digests[2]
 
 
+def test_seeds_of_configurations_in_a_table(spark):
+    good = "project:\n  seed: 42  \n  seeds: 1\nx:\n  other_seed: 5\n"
+    frame = spark.createDataFrame([(7, good)], "s int, value string")
+    assert config.seed_texts(frame, F.col("s")).first().value == config.seed_config(good, 7)
+    for bad in ("a: 1\n", good + good):
+        with pytest.raises(Exception, match="exactly one"):
+            config.seed_texts(spark.createDataFrame([(7, bad)], "s int, value string"), F.col("s")).collect()
+
+
 def test_every_point_is_drawn_once_whatever_the_weights(spark):
     rng = random.Random(7)
     frame = spark.createDataFrame([(k, rng.choice([0.0, 1e-9, rng.random(), 1e3 * rng.random()])) for k in range(3000)], "k int, w double").repartition(5)
