@@ -157,6 +157,22 @@ def test_each_config_rule_fails_alone():
         config.validate({})
 
 
+def test_many_configs_are_shared_by_tasks_and_read_by_the_c_parser(spark, monkeypatch):
+    yaml = pytest.importorskip("yaml")
+    from quern.plans import sources
+
+    texts = sources._config_texts(spark, "/root/testdata/sf0.001")  # one small file
+    sizes = texts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < texts.count() / 2
+    text = json.dumps(good_config())
+    plain, calls = yaml.safe_load, []
+    monkeypatch.setattr(yaml, "safe_load", lambda t: calls.append(t) or plain(t))
+    assert config.load_config_text(text) == good_config() and (not calls or not yaml.__with_libyaml__)
+    with pytest.raises(yaml.YAMLError):
+        config.load_config_text("a: [1")
+    assert calls == ["a: [1"] or not yaml.__with_libyaml__
+
+
 def test_config_comparison_and_stages():
     assert config.comparable_digest({"seed": 1, "a": {"output_dir": "x", "b": 2}}) == config.comparable_digest({"seed": 2, "a": {"b": 2}, "_path": "y"})
     assert config.without_internal({"_project_root": "x", "a": 1}) == {"a": 1}
