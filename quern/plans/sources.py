@@ -355,7 +355,7 @@ def config_comparison(spark, sf_dir):
     """Runs with comparable configurations, which differ in seed, folder and internal keys only."""
     k = F.col("k")
     mode = F.element_at(F.array(*[F.lit(m) for m in ("grayscale", "flair_green", "rgb_multimodal", "green")]), (k % 4 + 1).cast("int"))
-    told = config.text_digests(_config_texts(spark, sf_dir), "k").join(_config_texts(spark, sf_dir).select("k", "size"), "k")
+    told = config.text_digests(_config_texts(spark, sf_dir), "k", "size")
     first = lambda c: F.min(c)
     rows = told.select("digest", (F.col("size") * 8).alias("width"), mode.alias("mode"), F.when(k % 5 == 0, 3).otherwise(1).alias("channels"), (k % 7 == 0).alias("short"))
     return rows.groupBy("digest").agg(*[first(c).alias(c) for c in ("width", "mode", "channels", "short")], F.count("*").alias("runs")).drop("digest")

@@ -164,6 +164,7 @@ def test_many_configs_are_shared_by_tasks_and_read_by_the_c_parser(spark, monkey
     texts = sources._config_texts(spark, "/root/testdata/sf0.001")  # one small file
     sizes = texts.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < texts.count() / 2
+    assert "Join" not in sources.config_comparison(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     text = json.dumps(good_config())
     plain, calls = yaml.safe_load, []
     monkeypatch.setattr(yaml, "safe_load", lambda t: calls.append(t) or plain(t))
