@@ -48,7 +48,7 @@ def gray_equivalent() -> Column:
 
 def resized_nearest(cells: Column, size: tuple[int, int], target: tuple[int, int]) -> Column:
     """Nearest cells, by cell centres; sizes are (width, height)."""
-    return kernel(lambda m: m[:, nearest_places(size, target)], "array<int>", size[0] * size[1], cells)
+    return kernel(lambda m: np.take(m, nearest_places(size, target), 1), "array<int>", size[0] * size[1], cells, wide=target[0] * target[1])
 
 
 def resized_bilinear(cells: Column, size: tuple[int, int], target: tuple[int, int]) -> Column:
@@ -206,9 +206,14 @@ def sample_places(size: int, orientation: str = "identity") -> np.ndarray:
     return turns(orientation, size)[(ys[:, None] * size + xs).ravel()]
 
 
-def sampled_hash(cells: Column, size: int, orientation: str = "identity") -> Column:
-    """Difference hash of point samples of a square raster as if it were turned: four longs."""
-    return kernel(lambda m: difference_words(m[:, sample_places(size, orientation)]), "array<bigint>", size * size, cells)
+def sampled_hash(cells: Column, size: int, orientation: str = "identity", source: tuple[int, int] | None = None) -> Column:
+    """Difference hash of point samples of a square raster as if it were turned: four longs.
+
+    With ``source``, the cells are a raster of that (width, height), and the hash that of its nearest cells in the square.
+    """
+    n = source[0] * source[1] if source else size * size
+    places = lambda: nearest_places(source, (size, size))[sample_places(size, orientation)] if source else sample_places(size, orientation)
+    return kernel(lambda m: difference_words(np.take(m, places(), 1)), "array<bigint>", n, cells)
 
 
 def resampled_hash(cells: Column, size: tuple[int, int]) -> Column:

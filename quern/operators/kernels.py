@@ -76,11 +76,12 @@ def _packed(parts: list, good: np.ndarray, order: np.ndarray, kind: pa.DataType)
     return pa.ListArray.from_arrays(offsets, pa.array(whole, kind.value_type, safe=False), mask=None if good.all() else pa.array(~good))
 
 
-def kernel(function: Kernel, kind: str, n: int | None, cells: Column | str, *more: Column | str, rasters: int = 1) -> Column:
+def kernel(function: Kernel, kind: str, n: int | None, cells: Column | str, *more: Column | str, rasters: int = 1, wide: int = 0) -> Column:
     """``function`` over rasters of ``n`` cells (None: of any size, those of one size together) as a column of type ``kind``.
 
     The first ``rasters`` columns are rasters (arrays or binary) and reach the function as matrices; the others as arrays
-    with a value for each row, without nulls.
+    with a value for each row, without nulls.  A function that works on more cells of a raster than it is given, as one that
+    enlarges it, names their number in ``wide``.
     """
     returned = _TYPES[kind]
 
@@ -98,7 +99,7 @@ def kernel(function: Kernel, kind: str, n: int | None, cells: Column | str, *mor
         edges = [0, *(np.flatnonzero(np.diff(sizes[rows])) + 1).tolist(), len(rows)]
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             width = int(sizes[rows[i]]) if j > i else 0
-            step = max(1, CHUNK // max(1, width))
+            step = max(1, CHUNK // max(1, width, wide))
             for k in range(i, j, step):
                 own = rows[k : min(k + step, j)]
                 parts.append(np.asarray(function(*[matrix(c, own, width) for c in columns[:rasters]], *[c.take(pa.array(own)).to_numpy(zero_copy_only=False) for c in columns[rasters:]])))

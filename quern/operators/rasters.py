@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.kernels import correlation, kernel, overlap, population_sd, turns
+from quern.operators.kernels import correlation, kernel, nearest_places, overlap, population_sd, turns
 
 ORIENTATIONS = ("identity", "flip_h", "flip_v", "rotate_180", "rotate_90", "rotate_270", "transpose", "anti_transpose")
 INVERSE = {name: name for name in ORIENTATIONS} | {"rotate_90": "rotate_270", "rotate_270": "rotate_90"}
@@ -19,17 +19,26 @@ def permutation(name: str, size: int) -> list[int]:
 
 def turned(cells: Column, name: str, size: int) -> Column:
     """A square raster of whole values in one of ORIENTATIONS."""
-    return kernel(lambda m: m[:, turns(name, size)], "array<int>", size * size, cells)
+    return kernel(lambda m: np.take(m, turns(name, size), 1), "array<int>", size * size, cells)
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def statistics(rasters: DataFrame, cells: str, size: int, foreground: float = 0.0) -> DataFrame:
-    """min, max, mean, population SD, distinct values, foreground cells (over ``foreground``) and their bounding box."""
+def statistics(rasters: DataFrame, cells: str, size: int, foreground: float = 0.0, source: tuple[int, int] | None = None) -> DataFrame:
+    """min, max, mean, population SD, distinct values, foreground cells (over ``foreground``) and their bounding box.
+
+    With ``source``, the cells are rasters of that (width, height), and the statistics those of their nearest cells in the
+    square; a task then holds a few of the large rasters at a time, and none becomes a column.
+    """
     value = F.col(cells)
 
+    def of(measure, kind: str) -> Column:
+        if source is None:
+            return kernel(measure, kind, None, value)
+        return kernel(lambda m: measure(np.take(m, nearest_places(source, (size, size)), 1)), kind, source[0] * source[1], value, wide=size * size)
+
     def box(m: np.ndarray) -> np.ndarray:
         on = (m > foreground).reshape(len(m), -1, size)
         across, down = on.any(1), on.any(2)
@@ -37,14 +46,15 @@ def statistics(rasters: DataFrame, cells: str, size: int, foreground: float = 0.
         edge = lambda x: (x.argmax(1), x.shape[1] - 1 - x[:, ::-1].argmax(1))
         return np.column_stack([on.sum((1, 2)), *(np.where(some, e, -1) for e in (*edge(across), *edge(down)))])
 
-    out = rasters.withColumn("_box", kernel(box, "array<int>", None, value))
+    out = rasters.withColumn("_box", of(box, "array<int>"))
     places = {n: F.get("_box", k) for k, n in enumerate(("foreground", "min_x", "max_x", "min_y", "max_y"))}
+    if source is None:
+        least, most, distinct = F.array_min(value).cast("double"), F.array_max(value).cast("double"), F.size(F.array_distinct(value))
+    else:
+        least, most, distinct = of(lambda m: m.min(1), "double"), of(lambda m: m.max(1), "double"), of(lambda m: [len(np.unique(row)) for row in m], "int")
     return out.withColumns(
-        {
-            "min": F.array_min(value).cast("double"), "max": F.array_max(value).cast("double"), "mean": kernel(lambda m: m.mean(1, dtype=np.float64), "double", None, value),
-            "sd": kernel(population_sd, "double", None, value), "distinct_values": F.size(F.array_distinct(value)), **places,
-        }
-    ).drop("_box")
+        {"min": least, "max": most, "mean": of(lambda m: m.mean(1, dtype=np.float64), "double"), "sd": of(population_sd, "double"), "distinct_values": distinct, **places}
+    ).drop("_box")
 
 
 def mask_iou(a: Column, b: Column, foreground: float = 0.0) -> Column:

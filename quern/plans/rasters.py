@@ -81,9 +81,9 @@ def base(spark, sf_dir):
     source, factor = (i // 512) * 8 + (i % 64) // 8, 17 + (i % 8) * 31 + ((i // 64) % 8) * 57
 
     def grown(m: np.ndarray) -> np.ndarray:
-        return np.floor(np.abs(m) * WHOLE).astype(np.int64)[:, source] * factor // 1000 % 256
+        return (np.take(np.floor(np.abs(m) * WHOLE).astype(np.int64), source, 1) * factor // 1000 % 256).astype(np.int32)
 
-    return embeddings(spark, sf_dir).select("k", kernel(grown, "array<int>", SMALL * SMALL, "c").alias("c"))
+    return embeddings(spark, sf_dir).select("k", kernel(grown, "array<int>", SMALL * SMALL, "c", wide=SIZE * SIZE).alias("c"))
 
 
 def brighter(cells):
@@ -263,8 +263,8 @@ _AT512 = "c[(least(511, (j // 17) * 512 // 16 + 16) // 8) * 64 + least(511, (j %
     list_min(c) AS min, list_max(c) AS max, round(list_sum(c) / 4096, 6) AS mean, CAST(64 * len(list_filter(c, lambda v: v >= 128)) AS INTEGER) AS foreground FROM s""")
 def rasters_512(spark, sf_dir):
     """Hashes and statistics of rasters of 512 x 512 cells, each row's raster at eight times its size."""
-    wide = base(spark, sf_dir).select("k", images.resized_nearest(F.col("c"), (SIZE, SIZE), (512, 512)).alias("c"))
-    found = rasters.statistics(wide.withColumn("bits", images.hash_bits(images.sampled_hash(F.col("c"), 512))), "c", 512, foreground=127)
+    rows = base(spark, sf_dir).withColumn("bits", images.hash_bits(images.sampled_hash(F.col("c"), 512, source=(SIZE, SIZE))))
+    found = rasters.statistics(rows, "c", 512, foreground=127, source=(SIZE, SIZE))
     return found.select("k", "bits", F.col("min").cast("int").alias("min"), F.col("max").cast("int").alias("max"), F.round("mean", 6).alias("mean"), "foreground")
 
 

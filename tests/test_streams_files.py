@@ -143,6 +143,27 @@ def test_large_rasters(spark):
     assert {(r.k, r.foreground, round(r["mean"], 9)) for r in wide} == {(k, int((c > 127).sum()), round(float(c.mean()), 9)) for k, c in enumerate(cells)}
 
 
+def test_enlarged_rasters_are_never_columns(spark, monkeypatch):
+    """Hash and statistics of rasters at eight times their size, a few at a time in a task, as of the enlarged column."""
+    from quern.operators import kernels
+    from quern.plans.rasters import rasters_512
+
+    rng = np.random.default_rng(9)
+    frame = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(rng.integers(0, 256, (3, 64 * 64)))] + [(3, None), (4, [1])], "k int, c array<int>")
+    wide = frame.select("k", images.resized_nearest(F.col("c"), (64, 64), (512, 512)).alias("c"))
+    a = rasters.statistics(frame, "c", 512, 127, source=(64, 64)).select("k", images.sampled_hash(F.col("c"), 512, source=(64, 64)).alias("h"), "min", "max", "mean", "sd", "distinct_values", "foreground", "min_x", "max_y")
+    b = rasters.statistics(wide, "c", 512, 127).select("k", images.sampled_hash(F.col("c"), 512).alias("h"), "min", "max", "mean", "sd", "distinct_values", "foreground", "min_x", "max_y")
+    of = lambda rows: {r["k"]: tuple(r) for r in rows.collect() if r["k"] < 3}
+    assert of(a) == of(b) and a.where("k > 2 and (h is not null or mean is not null)").count() == 0
+    made = []
+    monkeypatch.setattr(images, "resized_nearest", lambda *a: made.append(a))
+    assert rasters_512(spark, "/root/testdata/sf0.001").count() and not made
+    seen = []
+    monkeypatch.setattr(kernels.F, "arrow_udf", lambda f, kind: lambda *c: f)
+    grown = kernels.kernel(lambda m: (seen.append(len(m)), m[:, 0])[1], "int", 4, "c", wide=kernels.CHUNK // 2)
+    assert len(grown(kernels.pa.array([[1, 2, 3, 4]] * 9))) == 9 and max(seen) == 2
+
+
 def test_augmentation_moves_masks_alike_and_noise_leaves_them(spark):
     size = (9, 6)
     rng = random.Random(4)
