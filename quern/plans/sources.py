@@ -93,24 +93,24 @@ _EPOCHS = """e AS (SELECT CAST(event_id % 50 AS INTEGER) AS epoch, value, event_
 
 
 def _history(spark, sf_dir):
-    """Lines of epoch records in the order of event_id, with blank lines between; epochs repeat, as in resumed runs."""
+    """Lines of epoch records in the order of event_id, with blank lines between, in files one after the other; epochs repeat, as in resumed runs."""
     path = new_path(spark, "history")
     line = F.to_json(F.struct((F.col("event_id") % 50).cast("int").alias("epoch"), F.struct(F.col("value").alias("loss"), (F.col("value") / 2).alias("macro_iou")).alias("train"), F.struct((F.col("value") * 2).alias("loss")).alias("val"), (F.col("value") / 4).alias("best_val_metric")))
     rows = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.concat(line, F.lit("\n"))).otherwise(line).alias("value"))
-    rows.repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    rows.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
     return path
 
 
 @query(f"WITH {_EPOCHS} SELECT epoch, round(v, 6) AS train_loss, round(v / 2, 6) AS train_macro_iou, round(v * 2, 6) AS val_loss, round(v / 4, 6) AS best_val_metric FROM h")
 def history_last_wins(spark, sf_dir):
-    flat = tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir)))
+    flat = tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir), parts=True))
     return rounded(flat.select("epoch", "train_loss", "train_macro_iou", "val_loss", "best_val_metric"))
 
 
 @query(f"""WITH {_EPOCHS} SELECT 'loss' AS curve, 'train_loss' AS series, epoch, round(v, 6) AS value FROM h UNION ALL SELECT 'loss', 'val_loss', epoch, round(v * 2, 6) FROM h
   UNION ALL SELECT 'iou', 'train_macro_iou', epoch, round(v / 2, 6) FROM h UNION ALL SELECT 'model_selection', 'best_val_metric', epoch, round(v / 4, 6) FROM h""")
 def curve_series(spark, sf_dir):
-    return rounded(tables.curve_series(tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir)))))
+    return rounded(tables.curve_series(tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir), parts=True))))
 
 
 _X, _Y = "20 + CAST(floor(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0.5 END * 599 + 0.5::DOUBLE) AS INTEGER)", "20 + CAST(floor(CASE WHEN y1 > y0 THEN (y1 - y) / (y1 - y0) ELSE 0.5 END * 359 + 0.5::DOUBLE) AS INTEGER)"
@@ -120,7 +120,7 @@ _X, _Y = "20 + CAST(floor(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0.5 E
   r AS (SELECT chart, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY chart) SELECT chart, series, {_X} AS px, {_Y} AS py, true AS drawn FROM p JOIN r USING (chart)""")
 def curve_charts(spark, sf_dir):
     """The curves of a history as files, decoded again: whether there is colour where each point lies."""
-    series = tables.curve_series(tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir))))
+    series = tables.curve_series(tables.flatten_epochs(tables.read_history(spark, _history(spark, sf_dir), parts=True)))
     points = series.select(F.col("curve").alias("chart"), "series", F.col("epoch").alias("x"), F.col("value").alias("y"))
     root = new_path(spark, "charts")
     write_files(charts.line_charts(points), root)

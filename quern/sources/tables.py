@@ -82,11 +82,15 @@ def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return _objects(spark.read.text(path).where(F.regexp_replace("value", _BEFORE, "") != ""), schema)
 
 
-def read_history(spark: SparkSession, path: str, schema=EPOCH_RECORD) -> DataFrame:
-    """Epoch records; of lines with the same epoch the last of the file wins."""
+def read_history(spark: SparkSession, path: str, schema=EPOCH_RECORD, parts: bool = False) -> DataFrame:
+    """Epoch records; of lines with the same epoch the last of the file wins.
+
+    With ``parts`` the files of the folder are one log in the order of their names, as several tasks write it.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(F.trim("value") != "")
     records = lines.withColumn("r", F.from_json("value", schema, {"mode": "FAILFAST"}))
-    return records.groupBy("file", F.col("r.epoch").alias("_e")).agg(F.max_by("r", "line").alias("r")).select("r.*")
+    keys, place = ([], F.struct("file", "line")) if parts else (["file"], F.col("line"))
+    return records.groupBy(*keys, F.col("r.epoch").alias("_e")).agg(F.max_by("r", place).alias("r")).select("r.*")
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:

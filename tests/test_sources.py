@@ -137,6 +137,26 @@ CONFIG_FAULTS = [
 ]
 
 
+def test_a_history_in_parts_is_one_log(spark, tmp_path):
+    line = lambda epoch, v: json.dumps({"epoch": epoch, "train": {"loss": v, "macro_iou": v}, "val": {"loss": v}, "best_val_metric": v})
+    (tmp_path / "part-00000").write_text(line(1, 9.0) + "\n" + line(2, 8.0) + "\n" * 9 + line(1, 7.0) + "\n" + line(3, 5.0) + "\n")
+    (tmp_path / "part-00001").write_text("\n" + line(2, 1.0) + "\n")
+    found = tables.flatten_epochs(tables.read_history(spark, str(tmp_path), parts=True)).collect()
+    assert sorted((r["epoch"], r["train_loss"]) for r in found) == [(1, 7.0), (2, 1.0), (3, 5.0)]
+    assert tables.read_history(spark, str(tmp_path)).count() == 4  # of two files, each has its own last epoch 2
+
+
+def test_a_history_is_written_by_several_tasks(spark):
+    from quern.plans import sources
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        epochs = spark.read.text(sources._history(spark, "/root/testdata/sf0.01")).select(F.col("_metadata.file_path").alias("file"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert epochs.distinct().count() > 1
+
+
 def test_each_config_rule_fails_alone():
     assert config.problems(good_config()) == []
     for section, key, value, message in CONFIG_FAULTS:
