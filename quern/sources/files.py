@@ -50,9 +50,14 @@ def relative_path(path: Column, prefix: str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "(?i)^" + prefix.rstrip("/") + "/", "")
 
 
+#: Tasks a core that read a folder of images at most; Spark would have one for every few dozen files, however small.
+READERS = 16
+
+
 def read_images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Decoded images: path, width, height, channels and bytes; undecodable files have width -1."""
     rows = spark.read.format("image").option("recursiveFileLookup", recursive).load(root).select("image.*")
+    rows = rows.coalesce(READERS * spark.sparkContext.defaultParallelism)
     return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), F.col("data").alias("bytes"))
 
 

@@ -177,6 +177,16 @@ def test_each_config_rule_fails_alone():
         config.validate({})
 
 
+def test_many_small_images_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    from quern.sources.png import encode
+
+    for k in range(260):
+        (tmp_path / f"{k}.png").write_bytes(encode(bytes([k % 256]), 1, 1))
+    monkeypatch.setattr(files, "READERS", 1)
+    rows = files.read_images(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and rows.where("width = 1").count() == 260
+
+
 def test_many_configs_are_shared_by_tasks_and_read_by_the_c_parser(spark, monkeypatch):
     yaml = pytest.importorskip("yaml")
     from quern.plans import sources
