@@ -90,14 +90,17 @@ def bootstrap_intervals(differences: DataFrame, value: str, key: str, *groups: s
     kinds = {g: t for g, t in patients.dtypes if g in groups}
     if not known:
         return sizes.withColumns({"low": F.lit(0.0), "high": F.lit(0.0)})
-    lists = F.array(*[F.struct(*[F.lit(r[g]).cast(kinds[g]).alias(g) for g in groups], F.lit(r["n"]).cast("long").alias("_n")) for r in known])
+    sides = [[*[F.lit(r[g]).cast(kinds[g]).alias(g) for g in groups], F.lit(r["n"]).cast("long").alias("_n")] for r in known]
+    # One group needs no row of its own for each draw, and its patients are found by one long.
+    single = len(known) == 1
+    serves = sides[0] if single else [F.inline(F.array(*[F.struct(*side) for side in sides]))]
     most = max(r["n"] for r in known)
     # Rows by number, so that tasks share the draws evenly whatever the numbers of resamples and patients.
-    draws = differences.sparkSession.range(resamples * most).select(F.floor(F.col("id") / most).alias("_i"), (F.col("id") % most + 1).alias("_j"))
-    draws = draws.withColumn("_h", hash_int(F.concat_ws("|", F.lit(seed), "_i", "_j"))).select("_i", "_j", "_h", F.inline(lists)).where("_j <= _n")
+    draws = differences.sparkSession.range(resamples * most).select(F.expr(f"id div {most}").alias("_i"), (F.col("id") % most + 1).alias("_j"))
+    draws = draws.withColumn("_h", hash_int(F.concat_ws("|", F.lit(seed), "_i", "_j"))).select("_i", "_j", "_h", *serves).where("_j <= _n")
     few = patients.limit(MOST_SENT_PATIENTS + 1).count() <= MOST_SENT_PATIENTS
     side = patients.withColumnsRenamed({g: f"_{g}" for g in groups})
-    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("_h") % F.col("_n") == F.col("_p")]
+    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups if not single] + [F.col("_h") % F.col("_n") == F.col("_p")]
     means = draws.join(F.broadcast(side) if few else side, on).groupBy(*groups, "_i").agg((F.sum("_v") / F.first("_n")).alias("m"))
     found = order_statistics(means, "m", [low, high], *groups)
     edges = found.groupBy(*groups).agg(F.max(F.when(F.col("share") == low, F.col("value"))).alias("low"), F.max(F.when(F.col("share") == high, F.col("value"))).alias("high"))
