@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Cells that a kernel works on at a time.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 Kernel = Callable[..., np.ndarray | list]
 _TYPES = {"array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}

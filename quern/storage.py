@@ -71,6 +71,8 @@ _shipped: set[str] = set()
 #: Rows that cross to Python together.  Spark's default is meant for narrow rows; texts of some kilobytes would fill tens of
 #: megabytes a batch on both sides, so it is lowered where it has not been set.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of such a batch, lowered likewise: a worker holds a batch, its copies and its results, and rasters fill any batch.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -87,6 +89,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "2000")
+    if spark.conf.get(ARROW_BYTES) == f"{64 << 20}b":
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> None:

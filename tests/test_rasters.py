@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,16 @@ def test_least_iou_is_over_all_members(spark):
     assert got[80][1] and got[90][1]
     reasons = {r.id: r.reason for r in resolve.resolve(members, "id", "label", [], least).collect()}
     assert {reasons[k] for k in (1, 2, 3)} == {"mask_conflict"} and reasons[80] == "mask_compare_error" and (reasons[70], reasons[71]) == (None, "duplicate_redundant")
+
+
+def test_wide_rows_cross_to_python_in_small_batches(spark):
+    """1,200 rasters of 16 KB came as one batch of 20 MB; a batch is bounded by its bytes, so workers don't grow with the table."""
+    from pyspark.sql.functions import arrow_udf
+
+    from quern.storage import BATCH_BYTES, checkpoint
+
+    def weigh(cells: pa.Array) -> pa.Array:
+        return pa.array([cells.nbytes] * len(cells), pa.int64())
+
+    rows = checkpoint(spark.range(1200).coalesce(1)).select("id", F.array_repeat(F.col("id").cast("int"), 4096).alias("c"))
+    assert rows.select(arrow_udf(weigh, "long")("c").alias("n")).agg(F.max("n")).first()[0] <= 1.1 * BATCH_BYTES
