@@ -36,9 +36,10 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     Edges are undirected; loops, repeats and edges with a null end are allowed and ignored, except that an id with only a
     loop is its own component.
     """
-    pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
-    current = checkpoint(pairs.where("u <> v").distinct())
-    loops = pairs.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
+    # Whatever finds the edges runs once: they are written before loops are told from the others.
+    pairs = checkpoint(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null").distinct())
+    current = pairs.where("u <> v")
+    loops = pairs.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component"))
     seen = None
     while True:
         now = current.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()

@@ -119,6 +119,23 @@ def kernel(function: Kernel, kind: str, n: int | None, cells: Column | str, *mor
     return F.arrow_udf(typed, kind)(cells, *more)
 
 
+def has_null(cells: Column | str) -> Column:
+    """Whether an array has a null among its cells; null for a null array."""
+
+    def run(a: pa.Array) -> pa.Array:
+        starts, lengths = _lengths(a)
+        before = np.r_[0, np.cumsum(a.values.is_null().to_numpy(zero_copy_only=False))]
+        return pa.array(before[starts + np.maximum(lengths, 0)] > before[starts], mask=lengths < 0)
+
+    return F.arrow_udf(run, "boolean")(cells)
+
+
+def as_bits(m: np.ndarray) -> np.ndarray:
+    """Rows of truth values as rows of longs, a bit for each, filled up with zeros."""
+    packed = np.packbits(m, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.int64)
+
+
 # ---- places and shares ------------------------------------------------------------------------------------------------
 
 
@@ -194,6 +211,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either == 0, 1.0, (a & b).sum(1) / np.maximum(either, 1))
 
 
+def overlap_of_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`overlap` of masks packed by :func:`as_bits`."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    either = np.bitwise_count(a | b).sum(1, dtype=np.int64)
+    return np.where(either == 0, 1.0, np.bitwise_count(a & b).sum(1, dtype=np.int64) / np.maximum(either, 1))
+
+
 # ---- augmentation -----------------------------------------------------------------------------------------------------
 
 

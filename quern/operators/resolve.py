@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.columns import group_digest
-from quern.operators.rasters import block_sides, mask_iou
+from quern.operators.kernels import as_bits, has_null, kernel, overlap_of_bits
+from quern.operators.rasters import block_sides
+from quern.storage import table
 
 
 def component_table(members: DataFrame, sample: str, label: str) -> DataFrame:
@@ -24,16 +26,17 @@ def least_member_iou(members: DataFrame, rasters: DataFrame, key: str, cells: st
     are compared in blocks of about ``block``.  A component failed if a member has no mask, one with null cells, or one of
     another size; masks of the same size are compared all the same.
     """
-    masks = rasters.select(F.col(key).alias("id"), F.transform(cells, lambda v: (v > foreground).cast("int")).alias("mask"))
-    bad = F.col("mask").isNull() | F.exists("mask", lambda v: v.isNull())
-    mine = members.select("id", "component").join(masks, "id", "left").withColumn("bad", bad)
-    failed = mine.groupBy("component").agg((F.bool_or("bad") | (F.min(F.size("mask")) < F.max(F.size("mask")))).alias("failed"))
-    distinct = mine.where("not bad").select("component", "mask").distinct()
+    # Masks travel as one bit a cell.
+    masks = rasters.select(F.col(key).alias("id"), F.size(cells).alias("n"), has_null(cells).alias("bad"), kernel(lambda m: as_bits(~(m <= foreground)), "array<bigint>", None, cells).alias("mask"))
+    mine = members.select("id", "component").join(masks, "id", "left").withColumn("bad", F.coalesce("bad", F.lit(True)))
+    mine = table(mine.select("component", "n", "bad", "mask"), "masks")
+    failed = mine.groupBy("component").agg((F.bool_or("bad") | F.coalesce(F.min("n") < F.max("n"), F.lit(False))).alias("failed"))
+    distinct = mine.where("not bad").select("component", "n", "mask").distinct()
     blocks = distinct.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     left, right = block_sides(distinct.join(blocks, "component"), F.col("mask"), F.col("blocks"))
-    left, right = left.select("component", "_i", "_j", F.col("mask").alias("ma")), right.select("component", "_i", "_j", F.col("mask").alias("mb"))
-    pairs = left.join(right, ["component", "_i", "_j"]).where("(_i < _j or ma < mb) and size(ma) = size(mb)")
-    least = pairs.groupBy("component").agg(F.min(mask_iou(F.col("ma"), F.col("mb"))).alias("least"))
+    left, right = left.select("component", "_i", "_j", "n", F.col("mask").alias("ma")), right.select("component", "_i", "_j", "n", F.col("mask").alias("mb"))
+    pairs = left.join(right, ["component", "_i", "_j", "n"]).where("_i < _j or ma < mb")
+    least = pairs.groupBy("component").agg(F.min(kernel(overlap_of_bits, "double", None, "ma", "mb", rasters=2)).alias("least"))
     return failed.join(least, "component", "left").select("component", F.coalesce("least", F.lit(1.0)).alias("min_iou"), "failed")
 
 

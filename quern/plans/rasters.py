@@ -364,8 +364,9 @@ def verify_pairs(spark, sf_dir):
 _CC = f"""WITH RECURSIVE {_NEAR}, ed AS (SELECT a, b FROM near UNION SELECT b, a FROM near), rc(id, r) AS (SELECT a, a FROM ed UNION SELECT ed.b, rc.r FROM rc JOIN ed ON ed.a = rc.id), cc AS (SELECT id, min(r) AS component FROM rc GROUP BY id)"""
 
 
-def _components(spark, sf_dir):
-    return components.connected_components(near_dup_oriented(spark, sf_dir), "a", "b")
+def _components(spark, sf_dir, rows=None):
+    rows = planted(spark, sf_dir) if rows is None else rows
+    return components.connected_components(near.near_pairs(rows, "k", "c", SIZE, DISTANCE, CORRELATION), "a", "b")
 
 
 @query(f"{_CC} SELECT id, component FROM cc", name="components")
@@ -382,8 +383,9 @@ def component_sizes(spark, sf_dir):
   SELECT id, cc.component, CASE WHEN min_iou < 0.95 THEN 'mask_conflict' WHEN id <> cc.component THEN 'duplicate_redundant' END AS reason FROM cc JOIN mi USING (component)""")
 def resolve_near_duplicates(spark, sf_dir):
     """By the plain mask IoU of all pairs of members, not of matched edges only."""
-    members = _components(spark, sf_dir)
-    least = resolve.least_member_iou(members, planted(spark, sf_dir), "k", "c", foreground=127)
+    rows = table(planted(spark, sf_dir), "planted")
+    members = table(_components(spark, sf_dir, rows), "members")
+    least = resolve.least_member_iou(members, rows, "k", "c", foreground=127)
     return resolve.resolve(members.withColumn("label", F.lit(1)), "id", "label", [], least).select("id", "component", "reason")
 
 

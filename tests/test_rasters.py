@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import experiments, near, resolve, splitting
+from quern.operators import components, experiments, near, resolve, splitting
 
 
 def flips(rng, h, n):
@@ -147,3 +147,28 @@ def test_wide_rows_cross_to_python_in_small_batches(spark):
 
     rows = checkpoint(spark.range(1200).coalesce(1)).select("id", F.array_repeat(F.col("id").cast("int"), 4096).alias("c"))
     assert rows.select(arrow_udf(weigh, "long")("c").alias("n")).agg(F.max("n")).first()[0] <= 1.1 * BATCH_BYTES
+
+
+def test_components_find_their_edges_once(spark):
+    """What makes the edges ran again for the loops at the end."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 7), (5, 4), (None, 6), (3, 2)], "a long, b long").mapInArrow(count, "a long, b long")
+    found = components.connected_components(edges, "a", "b")
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7)]
+    assert ran.value == 6
+
+
+def test_masks_are_compared_as_bits(spark):
+    """Sizes that fill no long, not-a-number (over any foreground), nulls and empty masks."""
+    nan = float("nan")
+    masks = {1: [1.0] * 65 + [nan] * 5, 2: [1.0] * 69 + [0.0], 10: [], 11: [], 20: [1.0, None], 21: [1.0, 0.0], 30: [1.0] * 64, 31: [1.0] * 64 + [0.0] * 6}
+    members = spark.createDataFrame([(k, k // 10) for k in masks], "id long, component long")
+    least = resolve.least_member_iou(members, spark.createDataFrame(list(masks.items()), "k long, c array<double>"), "k", "c")
+    got = {r.component: (r.min_iou, r.failed) for r in least.collect()}
+    assert got == {0: (69 / 70, False), 1: (1.0, False), 2: (1.0, True), 3: (1.0, True)}
