@@ -34,6 +34,26 @@ def missing_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Rows that one row is written out as at a time.
+_REPEATS = 4096
+
+
+def one_sided(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """kind and keys: the rows of ``left`` that :func:`missing_in` ``right`` gives as missing, and the other way round,
+    each key once, as orphan.
+
+    Both sides meet in one aggregation, which holds a number and a mark for each key; nothing is sorted or joined.
+    """
+    side = lambda rows, n: rows.select(*keys, F.lit(n).cast("long").alias("_l"), F.lit(n == 0).alias("_r"))
+    met = side(left, 1).unionByName(side(right, 0)).groupBy(*keys).agg(F.sum("_l").alias("_l"), F.bool_or("_r").alias("_r"))
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])  # such keys have no partner
+    missing, orphan = (F.col("_l") > 0) & (~F.col("_r") | null), F.col("_r") & ((F.col("_l") == 0) | null)
+    kinds = F.array_compact(F.array(F.when(missing, F.struct(F.lit("missing").alias("kind"), F.col("_l").alias("_n"))), F.when(orphan, F.struct(F.lit("orphan").alias("kind"), F.lit(1).cast("long").alias("_n")))))
+    found = met.where(missing | orphan).select(*keys, F.inline(kinds))
+    blocks = found.select("kind", *keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _REPEATS))).alias("_b"))
+    return blocks.select("kind", *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_REPEATS).cast("long"), F.col("_n") - F.col("_b") * _REPEATS))).alias("_")).select("kind", *keys)
+
+
 def with_test_twin(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
     """Training rows whose group also has a test row."""
     return train.join(test.select(group).distinct(), group, "left_semi")

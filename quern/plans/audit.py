@@ -66,8 +66,8 @@ def _halves(spark, sf_dir):
 
 @query("SELECT 'missing' AS kind, o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT 'orphan', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0)")
 def missing_orphans(spark, sf_dir):
-    images, masks = _halves(spark, sf_dir)
-    return audit.missing_in(images, masks, ["k"]).select(F.lit("missing").alias("kind"), "k").unionByName(audit.missing_in(masks, images, ["k"]).select(F.lit("orphan").alias("kind"), "k"))
+    images = read(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"))
+    return audit.one_sided(images, read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), ["k"])
 
 
 @query(f"WITH {_HASHED} SELECT doc_id, h FROM d WHERE split = 'train' AND h IN (SELECT h FROM d WHERE split = 'test')")

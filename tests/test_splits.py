@@ -156,3 +156,25 @@ def test_single_seed_has_no_spread_and_effects_need_all_models(spark):
     same = spark.createDataFrame([(p, 0.5) for p in range(5)], "patient int, d double")
     ci = experiments.bootstrap_interval(same, "d", "patient", 50).first()
     assert (ci.n, ci.mean, ci.low, ci.high) == (5, 0.5, 0.5, 0.5)
+
+
+def test_one_sided_rows_without_joins(spark, monkeypatch):
+    """Repeats of the left side stay, the right side's count once, null keys have no partner; no join or sort, whose buffers grew with the tables."""
+    from quern.operators import audit
+
+    monkeypatch.setattr(audit, "_REPEATS", 3)
+    left = spark.createDataFrame([(1,), (2,), (2,), (3,), *[(4,)] * 7, (None,), (None,)], "k long")
+    right = spark.createDataFrame([(1,), (3,), (3,), (5,), (5,), (None,)], "k long")
+    found = audit.one_sided(left, right, ["k"])
+    expected = audit.missing_in(left, right, ["k"]).selectExpr("'missing' AS kind", "k").unionByName(audit.missing_in(right, left, ["k"]).distinct().selectExpr("'orphan' AS kind", "k"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(found) == rows(expected) == sorted([("missing", 2)] * 2 + [("missing", 4)] * 7 + [("missing", None)] * 2 + [("orphan", 5), ("orphan", None)], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+
+
+def test_missing_orphans_is_one_aggregation(spark):
+    from quern.plans.all import QUERIES
+
+    plan = QUERIES["missing_orphans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
