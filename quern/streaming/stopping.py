@@ -9,12 +9,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Epochs that wait under one key of the state; each call to the state store is a round trip.
+BLOCK = 256
+
+
 @contextmanager
 def typed_state(spark: SparkSession) -> Iterator[None]:
     """Within it streams are started on the state store that typed state needs; the session's setting comes back after it."""
@@ -47,10 +51,11 @@ class BestSoFar(StatefulProcessor):
             "run",
             StructType([StructField("next", number), StructField("best", real), StructField("best_epoch", number), StructField("best_threshold", real), StructField("bad", number), StructField("stopped", BooleanType())]),
         )
-        self.waiting = handle.getMapState("waiting", StructType([StructField("epoch", number)]), StructType([StructField("metric", real), StructField("threshold", real)]))
+        held = StructType([StructField("epochs", ArrayType(number)), StructField("metrics", ArrayType(real)), StructField("thresholds", ArrayType(real))])
+        self.waiting = handle.getMapState("waiting", StructType([StructField("block", number)]), held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        nxt, best, best_epoch, best_threshold, bad, stopped = self.run.get() if self.run.exists() else (self.first, None, None, None, 0, False)
+        nxt, best, best_epoch, best_threshold, bad, stopped = self.run.get() or (self.first, None, None, None, 0, False)
         if stopped:
             return
         come: dict[int, tuple] = {}
@@ -61,15 +66,26 @@ class BestSoFar(StatefulProcessor):
                 order = tuple((x is not None, 0.0 if x is None or math.isnan(x) else x, x is not None and math.isnan(x)) for x in held)
                 if r.epoch not in come or order < come[r.epoch][0]:
                     come[r.epoch] = (order, held)
+        blocks: dict[int, dict[int, tuple]] = {}
+        stored, changed = set(), set()
+
+        def block(number: int) -> dict[int, tuple]:
+            if number not in blocks:
+                blocks[number] = {}
+                if self.waiting.containsKey((number,)):
+                    stored.add(number)
+                    epochs, metrics, thresholds = self.waiting.getValue((number,))
+                    blocks[number] = dict(zip(epochs, zip(metrics, thresholds, strict=True), strict=True))
+            return blocks[number]
+
         while not stopped:
-            if nxt in come:
+            early = block(nxt // BLOCK)
+            if nxt in early:  # an earlier batch's record of an epoch came first
+                metric, threshold = early.pop(nxt)
+                come.pop(nxt, None)
+                changed.add(nxt // BLOCK)
+            elif nxt in come:
                 metric, threshold = come.pop(nxt)[1]
-                if self.waiting.containsKey((nxt,)):  # an earlier batch's record of this epoch came first
-                    metric, threshold = self.waiting.getValue((nxt,))
-                    self.waiting.removeKey((nxt,))
-            elif self.waiting.containsKey((nxt,)):
-                metric, threshold = self.waiting.getValue((nxt,))
-                self.waiting.removeKey((nxt,))
             else:
                 break
             improved = _over(metric, best)
@@ -82,12 +98,23 @@ class BestSoFar(StatefulProcessor):
             stopped = self.patience is not None and bad >= self.patience
             yield Row(**dict(zip(self._keys, key, strict=True)), epoch=nxt, metric=metric, improved=improved, best=best, best_epoch=best_epoch, bad_epochs=bad, best_threshold=best_threshold, stopped=stopped)
             nxt += 1
+            if nxt % BLOCK == 0:  # nothing waits in a block that is passed
+                done = nxt // BLOCK - 1
+                del blocks[done]
+                changed.discard(done)
+                if done in stored:
+                    self.waiting.removeKey((done,))
         if stopped:
             self.waiting.clear()
         else:
             for epoch, (_, held) in come.items():
-                if not self.waiting.containsKey((epoch,)):
-                    self.waiting.updateValue((epoch,), held)
+                block(epoch // BLOCK).setdefault(epoch, held)
+                changed.add(epoch // BLOCK)
+            for number in changed:
+                if blocks[number]:
+                    self.waiting.updateValue((number,), (list(blocks[number]), *map(list, zip(*blocks[number].values(), strict=True))))
+                elif number in stored:
+                    self.waiting.removeKey((number,))
         self.run.update((nxt, best, best_epoch, best_threshold, bad, stopped))
 
     def close(self) -> None:

@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.operators import images, kernels, rasters, selection
@@ -211,3 +212,36 @@ def test_json_lines_and_documents_must_be_objects(spark, tmp_path):
     document = tmp_path / "good.json"
     document.write_text("﻿" + json.dumps({"a": 7, "b": {"c": [1]}}, indent=2))
     assert tables.read_json(spark, str(document), "a long, b struct<c: array<int>>").first().b.c == [1] and tables.read_json(spark, str(document)).first().a == 7
+
+
+class _Kept:
+    """Stands for a value and a map of the state; counts the calls, each of which is a round trip to the store."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "containsKey": self.map.__contains__, "getValue": self.map.get,
+            "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "clear": self.map.clear,
+        }[name]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_waiting_epochs_are_kept_in_blocks(seed):
+    """2,000 epochs of one run in five batches, dealt at random: one call for each block and batch at most, not one for each epoch."""
+    rng = random.Random(seed)
+    epochs = [Row(epoch=e, metric=None if e % 97 == 0 else float(e % 50 + e // 300), threshold=None if e % 13 == 0 else e / 10) for e in range(1, 2001)]
+    follow = stopping.BestSoFar(None, 1)
+    follow._keys, follow.run, follow.waiting = ("run",), _Kept(), _Kept()
+    dealt = [rng.randrange(5) for _ in epochs]
+    got, plain = [], stopping.BestSoFar(None, 1)
+    for turn in range(5):
+        batch = [e for e, d in zip(epochs, dealt) if d == turn]
+        again = [Row(epoch=e.epoch, metric=-1.0, threshold=None) for e, d in zip(epochs, dealt) if d < turn and e.epoch % 7 == 0]  # come too late
+        got += follow.handleInputRows((1,), iter(batch + again), None)
+    plain._keys, plain.run, plain.waiting = ("run",), _Kept(), _Kept()
+    want = list(plain.handleInputRows((1,), iter(epochs), None))
+    assert [r.epoch for r in got] == list(range(1, 2001)) and got == want
+    assert not follow.waiting.map and follow.waiting.calls <= 5 * 4 * (2000 // 256 + 2)
