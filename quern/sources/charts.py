@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.kernels import bilinear
+from quern.operators.kernels import CHUNK, _lengths, bilinear, matrix
 from quern.sources.png import encode
 from quern.storage import checkpoint
 
@@ -121,6 +121,12 @@ def bar_heights(n: np.ndarray, room: int) -> np.ndarray:
     return (2 * n * room + n.max()) // (2 * max(1, n.max()))
 
 
+def _cells(rasters: pa.Array, n: int) -> np.ndarray:
+    if rasters.flatten().null_count or (_lengths(rasters)[1] != n).any():
+        raise ValueError(f"a raster hasn't {n} cells")
+    return matrix(rasters, np.arange(len(rasters)), n)
+
+
 def comparison_files(samples: DataFrame, size: tuple[int, int], probability_size: tuple[int, int], threshold: float = 0.5) -> DataFrame:
     """path and content: image, truth, prediction and overlay side by side, for each sample.
 
@@ -130,16 +136,17 @@ def comparison_files(samples: DataFrame, size: tuple[int, int], probability_size
     (w, h), schema = size, "path string, content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for image, mask, p in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-                gray, truth = (np.array(x.as_py(), np.int64).reshape(h, w) for x in (image, mask))
-                on = bilinear(np.array([p.as_py()]), probability_size, size).reshape(h, w) >= threshold
+        step = max(1, CHUNK // (4 * w * h))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                gray, truth = (_cells(batch.column(k), w * h).astype(np.int64).reshape(-1, h, w) for k in (1, 2))
+                on = bilinear(_cells(batch.column(3), probability_size[0] * probability_size[1]), probability_size, size).reshape(-1, h, w) >= threshold
                 truth = truth >= 128
-                plain = lambda x: np.repeat(x[:, :, None], 3, 2)
-                page = np.concatenate([plain(gray), plain(truth * 255), plain(on * 255), overlaid(gray, truth, on)], 1)
-                out.append(encode(page.astype(np.uint8).tobytes(), 4 * w, h, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "content"])
+                plain = lambda x: np.repeat(x[..., None], 3, -1)
+                pages = np.concatenate([plain(gray), plain(truth * 255), plain(on * 255), overlaid(gray, truth, on)], 2).astype(np.uint8)
+                out = [encode(page.tobytes(), 4 * w, h, 3) for page in pages]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
     return samples.select("path", "image", "mask", "probability").mapInArrow(run, schema)
 

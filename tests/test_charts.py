@@ -120,3 +120,28 @@ def test_every_point_is_drawn_once_whatever_the_weights(spark):
         counts = {r.k: (r.draws, r.w) for r in got.collect()}
         total = sum(w for _, w in counts.values())
         assert sum(n for n, _ in counts.values()) == draws and all(abs(n - draws * w / total) < 1 + 1e-6 for n, w in counts.values()) and Counter(got.columns) == Counter(["k", "w", "draws"])
+
+
+def test_comparisons_are_drawn_a_batch_at_a_time(spark, monkeypatch):
+    """Pages of many rows, over the edge of a chunk, are those of each row alone; resizing was called once a row."""
+    import pyarrow as pa
+
+    rng, calls, plain = random.Random(4), [], charts.bilinear
+    rows = [(f"{k}.png", [rng.randrange(256) for _ in range(30)], [rng.choice([0, 128]) for _ in range(30)], [rng.random() for _ in range(4)]) for k in range(50)]
+    monkeypatch.setattr(charts, "CHUNK", 4 * 30 * 20)
+    monkeypatch.setattr(charts, "bilinear", lambda m, *more: calls.append(len(m)) or plain(m, *more))
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = charts.comparison_files(Rows(), (6, 5), (2, 2))
+    batch = pa.table([pa.array(c) for c in zip(*rows)], ["path", "image", "mask", "probability"]).to_batches()[0]
+    together = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    assert calls == [20, 20, 10]
+    assert together == [r for k in range(50) for r in pa.Table.from_batches(run(iter([batch.slice(k, 1)]))).to_pylist()]
+    with pytest.raises(ValueError):
+        list(run(iter([pa.table([["a"], [[1] * 29], [[1] * 30], [[0.5] * 4]], ["path", "image", "mask", "probability"]).to_batches()[0]])))
