@@ -197,7 +197,7 @@ def _links(lists: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
     # Documents of a higher level meet each other there.
     met = side(open_.where("not higher"), "a", "component").join(side(open_, "b", "component"), ["t", "key"]).where("(higher_b or a < b) and component_a <> component_b").where(worth)
     rest = ordered(met).join(stars.select("t", "a", "b"), ["t", "a", "b"], "left_anti")
-    return first.union(_verified(table(rest, "rest"), kept, sets))
+    return first.union(_verified(rest, kept, sets))
 
 
 def _frequencies(found: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _at_least_cost(keys: DataFrame, sets: DataFrame) -> DataFrame:
 def _lengthened(sets: DataFrame, least: int) -> DataFrame:
     """Links among the documents whose prefixes are lengthened."""
     total = sets.agg(F.sum(F.size("x"))).first()[0] or 0
-    again = table(shared_keys(_repacked(sets, buckets_for(total, 2 * least))).select("key", "doc_id").distinct(), "again")
+    again = shared_keys(_repacked(sets, buckets_for(total, 2 * least))).select("key", "doc_id").distinct()
     lists, kept = _rarest(table(_at_least_cost(again, sets), "held"))
     return _links(lists, kept, sets)
 

@@ -261,6 +261,17 @@ def test_lengthened_prefixes_lose_no_link(spark, rows, monkeypatch, cheap):
     assert got == brute_components(both)
 
 
+def test_what_is_read_once_is_not_written(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHEAP", 1)
+    rng, written, write = random.Random(13), [], jaccard_join.table
+    monkeypatch.setattr(jaccard_join, "table", lambda df, name: written.append(name) or write(df, name))
+    base = [f"b{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: rng.choice([40, 60])], *(f"e{rng.randrange(9)}" for _ in range(rng.randint(0, 25)))])) for i in range(80)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert {"whole", "open"} <= set(written) and not {"again", "rest"} & set(written)
+
+
 def test_levels_agree_on_numbers_and_columns(spark):
     sizes = [1, 2, 3, 7, 8, 20, 63, 64, 500, 4097]
     for level in range(jaccard_join.TOP + 1):
