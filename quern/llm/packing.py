@@ -21,12 +21,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import begin, remembers, trim
-from quern.storage import checkpoint, table
+from quern.storage import batches_of, checkpoint, table
 
 LENGTH = 4096
 END_ID = 2
-#: Text bytes that one Arrow batch of tokenized rows is built from, about.
-BATCH_BYTES = 1 << 20
+#: Text bytes that one Arrow batch of tokenized rows is built from, about; batches come to Python no larger, so that a worker doesn't
+#: hold eight of them while it makes one.
+BATCH_BYTES = 1 << 19
 
 #: Partitions up to which their offsets are sent to all tasks; more are joined by shuffle.
 MOST_SENT_PARTITIONS = 1_000_000
@@ -162,7 +163,8 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFram
         trim()
 
     schema = f"doc_id {id_type.simpleString()}, part int, place long, n_tokens long, ids binary"
-    return table(docs.select("doc_id", "text").mapInArrow(run, schema), "tokens")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return table(docs.select("doc_id", "text").mapInArrow(run, schema), "tokens")
 
 
 def pack_tokens(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
