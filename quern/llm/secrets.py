@@ -11,6 +11,7 @@ import random
 import re
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,7 +197,9 @@ def fit(spark: SparkSession, findings: list[tuple[int, str, int]] | None = None)
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = spark.createDataFrame(findings or labelled_findings(), "doc_id long, text string, label int").coalesce(1)
+    # As Arrow, which the JVM reads: a list would be converted by Python workers of its own kind, whose daemon stays on the executor.
+    columns = zip(*(findings or labelled_findings()), strict=True)
+    rows = spark.createDataFrame(pa.table(dict(zip(("doc_id", "text", "label"), map(list, columns), strict=True))), "doc_id long, text string, label int").coalesce(1)
     found = candidates(rows).select(F.col("label").cast("double").alias("label"), F.explode("_found").alias("x")).select("label", "x.f.*")
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found).select("label", "features")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3, featureSubsetStrategy="sqrt").fit(data)
