@@ -93,20 +93,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
-    """Batches that cross to Python in jobs run within are bounded at ``most`` bytes, where the session has the bound of
-    :func:`ship`; one that a user has set holds.  The setting is put back."""
-    ship(spark)
-    before = spark.conf.get(ARROW_BYTES)
-    if before == str(BATCH_BYTES) and most < BATCH_BYTES:
-        spark.conf.set(ARROW_BYTES, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(ARROW_BYTES, before)
-
-
 def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> None:
     """Write a small file to any file system that Spark knows; an existing one is an error unless ``overwrite``."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
