@@ -281,7 +281,8 @@ _SUPPLIERS = """px AS (SELECT s_suppkey AS k, list_transform(range(16), lambda i
   UNION ALL SELECT 'labels' || t || '/k3m_n' || k || '.png', CAST(len(list_filter(mask, lambda v: v >= 128)) AS BIGINT) FROM s""")
 def exported_files(spark, sf_dir):
     """Channel and label files of a sample for each supplier, written by the tasks, decoded and summed again."""
-    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"))
+    # A file of suppliers is small and one task reads it, but each makes four files: all tasks share them.
+    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k")).repartition(4 * spark.sparkContext.defaultParallelism, "k")
     of = lambda f: F.transform(F.sequence(F.lit(0), F.lit(15)), f)
     pad = lambda f: of(lambda i: F.when(i < 12, f(i)).otherwise(0).cast("int"))
     samples = suppliers.select(
@@ -290,7 +291,7 @@ def exported_files(spark, sf_dir):
     )
     root = new_path(spark, "export")
     write_files(tables.exported_files(samples, 4).withColumnRenamed("png", "content"), root)
-    rows = files.with_cells(files.read_images(spark, root, recursive=True))
+    rows = files.with_cells(files.read_pngs(spark, root))
     return rows.select(F.regexp_extract("path", r"((?:images|labels)T[rs]/[^/]+)$", 1).alias("path"), F.aggregate("cells", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
 
 

@@ -2,16 +2,19 @@
 
 A Python data source: a task writes its files into a folder of its own attempt below ``_temporary``; when all tasks are
 done the driver moves the files of the attempts that count to their places and writes ``_SUCCESS`` last.  An attempt that
-is lost or beaten leaves nothing behind, and neither does a job that fails.  Contents never pass through the driver.
+is lost or beaten leaves nothing behind, and neither does a job that fails.  Contents never pass through the driver, and
+names do a few thousand at a time, so that neither a task nor the driver holds more for more files.
 """
 
 from __future__ import annotations
 
+import io
 import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,9 +29,11 @@ _NAMES = "_names"
 DONE = "_SUCCESS"
 #: Files that the driver moves at the same time.
 MOVERS = 16
+#: Names that it holds while it does so.
+HELD = 4096
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
+def place(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, which all executors reach, and the path in it; one without a scheme is local."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
@@ -36,7 +41,7 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _checked(name: str | None) -> str:
-    if not name or name.startswith(("/", "_")) or ".." in name.split("/") or posixpath.normpath(name) != name:
+    if not name or "\n" in name or name.startswith(("/", "_")) or ".." in name.split("/") or posixpath.normpath(name) != name:
         raise ValueError(f"not a path below the target: {name!r}")
     return name
 
@@ -52,71 +57,80 @@ class Written(WriterCommitMessage):
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, root: str, overwrite: bool):
         self.root, self.overwrite, self.job = root.rstrip("/"), overwrite, uuid.uuid4().hex
-        store, path = _place(self.root)
+        store, path = place(self.root)
         store.create_dir(self._temporary(path), recursive=True)  # its end tells tasks that still run that the job is over
 
     def _temporary(self, path: str) -> str:
         return f"{path}/_temporary/{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, path = _place(self.root)
+        store, path = place(self.root)
         task = TaskContext.get()
         own = f"{self._temporary(path)}/{f'{task.partitionId()}-{task.taskAttemptId()}' if task else uuid.uuid4().hex}"
-        made, names = set(), []
+        made, files, names = set(), 0, None
         try:
             for batch in iterator:
                 for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                     where = f"{own}/{_checked(name)}"
-                    if store.get_file_info(self._temporary(path)).type == fs.FileType.NotFound:
+                    job, there = store.get_file_info([self._temporary(path), where])
+                    if job.type == fs.FileType.NotFound:
                         raise RuntimeError("the job has ended")
-                    folder = posixpath.dirname(where)
-                    if folder not in made:
+                    if there.type != fs.FileType.NotFound:
+                        raise ValueError("two rows name the same file")
+                    for folder in {own, posixpath.dirname(where)} - made:
                         store.create_dir(folder, recursive=True)
                         made.add(folder)
+                    if names is None:
+                        names = store.open_output_stream(f"{own}/{_NAMES}", buffer_size=1 << 16)
                     with store.open_output_stream(where) as out:
                         if content.is_valid:
                             out.write(content.as_buffer())
-                    names.append(name)
-            if names:
-                if len(set(names)) < len(names):
-                    raise ValueError("two rows name the same file")
-                with store.open_output_stream(f"{own}/{_NAMES}") as out:
-                    out.write("\n".join(names).encode())
+                    names.write(f"{name}\n".encode())
+                    files += 1
+            if names is not None:
+                names.close()
         except BaseException:
+            if names is not None and not names.closed:
+                names.close()
             if made and store.get_file_info(own).type != fs.FileType.NotFound:
                 store.delete_dir(own)
             raise
-        return Written(posixpath.basename(own), len(names))
+        return Written(posixpath.basename(own), files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, path = _place(self.root)
+        store, path = place(self.root)
         attempts = [m for m in messages if m is not None and m.files]
 
-        def names(m: Written) -> list[str]:
-            with store.open_input_stream(f"{self._temporary(path)}/{m.attempt}/{_NAMES}") as file:
-                return file.read().decode().split("\n")
+        def names(m: Written) -> Iterator[tuple[str, ...]]:
+            with io.TextIOWrapper(store.open_input_stream(f"{self._temporary(path)}/{m.attempt}/{_NAMES}"), "utf-8", newline="\n") as file:
+                yield from batched((line[:-1] for line in file), HELD)
+
+        def there(some: tuple[str, ...]) -> list[str]:
+            return [f.path for f in store.get_file_info([f"{path}/{n}" for n in some]) if f.type != fs.FileType.NotFound]
 
         try:
             with ThreadPoolExecutor(MOVERS) as pool:
                 if not self.overwrite:
                     for m in attempts:
-                        there = [f.path for f in store.get_file_info([f"{path}/{n}" for n in names(m)]) if f.type != fs.FileType.NotFound]
-                        if there:
-                            raise FileExistsError(f"{there[0]} exists already")
+                        for some in names(m):
+                            for found in pool.map(there, [some[k::MOVERS] for k in range(MOVERS)]):
+                                if found:
+                                    raise FileExistsError(f"{found[0]} exists already")
                 made: set[str] = {path}
                 for m in attempts:
-                    own = names(m)
-                    for folder in {posixpath.dirname(f"{path}/{n}") for n in own} - made:
-                        store.create_dir(folder, recursive=True)
-                        made.add(folder)
                     moved = f"{self._temporary(path)}/{m.attempt}"
 
-                    def move(name: str, moved: str = moved) -> None:
-                        if not self.overwrite and store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
-                            raise FileExistsError(f"two rows name {name}")
-                        store.move(f"{moved}/{name}", f"{path}/{name}")
-
-                    list(pool.map(move, own))
+                    def move(some: tuple[str, ...], moved: str = moved) -> None:
+                        if not self.overwrite and (found := there(some)):
+                            raise FileExistsError(f"two rows name {found[0]}")
+                        for name in some:
+                            store.move(f"{moved}/{name}", f"{path}/{name}")
+
+                    for some in names(m):
+                        for folder in {posixpath.dirname(f"{path}/{n}") for n in some} - made:
+                            store.create_dir(folder, recursive=True)
+                            made.add(folder)
+                        list(pool.map(move, [some[k::MOVERS] for k in range(MOVERS)]))
             store.create_dir(path, recursive=True)
             store.open_output_stream(f"{path}/{DONE}").close()
         finally:
@@ -124,7 +138,7 @@ class FileWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Remove what this job's tasks have left, and the folder for it unless another job is writing."""
-        store, path = _place(self.root)
+        store, path = place(self.root)
         for folder in (self._temporary(path), f"{path}/_temporary"):
             info = store.get_file_info(folder)
             if info.type == fs.FileType.Directory and (folder.endswith(self.job) or not store.get_file_info(fs.FileSelector(folder))):

@@ -3,7 +3,9 @@
 import json
 import math
 import random
+import struct
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.operators import images, kernels, rasters, selection
-from quern.sources import rowfiles, tables
+from quern.sources import files, png, rowfiles, tables
 from quern.streaming import logs, stopping
 
 
@@ -245,3 +247,74 @@ def test_waiting_epochs_are_kept_in_blocks(seed):
     want = list(plain.handleInputRows((1,), iter(epochs), None))
     assert [r.epoch for r in got] == list(range(1, 2001)) and got == want
     assert not follow.waiting.map and follow.waiting.calls <= 5 * 4 * (2000 // 256 + 2)
+
+
+def test_the_driver_holds_few_names_while_it_moves_many_files(tmp_path, monkeypatch):
+    """Names are read and moved some at a time, whatever their number; a name that a task or two tasks repeat is still an error."""
+    monkeypatch.setattr(rowfiles, "HELD", 64, raising=False)
+    most, given = [], rowfiles.ThreadPoolExecutor.map
+    monkeypatch.setattr(rowfiles.ThreadPoolExecutor, "map", lambda self, f, some: (most.append(sum(len([x] if isinstance(x, str) else x) for x in some)), given(self, f, some))[1])
+    writer = rowfiles.FileWriter(str(tmp_path / "out"), False)
+    batch = lambda names: pa.RecordBatch.from_pydict({"path": names, "content": [n.encode() for n in names]})
+    names = [f"d{k % 3}/ü\r{k}" for k in range(1000)]
+    writer.commit([writer.write(iter([batch(names[:700])])), writer.write(iter([batch(names[700:])])), writer.write(iter([]))])
+    assert {f"{p.parent.name}/{p.name}" for p in (tmp_path / "out").rglob("ü*")} == set(names) and max(most) <= 64
+    assert all((tmp_path / "out" / n).read_text(newline="") == n for n in names) and not (tmp_path / "out/_temporary").exists()
+    writer = rowfiles.FileWriter(str(tmp_path / "two"), True)
+    for bad, message in ((["a", "b", "a"], "the same file"), (["a\nb"], "not a path")):
+        with pytest.raises(ValueError, match=message):
+            writer.write(iter([batch(bad)]))
+    assert not [p for p in (tmp_path / "two").rglob("*") if p.is_file()]
+
+
+def test_tasks_list_and_decode_files(spark, tmp_path):
+    """Names of many folders and what they hold as Spark's own readers give them; the driver lists nothing."""
+    rng = random.Random(5)
+    for k in range(150):
+        channels, folder = rng.choice([1, 3]), tmp_path / rng.choice(["a", "a/b c", "k=1/_x=2", "_hidden", ".too", "a/_no"])
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / rng.choice([f"{k}.png", f"_{k}.png", f"ü{k}%20.png"])).write_bytes(png.encode(rng.randbytes(6 * channels), 3, 2, channels) if k % 10 else b"no image")
+    (tmp_path / "empty").mkdir()
+    of = lambda rows: sorted((r.path, r.width, r.height, r.channels, bytes(r.bytes)) for r in rows.collect())
+    want = of(files.read_images(spark, str(tmp_path)))
+    assert len(want) > 30 and {w for _, w, *_ in want} == {-1, 3} and {c for *_, c, _ in want} == {-1, 1, 3}
+    assert of(files.read_pngs(spark, str(tmp_path))) == of(files.read_pngs(spark, f"file://{tmp_path}/")) == want
+    found, many = files.listed(spark, str(tmp_path))
+    assert many == len(want) == found.count() and files.listed(spark, str(tmp_path / "empty"))[1] == 0
+    assert not files.read_pngs(spark, str(tmp_path / "empty")).collect()
+    with pytest.raises(Exception, match="No such file"):
+        files.read_pngs(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_png_filters_are_undone(channels):
+    """Rows filtered in all five ways, as other programs write them."""
+    rng = random.Random(channels)
+    width, height, colour = 5, 10, {1: 0, 3: 2, 4: 6}[channels]
+    rows = [[rng.randrange(256) for _ in range(width * channels)] for _ in range(height)]
+    raw = bytearray()
+    for y, row in enumerate(rows):
+        raw.append(y % 5)
+        for x, v in enumerate(row):
+            a, b, c = x >= channels and row[x - channels], y and rows[y - 1][x], y and x >= channels and rows[y - 1][x - channels]
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            raw.append((v - (0, a, b, (a + b) // 2, paeth)[y % 5]) % 256)
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    file = lambda depth=8, kind=colour, data=bytes(raw): b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(data)[:9]) + part(b"IDAT", zlib.compress(data)[9:]) + part(b"IEND", b"")
+    order = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[channels]
+    assert png.decode(file()) == (width, height, channels, bytes(row[x * channels + o] for row in rows for x in range(width) for o in order))
+    assert png.decode(b"GIF89a") is None and png.decode(b"") is None
+    for bad in (file()[:-5], file()[:40], file(depth=16), file(kind=3), file(data=bytes(raw[:-1])), file()[:50] + b"\0" + file()[51:]):
+        with pytest.raises(Exception):
+            png.decode(bad)
+
+
+def test_exported_files_are_shared_by_tasks_and_never_listed_by_the_driver(spark, monkeypatch):
+    from quern.plans import sources
+
+    written = []
+    monkeypatch.setattr(sources, "write_files", lambda rows, root: (written.append(rows.rdd.getNumPartitions()), rowfiles.write_files(rows, root))[1])
+    rows = sources.exported_files(spark, "/root/testdata/sf0.001")
+    assert written[0] >= spark.sparkContext.defaultParallelism and rows.count() == 4 * spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert "Format: image" not in rows._jdf.queryExecution().toString()
