@@ -289,7 +289,7 @@ def comparison_files(spark, sf_dir):
     samples = _bytes(spark, sf_dir).select(F.concat(F.lit("s"), "k", F.lit(".png")).alias("path"), F.col("c").alias("image"), mask.alias("mask"), chance.alias("probability"))
     root = new_path(spark, "comparisons")
     write_files(charts.comparison_files(samples, (SMALL, SMALL), (4, 4)), root)
-    seen = files.with_cells(files.read_images(spark, root)).select(F.regexp_extract("path", r"s(\d+)\.png$", 1).cast("long").alias("k"), "cells")
+    seen = files.with_cells(files.read_pngs(spark, root)).select(F.regexp_extract("path", r"s(\d+)\.png$", 1).cast("long").alias("k"), "cells")
     total = kernel(lambda m: m.reshape(len(m), -1, 3).sum(1), "array<bigint>", None, "cells")  # a decoder gives blue, green, red
     return seen.select("k", total.alias("s")).select("k", F.get("s", 2).alias("red"), F.get("s", 1).alias("green"), F.get("s", 0).alias("blue"))
 

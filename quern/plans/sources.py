@@ -223,7 +223,7 @@ def decoded_images(spark, sf_dir):
     """Sums of the channels and of the luma of decoded colour images; a file that can't be decoded has width -1."""
     from quern.operators import images, rasters
 
-    rows = files.read_images(spark, _folder(spark, sf_dir)).where(~F.col("path").endswith("_mask.png"))
+    rows = files.read_pngs(spark, _folder(spark, sf_dir)).where(~F.col("path").endswith("_mask.png"))
     cells = files.with_cells(rows)
     split = images.split_channels(F.col("cells"))
     rgb = cells.select(F.regexp_extract("path", r"enh_(\d+)", 1).cast("int").alias("source_id"), "width", "height", *[v.alias(n) for n, v in split.items()])
@@ -237,7 +237,7 @@ def decoded_images(spark, sf_dir):
   CASE WHEN len(list_filter(mask, lambda v: v NOT IN (0, 3, 255))) > 0 THEN 'unexpected_values' ELSE '' END AS problems FROM m""")
 def decoded_masks(spark, sf_dir):
     """Foreground of targets (from 128) and of predictions (over 0), and the rules that a mask breaks."""
-    rows = files.with_cells(files.read_images(spark, _folder(spark, sf_dir)).where(F.col("path").endswith("_mask.png")))
+    rows = files.with_cells(files.read_pngs(spark, _folder(spark, sf_dir)).where(F.col("path").endswith("_mask.png")))
     count = lambda cells: F.aggregate(cells, F.lit(0), lambda s, v: s + v)
     return rows.select(
         F.regexp_extract("path", r"enh_(\d+)", 1).cast("int").alias("source_id"), count(files.foreground(F.col("cells"))).alias("target"), count(files.foreground(F.col("cells"), 1)).alias("predicted"),
